@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("token_files",)
+MODULES = ("token_files", "warc", "packing")
 
 
 def queries() -> dict:

@@ -9,7 +9,9 @@ from pyarrow import fs
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI (file, hdfs, s3, gs) and the path in it."""
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}") if ":/" not in uri or "://" in uri else fs.FileSystem.from_uri(uri.replace(":/", ":///", 1))
+    if uri.startswith("file:"):
+        uri = "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
 
 
 class Output:
@@ -27,6 +29,8 @@ class Output:
 
     def close(self) -> None:
         self.stream.close()
+        if self.fs.get_file_info(self.path).type != fs.FileType.NotFound:  # of an attempt that was lost later
+            self.fs.delete_file(self.path)
         self.fs.move(self.part, self.path)
 
 
