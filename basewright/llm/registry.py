@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("token_files", "warc", "packing")
+MODULES = ("token_files", "warc", "topk", "secrets", "mixing", "packing")
 
 
 def queries() -> dict:
