@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("token_files", "warc", "topk", "secrets", "mixing", "packing")
+MODULES = ("token_files", "warc", "topk", "secrets", "mixing", "simhash", "packing")
 
 
 def queries() -> dict:

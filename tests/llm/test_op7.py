@@ -1,0 +1,97 @@
+import random
+
+import numpy as np
+import xxhash
+
+from basewright.llm import simhash
+from basewright.llm.common import Workspace
+
+
+def slow_print(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(max(1, len(words) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_components(prints):
+    """Least id of each row's component; rows are (id, print)."""
+    parent = list(range(len(prints)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, (_, a) in enumerate(prints):
+        for j in range(i):
+            if (a ^ prints[j][1]).bit_count() <= 3:
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (doc, _) in enumerate(prints):
+        if doc is not None:
+            least[root(i)] = min(least.get(root(i), doc), doc)
+    return [least.get(root(i)) for i in range(len(prints))]
+
+
+def test_fingerprints():
+    rng = random.Random(1)
+    texts = ["", " \n", "One", "one two", "ONE TWO three", "É é ß\x1cx", "a " * 70_000]
+    texts += [" ".join(rng.choices(["Ab", "c", "dé", "e.", "\tf"], k=rng.randint(0, 60))) for _ in range(100)]
+    for t in texts:
+        assert int.from_bytes(simhash.simhash(t.encode()), "big") == slow_print(t)
+
+
+def test_forest_finds_every_link():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    values = np.unique(np.concatenate([base[rng.integers(0, 30)] ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) for a, b in rng.integers(0, 63, (400, 2))][:0] + [base] + [np.array([base[rng.integers(0, 30)] ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b))]) for a, b in rng.integers(0, 63, (600, 2))]))
+    groups = rng.integers(0, 4, len(values))
+    forest = simhash.Forest(values, groups)
+    found = {(int(a), int(b)) for q, x in forest.links(values, groups, 3, frontier=200) for a, b in zip(q, x)}
+    want = {(i, j) for i in range(len(values)) for j in range(len(values)) if groups[i] == groups[j] and (int(values[i]) ^ int(values[j])).bit_count() <= 3}
+    assert found == want
+
+
+def test_masks_cover_the_radius():
+    rng = random.Random(3)
+    for classes in (10, 1 << 25, 1 << 33):
+        masks = simhash.band_masks(classes)
+        for _ in range(500):
+            flips = sum(1 << b for b in rng.sample(range(64), 3))
+            assert any(flips & m == 0 for m in masks)
+
+
+def random_docs(rng):
+    words = [f"w{k}" for k in range(50)]
+    bases = [[rng.choice(words) for _ in range(rng.choice([12, 40, 200]))] for _ in range(25)]
+    rows = []
+    for i in range(500):
+        base = list(rng.choice(bases)) if rng.random() < 0.7 else [rng.choice(words) for _ in range(30)]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            base[rng.randrange(len(base))] = rng.choice(words)
+        rows.append((2000 - 3 * i, " ".join(base), "x", i))
+    return rows + [(9000, None, "", 0), (9001, " ", "", 0), (9002, "", "", 0), (5, rows[4][1], "", 0), (5, rows[4][1], "", 0), (None, rows[4][1], "", 0), (None, "quite alone here now", "", 0)]
+
+
+def test_components_equal_brute_force(spark):
+    rows = random_docs(random.Random(7))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, node int")
+    prints = [(i, slow_print(t)) for i, t, *_ in rows]
+    want = sorted(((i, p, c) for (i, p), c in zip(prints, slow_components(prints))), key=str)
+    for tree in (8192, 3):
+        got = [(r.doc_id, r.fingerprint % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs, tree=tree).collect()]
+        assert sorted(got, key=str) == want
+
+
+def test_long_chains(spark):
+    links = [(i + 1, i) for i in range(300)] + [(1000, 999), (1001, 999), (1001, 1000)]
+    work = Workspace(spark, "chain")
+    frame = work.save(spark.createDataFrame(links, "a long, b long"), "links")
+    got = {r.node: r.component for r in simhash.components(frame, work).collect()}
+    assert got == {i: 0 for i in range(1, 301)} | {1000: 999, 1001: 999}
+
+
+def test_no_documents(spark):
+    assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
