@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("token_files", "warc", "topk", "secrets", "mixing", "simhash", "quality", "packing")
+MODULES = ("token_files", "warc", "language", "topk", "secrets", "mixing", "simhash", "quality", "packing")
 
 
 def queries() -> dict:
