@@ -178,8 +178,8 @@ def fit(docs: DataFrame, learn: Column, landmarks: int = LANDMARKS, most: int =
     return model
 
 
-def predict(docs: DataFrame, model: Classifier, *keep: str) -> DataFrame:
-    """Adds lang_pred and score to the columns to keep."""
+def predict(docs: DataFrame, model: Classifier, *keep: str, text: str = "text") -> DataFrame:
+    """The columns to keep, in order, then lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +194,16 @@ def predict(docs: DataFrame, model: Classifier, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
-    return docs.select(*keep, docs["text"].alias("text_")).mapInArrow(run, schema)
+    last = "_".join(["text", *keep])  # no column to keep has this name
+    return docs.select(*[docs[f"`{c}`"] for c in keep], docs[text].alias(last)).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Classifier) -> DataFrame:
+    """Rows of docs whose language is known, with a null lang filled in."""
+    names = [f"c{k}" for k in range(len(docs.columns))]  # free of clashes with the two columns added
+    text, lang = names[docs.columns.index("text")], names[docs.columns.index("lang")]
+    found = predict(docs.toDF(*names), model, *names, text=text).where(F.col("lang_pred") != UNKNOWN)
+    return found.withColumn(lang, F.coalesce(lang, "lang_pred")).select(*names).toDF(*docs.columns)
 
 
 def learned_from(doc_id: Column) -> Column:

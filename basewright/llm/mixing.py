@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Workspace
@@ -98,12 +98,16 @@ def targets(sizes: DataFrame, weights: tuple = (1, 2, 3), most: int = MOST) -> D
     return rows.select("source", "source_size", F.least("cap", F.coalesce(F.col("open") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = (1, 2, 3), most: int = MOST, seed: int = SEED, keep: tuple = ()) -> DataFrame:
-    """Per document: size, source_size, target of its source, times it is taken, and words taken. keep: more columns to carry."""
+def lots(docs: DataFrame, seed: int = SEED) -> Column:
+    """The hash of each document by which documents of one length are taken."""
+    return F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"])
+
+
+def mix(docs: DataFrame, weights: tuple = (1, 2, 3), most: int = MOST, seed: int = SEED) -> DataFrame:
+    """Per document: its lot, size, source_size, target of its source, times it is taken, and words taken."""
     work = Workspace(docs.sparkSession, "mix")
     size = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(WORD)).cast("long")
-    lot = F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"])
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), size.alias("size"), lot.alias("lot"), *keep)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), size.alias("size"), lots(docs, seed).alias("lot"))
     rows = work.save(rows, "sizes")
     lengths = work.save(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
     shares = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most)
@@ -140,7 +144,16 @@ def mix(docs: DataFrame, weights: tuple = (1, 2, 3), most: int = MOST, seed: int
     few = F.broadcast(few) if shares.count() <= 10_000 else few
     out = taken.join(few, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
     times = F.when(F.col("size") > 0, F.col("base") + F.col("extra")).otherwise(F.lit(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", times.cast("long").alias("times"), (times * F.col("size")).cast("long").alias("taken"), *keep)
+    return out.select("doc_id", "lot", "source", "size", "source_size", "target", times.cast("long").alias("times"), (times * F.col("size")).cast("long").alias("taken"))
+
+
+def taken(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The mix itself: rows of docs, each as often as it is taken. Rows with equal id and text stand for each other."""
+    times = mix(docs, seed=seed).groupBy("doc_id", "lot").agg(F.sum("times").alias("times")).where(F.col("times") > 0)
+    times = times.select(F.col("doc_id").alias("id_"), F.col("lot").alias("lot_"), F.col("times").alias("times_"))
+    held = docs.join(times, docs["doc_id"].eqNullSafe(F.col("id_")) & (lots(docs, seed) == F.col("lot_")))
+    held = held.dropDuplicates(["id_", "lot_"]).withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_"))))
+    return held.select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

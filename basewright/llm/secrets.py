@@ -127,6 +127,15 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
+def redacted(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Rows of docs, each text without the secrets that the scan of all texts has found."""
+    found = scan_versions(as_versions(docs), ledger, rules).where(F.size("spans") > 0)
+    found = found.select(F.col("blob").alias("blob_"), F.col("spans").alias("spans_")).distinct()
+    held = docs.withColumn("key_", F.sha2("text", 256)).join(found, F.col("key_") == F.col("blob_"), "left")
+    text = redact(F.col("text"), F.coalesce("spans_", no_spans())).alias("text")
+    return held.select(*[text if c == "text" else docs[f"`{c}`"] for c in docs.columns])
+
+
 def as_versions(docs: DataFrame, path: str = "doc_id") -> DataFrame:
     """Documents as versions: an id as path, and the text, null as empty."""
     return docs.select(docs[path].alias("path"), document_text(docs).alias("text"))

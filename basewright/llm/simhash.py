@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, *keep: str, shingle: int = SHINGLE, seed: int
             found = pa.array(np.frombuffer(prints, ">i8").astype(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*keep, "fingerprint"])
 
-    rows = docs.select(*keep, document_text(docs).alias("text"))
+    rows = docs.select(*keep, document_text(docs).alias("_".join(["text", *keep])))  # no column to keep has this name
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "fingerprint long"])
     return rows.mapInArrow(run, schema)
 
@@ -247,6 +247,22 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", radius: int = RA
     return rows.join(found, F.col("fingerprint") == F.col("print_")).select("doc_id", "fingerprint", component.alias("component_id"))
 
 
+def first_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of docs for each component: one with its id. Of rows without an id, whose components have none, one for each fingerprint."""
+    work = Workspace(docs.sparkSession, "simhash-first")
+    rows = work.save(near_duplicates(docs, radius=radius, shingle=shingle), "components")
+    best = rows.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("id_")).distinct()
+    kept = docs.join(best, docs["doc_id"] == F.col("id_")).dropDuplicates(["id_"]).select(*docs.columns)
+    nameless = rows.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).select(F.col("fingerprint").alias("print_")).distinct()
+    if nameless.isEmpty():
+        return kept
+    names = [f"c{k}" for k in range(len(docs.columns))]  # free of clashes with the columns added
+    rest = docs.where(docs["doc_id"].isNull()).toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
+    rest = fingerprints(rest, *names, shingle=shingle).join(nameless, F.col("fingerprint") == F.col("print_"))
+    rest = rest.dropDuplicates(["print_"]).select(*names).toDF(*docs.columns)
+    return kept.union(rest)
+
+
 def fingerprint_hex(column: Column) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
