@@ -9,6 +9,7 @@ goes through the library's whole chain (normaliser, splitter, merges).
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -18,6 +19,8 @@ DEFAULT_FILE = "word_bpe_49k.json"
 END_ID = 2
 
 _PLAIN = re.compile(r"[\x21-\x7EÀ-ÖØ-öø-ÿ]+")
+#: Most words: letters, then signs that stand in no contraction and no special token.
+_SIMPLE = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
@@ -35,12 +38,13 @@ def _byte_letters() -> dict[int, str]:
 class WordCoder:
     """Ids of a text as an unsigned 16 or 32 bit array. At most ``2 * keep`` words are remembered."""
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.letter = "H" if self.dtype.itemsize == 2 else "I"
         self.end = np.array([END_ID], self.dtype).tobytes()
         self.keep, self.young, self.old = keep, {}, {}
         self.pieces: dict[str, bytes] = {}
@@ -51,18 +55,24 @@ class WordCoder:
         ids = self.pieces.get(piece)
         if ids is None:
             found = self.model.tokenize(piece if piece.isascii() else piece.translate(self.latin))
-            ids = np.array([t.id for t in found], self.dtype).tobytes()
+            ids = array(self.letter, [t.id for t in found]).tobytes()
             if len(self.pieces) >= self.keep:
                 self.pieces.clear()
             self.pieces[piece] = ids
         return ids
 
     def _word(self, word: bytes) -> bytes:
+        ids = self.young.get(word)
+        if ids is not None:
+            return ids
         ids = self.old.get(word)
         if ids is None:
             text = word.decode("utf-8", "replace")
-            if _PLAIN.fullmatch(text) and "<|" not in text:
-                ids = b"".join([self._piece(p) for p in _PIECES.findall(text.lower())])
+            low = text.lower()
+            if simple := _SIMPLE.fullmatch(low):
+                ids = self._piece(simple[1]) + self._piece(simple[2]) if simple[2] else self._piece(low)
+            elif _PLAIN.fullmatch(text) and "<|" not in text:
+                ids = b"".join([self._piece(p) for p in _PIECES.findall(low)])
             else:
                 ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         if len(self.young) >= self.keep:
@@ -74,13 +84,9 @@ class WordCoder:
         """Ids of a text in UTF-8 (null: empty), by default with the end id after them."""
         text = text or b""
         words = (text if b"<|" in text else text.lower()).split()
-        known, get = [], self.young.get
-        for w in words:
-            ids = get(w)
-            if ids is None:
-                ids = self._word(w)
-                get = self.young.get
-            known.append(ids)
+        known = list(map(self.young.get, words))
+        if None in known:
+            known = [self._word(w) if ids is None else ids for w, ids in zip(words, known)]
         if end:
             known.append(self.end)
         return np.frombuffer(b"".join(known), self.dtype)
