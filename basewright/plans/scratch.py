@@ -1,0 +1,14 @@
+"""A folder that the driver and all executors share, for tables and files between two steps."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under ``spark.checkpoint.dir``; where the session leaves that unset (one machine), under a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="basewright-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
