@@ -30,11 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def lean_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of fewer rows, as rows hold whole texts; a session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 class Workspace:
     """A fresh folder under the shared one, for one call of an operator."""
 
     def __init__(self, spark: SparkSession, name: str, path: str | None = None):
         self.spark = spark
+        lean_batches(spark)
         self.path = path.rstrip("/") if path else f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import lean_batches
 from .subwords import coder, tokenizer_path
 from .token_files import in_order
 
@@ -137,6 +138,7 @@ NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True, files: int | None = None) -> DataFrame:
     """One row per piece of a document: its place in the document and in its sequence, and its token ids if asked for."""
+    lean_batches(docs.sparkSession)
     path = tokenizer or tokenizer_path()
     names = NAMES if with_ids else NAMES[:-1]
 
