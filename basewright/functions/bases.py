@@ -7,6 +7,10 @@ sequence. Null sequences are empty ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,33 +117,86 @@ def packed_size(n: Column, enc: Column) -> Column:
 
 
 RUN = "struct<start:int,len:int>"
+#: Runs are summed up in slices, as appending to one long array would copy it each time.
+SLICE = 512
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where lambdas refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def case_runs(sequence: Column) -> Column:
     """Maximal runs of lower-case letters as (start, len), from 0."""
-    s = clean(sequence)
-    gap, low = (F.transform(F.regexp_extract_all(s, F.lit("([^a-z]*)([a-z]+)"), F.lit(k)), F.length) for k in (1, 2))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{RUN}>").alias("runs"))
+    empty = F.array().cast(f"array<{RUN}>")
+
+    def in_slice(pairs: Column) -> Column:
+        """Runs from the slice's begin, and its length."""
+        zero = F.struct(F.lit(0).alias("at"), empty.alias("runs"))
+
+        def step(state: Column, x: Column) -> Column:
+            start = state["at"] + x["gap"]
+            run = F.struct(start.alias("start"), x["low"].alias("len"))
+            return F.struct((start + x["low"]).alias("at"), F.concat(state["runs"], F.array(run)).alias("runs"))
+
+        return F.aggregate(pairs, zero, step)
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        return F.struct((start + x["low"]).alias("at"), F.concat(state["runs"], F.array(F.struct(start.alias("start"), x["low"].alias("len")))).alias("runs"))
+    def summed(slices: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("offsets"))
+        offsets = F.aggregate(slices, zero, lambda state, x: F.struct((state["at"] + x["at"]).alias("at"), F.concat(state["offsets"], F.array(state["at"])).alias("offsets")), lambda state: state["offsets"])
+        moved = F.zip_with(slices, offsets, lambda x, o: F.transform(x["runs"], lambda r: F.struct((r["start"] + o).alias("start"), r["len"].alias("len"))))
+        return F.flatten(moved)
 
-    return F.aggregate(F.arrays_zip(gap.alias("gap"), low.alias("low")), zero, step, lambda state: state["runs"])
+    def sliced(pairs: Column) -> Column:
+        begins = F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), F.lit(SLICE))
+        return let(F.transform(begins, lambda k: in_slice(F.slice(pairs, k, F.lit(SLICE)))), summed)
+
+    def measured(s: Column) -> Column:
+        gap, low = (F.transform(F.regexp_extract_all(s, F.lit("([^a-z]*)([a-z]+)"), F.lit(k)), F.length) for k in (1, 2))
+        return let(F.arrays_zip(gap.alias("gap"), low.alias("low")), sliced)
+
+    return let(clean(sequence), measured)
 
 
 def with_case(sequence: Column, runs: Column) -> Column:
-    """Lower-cases each run; ends are cut at the length, and runs may overlap or be null."""
-    s = text(sequence)
-    runs = F.coalesce(runs, F.array().cast(f"array<{RUN}>"))
+    """Lower-cases each run; ends are cut at the length, and runs may overlap or be null.
+
+    Each run is cut out of the sequence by its place; for millions of bases with very many runs use ``with_case_arrow``.
+    """
     lower = lambda x: F.translate(x, codes.UPPER, codes.LOWER)
-    before = F.transform(runs, lambda r, i: F.coalesce(F.get(runs, i - 1)["start"] + F.get(runs, i - 1)["len"], F.lit(0)))
-    parts = F.zip_with(runs, before, lambda r, b: F.concat(F.substring(s, b + 1, r["start"] - b), lower(F.substring(s, r["start"] + 1, r["len"]))))
-    last = F.element_at(runs, -1)
-    joined = F.concat(F.array_join(parts, ""), F.substring(s, last["start"] + last["len"] + 1, F.length(s)))
-    ordered = F.forall(F.zip_with(runs, before, lambda r, b: r["start"] >= b), lambda x: x)
-    one = lambda now, r: F.concat(F.substring(now, F.lit(1), r["start"]), lower(F.substring(now, r["start"] + 1, r["len"])), F.substring(now, r["start"] + r["len"] + 1, F.length(s)))
-    return F.when(F.size(runs) == 0, s).when(ordered, joined).otherwise(F.aggregate(runs, s, one))
+
+    def joined(s: Column, runs: Column) -> Column:
+        before = F.transform(runs, lambda r, i: F.coalesce(F.get(runs, i - 1)["start"] + F.get(runs, i - 1)["len"], F.lit(0)))
+
+        def disjoint(before: Column) -> Column:
+            parts = F.zip_with(runs, before, lambda r, b: F.concat(F.substring(s, b + 1, r["start"] - b), lower(F.substring(s, r["start"] + 1, r["len"]))))
+            last = F.element_at(runs, -1)
+            whole = F.concat(F.array_join(parts, ""), F.substring(s, last["start"] + last["len"] + 1, F.length(s)))
+            ordered = F.forall(F.zip_with(runs, before, lambda r, b: r["start"] >= b), lambda x: x)
+            one = lambda now, r: F.concat(F.substring(now, F.lit(1), r["start"]), lower(F.substring(now, r["start"] + 1, r["len"])), F.substring(now, r["start"] + r["len"] + 1, F.length(s)))
+            return F.when(F.size(runs) == 0, s).when(ordered, whole).otherwise(F.aggregate(runs, s, one))
+
+        return let(before, disjoint)
+
+    runs = F.coalesce(runs, F.array().cast(f"array<{RUN}>"))
+    return let(text(sequence), lambda s: let(runs, lambda r: joined(s, r)))
+
+
+def with_case_arrow(sequence: Column, runs: Column) -> Column:
+    """The same in time that grows with the sequence's length only: an Arrow function on bytes."""
+
+    @F.pandas_udf("string")
+    def mask(sequences: pd.Series, masks: pd.Series) -> pd.Series:
+        out = []
+        for s, found in zip(sequences, masks):
+            data = np.frombuffer((s or "").encode("ascii"), np.uint8).copy()
+            for r in found if found is not None else ():
+                part = data[r["start"] : r["start"] + r["len"]]
+                part[(part >= 65) & (part <= 90)] += 32
+            out.append(data.tobytes().decode())
+        return pd.Series(out, dtype=object)
+
+    return mask(sequence, runs)
 
 
 def type_tag(sequence: Column, nuc: Column) -> Column:

@@ -29,11 +29,14 @@ def runs_bytes(runs: Column) -> Column:
 
 def record_body(description: Column, sequence: Column, nuc: Column, legacy: bool = False) -> Column:
     """The blocks of one record, without their checksum."""
+    return bases.let(F.struct(sequence.alias("s"), bases.encoding(sequence).alias("enc")), lambda x: _body(description, x["s"], nuc, x["enc"], legacy))
+
+
+def _body(description: Column, sequence: Column, nuc: Column, enc: Column, legacy: bool) -> Column:
     described = F.encode(F.coalesce(description, F.lit("")), "UTF-8")
-    enc = bases.encoding(sequence)
     kind = F.when(enc == "2b", codes.BLOCK_TWO_BIT).when(enc == "3b", codes.BLOCK_THREE_BIT).otherwise(codes.BLOCK_FOUR_BIT)
-    runs = bases.case_runs(sequence)
-    masked = F.when((enc == "4b") & bases.clean(sequence).rlike("[a-z]"), block(codes.BLOCK_RUNS, 8 * F.size(runs), runs_bytes(runs))).otherwise(F.unhex(F.lit("")))
+    lower = (enc == "4b") & bases.clean(sequence).rlike("[a-z]")
+    masked = F.when(lower, bases.let(bases.case_runs(sequence), lambda runs: block(codes.BLOCK_RUNS, 8 * F.size(runs), runs_bytes(runs)))).otherwise(F.unhex(F.lit("")))
     parts = [
         block(codes.BLOCK_DESCRIPTION, F.octet_length(described), described),
         block(codes.BLOCK_TYPE, F.lit(1), F.encode(bases.type_tag(sequence, nuc), "UTF-8")),
@@ -47,7 +50,7 @@ def record_body(description: Column, sequence: Column, nuc: Column, legacy: bool
 
 
 def with_checksum(body: Column) -> Column:
-    return F.concat(body, le32(F.crc32(body)))
+    return bases.let(body, lambda b: F.concat(b, le32(F.crc32(b))))
 
 
 def header(count: Column) -> Column:

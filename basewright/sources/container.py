@@ -165,7 +165,8 @@ def write_records(records: DataFrame, folder: str, version: int = 2, legacy: boo
     """
     spark = records.sparkSession
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = record_bytes(records, version, legacy).repartitionByRange(n, "file", "rec_no").sortWithinPartitions("file", "rec_no")
+    # ranges first: finding them reads the rows once more, and that should not pack them
+    rows = record_bytes(records.repartitionByRange(n, "file", "rec_no").sortWithinPartitions("file", "rec_no"), version, legacy)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = fs.FileSystem.from_uri("/" + folder[5:].lstrip("/") if folder.startswith("file:") else folder)

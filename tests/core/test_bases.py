@@ -85,7 +85,15 @@ def test_errors(spark, make, s):
 
 def test_runs_that_overlap_or_pass_the_end(spark):
     df = spark.createDataFrame([("ACGTACGT", [(1, 3), (2, 4)]), ("ACGT", [(2, 9)]), ("ACGT", None), ("", [])], "s string, r array<struct<start:int,len:int>>")
-    assert [r[0] for r in df.select(bases.with_case(F.col("s"), F.col("r"))).collect()] == ["AcgtacGT", "ACgt", "ACGT", ""]
+    for make in (bases.with_case, bases.with_case_arrow):
+        assert [r[0] for r in df.select(make(F.col("s"), F.col("r"))).collect()] == ["AcgtacGT", "ACgt", "ACGT", ""]
+
+
+def test_very_many_runs(spark):
+    s = "aCgg" * 20_000
+    df = spark.createDataFrame([(s,)], "s string").select("s", bases.case_runs(F.col("s")).alias("r"))
+    r = df.select("r", bases.with_case_arrow(F.upper("s"), F.col("r")).alias("back")).first()
+    assert [tuple(x) for x in r.r] == slow_runs(s) and r.back == s
 
 
 def test_predicates(spark):
