@@ -102,28 +102,36 @@ def marker_hits(digits: Column) -> Column:
 
 def legacy_record(description: Column, sequence: Column) -> Column:
     """A legacy record as hexadecimal digits; an error if the code holds a marker three times in a row."""
-    digits, hit = legacy_digits(sequence), marker_hits(legacy_digits(sequence))
-    message = F.format_string("Code holds marker %s three times at bit %d (base %d)", hit["marker"], hit["bit"], F.floor(hit["bit"] / 4))
     kind = F.when(bases.upper(bases.text(sequence)).contains("U"), codes.LEGACY_RNA).otherwise(codes.LEGACY_DNA)
-    code = F.when(hit.isNotNull(), F.raise_error(message).cast("string")).otherwise(digits)
+    code = bases.let(legacy_digits(sequence), lambda digits: bases.let(marker_hits(digits), lambda hit: _guarded(digits, hit)))
     return F.concat(F.hex(F.encode(F.coalesce(description, F.lit("")), "UTF-8")), kind, code, F.lit(codes.LEGACY_END))
 
 
+def _guarded(digits: Column, hit: Column) -> Column:
+    message = F.format_string("Code holds marker %s three times at bit %d (base %d)", hit["marker"], hit["bit"], F.floor(hit["bit"] / 4))
+    return F.when(hit.isNotNull(), F.raise_error(message).cast("string")).otherwise(digits)
+
+
 def legacy_decoded(digits: Column) -> Column:
     """One legacy record by a search at any bit offset, as struct(description, sequence, nuc); an error without markers.
 
     Descriptions are read one letter per byte. The first DNA marker anywhere goes before any RNA marker.
     """
-    bits = hex_to_bits(digits)
     dna, rna, end = (f"{int(m, 16):012b}" for m in (codes.LEGACY_DNA, codes.LEGACY_RNA, codes.LEGACY_END))
-    is_dna = F.instr(bits, dna) > 0
-    at = F.when(is_dna, F.instr(bits, dna)).otherwise(F.instr(bits, rna))
-    before, rest = F.substring(bits, F.lit(1), at - 1), F.substring(bits, at + 12, F.length(bits))
-    stop = F.instr(rest, end)
-    code = F.substring(rest, F.lit(1), stop - 1)
     of = lambda b, n, width: F.array_join(F.transform(F.regexp_extract_all(b, F.lit(f"(.{{1,{n}}})"), F.lit(1)), lambda c: F.lpad(F.conv(c, 2, 16), width, "0")), "")
-    sequence = F.translate(of(code, 4, 1), "0123456789ABCDEF", codes.LEGACY_INVERSE)
-    sequence = F.when(is_dna, sequence).otherwise(F.translate(sequence, "T", "U"))
-    found = F.struct(F.decode(F.unhex(of(before, 8, 2)), "ISO-8859-1").alias("description"), sequence.alias("sequence"), F.when(is_dna, "DNA").otherwise("RNA").alias("nuc"))
     fail = lambda why: F.raise_error(F.lit(why)).cast("struct<description:string,sequence:string,nuc:string>")
-    return F.when(at == 0, fail("No type marker found")).when(stop == 0, fail("No end marker found")).when(F.length(code) % 4 != 0, fail("Code is not whole")).otherwise(found)
+
+    def split(bits: Column) -> Column:
+        is_dna = F.instr(bits, dna) > 0
+        at = F.when(is_dna, F.instr(bits, dna)).otherwise(F.instr(bits, rna))
+        rest = F.substring(bits, at + 12, F.length(bits))
+        return F.struct(is_dna.alias("is_dna"), at.alias("at"), F.substring(bits, F.lit(1), at - 1).alias("before"), rest.alias("rest"), F.instr(rest, end).alias("stop"))
+
+    def read(x: Column) -> Column:
+        code = F.substring(x["rest"], F.lit(1), x["stop"] - 1)
+        sequence = F.translate(of(code, 4, 1), "0123456789ABCDEF", codes.LEGACY_INVERSE)
+        sequence = F.when(x["is_dna"], sequence).otherwise(F.translate(sequence, "T", "U"))
+        found = F.struct(F.decode(F.unhex(of(x["before"], 8, 2)), "ISO-8859-1").alias("description"), sequence.alias("sequence"), F.when(x["is_dna"], "DNA").otherwise("RNA").alias("nuc"))
+        return F.when(x["at"] == 0, fail("No type marker found")).when(x["stop"] == 0, fail("No end marker found")).when(F.length(code) % 4 != 0, fail("Code is not whole")).otherwise(found)
+
+    return bases.let(hex_to_bits(digits), lambda bits: bases.let(split(bits), read))
