@@ -38,7 +38,7 @@ def _byte_letters() -> dict[int, str]:
 class WordCoder:
     """Ids of a text as an unsigned 16 or 32 bit array. At most ``2 * keep`` words are remembered."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
@@ -56,12 +56,13 @@ class WordCoder:
         if ids is None:
             found = self.model.tokenize(piece if piece.isascii() else piece.translate(self.latin))
             ids = array(self.letter, [t.id for t in found]).tobytes()
-            if len(self.pieces) >= self.keep:
+            if len(self.pieces) >= self.keep // 2:
                 self.pieces.clear()
             self.pieces[piece] = ids
         return ids
 
-    def _word(self, word: bytes) -> bytes:
+    def word(self, word: bytes) -> bytes:
+        """Ids of one word, A-Z in lower case unless it holds a special token's mark."""
         ids = self.young.get(word)
         if ids is not None:
             return ids
@@ -69,7 +70,9 @@ class WordCoder:
         if ids is None:
             text = word.decode("utf-8", "replace")
             low = text.lower()
-            if simple := _SIMPLE.fullmatch(low):
+            if word.isalpha():  # ASCII letters
+                ids = self._piece(low)
+            elif simple := _SIMPLE.fullmatch(low):
                 ids = self._piece(simple[1]) + self._piece(simple[2]) if simple[2] else self._piece(low)
             elif _PLAIN.fullmatch(text) and "<|" not in text:
                 ids = b"".join([self._piece(p) for p in _PIECES.findall(low)])
@@ -86,7 +89,7 @@ class WordCoder:
         words = (text if b"<|" in text else text.lower()).split()
         known = list(map(self.young.get, words))
         if None in known:
-            known = [self._word(w) if ids is None else ids for w, ids in zip(words, known)]
+            known = [self.word(w) if ids is None else ids for w, ids in zip(words, known)]
         if end:
             known.append(self.end)
         return np.frombuffer(b"".join(known), self.dtype)
