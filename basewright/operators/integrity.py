@@ -56,30 +56,34 @@ def context(sequence: Column, other: Column, at: Column) -> Column:
     return F.when(at < 0, "").otherwise(F.substring(sequence, start + 1, size))
 
 
+def facts(records: DataFrame) -> DataFrame:
+    """Adds the sequence's hash and length; what needs only these moves no sequences."""
+    return records.withColumns({"sha": F.sha2("sequence", 256), "size": F.length("sequence")})
+
+
 def last_of_each(original: DataFrame) -> DataFrame:
-    """description to its last sequence."""
-    return original.groupBy("description").agg(F.max_by("sequence", "rec_no").alias("original"))
+    """description to its last sequence, with hash and length. Parts that nobody reads are not computed."""
+    last = {"original": "sequence", "original_sha": "sha", "original_size": "size"}
+    return facts(original).groupBy("description").agg(*[F.max_by(c, "rec_no").alias(name) for name, c in last.items()])
 
 
 def compared(original: DataFrame, decoded: DataFrame) -> DataFrame:
-    """Decoded records with the original of the same description (null if none), whether the pair and the sequence are known, and whether it is equal."""
-    hashed = original.select("description", F.sha2("sequence", 256).alias("sha"))
-    known = hashed.groupBy("sha").agg(F.lit(True).alias("known"))
-    pairs = hashed.groupBy("description", "sha").agg(F.lit(True).alias("paired"))
-    rows = decoded.withColumn("sha", F.sha2("sequence", 256))
-    rows = rows.join(last_of_each(original), "description", "left").join(known, "sha", "left").join(pairs, ["description", "sha"], "left")
-    return rows.withColumns({"known": F.coalesce("known", F.lit(False)), "paired": F.coalesce("paired", F.lit(False)), "equal": F.col("sequence").eqNullSafe(F.col("original"))})
+    """Decoded records with the original of the same description (null if none), whether the sequence and the pair are known, and whether it is equal."""
+    known = facts(original).groupBy("sha").agg(F.lit(True).alias("known"))
+    pairs = facts(original).groupBy("description", "sha").agg(F.lit(True).alias("paired"))
+    rows = facts(decoded).join(last_of_each(original), "description", "left").join(known, "sha", "left").join(pairs, ["description", "sha"], "left")
+    return rows.withColumns({"known": F.coalesce("known", F.lit(False)), "paired": F.coalesce("paired", F.lit(False)), "equal": F.col("sha").eqNullSafe(F.col("original_sha"))})
 
 
 def summary(original: DataFrame, decoded: DataFrame) -> DataFrame:
     """One row of five counters and whether any is above zero."""
-    rows, there = compared(original, decoded), F.col("original").isNotNull()
+    rows, there = compared(original, decoded), F.col("original_sha").isNotNull()
     out = rows.agg(
         F.count_if(~F.col("equal")).alias("mismatches"),
         F.count_if(~F.col("known")).alias("not_found"),
         F.count_if(F.col("known") & ~F.col("paired")).alias("pair_mismatches"),
-        F.count_if(there & (F.length("original") != F.length("sequence"))).alias("length_mismatches"),
-        F.count_if(there & (F.sha2("original", 256) != F.col("sha"))).alias("hash_mismatches"),
+        F.count_if(there & (F.col("original_size") != F.col("size"))).alias("length_mismatches"),
+        F.count_if(there & (F.col("original_sha") != F.col("sha"))).alias("hash_mismatches"),
     )
     return out.withColumn("any_issue", F.greatest(*out.columns) > 0)
 

@@ -140,8 +140,7 @@ def sequence_names(spark, sf_dir):
 
 
 def last_of_each(spark, sf_dir):
-    rows = integrity.last_of_each(damaged(spark, sf_dir)[0])
-    return rows.select("description", F.sha2("original", 256).alias("sha"))
+    return integrity.last_of_each(damaged(spark, sf_dir)[0]).select("description", F.col("original_sha").alias("sha"))
 
 
 def sha256_sequences(spark, sf_dir):

@@ -89,3 +89,9 @@ def test_stream_equals_batch(spark, tmp_path):
     encode.encode_stream(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(60)
     assert sorted(map(str, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(str, encode.encoded(df).collect()))
     assert {r.description: r.bad_symbol for r in encode.encoded(df).collect()} == {"a": None, "b": None, "c": "L"}
+
+
+def test_the_summary_moves_no_sequences(spark):
+    df = spark.createDataFrame([(1, "a", "ACGT")], RECORD)
+    plan = integrity.summary(df, df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by(sequence" not in plan
