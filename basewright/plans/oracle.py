@@ -95,7 +95,7 @@ SELECT rec_no, CASE WHEN length(description) > 200 THEN left(description, 200) |
   SELECT doc_id, array_to_string(list_transform(regexp_extract_all({HEX_V1}, '.'), lambda x: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * CAST('0x' || x AS INT) + 1, 4)), '') AS bits FROM d
 )
 SELECT doc_id, CASE WHEN {marker_at('DNA')} > 0 THEN 'DNA' WHEN {marker_at('RNA')} > 0 THEN 'RNA' WHEN {marker_at('NEXT')} > 0 THEN 'NEXT' END AS marker,
-  CAST(CASE WHEN {marker_at('DNA')} > 0 THEN {marker_at('DNA')} - 1 WHEN {marker_at('RNA')} > 0 THEN {marker_at('RNA')} - 1 WHEN {marker_at('NEXT')} > 0 THEN {marker_at('NEXT')} - 1 END AS BIGINT) AS bit FROM b""",
+  CAST(CASE WHEN {marker_at('DNA')} > 0 THEN {marker_at('DNA')} - 1 WHEN {marker_at('RNA')} > 0 THEN {marker_at('RNA')} - 1 WHEN {marker_at('NEXT')} > 0 THEN {marker_at('NEXT')} - 1 ELSE -1 END AS BIGINT) AS bit FROM b""",
     "v2_record_body": f"""WITH {derived()}, {RUN_ROWS}, b AS (
   SELECT doc_id, CAST(count(*) AS BIGINT) AS n, string_agg({le32('start')} || {le32('len')}, '' ORDER BY run_no) AS bytes FROM runs GROUP BY doc_id
 )

@@ -102,7 +102,7 @@ def v1_decode(spark, sf_dir):
 def v1_marker_guard(spark, sf_dir):
     planted = F.when(F.pmod("doc_id", F.lit(3)) == 0, "A N  N  N ").when(F.pmod("doc_id", F.lit(3)) == 1, "N NN NN N").otherwise("")
     rows = documents(spark, sf_dir).select("doc_id", F.concat(kept("ACGTN "), planted).alias("sequence"))
-    return rows.select("doc_id", wire.marker_hits(wire.legacy_digits(seq())).alias("h")).select("doc_id", "h.marker", F.col("h.bit").cast("long").alias("bit"))
+    return rows.select("doc_id", wire.marker_hits(wire.legacy_digits(seq())).alias("h")).select("doc_id", "h.marker", F.coalesce(F.col("h.bit"), F.lit(-1)).cast("long").alias("bit"))
 
 
 def v2_record_body(spark, sf_dir):
