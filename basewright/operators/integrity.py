@@ -100,6 +100,11 @@ def details(original: DataFrame, decoded: DataFrame) -> DataFrame:
     )
 
 
+def first_details(rows: DataFrame, n: int = 10) -> DataFrame:
+    """The report's few details: those of the first records."""
+    return rows.orderBy("index").limit(n)
+
+
 def sequence_names(original: DataFrame) -> DataFrame:
     """Each different sequence, by its hash, with the set of its descriptions as rows (no set is gathered in one value)."""
     return original.select(F.sha2("sequence", 256).alias("sha"), "description").distinct()

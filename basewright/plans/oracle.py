@@ -137,3 +137,4 @@ SELECT CAST(rec_no AS BIGINT) AS index, description,
     "output_names": """SELECT doc_id, 'x.seqs/doc' || doc_id || '.seqs' AS container,
   'x.fasta/doc' || doc_id || '.fasta' || CASE doc_id % 3 WHEN 0 THEN '_pigz.gz' WHEN 1 THEN '_zlib.gz' ELSE '.bz2' END AS compressed FROM documents""",
 }
+SQL["integrity_report"] = SQL["integrity_details"] + " ORDER BY index LIMIT 10"

@@ -135,6 +135,11 @@ def integrity_details(spark, sf_dir):
     return integrity.details(*damaged(spark, sf_dir))
 
 
+def integrity_report(spark, sf_dir):
+    """The first ten details."""
+    return integrity.first_details(integrity_details(spark, sf_dir))
+
+
 def sequence_names(spark, sf_dir):
     return integrity.sequence_names(damaged(spark, sf_dir)[0])
 
@@ -214,7 +219,7 @@ QUERIES = {
     "unpack_roundtrip": unpack_roundtrip, "softmask_runs": softmask_runs, "softmask_apply": softmask_apply,
     "nuc_type": nuc_type, "mixed_tu": mixed_tu, "v1_record_hex": v1_record_hex, "v1_decode": v1_decode,
     "v1_marker_guard": v1_marker_guard, "v2_record_body": v2_record_body, "v2_record_crc": v2_record_crc,
-    "container_size": container_size, "integrity_summary": integrity_summary, "integrity_details": integrity_details,
+    "container_size": container_size, "integrity_summary": integrity_summary, "integrity_details": integrity_details, "integrity_report": integrity_report,
     "sequence_names": sequence_names, "last_of_each": last_of_each, "sha256_sequences": sha256_sequences,
     "total_bp": total_bp, "ncf_by_lang": ncf_by_lang, "edit_text_render": edit_text_render,
     "edit_text_parse": edit_text_parse, "record_violations": record_violations, "fasta_roundtrip": fasta_roundtrip,
