@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,21 +81,24 @@ def legacy_digits(sequence: Column) -> Column:
     return F.translate(s, codes.LEGACY_SYMBOLS, codes.LEGACY_DIGITS)
 
 
-def marker_pattern() -> str:
-    """Matches digits that hold any marker three times in a row, at any of the four bit alignments."""
+def marker_cores() -> list[str]:
+    """Whole digits inside any marker three times in a row, at any of the four bit alignments: no hit is without one of them."""
     found = []
     for marker in (codes.LEGACY_DNA, codes.LEGACY_RNA, codes.LEGACY_END):
         for shift in range(4):
-            bits = "." * shift + f"{int(marker, 16):012b}" * 3
-            bits += "." * (-len(bits) % 4)
-            fits = lambda part: [f"{d:X}" for d in range(16) if all(a in (".", b) for a, b in zip(part, f"{d:04b}"))]
-            found.append("".join(f"[{''.join(fits(bits[k : k + 4]))}]" for k in range(0, len(bits), 4)))
-    return "|".join(found)
+            bits = (f"{int(marker, 16):012b}" * 3)[-shift % 4 :]
+            found.append("".join(f"{int(bits[k : k + 4], 2):X}" for k in range(0, len(bits) - 3, 4)))
+    return found
 
 
 def marker_hits(digits: Column) -> Column:
     """For code digits that hold a marker three times in a row: its name and bit offset, else null."""
-    bits = F.when(digits.rlike(marker_pattern()), hex_to_bits(digits))
+    suspect = reduce(or_, [F.contains(digits, F.lit(core)) for core in marker_cores()])
+    return bases.let(F.when(suspect, hex_to_bits(digits)), first_marker)
+
+
+def first_marker(bits: Column) -> Column:
+    """The marker of a bit string, DNA before RNA before NEXT; null bits hold none."""
     found = F.lit(None).cast("struct<marker:string,bit:int>")
     for name, marker in (("NEXT", codes.LEGACY_END), ("RNA", codes.LEGACY_RNA), ("DNA", codes.LEGACY_DNA)):
         at = F.instr(bits, f"{int(marker, 16):012b}" * 3)
