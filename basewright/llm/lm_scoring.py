@@ -4,8 +4,7 @@
    ``SHARE`` of all tokens are at most ``SHARE`` many, so only these travel to every task.
 2. Subword counts follow from the word counts: each different word is cut into subwords once. Which ids share an
    output class follows from the training windows' counts of neighbours.
-3. The model trains in rounds on every ``EVERY``-th training text by a hash (of small corpora on more of them, up
-   to all), so its part grows with the corpus.
+3. The model trains in rounds on all training texts, whatever the size of the corpus.
    In each round the windows of that round are dealt over tasks of about ``STEPS`` batches, each task trains from
    the shared weights, and the weights' changes are averaged, by levels of ``FAN`` tasks.
 4. One pass scores all texts by the model and takes the common words' counts; only the other words, each rare by
@@ -35,10 +34,8 @@ from .subwords import END_ID, WordCoder, coder, tokenizer_path
 SHARE, LONGEST_COMMON = 1_000_000, 64
 #: Different words that a counting task holds before it hands them on.
 HELD = 400_000
-EVERY, ROUNDS, STEPS, BATCH, FAN, SEED = 24, 8, 120, 96, 32, 5
+ROUNDS, STEPS, BATCH, FAN, SEED = 8, 120, 96, 32, 5
 RATES = (0.02, 0.002)
-#: Training words that are used at least, where there are so many: every text of a small corpus trains the model.
-LEAST_WORDS = 1_000_000
 #: Passes over the windows of a round at most, so that few windows are not learned by heart.
 PASSES = 3
 #: Tokens and rows of a scoring batch.
@@ -88,8 +85,8 @@ def subword_counts(words: DataFrame, path: str) -> np.ndarray:
     return out
 
 
-def training_windows(docs: DataFrame, path: str, shape: attention.Shape, every: int, rounds: int = ROUNDS) -> DataFrame:
-    """round, lot, n, windows (32-bit ids) of every so many-th text."""
+def training_windows(docs: DataFrame, path: str, shape: attention.Shape, rounds: int = ROUNDS) -> DataFrame:
+    """round, lot, n, windows (32-bit ids) of all texts."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, rng = coder(path), np.random.default_rng(TaskContext.get().partitionId())
@@ -105,8 +102,7 @@ def training_windows(docs: DataFrame, path: str, shape: attention.Shape, every:
                     ["round", "lot", "n", "windows"],
                 )
 
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(every)) == 0)
-    return chosen.select(document_text(chosen).alias("text")).mapInArrow(run, "round int, lot int, n long, windows binary")
+    return docs.select(document_text(docs).alias("text")).mapInArrow(run, "round int, lot int, n long, windows binary")
 
 
 def followers(windows: DataFrame, counts: np.ndarray, shape: attention.Shape) -> np.ndarray:
@@ -277,8 +273,7 @@ def score(docs: DataFrame, learn: Column, tokenizer: str | None = None, shape: a
     # at most SHARE rows
     frame = counts.where(often).toPandas()
     common = Common([bytes(w) for w in frame["word"]], np.log10((frame["n"].to_numpy(np.float64) + 0.5) / per))
-    every = max(1, min(EVERY, n // LEAST_WORDS))
-    windows = work.save(training_windows(taught, path, shape, every), "windows")
+    windows = work.save(training_windows(taught, path, shape), "windows")
     ids = subword_counts(counts, path)
     vocabulary = attention.Vocabulary(ids, shape, followers(windows, ids, shape))
     model = train(windows, vocabulary, shape)

@@ -5,9 +5,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from basewright.llm import attention, lm_scoring
-from basewright.llm.subwords import coder, tokenizer_path
+from basewright.llm.subwords import END_ID, coder, tokenizer_path
 
 SHAPE = attention.Shape(width=6, hidden=5, window=8, overlap=3, rows=20, groups=4, members=3, tails=2, contexts=5)
 SCHEMA = "doc_id long, text string, lang string, n long, word int, base string, row int"
@@ -166,3 +167,17 @@ def test_changes_are_summed_over_levels(spark):
     rows = [(np.full(3, k, np.float32).tobytes(),) for k in range(50)]
     total = lm_scoring.averaged(spark.createDataFrame(rows, "change binary").repartition(20), 20, fan=3)
     assert total.tolist() == [1225.0] * 3
+
+
+def test_every_text_trains_a_large_corpus(spark, monkeypatch):
+    rows = [(i, f"x{i} " + "word " * 22_000, "en", 1, 1, "", 1) for i in range(100)]  # more than two million words
+    seen = []
+
+    def untrained(windows, vocabulary, shape):
+        seen.append(windows.agg(F.sum("n")).first()[0])
+        return attention.Model.first(shape, vocabulary, 0)
+
+    monkeypatch.setattr(lm_scoring, "train", untrained)
+    lm_scoring.score(spark.createDataFrame(rows, SCHEMA).repartition(4), F.lit(True))
+    words, window = coder(tokenizer_path()), attention.Shape().window
+    assert seen == [sum(len(attention.cut(words.encode(t.encode()), END_ID, window)) for _, t, *_ in rows)]
