@@ -214,17 +214,18 @@ def chosen(make: Callable[[], np.ndarray], place: np.ndarray) -> np.ndarray:
 
 
 def train(model: Model, windows: np.ndarray, vocabulary: Vocabulary, steps: int, batch: int, rate: tuple[float, float], seed: int) -> np.ndarray:
-    """Adam over batches of windows (rows of window + 1 ids); the rate goes from one value to the other. Returns how often each embedding row was met."""
-    rng, order, at = np.random.default_rng(seed), np.empty(0, np.int64), 0
+    """Adam over even batches of at most so many windows (rows of window + 1 ids), each met once before any is met again.
+
+    The rate goes from one value to the other. Returns how often each embedding row was met.
+    """
+    rng, parts = np.random.default_rng(seed), []
     first = {n: np.zeros_like(getattr(model, n)) for n in model.names}
     second = {n: np.zeros_like(getattr(model, n)) for n in model.names}
     met = np.zeros(model.rows, np.float32)
-    batch = min(batch, len(windows))
     for step in range(steps):
-        if at + batch > len(order):
-            order, at = rng.permutation(len(windows)), 0
-        some = windows[order[at : at + batch]]
-        at += batch
+        if not parts:
+            parts = np.array_split(rng.permutation(len(windows)), -(-len(windows) // batch))
+        some = windows[parts.pop()]
         x, y = vocabulary.row[some[:, :-1]], some[:, 1:].ravel()
         grad, rows = model.gradients(x, vocabulary.cls[y], vocabulary.place[y])
         met += np.bincount(x.ravel(), minlength=model.rows)

@@ -38,6 +38,8 @@ ROUNDS, STEPS, BATCH, FAN, SEED = 8, 120, 96, 32, 5
 RATES = (0.02, 0.002)
 #: Passes over the windows of a round at most, so that few windows are not learned by heart.
 PASSES = 3
+#: Windows in a row of the training table at most, so that a long text is dealt over tasks like many short ones.
+ROW = 256
 #: Tokens and rows of a scoring batch.
 RUN = 1 << 16
 
@@ -95,12 +97,14 @@ def training_windows(docs: DataFrame, path: str, shape: attention.Shape, rounds:
                 ids = [found.encode(t.as_py()) for t in batch.column(0)[k : k + 64].cast(pa.binary())]
                 rows = np.concatenate([attention.cut(i, END_ID, shape.window) for i in ids])
                 deal = rng.permutation(len(rows))
-                parts = [(r, rows[deal[r::rounds]]) for r in range(rounds) if len(deal) > r]
-                yield pa.record_batch(
-                    [pa.array([r for r, _ in parts], pa.int32()), pa.array(rng.integers(0, 1 << 30, len(parts)), pa.int32()),
-                     pa.array([len(w) for _, w in parts], pa.int64()), pa.array([w.astype("<i4").tobytes() for _, w in parts], pa.binary())],
-                    ["round", "lot", "n", "windows"],
-                )
+                parts = [(r, rows[own[j : j + ROW]]) for r in range(rounds) for own in [deal[r::rounds]] for j in range(0, len(own), ROW)]
+                for j in range(0, len(parts), 64):
+                    some = parts[j : j + 64]
+                    yield pa.record_batch(
+                        [pa.array([r for r, _ in some], pa.int32()), pa.array(rng.integers(0, 1 << 30, len(some)), pa.int32()),
+                         pa.array([len(w) for _, w in some], pa.int64()), pa.array([w.astype("<i4").tobytes() for _, w in some], pa.binary())],
+                        ["round", "lot", "n", "windows"],
+                    )
 
     return docs.select(document_text(docs).alias("text")).mapInArrow(run, "round int, lot int, n long, windows binary")
 
@@ -166,7 +170,8 @@ def train(windows: DataFrame, vocabulary: attention.Vocabulary, shape: attention
                 own = attention.Model(shape, words.rows, flat.copy())
                 rows = np.concatenate(held)
                 batch = min(BATCH, -(-len(rows) // 16))
-                steps = min(STEPS, -(-PASSES * len(rows) // batch))
+                once = -(-len(rows) // batch)
+                steps = max(once, min(STEPS, PASSES * once))
                 met = attention.train(own, rows, words, steps, batch, rate, SEED + 1000 * r + TaskContext.get().partitionId())
                 change, weight = own.flat - flat, np.float32(len(rows))
                 own = attention.Model(shape, words.rows, change)

@@ -181,3 +181,27 @@ def test_every_text_trains_a_large_corpus(spark, monkeypatch):
     lm_scoring.score(spark.createDataFrame(rows, SCHEMA).repartition(4), F.lit(True))
     words, window = coder(tokenizer_path()), attention.Shape().window
     assert seen == [sum(len(attention.cut(words.encode(t.encode()), END_ID, window)) for _, t, *_ in rows)]
+
+
+def test_every_window_is_met(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "STEPS", 20)
+    monkeypatch.setattr(lm_scoring, "BATCH", 8)
+    docs = spark.createDataFrame([(1, "some words here " * 60_000, "en", 1, 1, "", 1), (2, "more of them", "en", 1, 1, "", 1)], SCHEMA)
+    path, shape = tokenizer_path(), attention.Shape()
+    rows = lm_scoring.training_windows(docs, path, shape).collect()
+    assert len(rows) > 16 and max(r.n for r in rows) <= 256  # a long text is many rows
+    windows = np.concatenate([np.frombuffer(r.windows, "<i4").reshape(-1, shape.window + 1) for r in rows])
+    vocabulary = attention.Vocabulary(np.bincount(windows.ravel(), minlength=coder(path).size), shape)
+    starts = []
+    monkeypatch.setattr(lm_scoring, "averaged", lambda changes, *_: starts.extend(np.frombuffer(r[0], np.float32) for r in changes.collect()))
+    lm_scoring.train(spark.createDataFrame(rows, "round int, lot int, n long, windows binary"), vocabulary, shape)
+    met = sum(s[-vocabulary.rows - 1 : -1].astype(np.int64) for s in starts)
+    # each round's windows are met once or more, by every id in them
+    assert (met >= np.bincount(vocabulary.row[windows[:, :-1]].ravel(), minlength=vocabulary.rows)).all()
+
+
+def test_an_uneven_last_batch_is_met(monkeypatch):
+    model, vocabulary = small_model(9)
+    windows = np.random.default_rng(9).integers(0, 30, (11, 9))
+    met = attention.train(model, windows, vocabulary, 3, 4, (0.01, 0.001), 1)
+    assert (met == np.bincount(vocabulary.row[windows[:, :-1]].ravel(), minlength=model.rows)).all()
