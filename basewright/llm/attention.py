@@ -18,13 +18,13 @@ import numpy as np
 
 @dataclass(frozen=True)
 class Shape:
-    width: int = 12
-    hidden: int = 16
-    window: int = 20
-    overlap: int = 4
+    width: int = 16
+    hidden: int = 32
+    window: int = 32
+    overlap: int = 8
     rows: int = 8192
-    groups: int = 32
-    members: int = 32
+    groups: int = 64
+    members: int = 24
     tails: int = 8
     contexts: int = 128
 

@@ -205,3 +205,19 @@ def test_an_uneven_last_batch_is_met(monkeypatch):
     windows = np.random.default_rng(9).integers(0, 30, (11, 9))
     met = attention.train(model, windows, vocabulary, 3, 4, (0.01, 0.001), 1)
     assert (met == np.bincount(vocabulary.row[windows[:, :-1]].ravel(), minlength=model.rows)).all()
+
+
+def test_default_model_sees_eight_ids_before():
+    shape = attention.Shape()
+    vocabulary = attention.Vocabulary(np.arange(5000, 0, -1), shape)
+    model = attention.Model.first(shape, vocabulary, 1)
+    scorer = attention.Scorer(model, vocabulary, 2)
+    ids = np.random.default_rng(10).integers(0, 5000, 300)
+    score = lambda x: scorer([np.array(x)])[0]
+    # score of the id at each place, given all ids before it, with and without the eighth id before it changed
+    for at in range(8, 300):
+        changed = ids[: at + 1].copy()
+        changed[at - 8] = (changed[at - 8] + 1) % 5000
+        one = [score(x[: at + 1]) - score(x[:at]) for x in (ids, changed)]
+        assert abs(one[0] - one[1]) > 1e-9, at
+    assert (shape.width, shape.hidden, shape.window) >= (16, 32, 32) and shape.own >= 1024
