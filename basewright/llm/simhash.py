@@ -33,6 +33,8 @@ from .common import Workspace, document_text, partitions
 RADIUS, SHINGLE, SEED, TREE = 3, 3, 42, 8192
 #: Rows of (query, node) that a search holds at once.
 FRONTIER = 1 << 19
+#: Near copies share this part of their distinct shingles of so many words; candidates agree in one of BANDS runs of DEPTH minima.
+JACCARD, WORDS, BANDS, DEPTH = 0.8, 5, 20, 4
 #: Ids of fingerprints that only rows without an id have start here.
 NO_ID = 1 << 62
 
@@ -232,14 +234,74 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, tree: int = TREE) -> DataFrame:
-    """doc_id, fingerprint (number), component_id for every row."""
+def shingle_set(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Hashes of the distinct runs of so many words, in order; a shorter text is one run."""
+    found = text.lower().split()
+    runs = {b" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1))} if found else ()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, seed) for r in runs), np.uint64, len(runs)))
+
+
+def copy_links(docs: DataFrame, classes: DataFrame, work: Workspace, similarity: float = JACCARD) -> DataFrame:
+    """classes: node, fingerprint. Pairs (a, b) of nodes, a above b, that hold texts of at least so similar shingle sets.
+
+    Candidates agree in a run of minima, which misses 3 in 100,000 pairs of just 0.8; each is confirmed by its sets.
+    """
+    rng = np.random.default_rng(SEED)
+    times, plus = (rng.integers(0, 1 << 63, BANDS * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            names, sets, bands = [], [], []
+            for text in batch.column(0).cast(pa.binary()):
+                own = shingle_set(text.as_py())
+                least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, np.uint64)
+                for k in range(0, len(own), 1024):
+                    np.minimum(least, (own[k : k + 1024, None] * times + plus).min(0), out=least)
+                runs = least.reshape(BANDS, DEPTH)
+                sets.append(own.tobytes())
+                names.append(xxhash.xxh64_intdigest(sets[-1]))
+                bands.append([xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(runs)] if len(own) else [])
+            names = pa.array(np.array(names, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(1), names, pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["fingerprint", "name", "held", "bands"])
+
+    def confirmed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            near = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    texts = fingerprints(docs.select(docs["text"].alias("text"), document_text(docs).alias("whole")), "whole")
+    rows = work.save(texts.mapInArrow(run, "fingerprint long, name long, held binary, bands array<long>"), "sets")
+    names = rows.where(F.size("bands") > 0).select("name", "bands").distinct()
+    banded = work.save(names.select("name", F.posexplode("bands").alias("band", "key")), "minima")
+    other = banded.withColumnRenamed("name", "other")
+    pairs = banded.join(other, ["band", "key"]).where(F.col("name") > F.col("other")).select("name", "other").distinct()
+    pairs = work.save(pairs, "candidates")
+    wanted = pairs.select("name").union(pairs.select("other")).distinct()
+    held = work.save(rows.select("name", "held").join(wanted, "name", "left_semi").dropDuplicates(["name"]), "candidate-sets")
+    first = held.select("name", F.col("held").alias("x"))
+    second = held.select(F.col("name").alias("other"), F.col("held").alias("y"))
+    near = pairs.join(first, "name").join(second, "other").select("name", "other", "x", "y").mapInArrow(confirmed, "name long, other long")
+    # equal sets may have several fingerprints; the least node stands for the set
+    nodes = work.save(rows.where(F.size("bands") > 0).select("name", "fingerprint").distinct().join(classes, "fingerprint").select("name", "node"), "set-nodes")
+    least = work.save(nodes.groupBy("name").agg(F.min("node").alias("least")), "set-least")
+    links = near.join(least, "name").join(least.select(F.col("name").alias("other"), F.col("least").alias("more")), "other").select(F.greatest("least", "more").alias("a"), F.least("least", "more").alias("b"))
+    links = links.union(nodes.join(least, "name").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    return links.where(F.col("a") > F.col("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, tree: int = TREE, copies: bool = False) -> DataFrame:
+    """doc_id, fingerprint (number), component_id for every row. copies: links near copies by their shingle sets, too."""
     work = Workspace(docs.sparkSession, "simhash")
     rows = work.save(fingerprints(docs, id_column, shingle=shingle).withColumnRenamed(id_column, "doc_id"), "fingerprints")
     nobody = F.lit(NO_ID) + F.shiftrightunsigned(F.col("fingerprint"), 2)  # prints that share it are linked anyway
     classes = rows.groupBy("fingerprint").agg(F.min("doc_id").cast("long").alias("node"))
     classes = work.save(classes.select("fingerprint", F.coalesce("node", nobody).alias("node")), "classes")
-    links = work.save(star_links(classes, work, radius, tree), "links")
+    links = star_links(classes, work, radius, tree)
+    links = work.save(links.union(copy_links(docs, classes, work)).distinct() if copies else links, "links")
     known = components(links, work).withColumnRenamed("node", "node_")
     found = classes.join(known, F.col("node") == F.col("node_"), "left").select(F.col("fingerprint").alias("print_"), F.coalesce("component", "node").alias("component"))
     found = work.save(found, "components")
@@ -247,10 +309,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", radius: int = RA
     return rows.join(found, F.col("fingerprint") == F.col("print_")).select("doc_id", "fingerprint", component.alias("component_id"))
 
 
-def first_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def first_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, copies: bool = False) -> DataFrame:
     """One row of docs for each component: one with its id. Of rows without an id, whose components have none, one for each fingerprint."""
     work = Workspace(docs.sparkSession, "simhash-first")
-    rows = work.save(near_duplicates(docs, radius=radius, shingle=shingle), "components")
+    rows = work.save(near_duplicates(docs, radius=radius, shingle=shingle, copies=copies), "components")
     best = rows.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("id_")).distinct()
     kept = docs.join(best, docs["doc_id"] == F.col("id_")).dropDuplicates(["id_"]).select(*docs.columns)
     nameless = rows.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).select(F.col("fingerprint").alias("print_")).distinct()

@@ -101,3 +101,15 @@ def test_no_documents(spark, tmp_path):
 def test_run(spark, tmp_path):
     spark.createDataFrame(table(2), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 50
+
+
+def test_near_copies_are_removed(spark):
+    rng, rows = random.Random(5), []
+    for i in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        rows.append((2 * i, " ".join(words)))
+        for k in range(1 + i % 4):  # shingle similarity 0.95 to 0.81
+            words[20 + 40 * k] = f"new{i}x{k}"
+        rows.append((2 * i + 1, " ".join(words)))
+    docs = spark.createDataFrame([(i, t, "aa", "s1", 1, 0, None, 1.5) for i, t in rows], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()) == list(range(0, 60, 2))
