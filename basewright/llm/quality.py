@@ -28,9 +28,9 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 UNIT = 1000
 #: Least standard deviations, in the statistics' units.
-FLOORS = (0.06, 0.1, 0.15, 0.15)
-#: The chi-square quantile of 4 degrees of freedom that one in a million exceeds, and its median.
-CUTOFF, MEDIAN = 33.377, 3.3567
+FLOORS = (0.06, 0.1, 0.1, 0.1)
+#: The chi-square quantile of 4 degrees of freedom that one in a thousand exceeds, and its median.
+CUTOFF, MEDIAN = 18.467, 3.3567
 SUPPORT, LEAST, STEPS = 0.75, 100, 12
 P = len(FLOORS)
 BLANKS = " \t\n\x0b\f\r"

@@ -103,3 +103,13 @@ def test_few_or_no_documents(spark):
     assert quality.assess(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(1, "word " * 10 + " ".join(map(str, range(60))), "en", "a", "", 0)]
     assert [(r.base_failed, r.distance, r.kept) for r in quality.assess(spark.createDataFrame(rows, SCHEMA)).collect()] == [(False, None, True)]
+
+
+def test_half_of_the_lines_repeated_is_rejected(spark):
+    rng = random.Random(3)
+    line = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(10))
+    rows = [(i, "\n".join(line() for _ in range(12)), "en", "a", "", 0) for i in range(300)]
+    rows += [(1000 + i, "".join("ok\n" + line() + "\n" for _ in range(10)) + "ok\nok", "en", "a", "", 0) for i in range(5)]
+    got = quality.assess(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(2 * r.n_dup_lines == 22 and not r.base_failed and not r.kept for r in got if r.doc_id >= 1000)
+    assert all(r.kept for r in got if r.doc_id < 1000)
