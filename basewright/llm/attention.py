@@ -108,6 +108,7 @@ class Model:
             at += n
         self.names = list(sizes)
         self.mask = np.tril(np.ones((shape.window, shape.window), np.float32))
+        self.shade = (self.mask - 1) * 1e4
 
     @classmethod
     def first(cls, shape: Shape, vocabulary: Vocabulary, seed: int) -> Model:
@@ -123,18 +124,24 @@ class Model:
     def hidden(self, x: np.ndarray) -> tuple:
         """x: rows by window of embedding rows. All that the outputs and the gradients need; the last part has a column of ones."""
         d, t = self.shape.width, x.shape[1]
-        e = self.E[x] + self.P[:t]
-        qkv = (e.reshape(-1, d) @ self.A).reshape(len(x), t, 3 * d)
-        q, k, v = qkv[:, :, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
+        e = self.E[x]
+        e += self.P[:t]
+        flat = e.reshape(-1, d)
+        # queries are scaled, so that their products with the keys need no pass of their own
+        q, k, v = ((flat @ (self.A[:, i * d : (i + 1) * d] * scale)).reshape(e.shape) for i, scale in enumerate((np.float32(d**-0.5), np.float32(1), np.float32(1))))
         a = np.matmul(q, k.transpose(0, 2, 1))
-        a *= d**-0.5
-        a += (self.mask[:t, :t] - 1) * 1e4
-        a -= a.max(-1, keepdims=True)
+        large = extreme(a)
+        a += self.shade[:t, :t]
+        if large:
+            a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
+        a /= (a @ np.ones(t, a.dtype))[..., None]
         mix = np.matmul(a, v)
-        h = (e + (mix.reshape(-1, d) @ self.O).reshape(mix.shape)).reshape(-1, d)
-        g = np.maximum(h @ self.H + self.c, 0)
+        h = mix.reshape(-1, d) @ self.O
+        h += flat
+        g = h @ self.H
+        g += self.c
+        np.maximum(g, 0, out=g)
         top = np.ones((len(h), d + 1), h.dtype)
         np.add(h, g @ self.G, out=top[:, :d])
         return e, q, k, v, a, mix, h, g, top
@@ -158,44 +165,65 @@ class Model:
         """Gradients of the mean loss; that of E only for the rows returned."""
         d = self.shape.width
         e, q, k, v, a, mix, h, g, top = self.hidden(x)
-        n = len(top)
+        flat, mixed, n = e.reshape(-1, d), mix.reshape(-1, d), len(top)
         out = shares(top @ self.U)
         out[np.arange(n), cls] -= 1
-        out /= n
+        out *= np.float32(1 / n)
         grad = {"U": top.T @ out, "V": np.zeros_like(self.V)}
-        d_top = out @ self.U.T
-        for c, at in self.members(cls):
-            found = shares(top[at] @ self.V[c])
-            found[np.arange(len(at)), place[at]] -= 1
-            found /= n
-            grad["V"][c] = top[at].T @ found
-            d_top[at] += found @ self.V[c].T
-        d_top = d_top[:, :d]
+        d_top = out @ self.U[:-1].T
+        # places in the order of their classes, so that each class's are one slice
+        order = np.argsort(cls, kind="stable")
+        edges = np.searchsorted(cls[order], np.arange(self.shape.groups + 1)).tolist()
+        order = order[: edges[-1]]
+        inputs, found, back = top[order], np.empty((len(order), self.shape.members), top.dtype), np.empty((len(order), d), top.dtype)
+        parts = [(c, slice(i, j)) for c, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if i < j]
+        for c, at in parts:
+            np.matmul(inputs[at], self.V[c], out=found[at])
+        shares(found)
+        found[np.arange(len(order)), place[order]] -= 1
+        found *= np.float32(1 / n)
+        for c, at in parts:
+            np.matmul(inputs[at].T, found[at], out=grad["V"][c])
+            np.matmul(found[at], self.V[c, :-1].T, out=back[at])
+        d_top[order] += back
         grad["G"] = g.T @ d_top
-        d_g = (d_top @ self.G.T) * (g > 0)
+        d_g = d_top @ self.G.T
+        d_g *= g > 0
         grad["H"], grad["c"] = h.T @ d_g, d_g.sum(0)
-        d_h = d_top + d_g @ self.H.T
-        grad["O"] = mix.reshape(-1, d).T @ d_h
-        d_mix = (d_h @ self.O.T).reshape(mix.shape)
+        d_e = d_g @ self.H.T
+        d_e += d_top
+        grad["O"] = mixed.T @ d_e
+        d_mix = (d_e @ self.O.T).reshape(mix.shape)
         d_a, d_v = np.matmul(d_mix, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), d_mix)
-        d_raw = a * (d_a - (d_a * a).sum(-1, keepdims=True))
-        d_raw *= np.float32(d**-0.5)
-        d_qkv = np.concatenate([np.matmul(d_raw, k), np.matmul(d_raw.transpose(0, 2, 1), q), d_v], -1).reshape(-1, 3 * d)
-        grad["A"] = e.reshape(-1, d).T @ d_qkv
-        d_e = d_h + d_qkv @ self.A.T
+        d_a -= (d_mix * mix).sum(-1, keepdims=True)
+        d_a *= a
+        d_q, d_k = np.matmul(d_a, k), np.matmul(d_a.transpose(0, 2, 1), q)
+        d_q *= np.float32(d**-0.5)
+        changes = [y.reshape(-1, d) for y in (d_q, d_k, d_v)]
+        grad["A"] = np.concatenate([flat.T @ y for y in changes], 1)
+        for i, y in enumerate(changes):
+            d_e += y @ self.A[:, i * d : (i + 1) * d].T
         grad["P"] = np.zeros_like(self.P)
         grad["P"][: x.shape[1]] = d_e.reshape(e.shape).sum(0)
-        rows, where = np.unique(x, return_inverse=True)
-        grad["E"] = np.zeros((len(rows), d), d_e.dtype)
-        np.add.at(grad["E"], where.ravel(), d_e)
-        return grad, rows
+        rows = x.ravel()
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        grad["E"] = np.add.reduceat(d_e[order], first, axis=0)
+        return grad, rows[first]
+
+
+def extreme(x: np.ndarray, most: float = 60) -> bool:
+    """Whether exponentials of the values, or their sums, are out of what float32 holds well."""
+    return bool(len(x)) and not (x.max() < most and x.min() > -most)
 
 
 def shares(out: np.ndarray) -> np.ndarray:
-    """Softmax of each row, in place."""
-    out -= out.max(1, keepdims=True)
+    """Softmax of each row, in place. Rows are shifted only where that is needed."""
+    if extreme(out):
+        out -= out.max(1, keepdims=True)
     np.exp(out, out=out)
-    out /= out.sum(1, keepdims=True)
+    out /= (out @ np.ones(out.shape[1], out.dtype))[:, None]
     return out
 
 

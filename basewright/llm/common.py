@@ -19,10 +19,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is read from ``spark.checkpoint.dir``. Where the session leaves that unset (tests in one JVM) a
-    temporary folder of this machine is used and set.
+    It is read from ``spark.checkpoint.dir``. Where a session in one JVM (tests) leaves that unset, a temporary
+    folder of this machine is used and set; a session on a cluster has to name one.
     """
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="basewright-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -45,10 +47,14 @@ class Workspace:
         lean_batches(spark)
         self.path = path.rstrip("/") if path else f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes a table and reads it back: this cuts the lineage, and a lost executor costs no recomputation."""
+    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Writes a table and reads it back: this cuts the lineage, and a lost executor costs no recomputation.
+
+        by: a column of few values with a folder for each, so that readers of one value read no others.
+        """
         where = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").parquet(where)
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, name: str) -> None:

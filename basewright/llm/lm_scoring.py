@@ -4,14 +4,16 @@
    ``SHARE`` of all tokens are at most ``SHARE`` many, so only these travel to every task.
 2. Subword counts follow from the word counts: each different word is cut into subwords once. Which ids share an
    output class follows from the training windows' counts of neighbours.
-3. The model trains in rounds on all training texts, whatever the size of the corpus.
-   In each round the windows of that round are dealt over tasks of about ``STEPS`` batches, each task trains from
-   the shared weights, and the weights' changes are averaged, by levels of ``FAN`` tasks.
+3. The model trains in rounds on all training texts, whatever the size of the corpus. A hash of id and text
+   gives a text's round and its lot, which deals the round's windows over tasks of about ``STEPS`` batches. Each
+   task trains from the shared weights, and the weights' changes are averaged, by levels of ``FAN`` tasks.
+   Lots are sorted within a task and sums have a fixed order, so how rows lie in partitions, or a task that is
+   run again, changes nothing.
 4. One pass scores all texts by the model and takes the common words' counts; only the other words, each rare by
    the bound, are joined with their counts.
 
 Defined cases: a null text is empty, and an empty text is its end alone; words and end are tokens; null ids
-count as the empty id in the choice of training rows; repeated rows count and each keep a row; without training
+count as the empty id in the choice of training rows; repeated rows count, train together in one task, and each keep a row; without training
 rows all counts are 0 and the model is an untrained one; no rows give an empty result; other columns are ignored.
 """
 
@@ -23,6 +25,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +37,7 @@ from .subwords import END_ID, WordCoder, coder, tokenizer_path
 SHARE, LONGEST_COMMON = 1_000_000, 64
 #: Different words that a counting task holds before it hands them on.
 HELD = 400_000
-ROUNDS, STEPS, BATCH, FAN, SEED = 8, 120, 96, 32, 5
+ROUNDS, STEPS, BATCH, FAN, SEED = 8, 120, 192, 32, 5
 RATES = (0.02, 0.002)
 #: Passes over the windows of a round at most, so that few windows are not learned by heart.
 PASSES = 3
@@ -88,28 +91,35 @@ def subword_counts(words: DataFrame, path: str) -> np.ndarray:
 
 
 def training_windows(docs: DataFrame, path: str, shape: attention.Shape, rounds: int = ROUNDS) -> DataFrame:
-    """round, lot, n, windows (32-bit ids) of all texts."""
+    """round, lot, n, windows (ids as the coder holds them) of all texts."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, rng = coder(path), np.random.default_rng(TaskContext.get().partitionId())
+        found = coder(path)
         for batch in source:
             for k in range(0, batch.num_rows, 64):
-                ids = [found.encode(t.as_py()) for t in batch.column(0)[k : k + 64].cast(pa.binary())]
-                rows = np.concatenate([attention.cut(i, END_ID, shape.window) for i in ids])
-                deal = rng.permutation(len(rows))
-                parts = [(r, rows[own[j : j + ROW]]) for r in range(rounds) for own in [deal[r::rounds]] for j in range(0, len(own), ROW)]
-                for j in range(0, len(parts), 64):
-                    some = parts[j : j + 64]
-                    yield pa.record_batch(
-                        [pa.array([r for r, _ in some], pa.int32()), pa.array(rng.integers(0, 1 << 30, len(some)), pa.int32()),
-                         pa.array([len(w) for _, w in some], pa.int64()), pa.array([w.astype("<i4").tobytes() for _, w in some], pa.binary())],
-                        ["round", "lot", "n", "windows"],
-                    )
-
-    return docs.select(document_text(docs).alias("text")).mapInArrow(run, "round int, lot int, n long, windows binary")
-
-
-def followers(windows: DataFrame, counts: np.ndarray, shape: attention.Shape) -> np.ndarray:
+                lots, parts = [], []
+                for key, text in zip(batch.column(0)[k : k + 64].to_pylist(), batch.column(1)[k : k + 64].cast(pa.binary())):
+                    rows = attention.cut(found.encode(text.as_py()), END_ID, shape.window).astype(found.dtype)
+                    for j in range(0, len(rows), ROW):
+                        # the parts of a long text have rounds and lots of their own
+                        lots.append(key if j == 0 else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), j) - (1 << 63))
+                        parts.append(rows[j : j + ROW])
+                yield pa.record_batch(
+                    [pa.array([x % rounds for x in lots], pa.int32()), pa.array([x // rounds for x in lots], pa.int64()),
+                     pa.array(list(map(len, parts)), pa.int64()), pa.array([w.tobytes() for w in parts], pa.binary())],
+                    ["round", "lot", "n", "windows"],
+                )
+
+    text = document_text(docs)
+    rows = docs.select(F.xxhash64(docs["doc_id"].cast("string"), text).alias("key"), text.alias("text"))
+    return rows.mapInArrow(run, "round int, lot long, n long, windows binary")
+
+
+def read_windows(held: Iterable, path: str, shape: attention.Shape) -> list[np.ndarray]:
+    return [np.frombuffer(w.as_py(), coder(path).dtype).reshape(-1, shape.window + 1) for w in held]
+
+
+def followers(windows: DataFrame, counts: np.ndarray, path: str, shape: attention.Shape) -> np.ndarray:
     """How often each of the most frequent ids follows each of the ``contexts`` most frequent, in all training windows."""
     order = np.argsort(-counts, kind="stable")
     rank = np.empty(len(counts), np.int64)
@@ -117,45 +127,51 @@ def followers(windows: DataFrame, counts: np.ndarray, shape: attention.Shape) ->
     shared = windows.sparkSession.sparkContext.broadcast(rank)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape.own * shape.contexts, np.float32)
+        total = np.zeros(shape.own * shape.contexts)
         for batch in source:
-            for held in batch.column(0):
-                found = shared.value[np.frombuffer(held.as_py(), "<i4").reshape(-1, shape.window + 1)]
+            for k in range(0, batch.num_rows, 1024):
+                found = shared.value[np.concatenate(read_windows(batch.column(0)[k : k + 1024], path, shape))]
                 first, then = found[:, :-1].ravel(), found[:, 1:].ravel()
                 both = (first < shape.contexts) & (then < shape.own)
                 total += np.bincount(then[both] * shape.contexts + first[both], minlength=len(total))
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["change"])
+        seen = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(seen), pa.array(total[seen].astype(np.int64))], ["pair", "n"])
 
-    found = windows.select("windows")
-    total = averaged(found.mapInArrow(run, "change binary").repartition(FAN).mapInArrow(added, "change binary"), FAN)
-    return (np.zeros(shape.own * shape.contexts) if total is None else total).reshape(shape.own, shape.contexts)
+    rows = windows.select("windows").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(shape.own * shape.contexts)
+    total[rows["pair"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)  # at most one row per entry
+    return total.reshape(shape.own, shape.contexts)
 
 
 def added(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for a task: the sum of its rows' numbers."""
-    total = None
+    """One row for each group: the sum of its rows' numbers. Rows of a group follow each other."""
+    group, total = None, None
     for batch in source:
-        for row in batch.column(0):
+        for at, row in zip(batch.column(0).to_pylist(), batch.column(1)):
             one = np.frombuffer(row.as_py(), np.float32)
-            total = one if total is None else total + one
+            if at != group and total is not None:
+                yield pa.record_batch([pa.array([group], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["at", "change"])
+            group, total = at, one if at != group else total + one
     if total is not None:
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["change"])
+        yield pa.record_batch([pa.array([group], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["at", "change"])
 
 
-def averaged(changes: DataFrame, tasks: int, fan: int = FAN) -> np.ndarray | None:
-    """The sum of all rows' numbers; as few tasks as ``fan`` allows add up at each level."""
+def summed(changes: DataFrame, tasks: int, fan: int = FAN) -> np.ndarray | None:
+    """changes: at (a number below tasks), change. The sum of all rows' numbers in the order of their places, by levels of ``fan``."""
     while tasks > fan:
         tasks = -(-tasks // fan)
-        changes = changes.repartition(tasks).mapInArrow(added, "change binary")
-    parts = [np.frombuffer(r[0], np.float32) for r in changes.collect()]  # at most fan rows
+        near = changes.select(F.floor(F.col("at") / fan).cast("int").alias("group"), "at", "change").repartition(tasks, "group").sortWithinPartitions("at")
+        changes = near.select(F.col("group").alias("at"), "change").mapInArrow(added, "at int, change binary")
+    parts = sorted((r["at"], r["change"]) for r in changes.collect())  # at most fan rows
+    parts = [np.frombuffer(x, np.float32) for _, x in parts]
     return sum(parts[1:], parts[0]) if parts else None
 
 
-def train(windows: DataFrame, vocabulary: attention.Vocabulary, shape: attention.Shape, rounds: int = ROUNDS) -> attention.Model:
+def train(windows: DataFrame, vocabulary: attention.Vocabulary, path: str, shape: attention.Shape, rounds: int = ROUNDS) -> attention.Model:
     """windows: as of training_windows, written already."""
     spark = windows.sparkSession
     model = attention.Model.first(shape, vocabulary, SEED)
-    sizes = {r["round"]: r["n"] for r in windows.groupBy("round").agg(F.sum("n").alias("n")).collect()}
+    sizes = {r["round"]: r["n"] for r in windows.groupBy("round").agg(F.sum("n").alias("n")).collect()}  # one row a round
     for r in range(rounds):
         if not sizes.get(r):
             continue
@@ -165,22 +181,22 @@ def train(windows: DataFrame, vocabulary: attention.Vocabulary, shape: attention
 
         def run(source: Iterator[pa.RecordBatch], shared=shared, rate=rate, r=r) -> Iterator[pa.RecordBatch]:
             flat, words = shared.value
-            held = [np.frombuffer(w.as_py(), "<i4").reshape(-1, shape.window + 1) for batch in source for w in batch.column(0)]
+            held = [w for batch in source for w in read_windows(batch.column(0), path, shape)]
             if held:
                 own = attention.Model(shape, words.rows, flat.copy())
-                rows = np.concatenate(held)
+                rows, at = np.concatenate(held), TaskContext.get().partitionId()
                 batch = min(BATCH, -(-len(rows) // 16))
                 once = -(-len(rows) // batch)
                 steps = max(once, min(STEPS, PASSES * once))
-                met = attention.train(own, rows, words, steps, batch, rate, SEED + 1000 * r + TaskContext.get().partitionId())
+                met = attention.train(own, rows, words, steps, batch, rate, SEED + 1000 * r + at)
                 change, weight = own.flat - flat, np.float32(len(rows))
                 own = attention.Model(shape, words.rows, change)
                 own.E[:] *= met[:, None]  # an embedding counts as often as the task has met it
                 change[own.E.size :] *= weight
-                yield pa.record_batch([pa.array([np.concatenate([change, met, [weight]]).astype(np.float32).tobytes()], pa.binary())], ["change"])
+                yield pa.record_batch([pa.array([at], pa.int32()), pa.array([np.concatenate([change, met, [weight]]).astype(np.float32).tobytes()], pa.binary())], ["at", "change"])
 
-        dealt = windows.where(F.col("round") == r).select("windows", "lot").repartition(tasks, "lot").select("windows")
-        total = averaged(dealt.mapInArrow(run, "change binary"), max(tasks, partitions(spark)))
+        dealt = windows.where(F.col("round") == r).select("windows", "lot").repartition(tasks, "lot").sortWithinPartitions("lot").select("windows")
+        total = summed(dealt.mapInArrow(run, "at int, change binary"), max(tasks, partitions(spark)))
         if total is not None:
             n = model.flat.size
             mean = attention.Model(shape, vocabulary.rows, total[:n].copy())
@@ -278,10 +294,11 @@ def score(docs: DataFrame, learn: Column, tokenizer: str | None = None, shape: a
     # at most SHARE rows
     frame = counts.where(often).toPandas()
     common = Common([bytes(w) for w in frame["word"]], np.log10((frame["n"].to_numpy(np.float64) + 0.5) / per))
-    windows = work.save(training_windows(taught, path, shape), "windows")
+    windows = work.save(training_windows(taught, path, shape), "windows", by="round")
     ids = subword_counts(counts, path)
-    vocabulary = attention.Vocabulary(ids, shape, followers(windows, ids, shape))
-    model = train(windows, vocabulary, shape)
+    vocabulary = attention.Vocabulary(ids, shape, followers(windows, ids, path, shape))
+    model = train(windows, vocabulary, path, shape)
+    work.drop("windows")
     scored = work.save(score_texts(docs, model, vocabulary, common, path), "scored")
     rare = scored.select("row", F.explode("rare").alias("word"))
     rare = rare.join(counts.where(~often), "word", "left")

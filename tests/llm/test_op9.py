@@ -164,16 +164,26 @@ def test_nothing_to_learn_from(spark):
 
 
 def test_changes_are_summed_over_levels(spark):
-    rows = [(np.full(3, k, np.float32).tobytes(),) for k in range(50)]
-    total = lm_scoring.averaged(spark.createDataFrame(rows, "change binary").repartition(20), 20, fan=3)
+    rows = [(k, np.full(3, k, np.float32).tobytes()) for k in range(50)]
+    total = lm_scoring.summed(spark.createDataFrame(rows, "at int, change binary").repartition(20), 50, fan=3)
     assert total.tolist() == [1225.0] * 3
 
 
+def test_partitions_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "STEPS", 2)
+    monkeypatch.setattr(lm_scoring, "BATCH", 8)
+    monkeypatch.setattr(lm_scoring, "FAN", 2)
+    docs = spark.createDataFrame(table()[:150], SCHEMA)
+    seen = [lm_scoring.score(docs.repartition(n), lm_scoring.learned_from(docs["doc_id"])).orderBy("doc_id", "n_tokens").collect() for n in (1, 7)]
+    assert len(seen[0]) == 150
+    assert np.allclose(*[[r.score for r in rows] for rows in seen], rtol=1e-4)
+
+
 def test_every_text_trains_a_large_corpus(spark, monkeypatch):
     rows = [(i, f"x{i} " + "word " * 22_000, "en", 1, 1, "", 1) for i in range(100)]  # more than two million words
     seen = []
 
-    def untrained(windows, vocabulary, shape):
+    def untrained(windows, vocabulary, path, shape):
         seen.append(windows.agg(F.sum("n")).first()[0])
         return attention.Model.first(shape, vocabulary, 0)
 
@@ -190,11 +200,11 @@ def test_every_window_is_met(spark, monkeypatch):
     path, shape = tokenizer_path(), attention.Shape()
     rows = lm_scoring.training_windows(docs, path, shape).collect()
     assert len(rows) > 16 and max(r.n for r in rows) <= 256  # a long text is many rows
-    windows = np.concatenate([np.frombuffer(r.windows, "<i4").reshape(-1, shape.window + 1) for r in rows])
+    windows = np.concatenate([np.frombuffer(r.windows, coder(path).dtype).reshape(-1, shape.window + 1) for r in rows])
     vocabulary = attention.Vocabulary(np.bincount(windows.ravel(), minlength=coder(path).size), shape)
     starts = []
-    monkeypatch.setattr(lm_scoring, "averaged", lambda changes, *_: starts.extend(np.frombuffer(r[0], np.float32) for r in changes.collect()))
-    lm_scoring.train(spark.createDataFrame(rows, "round int, lot int, n long, windows binary"), vocabulary, shape)
+    monkeypatch.setattr(lm_scoring, "summed", lambda changes, *_: starts.extend(np.frombuffer(r.change, np.float32) for r in changes.collect()))
+    lm_scoring.train(spark.createDataFrame(rows, "round int, lot long, n long, windows binary"), vocabulary, path, shape)
     met = sum(s[-vocabulary.rows - 1 : -1].astype(np.int64) for s in starts)
     # each round's windows are met once or more, by every id in them
     assert (met >= np.bincount(vocabulary.row[windows[:, :-1]].ravel(), minlength=vocabulary.rows)).all()
