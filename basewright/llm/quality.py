@@ -2,19 +2,22 @@
 
 Each document gets counts from its whole text, and from these four transformed statistics: log of the mean word
 length, log of 1 + 10 * symbols a word, the share of duplicate lines and the share of words in repeated windows,
-as whole thousandths so that sums are exact. For each language and source, the minimum-covariance-determinant
-estimate is found by concentration steps: distances from the current centre and covariance, the ``SUPPORT``
-share of documents with the smallest, their mean and covariance, until the determinant stops falling. Documents
-whose squared Mahalanobis distance is above ``CUTOFF`` are rejected. ``FLOORS`` (a least spread of each
-statistic) are added to the covariance, as most texts have no symbol and no repeated line at all.
-
-Groups below ``LEAST`` documents are pooled by language, and then all together; where that is still too few,
-only the base rules hold. Estimates use documents that pass the base rules. All groups' sums come from one
-aggregation with partial sums in each task, so a hot group is no hot task.
+as whole thousandths so that sums are exact. The minimum-covariance-determinant estimate of each language and
+source is found by concentration steps: distances from the current centre and covariance, the ``SUPPORT`` share
+of documents with the smallest, their mean and covariance, until no determinant falls. The steps begin at three
+fixed estimates (median without spread, median and interquartile ranges, mean and covariance), and of these the
+one that ends at the least determinant is taken. ``FLOORS`` (a least spread of each statistic) are added to the
+covariance, as most texts have no symbol and no repeated line at all.
+
+The same is done for each language, and for all documents. A group of n documents then keeps n parts of its own
+estimate and takes ``PRIOR`` parts of its language's, which in the same way takes from that of all: small groups
+are judged by what is like them, and no size switches to another rule. Documents whose squared Mahalanobis
+distance is above ``CUTOFF`` are rejected. Estimates use documents that pass the base rules; all groups' sums
+come from one aggregation with partial sums in each task, so a hot group is no hot task.
 
 Defined cases: a null text has no words; null languages or sources are groups of their own; repeated rows count
-and each keep a row; texts without words fail the base rules; no rows give an empty result; other columns are
-ignored.
+and each keep a row; texts without words fail the base rules; where no document passes the base rules there is no
+estimate and the base rules decide alone; no rows give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +34,13 @@ UNIT = 1000
 FLOORS = (0.06, 0.1, 0.1, 0.1)
 #: The chi-square quantile of 4 degrees of freedom that one in a thousand exceeds, and its median.
 CUTOFF, MEDIAN = 18.467, 3.3567
-SUPPORT, LEAST, STEPS = 0.75, 100, 12
+SUPPORT, PRIOR, STEPS = 0.75, 20, 12
 P = len(FLOORS)
+X = [f"x{i}" for i in range(P)]
+#: Entries of a covariance, of its lower half.
+HALF = [(i, j) for i in range(P) for j in range(i + 1)]
+#: Groups of each level, from the smallest; the columns that tell them apart.
+LEVELS = {"pair": ["lang", "source"], "lang": ["lang"], "all": []}
 BLANKS = " \t\n\x0b\f\r"
 
 
@@ -44,22 +52,31 @@ def counts(docs: DataFrame, *keep: str) -> DataFrame:
     lines = F.filter(F.split("text_", "\n", -1), lambda s: F.btrim(s, F.lit(BLANKS)) != "")
     rows = rows.withColumn("words_", words).withColumn("lines_", lines)
     n = F.greatest(F.size("words_") - 2, F.lit(0))
-    windows = F.arrays_zip(*[F.slice("words_", k, n).alias(f"w{k}") for k in (1, 2, 3)])
-    named = F.transform(windows, lambda w, i: F.struct(F.concat_ws(" ", w["w1"], w["w2"], w["w3"]).alias("w"), i.alias("at")))
+    word = lambda i, k: F.get("words_", i + k)
+    # the upper bits of a window's hash, and its place: equal windows stand side by side when these are sorted
+    key = lambda w, i: F.shiftleft(F.xxhash64(w, word(i, 1), word(i, 2)), 31).bitwiseOR(i.cast("long"))
     rows = rows.select(
         *keep, F.size("words_").cast("long").alias("n_words"),
         F.char_length(F.translate("text_", BLANKS, "")).cast("long").alias("word_chars"),
         (F.char_length("text_") - F.char_length(F.translate("text_", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size("lines_").cast("long").alias("n_lines"),
         (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long").alias("n_dup_lines"),
-        F.sort_array(named).alias("sorted_"),
+        "words_", F.sort_array(F.transform(F.slice("words_", 1, n), key)).alias("keys_"),
     )
-    same = lambda x, i: F.get("sorted_", i)["w"] == x["w"]
-    twice = F.filter("sorted_", lambda x, i: F.coalesce(F.when(i > 0, same(x, i - 1)), F.lit(False)) | F.coalesce(same(x, i + 1), F.lit(False)))
-    rows = rows.withColumn("at_", F.sort_array(F.transform(twice, lambda x: x["at"])))
+
+    def twice(sorted_: str, of) -> Column:
+        same = lambda x, i: of(F.get(sorted_, i)) == of(x)
+        return F.filter(sorted_, lambda x, i: F.coalesce(F.when(i > 0, same(x, i - 1)), F.lit(False)) | F.coalesce(same(x, i + 1), F.lit(False)))
+
+    # only windows whose hash is found twice are compared as text
+    rows = rows.withColumn("near_", twice("keys_", lambda x: F.shiftright(x, 31)))
+    place = lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    named = F.transform("near_", lambda x: F.struct(F.concat_ws(" ", *[word(place(x), k) for k in range(3)]).alias("w"), place(x).alias("at")))
+    rows = rows.withColumn("sorted_", F.sort_array(named)).drop("keys_", "words_")
+    rows = rows.withColumn("at_", F.sort_array(F.transform(twice("sorted_", lambda x: x["w"]), lambda x: x["at"])))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     covered = F.aggregate("at_", zero, lambda s, p: F.struct((p + 3).alias("end"), (s["n"] + 3 - F.greatest(s["end"] - p, F.lit(0))).alias("n")), lambda s: s["n"])
-    return rows.withColumn("n_repeat_words", covered.cast("long")).drop("sorted_", "at_")
+    return rows.withColumn("n_repeat_words", covered.cast("long")).drop("near_", "sorted_", "at_")
 
 
 def base_failed() -> Column:
@@ -91,80 +108,105 @@ def distance(x: list[str]) -> Column:
 
 def cholesky(params: DataFrame) -> DataFrame:
     """Adds the factor l of the covariance c with the floors on its diagonal, and its log determinant."""
-    for i in range(P):
-        for j in range(i + 1):
-            value = F.col(f"c{i}{j}") + (F.lit((FLOORS[i] * UNIT) ** 2) if i == j else 0)
-            for k in range(j):
-                value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            params = params.withColumn(f"l{i}{j}", F.sqrt(value) if i == j else value / F.col(f"l{j}{j}"))
+    for i, j in HALF:
+        value = F.col(f"c{i}{j}") + (F.lit((FLOORS[i] * UNIT) ** 2) if i == j else 0)
+        for k in range(j):
+            value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        params = params.withColumn(f"l{i}{j}", F.sqrt(value) if i == j else value / F.col(f"l{j}{j}"))
     return params.withColumn("log_det", sum((F.log(f"l{i}{i}") for i in range(1, P)), F.log("l00")))
 
 
-def with_params(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """Rows with their group's estimate; the table is broadcast only while it is small."""
-    return rows.join(F.broadcast(params) if params.count() <= 5_000 else params, "group")
+def hinted(params: DataFrame, few: bool) -> DataFrame:
+    """A table of one row a group, to be broadcast only where it has been counted and is small."""
+    return F.broadcast(params) if few else params
+
+
+def is_small(params: DataFrame, most: int = 5_000) -> bool:
+    return params.count() <= most
+
+
+def moments(keep: Column | None = None) -> list[Column]:
+    """Count, sums and sums of products of the statistics, of the rows to keep."""
+    own = (lambda x: x) if keep is None else (lambda x: F.when(keep, x))
+    sums = [F.sum(own(F.col(x))).alias(f"s{i}") for i, x in enumerate(X)]
+    return [F.count(own(F.lit(1))).alias("n"), *sums, *[F.sum(own(F.col(X[i]) * F.col(X[j]))).alias(f"q{i}{j}") for i, j in HALF]]
+
+
+def mean_and_covariance() -> list[Column]:
+    mean = lambda i: F.col(f"s{i}") / F.col("n")
+    return [*[mean(i).alias(f"m{i}") for i in range(P)], *[(F.col(f"q{i}{j}") / F.col("n") - mean(i) * mean(j)).alias(f"c{i}{j}") for i, j in HALF]]
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """group, start, n, centre and covariance: the three estimates that the steps begin at."""
+    parts = F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])
+    found = rows.groupBy("group").agg(*moments(), *[F.percentile_approx(x, parts, 10_000).alias(f"p{i}") for i, x in enumerate(X)])
+    centre = [F.col(f"p{i}")[1].cast("double").alias(f"m{i}") for i in range(P)]
+    wide = lambda i: ((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349) ** 2
+    nothing = [F.lit(0.0).alias(f"c{i}{j}") for i, j in HALF]
+    ranges = [(wide(i) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in HALF]
+    each = [found.select("group", F.lit(k).alias("start"), "n", *columns) for k, columns in enumerate(([*centre, *nothing], [*centre, *ranges], mean_and_covariance()))]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 def estimate(rows: DataFrame, work: Workspace, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
-    """rows: group, x0 to x3. Centre and factor of each group at the least determinant that the steps reach."""
-    x = [f"x{i}" for i in range(P)]
-    start = rows.groupBy("group").agg(*[F.percentile_approx(c, 0.5, 10_000).cast("double").alias(f"m{i}") for i, c in enumerate(x)])
-    for i in range(P):
-        for j in range(i + 1):
-            start = start.withColumn(f"c{i}{j}", F.lit(0.0))
-    params = work.save(cholesky(start), "estimate-0")
+    """rows: group, x0 to x3. group, n, centre and covariance of each group at the least determinant that the steps reach."""
+    by = ("group", "start")
+    params = work.save(cholesky(starts(rows)), "estimate-0")
+    size = params.where("start = 0").select("group", F.col("n").alias("size"))
+    few = is_small(params)
+    rows = rows.withColumn("start", F.explode(F.array(*[F.lit(k) for k in range(3)])))
     for step in range(1, steps + 1):
-        far = with_params(rows, params).select("group", *x, distance(x).alias("d"))
-        limit = work.save(far.groupBy("group").agg(F.percentile_approx("d", support, 10_000).alias("limit")), f"limit-{step}")
-        near = with_params(far, limit).where(F.col("d") <= F.col("limit"))
-        n = F.count("*")
-        sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(x)] + [F.sum(F.col(x[i]) * F.col(x[j])).alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)]
-        new = near.groupBy("group").agg(n.alias("n"), *sums)
-        mean = [(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)]
-        cov = [(F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)]
-        new = work.save(cholesky(new.select("group", *mean, *cov)), f"estimate-{step}")
-        old = params.select("group", F.col("log_det").alias("old"))
-        moved = new.join(old, "group").agg(F.max(F.abs(F.col("log_det") - F.col("old")))).first()[0]
+        far = rows.join(hinted(params.drop("n"), few), list(by)).select(*by, *X, distance(X).alias("d"))
+        limit = far.groupBy(*by).agg(F.percentile_approx("d", support, 10_000).alias("limit"))
+        new = far.join(hinted(limit, few), list(by)).groupBy(*by).agg(*moments(F.col("d") <= F.col("limit")))
+        new = work.save(cholesky(new.select(*by, "n", *mean_and_covariance())), f"estimate-{step}")
+        moved = new.join(params.select(*by, F.col("log_det").alias("old")), list(by)).agg(F.max(F.abs(F.col("log_det") - F.col("old")))).first()[0]
         params = new
         if moved is None or moved < 1e-9:
             break
-    return params
+    values = [f"m{i}" for i in range(P)] + [f"c{i}{j}" for i, j in HALF]
+    best = params.groupBy("group").agg(F.min_by(F.struct(*values), F.struct("log_det", "start")).alias("best"))
+    return best.join(size, "group").select("group", F.col("size").alias("n"), "best.*")
+
+
+def group_name(level: str) -> Column:
+    """A group's name; nulls are told from all texts."""
+    parts = [F.coalesce(F.concat(F.lit("="), c), F.lit("null")) for c in LEVELS[level]]
+    return F.concat_ws("\x1f", F.lit(level), *parts)
 
 
-def grouped(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """Adds the group of each row: its language and source, or its language, or all, whichever first has enough rows to fit; else null.
+def shrunk(groups: DataFrame, params: DataFrame, few: bool, prior: float = PRIOR) -> DataFrame:
+    """Each language and source with its estimate, ``prior`` parts of which come from its language, and those from all.
 
-    rows: lang, source, fit (whether the row is used to fit).
+    groups: lang, source of every pair. params: group, n, spread, centre and covariance of all levels.
     """
-    used = F.count_if("fit").alias("n")
-    pair = F.concat_ws("\x1f", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null")), F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
-    lang = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null"))
-    sizes = rows.groupBy("lang", "source").agg(used)
-    own = sizes.withColumn("group", F.when(F.col("n") >= least, F.concat(F.lit("pair:"), pair)))
-    small = own.where(F.col("group").isNull()).groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    tables = own.join(small.withColumnRenamed("lang", "lang_"), F.col("lang").eqNullSafe(F.col("lang_")), "left").drop("lang_")
-    tables = tables.withColumn("group", F.when(F.col("group").isNull() & (F.col("n_lang") >= least), F.concat(F.lit("lang:"), lang)).otherwise(F.col("group")))
-    rest = tables.where(F.col("group").isNull()).agg(F.sum("n").alias("n_rest"))
-    tables = tables.join(F.broadcast(rest)).withColumn("group", F.when(F.col("group").isNull() & (F.col("n_rest") >= least), F.lit("all")).otherwise(F.col("group")))
-    return tables.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), "group")
-
-
-def assess(docs: DataFrame, least: int = LEAST, cutoff: float = CUTOFF) -> DataFrame:
+    values = [f"m{i}" for i in range(P)] + [f"c{i}{j}" for i, j in HALF] + ["spread"]
+    out, done = groups, None
+    for level in reversed(LEVELS):
+        own = params.select(F.col("group").alias("group_"), F.col("n").alias("n_"), *[F.col(v).alias(f"{v}_") for v in values])
+        out = out.withColumn("group", group_name(level)).join(hinted(own, few), F.col("group") == F.col("group_"), "left")
+        part = F.col("n_") / (F.col("n_") + prior)
+        mixed = [F.coalesce(F.col(f"{v}_") if done is None else F.col(f"{v}_") * part + F.col(v) * (1 - part), *([] if done is None else [F.col(v)])).alias(v) for v in values]
+        out, done = out.select("lang", "source", *mixed), True
+    return cholesky(out)
+
+
+def assess(docs: DataFrame, cutoff: float = CUTOFF, prior: float = PRIOR) -> DataFrame:
     """doc_id, the counts, base_failed, distance (squared, null without an estimate) and kept of each row."""
     work = Workspace(docs.sparkSession, "quality")
     rows = counts(docs, "doc_id", "lang", "source").withColumn("base_failed", base_failed())
-    rows = work.save(rows.select("*", *statistics(), (~F.col("base_failed")).alias("fit")), "counts")
-    groups = work.save(grouped(rows, least), "groups")
-    few = F.broadcast(groups) if groups.count() <= 5_000 else groups
+    rows = work.save(rows.select("*", *statistics()), "counts")
+    groups = work.save(rows.select("lang", "source").distinct(), "groups")
+    names = F.explode(F.array(*[group_name(level) for level in LEVELS])).alias("group")
+    fit = work.save(rows.where(~F.col("base_failed")).select(names, *X), "fit")
+    params = work.save(estimate(fit, work), "estimate")
+    few = is_small(params) and is_small(groups)
+    spread = fit.join(hinted(cholesky(params), few), "group").groupBy("group").agg(F.greatest(F.lit(1.0), F.percentile_approx(distance(X), 0.5, 10_000) / MEDIAN).alias("spread"))
+    params = work.save(params.join(spread, "group"), "spread")
+    params = work.save(shrunk(groups, params, few, prior).withColumnsRenamed({"lang": "lang_", "source": "source_"}), "shrunk")
     same = F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_"))
-    rows = work.save(rows.join(few, same).drop("lang_", "source_"), "grouped")
-    x = [f"x{i}" for i in range(P)]
-    fit = rows.where(F.col("fit") & F.col("group").isNotNull())
-    params = estimate(fit.select("group", *x), work)
-    spread = with_params(fit, params).groupBy("group").agg(F.greatest(F.lit(1.0), F.percentile_approx(distance(x), 0.5, 10_000) / MEDIAN).alias("spread"))
-    params = work.save(params.join(spread, "group").withColumnRenamed("group", "group_"), "estimate")
-    few = F.broadcast(params) if params.count() <= 5_000 else params
-    out = rows.join(few, F.col("group") == F.col("group_"), "left").withColumn("distance", distance(x) / F.col("spread"))
+    out = rows.join(hinted(params, few), same).withColumn("distance", distance(X) / F.col("spread"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
 
