@@ -95,25 +95,22 @@ def statistics() -> list[Column]:
     return [F.round(x * UNIT).cast("long").alias(f"x{k}") for k, x in enumerate(found)]
 
 
-def distance(x: list[str]) -> Column:
+def distance() -> Column:
     """Squared Mahalanobis distance by forward substitution, from the columns m (centre) and l (Cholesky factor)."""
-    done: list[Column] = []
-    for i in range(P):
-        rest = F.col(x[i]) - F.col(f"m{i}")
-        for j in range(i):
-            rest = rest - F.col(f"l{i}{j}") * done[j]
-        done.append(rest / F.col(f"l{i}{i}"))
-    return sum((y * y for y in done[1:]), done[0] * done[0])
+    done: list[str] = []
+    for i, x in enumerate(X):
+        rest = " - ".join([f"{x} - m{i}", *[f"l{i}{j} * {y}" for j, y in enumerate(done)]])
+        done.append(f"(({rest}) / l{i}{i})")
+    return F.expr(" + ".join(f"{y} * {y}" for y in done))
 
 
 def cholesky(params: DataFrame) -> DataFrame:
     """Adds the factor l of the covariance c with the floors on its diagonal, and its log determinant."""
+    steps = []  # later columns refer to earlier ones
     for i, j in HALF:
-        value = F.col(f"c{i}{j}") + (F.lit((FLOORS[i] * UNIT) ** 2) if i == j else 0)
-        for k in range(j):
-            value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        params = params.withColumn(f"l{i}{j}", F.sqrt(value) if i == j else value / F.col(f"l{j}{j}"))
-    return params.withColumn("log_det", sum((F.log(f"l{i}{i}") for i in range(1, P)), F.log("l00")))
+        value = " - ".join([f"c{i}{j} + {(FLOORS[i] * UNIT) ** 2 if i == j else 0.0}D", *[f"l{i}{k} * l{j}{k}" for k in range(j)]])
+        steps.append(f"sqrt({value}) AS l{i}{j}" if i == j else f"({value}) / l{j}{j} AS l{i}{j}")
+    return params.selectExpr("*", *steps, " + ".join(f"ln(l{i}{i})" for i in range(P)) + " AS log_det")
 
 
 def hinted(params: DataFrame, few: bool) -> DataFrame:
@@ -125,16 +122,14 @@ def is_small(params: DataFrame, most: int = 5_000) -> bool:
     return params.count() <= most
 
 
-def moments(keep: Column | None = None) -> list[Column]:
+def moments(keep: str = "true") -> list[Column]:
     """Count, sums and sums of products of the statistics, of the rows to keep."""
-    own = (lambda x: x) if keep is None else (lambda x: F.when(keep, x))
-    sums = [F.sum(own(F.col(x))).alias(f"s{i}") for i, x in enumerate(X)]
-    return [F.count(own(F.lit(1))).alias("n"), *sums, *[F.sum(own(F.col(X[i]) * F.col(X[j]))).alias(f"q{i}{j}") for i, j in HALF]]
+    sums = [f"sum({x}) FILTER (WHERE {keep}) AS s{i}" for i, x in enumerate(X)] + [f"sum({X[i]} * {X[j]}) FILTER (WHERE {keep}) AS q{i}{j}" for i, j in HALF]
+    return [F.expr(x) for x in (f"count(*) FILTER (WHERE {keep}) AS n", *sums)]
 
 
 def mean_and_covariance() -> list[Column]:
-    mean = lambda i: F.col(f"s{i}") / F.col("n")
-    return [*[mean(i).alias(f"m{i}") for i in range(P)], *[(F.col(f"q{i}{j}") / F.col("n") - mean(i) * mean(j)).alias(f"c{i}{j}") for i, j in HALF]]
+    return [F.expr(x) for x in (*[f"s{i} / n AS m{i}" for i in range(P)], *[f"q{i}{j} / n - s{i} / n * (s{j} / n) AS c{i}{j}" for i, j in HALF])]
 
 
 def starts(rows: DataFrame) -> DataFrame:
@@ -157,9 +152,9 @@ def estimate(rows: DataFrame, work: Workspace, support: float = SUPPORT, steps:
     few = is_small(params)
     rows = rows.withColumn("start", F.explode(F.array(*[F.lit(k) for k in range(3)])))
     for step in range(1, steps + 1):
-        far = rows.join(hinted(params.drop("n"), few), list(by)).select(*by, *X, distance(X).alias("d"))
+        far = rows.join(hinted(params.drop("n"), few), list(by)).select(*by, *X, distance().alias("d"))
         limit = far.groupBy(*by).agg(F.percentile_approx("d", support, 10_000).alias("limit"))
-        new = far.join(hinted(limit, few), list(by)).groupBy(*by).agg(*moments(F.col("d") <= F.col("limit")))
+        new = far.join(hinted(limit, few), list(by)).groupBy(*by).agg(*moments("d <= limit"))
         new = work.save(cholesky(new.select(*by, "n", *mean_and_covariance())), f"estimate-{step}")
         moved = new.join(params.select(*by, F.col("log_det").alias("old")), list(by)).agg(F.max(F.abs(F.col("log_det") - F.col("old")))).first()[0]
         params = new
@@ -202,11 +197,11 @@ def assess(docs: DataFrame, cutoff: float = CUTOFF, prior: float = PRIOR) -> Dat
     fit = work.save(rows.where(~F.col("base_failed")).select(names, *X), "fit")
     params = work.save(estimate(fit, work), "estimate")
     few = is_small(params) and is_small(groups)
-    spread = fit.join(hinted(cholesky(params), few), "group").groupBy("group").agg(F.greatest(F.lit(1.0), F.percentile_approx(distance(X), 0.5, 10_000) / MEDIAN).alias("spread"))
+    spread = fit.join(hinted(cholesky(params), few), "group").groupBy("group").agg(F.greatest(F.lit(1.0), F.percentile_approx(distance(), 0.5, 10_000) / MEDIAN).alias("spread"))
     params = work.save(params.join(spread, "group"), "spread")
     params = work.save(shrunk(groups, params, few, prior).withColumnsRenamed({"lang": "lang_", "source": "source_"}), "shrunk")
     same = F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_"))
-    out = rows.join(hinted(params, few), same).withColumn("distance", distance(X) / F.col("spread"))
+    out = rows.join(hinted(params, few), same).withColumn("distance", distance() / F.col("spread"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
 
