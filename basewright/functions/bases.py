@@ -1,6 +1,6 @@
 """Column functions on sequences: alphabet checks, choice of encoding, packing, case runs and small predicates.
 
-Letters become digits of base 4, 8 or 16 with ``translate``; ``conv`` turns 16 digits at a time into hexadecimal
+These suit queries over many short sequences; files of long ones are packed by ``packing``. Letters become digits of base 4, 8 or 16 with ``translate``; ``conv`` turns 16 digits at a time into hexadecimal
 ones and ``unhex`` into bytes. Everything is a built-in expression. Line feeds and blanks are not part of a
 sequence. Null sequences are empty ones.
 """
@@ -111,6 +111,11 @@ def pack(sequence: Column, enc: Column) -> Column:
     return F.when(enc == "2b", pack_2b(sequence)).when(enc == "3b", pack_3b(sequence)).otherwise(pack_4b(sequence))
 
 
+def unpack(payload: Column, n: Column, enc: Column, nuc: Column, runs: Column) -> Column:
+    """The sequence of a payload of n bases; runs of lower case count for 4b only."""
+    return F.when(enc == "2b", unpack_2b(payload, n, nuc)).when(enc == "3b", unpack_3b(payload, n, nuc)).otherwise(with_case(unpack_4b(payload, n, nuc), runs))
+
+
 def packed_size(n: Column, enc: Column) -> Column:
     """Bytes of a payload of n bases."""
     return F.ceil(n * F.when(enc == "2b", 2).when(enc == "3b", 3).otherwise(4) / 8).cast("long")

@@ -34,6 +34,7 @@ def mixed_records(records: DataFrame) -> DataFrame:
 
 
 def convert_fasta(spark: SparkSession, path: str | list[str], folder: str, version: int = 2) -> Conversion:
+    container.known_version(version)
     records = fasta.read_fasta(spark, path)
     manifest = container.write_records(with_types(records).drop("id"), folder, version)
     decoded = container.read_records(spark, folder)

@@ -1,7 +1,7 @@
 """Round-trip report: decoded records against the originals, by joins and one aggregation.
 
-Frames: ``original`` (rec_no, description, sequence) and ``decoded`` (rec_no, description, sequence). Of originals
-with the same description the last counts. Long sequences are compared by SHA-256 first; equal hashes stand for
+Frames: ``original`` and ``decoded``, both of rec_no, description, sequence and, where rec_no alone does not tell
+records apart, file. Of originals with the same description the last counts. Long sequences are compared by SHA-256 first; equal hashes stand for
 equal texts.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import count_symbol, text
+from ..sources.scratch import scratch
 
 CONTEXT = 20
 
@@ -57,26 +58,35 @@ def context(sequence: Column, other: Column, at: Column) -> Column:
 
 
 def facts(records: DataFrame) -> DataFrame:
-    """Adds the sequence's hash and length; what needs only these moves no sequences."""
-    return records.withColumns({"sha": F.sha2("sequence", 256), "size": F.length("sequence")})
+    """description, place (rec_no, in its file where there is one), hash and length of the sequence."""
+    place = F.struct(*[c for c in ("file", "rec_no") if c in records.columns])
+    return records.select("description", place.alias("place"), F.sha2("sequence", 256).alias("sha"), F.length("sequence").alias("size"))
+
+
+def saved(records: DataFrame, name: str) -> DataFrame:
+    """The facts as a written table: sequences are read and hashed once, and all counters and joins read these few columns."""
+    spark, path, rows = records.sparkSession, scratch(records.sparkSession, name), facts(records)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def last_of_each(original: DataFrame) -> DataFrame:
-    """description to its last sequence, with hash and length. Parts that nobody reads are not computed."""
-    last = {"original": "sequence", "original_sha": "sha", "original_size": "size"}
-    return facts(original).groupBy("description").agg(*[F.max_by(c, "rec_no").alias(name) for name, c in last.items()])
+    """original: facts. description with place, hash and length of its last record."""
+    last = F.max_by(F.struct("place", "sha", "size"), "place")
+    return original.groupBy("description").agg(last.alias("last")).select("description", *[F.col(f"last.{c}").alias(f"original_{c}") for c in ("place", "sha", "size")])
 
 
 def compared(original: DataFrame, decoded: DataFrame) -> DataFrame:
-    """Decoded records with the original of the same description (null if none), whether the sequence and the pair are known, and whether it is equal."""
-    known = facts(original).groupBy("sha").agg(F.lit(True).alias("known"))
-    pairs = facts(original).groupBy("description", "sha").agg(F.lit(True).alias("paired"))
-    rows = facts(decoded).join(last_of_each(original), "description", "left").join(known, "sha", "left").join(pairs, ["description", "sha"], "left")
+    """Facts of decoded records with those of the last original of the description (null if none), whether the sequence and the pair are known, and whether it is equal."""
+    known = original.groupBy("sha").agg(F.lit(True).alias("known"))
+    pairs = original.groupBy("description", "sha").agg(F.lit(True).alias("paired"))
+    rows = decoded.join(last_of_each(original), "description", "left").join(known, "sha", "left").join(pairs, ["description", "sha"], "left")
     return rows.withColumns({"known": F.coalesce("known", F.lit(False)), "paired": F.coalesce("paired", F.lit(False)), "equal": F.col("sha").eqNullSafe(F.col("original_sha"))})
 
 
 def summary(original: DataFrame, decoded: DataFrame) -> DataFrame:
-    """One row of five counters and whether any is above zero."""
+    """One row: five counters of decoded records, originals of whose description none came back, whether any is above zero, and how many records there are."""
+    original, decoded = saved(original, "original-facts"), saved(decoded, "decoded-facts")
     rows, there = compared(original, decoded), F.col("original_sha").isNotNull()
     out = rows.agg(
         F.count_if(~F.col("equal")).alias("mismatches"),
@@ -84,17 +94,25 @@ def summary(original: DataFrame, decoded: DataFrame) -> DataFrame:
         F.count_if(F.col("known") & ~F.col("paired")).alias("pair_mismatches"),
         F.count_if(there & (F.col("original_size") != F.col("size"))).alias("length_mismatches"),
         F.count_if(there & (F.col("original_sha") != F.col("sha"))).alias("hash_mismatches"),
+        F.count("*").alias("decoded"),
     )
-    return out.withColumn("any_issue", F.greatest(*out.columns) > 0)
+    back = decoded.groupBy("description").agg(F.lit(True).alias("back"))
+    lost = original.join(back, "description", "left").agg(F.count_if(F.col("back").isNull()).alias("missing"), F.count("*").alias("originals"))
+    counters = ("mismatches", "not_found", "pair_mismatches", "length_mismatches", "hash_mismatches", "missing")
+    out = out.crossJoin(lost)  # one row each
+    return out.select(*counters, (F.greatest(*counters) > 0).alias("any_issue"), "originals", "decoded")
 
 
 def details(original: DataFrame, decoded: DataFrame) -> DataFrame:
-    """One row per decoded record that differs from the original of its description."""
-    rows = compared(original, decoded).where(~F.col("equal"))
-    a, b = text(F.col("original")), F.col("sequence")
+    """One row per decoded record that differs from the original of its description. Only sequences of these are fetched."""
+    rows = compared(saved(original, "original-facts"), saved(decoded, "decoded-facts")).where(~F.col("equal")).select("description", "place", "original_place")
+    sequence = lambda records: records.select(F.struct(*[c for c in ("file", "rec_no") if c in records.columns]).alias("at"), "sequence")
+    rows = rows.join(sequence(decoded).withColumnsRenamed({"at": "place", "sequence": "decoded"}), "place")
+    rows = rows.join(sequence(original).withColumnsRenamed({"at": "original_place", "sequence": "original"}), "original_place", "left")
+    a, b = text(F.col("original")), F.col("decoded")
     rows = rows.withColumn("at", first_difference(a, b))
     return rows.select(
-        F.col("rec_no").cast("long").alias("index"), "description", mismatch_reason(F.col("original"), b).alias("reason"), F.col("at").alias("first_diff_at"),
+        F.col("place.rec_no").cast("long").alias("index"), "description", mismatch_reason(F.col("original"), b).alias("reason"), F.col("at").alias("first_diff_at"),
         *[count_symbol(s, x).alias(f"{name}_{x}") for name, s in (("orig", a), ("dec", b)) for x in "TU"],
         context(a, b, F.col("at")).alias("ctx_orig"), context(b, b, F.col("at")).alias("ctx_dec"),
     )

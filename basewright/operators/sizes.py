@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import bz2
-import gzip
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bases, wire
+from ..sources.container import record_bytes
 
 ENCODINGS = ("2b", "3b", "4b")
 
@@ -50,30 +51,64 @@ def bases_per_byte(sizes: DataFrame, total_bp: int) -> DataFrame:
     return rows.withColumn("label", bases.bar_label(F.col("size_bytes"), F.col("ncf")))
 
 
-#: What each storage variant does to the bytes of a part. The first gzip is made as by a parallel tool at its usual level.
-COMPRESSORS = {"": lambda b: b, "_pgz": lambda b: gzip.compress(b, 6), "_zlib": lambda b: zlib.compress(b, -1, 31), "_bz2": lambda b: bz2.compress(b, 9)}
+#: What compresses a member of each storage variant. The first gzip is made as by a parallel tool at its usual level.
+COMPRESSORS = {"": None, "_pgz": lambda: zlib.compressobj(6, zlib.DEFLATED, 31), "_zlib": lambda: zlib.compressobj(-1, zlib.DEFLATED, 31), "_bz2": lambda: bz2.BZ2Compressor(9)}
+#: Records of a member.
+MEMBER = 4096
+
+
+def as_fasta(description: Column, sequence: Column, wrap: int = 80) -> Column:
+    lines = F.array_join(F.regexp_extract_all(sequence, F.lit(f"(.{{1,{wrap}}})"), F.lit(1)), "\n")
+    return F.encode(F.concat(F.lit(">"), F.coalesce(description, F.lit("")), F.lit("\n"), lines, F.lit("\n")), "UTF-8")
+
+
+def plain_sizes(records: DataFrame, wrap: int = 80) -> DataFrame:
+    """Bytes of the records as FASTA text and as a container: method, size_bytes."""
+    s, head = F.col("sequence"), F.octet_length(F.coalesce("description", F.lit("")))
+    enc, runs = bases.encoding(s), F.size(F.regexp_extract_all(bases.clean(s), F.lit("[a-z]+"), F.lit(0)))
+    lines = F.length(s) + F.greatest(F.ceil(F.length(s) / wrap), F.lit(1))
+    rows = records.select((head + 2 + lines).cast("long").alias("fasta"), wire.record_size(F.col("description"), bases.n_bases(s), enc, runs).alias("container"))
+    rows = rows.agg(F.coalesce(F.sum("fasta"), F.lit(0)).alias("fasta"), (F.coalesce(F.sum("container"), F.lit(0)) + 12).alias("container"))
+    return rows.unpivot([], ["fasta", "container"], "method", "size_bytes")
 
 
 def variant_sizes(records: DataFrame, wrap: int = 80) -> DataFrame:
     """Bytes of the records as FASTA text and as a container, each plain and compressed in three ways: method, size_bytes.
 
-    records: description, sequence, nuc. Every task compresses its own records as members of one file, which all
-    three formats allow; so sizes are summed and no file is put together anywhere. Sizes of compressed variants
-    depend on how the records lie in tasks.
+    records: rec_no, description, sequence, nuc, and file where there are several. Every ``MEMBER`` records of a file
+    are compressed as a member of their own, which all three formats allow; so sizes are summed, no file is put
+    together anywhere, and they do not depend on how the records lie in tasks.
     """
-    s = F.col("sequence")
-    lines = F.array_join(F.regexp_extract_all(s, F.lit(f"(.{{1,{wrap}}})"), F.lit(1)), "\n")
-    fasta = F.encode(F.concat(F.lit(">"), F.coalesce("description", F.lit("")), F.lit("\n"), lines, F.lit("\n")), "UTF-8")
-    rows = records.select(fasta.alias("fasta"), wire.with_checksum(wire.record_body(F.col("description"), s, F.col("nuc"))).alias("container"))
+    file = [F.col("file")] if "file" in records.columns else [F.lit("").alias("file")]
+    data = record_bytes(F.col("description"), F.col("sequence"), F.col("nuc"))
+    rows = records.select(*file, "rec_no", F.floor(F.col("rec_no") / MEMBER).alias("member"), as_fasta(F.col("description"), F.col("sequence"), wrap).alias("fasta"), data.alias("container"))
+    rows = rows.repartition("file", "member").sortWithinPartitions("file", "rec_no").select(F.concat_ws("|", "file", "member").alias("key"), "fasta", "container")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, now, open_ = Counter(), None, {}
+
+        def close() -> None:
+            for name, coder in open_.items():
+                total[name] += len(coder.flush())
+            open_.clear()
+
         for batch in source:
-            for name, column in zip(("fasta", "container"), batch.columns):
-                part = b"".join(x.as_py() for x in column)
-                sizes = [len(f(part)) if part else 0 for f in COMPRESSORS.values()]
-                yield pa.record_batch([pa.array([name + k for k in COMPRESSORS]), pa.array(sizes, pa.int64())], ["method", "size_bytes"])
+            for key, *parts in zip(*[c.to_pylist() for c in batch.columns]):
+                if key != now:
+                    close()
+                    now = key
+                    open_.update({name + k: make() for name in ("fasta", "container") for k, make in COMPRESSORS.items() if make})
+                for name, part in zip(("fasta", "container"), parts):
+                    total[name] += len(part)
+                    for k in COMPRESSORS:
+                        if k:
+                            total[name + k] += len(open_[name + k].compress(part))
+        close()
+        yield pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["method", "size_bytes"])
+
+    def alone(data: bytes, make) -> int:
+        return len((coder := make()).compress(data) + coder.flush()) if make else len(data)
 
     sizes = rows.mapInArrow(run, "method string, size_bytes long")
-    heads = records.sparkSession.createDataFrame([(f"container{k}", len(f(b"FAST" + bytes(8)))) for k, f in COMPRESSORS.items()], "method string, size_bytes long")
-    empty = records.sparkSession.createDataFrame([(f"fasta{k}", 0) for k in COMPRESSORS], "method string, size_bytes long")
-    return sizes.union(heads).union(empty).groupBy("method").agg(F.sum("size_bytes").alias("size_bytes"))
+    heads = [(f"container{k}", alone(b"FAST" + bytes(8), make)) for k, make in COMPRESSORS.items()] + [(f"fasta{k}", 0) for k in COMPRESSORS]
+    return sizes.union(records.sparkSession.createDataFrame(heads, "method string, size_bytes long")).groupBy("method").agg(F.sum("size_bytes").alias("size_bytes"))

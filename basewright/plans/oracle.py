@@ -17,6 +17,7 @@ BYTES = "CAST(ceil(length(s) * CASE enc WHEN '2b' THEN 2 WHEN '3b' THEN 3 ELSE 4
 #: A sequence as it comes back: one of T and U is kept.
 BACK = "CASE WHEN regexp_matches(s, '[uU]') THEN translate(s, 'Tt', 'Uu') ELSE s END"
 RUNS = "len(regexp_extract_all(s, '[a-z]+'))"
+RECORD_BYTES = f"(20 + octet_length(encode(description)) + {BYTES} + CASE WHEN enc = '4b' AND {RUNS} > 0 THEN 5 + 8 * {RUNS} ELSE 0 END)"
 
 
 def derived(sequence: str = MIXED) -> str:
@@ -29,11 +30,14 @@ def pairs(digits: str, each: int, value: str, width: int, fill: int) -> str:
 
 
 def value(base: int, n: int) -> str:
-    return " + ".join(f"{base ** (n - 1 - k)} * CAST(x[{k + 1}] AS INT)" for k in range(n))
+    # no number where the digits are of another encoding, which the caller leaves out
+    return " + ".join(f"{base ** (n - 1 - k)} * TRY_CAST(x[{k + 1}] AS INT)" for k in range(n))
 
 
-HEX_2B = f"left({pairs(chr(39).join(['translate(s, ', 'TUCAG', ', ', '00123', ')']), 4, value(4, 4), 2, 4)}, 2 * CAST(ceil(length(s) / 4.0) AS INT))"
-HEX_3B = f"left({pairs(chr(39).join(['translate(s, ', 'TUCAGtucag', ', ', '0012344567', ')']), 4, value(8, 4), 3, 8)}, 2 * CAST(ceil(3 * length(s) / 8.0) AS INT))"
+DIGITS_2B = "translate(s, 'TUCAG', '00123')"
+DIGITS_3B = "translate(s, 'TUCAGtucag', '0012344567')"
+HEX_2B = f"left({pairs(DIGITS_2B, 4, value(4, 4), 2, 4)}, 2 * CAST(ceil(length(s) / 4.0) AS INT))"
+HEX_3B = f"left({pairs(DIGITS_3B, 4, value(8, 4), 3, 8)}, 2 * CAST(ceil(3 * length(s) / 8.0) AS INT))"
 HEX_4B = "translate(upper(s), 'UTACGRYKMSWBDHVN-', '44821965A3C7DEBF0') || CASE WHEN length(s) % 2 = 1 THEN '0' ELSE '' END"
 HEX_V1 = "translate(upper(s), 'UTACGRYKMSWBDHVN ', '44821965A3C7DEBF0')"
 
@@ -101,14 +105,15 @@ SELECT doc_id, CASE WHEN {marker_at('DNA')} > 0 THEN 'DNA' WHEN {marker_at('RNA'
 )
 SELECT doc_id, '01' || {le32('octet_length(encode(description))')} || hex(encode(description)) || '02' || {le32('1')} || CASE nuc WHEN 'RNA' THEN '52' ELSE '44' END
   || CASE enc WHEN '2b' THEN '06' WHEN '3b' THEN '07' ELSE '03' END || {le32('length(s)')}
-  || CASE enc WHEN '2b' THEN {HEX_2B} WHEN '3b' THEN {HEX_3B.replace("CAST(x", "TRY_CAST(x")} ELSE {HEX_4B} END
-  || CASE WHEN enc = '4b' AND n > 0 THEN '05' || {le32('8 * n')} || bytes ELSE '' END AS body FROM e LEFT JOIN b USING (doc_id)""".replace("CAST(x[", "TRY_CAST(x[").replace("TRY_TRY_", "TRY_"),
+  || CASE enc WHEN '2b' THEN {HEX_2B} WHEN '3b' THEN {HEX_3B} ELSE {HEX_4B} END
+  || CASE WHEN enc = '4b' AND n > 0 THEN '05' || {le32('8 * n')} || bytes ELSE '' END AS body FROM e LEFT JOIN b USING (doc_id)""",
     "container_size": f"""WITH {derived()} SELECT count(*) AS records, CAST(coalesce(sum(length(s)), 0) AS BIGINT) AS total_bp,
-  CAST(12 + coalesce(sum(20 + octet_length(encode(description)) + {BYTES} + CASE WHEN enc = '4b' AND {RUNS} > 0 THEN 5 + 8 * {RUNS} ELSE 0 END), 0) AS BIGINT) AS container_bytes FROM e""",
+  CAST(12 + coalesce(sum({RECORD_BYTES}), 0) AS BIGINT) AS container_bytes FROM e""",
     "integrity_summary": f"""WITH {DAMAGED}, n AS (
   SELECT count(*) FILTER (s IS DISTINCT FROM o) AS mismatches, count(*) FILTER (NOT known) AS not_found, count(*) FILTER (known AND NOT paired) AS pair_mismatches,
-    count(*) FILTER (o IS NOT NULL AND length(o) <> length(s)) AS length_mismatches, count(*) FILTER (o IS NOT NULL AND sha256(o) <> sha256(s)) AS hash_mismatches FROM c
-) SELECT *, greatest(mismatches, not_found, pair_mismatches, length_mismatches, hash_mismatches) > 0 AS any_issue FROM n""",
+    count(*) FILTER (o IS NOT NULL AND length(o) <> length(s)) AS length_mismatches, count(*) FILTER (o IS NOT NULL AND sha256(o) <> sha256(s)) AS hash_mismatches,
+    (SELECT count(*) FROM d WHERE description NOT IN (SELECT description FROM f)) AS missing, (SELECT count(*) FROM d) AS originals, count(*) AS decoded FROM c
+) SELECT *, greatest(mismatches, not_found, pair_mismatches, length_mismatches, hash_mismatches, missing) > 0 AS any_issue FROM n""",
     "integrity_details": f"""WITH {DAMAGED}, x AS (
   SELECT *, coalesce(o, '') AS a, coalesce(list_position(list_transform(list_zip(string_split(coalesce(o, ''), ''), string_split(s, '')), lambda z: z[1] IS DISTINCT FROM z[2]), true), 0) - 1 AS i
   FROM c WHERE s IS DISTINCT FROM o
@@ -125,7 +130,7 @@ SELECT CAST(rec_no AS BIGINT) AS index, description,
     "sha256_sequences": f"SELECT doc_id, sha256({kept(THREE)}) AS sha FROM documents",
     "total_bp": f"WITH {derived()} SELECT CAST(coalesce(sum(length(s)), 0) AS BIGINT) AS total_bp FROM d",
     "ncf_by_lang": f"""WITH {derived()} SELECT coalesce(lang, 'none') AS lang, CAST(sum(length(s)) AS BIGINT) AS total_bp, CAST(sum({BYTES}) AS BIGINT) AS packed_bytes,
-  CAST(sum(length(s)) AS DOUBLE) / nullif(CAST(sum({BYTES}) AS DOUBLE), 0) AS bases_per_byte FROM e GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY coalesce(lang, 'none')"),
+  CAST(sum(length(s)) AS DOUBLE) / nullif(CAST(sum({BYTES}) AS DOUBLE), 0) AS bases_per_byte FROM e GROUP BY coalesce(lang, 'none')""",
     "edit_text_render": f"""WITH {derived()} SELECT doc_id, '>' || description || ' | NUC=' || nuc || ' | ENC=' || enc || CASE WHEN s = '' THEN '' ELSE chr(10) || array_to_string(regexp_extract_all(s, '.{{1,80}}'), chr(10)) END AS rendered FROM e""",
     "edit_text_parse": f"WITH {derived()} SELECT doc_id, CAST(1 AS BIGINT) AS rec_no, description, s AS sequence, nuc AS nuc_hint, CASE WHEN s = '' THEN 'Record has no sequence' END AS problem FROM e",
     "record_violations": f"""WITH {derived(kept('QZ-'))} SELECT doc_id AS rec_no, CASE WHEN s = '' THEN 'empty sequence' ELSE 'unknown type' END AS reason FROM d WHERE s = '' OR doc_id % 13 = 0""",
@@ -133,8 +138,32 @@ SELECT CAST(rec_no AS BIGINT) AS index, description,
     "container_roundtrip": f"WITH {derived()} SELECT description, {BACK} AS sequence, nuc FROM e",
     "legacy_roundtrip": f"""WITH {derived(kept(LEGACY))} SELECT description, CASE WHEN contains(upper(s), 'U') THEN replace(upper(s), 'T', 'U') ELSE upper(s) END AS sequence,
   CASE WHEN contains(upper(s), 'U') THEN 'RNA' ELSE 'DNA' END AS nuc FROM d""",
-    "convert_and_verify": "SELECT CAST(0 AS BIGINT) AS mismatches, CAST(0 AS BIGINT) AS not_found, CAST(0 AS BIGINT) AS pair_mismatches, CAST(0 AS BIGINT) AS length_mismatches, CAST(0 AS BIGINT) AS hash_mismatches, false AS any_issue",
+    "convert_and_verify": f"""WITH {derived(kept(FOUR))}, b AS (SELECT description, s, {BACK} AS t FROM e), n AS (
+  SELECT count(*) FILTER (t <> s) AS mismatches, count(*) FILTER (t NOT IN (SELECT s FROM d)) AS not_found, count(*) FILTER (t <> s AND t IN (SELECT s FROM d)) AS pair_mismatches,
+    count(*) FILTER (length(t) <> length(s)) AS length_mismatches, count(*) FILTER (sha256(t) <> sha256(s)) AS hash_mismatches,
+    (SELECT count(*) FROM d WHERE description NOT IN (SELECT description FROM b)) AS missing, (SELECT count(*) FROM documents) AS originals, count(*) AS decoded, count(*) AS written,
+    count(*) FILTER (contains(upper(s), 'T') AND contains(upper(s), 'U')) AS mixed FROM b
+) SELECT *, greatest(mismatches, not_found, pair_mismatches, length_mismatches, hash_mismatches, missing) > 0 AS any_issue FROM n""",
+    "edit_text_roundtrip": f"WITH {derived()} SELECT description, s AS sequence, nuc, CASE WHEN s = '' THEN 'Record has no sequence' END AS problem FROM e",
+    "save_roundtrip": f"WITH {derived()} SELECT description, {BACK} AS sequence, nuc FROM e WHERE s <> ''",
+    "compressed_roundtrip": f"WITH {derived()} SELECT description, s AS sequence FROM d",
+    "encoded_stream": f"""WITH {derived()} SELECT description, enc, CAST(NULL AS VARCHAR) AS bad_symbol, CAST(length(s) AS BIGINT) AS n_bases, CAST({RECORD_BYTES} AS BIGINT) AS record_bytes FROM e""",
+    "file_sizes": f"""WITH {derived()}, n AS (SELECT CAST(12 + sum({RECORD_BYTES}) AS BIGINT) AS n FROM e) SELECT n AS size_bytes, n AS written FROM n""",
+    "plain_sizes": f"""WITH {derived()}, n AS (
+  SELECT CAST(coalesce(sum(octet_length(encode(description)) + 2 + length(s) + greatest(ceil(length(s) / 80.0), 1)), 0) AS BIGINT) AS fasta, CAST(12 + coalesce(sum({RECORD_BYTES}), 0) AS BIGINT) AS container, sum(length(s)) AS total FROM e
+), m AS (SELECT 'fasta' AS method, fasta AS size_bytes, total FROM n UNION ALL SELECT 'container', container, total FROM n), r AS (SELECT method, size_bytes, round_even(total / size_bytes, 2) AS ncf FROM m)
+SELECT method, size_bytes, ncf, format('{{:,}}', size_bytes) || ' B<br>NCF: ' || printf('%.2f', ncf) AS label FROM r""",
+    "v1_decode_types": f"""WITH d AS (SELECT doc_id, {NAME} AS description, upper(CASE doc_id % 2 WHEN 0 THEN {kept('ACGTNRacgtnr')} ELSE {kept('ACGUNRacgunr')} END) AS s FROM documents)
+SELECT doc_id, description, s AS sequence, CASE WHEN contains(s, 'U') THEN 'RNA' ELSE 'DNA' END AS nuc FROM d""",
+    "shortened": f"""WITH d AS (SELECT doc_id, repeat({NAME}, CAST(doc_id % 60 AS INT)) AS s FROM documents)
+SELECT doc_id, CASE WHEN length(s) > 200 THEN left(s, 200) || '…' ELSE s END AS description FROM d""",
     "output_names": """SELECT doc_id, 'x.seqs/doc' || doc_id || '.seqs' AS container,
   'x.fasta/doc' || doc_id || '.fasta' || CASE doc_id % 3 WHEN 0 THEN '_pigz.gz' WHEN 1 THEN '_zlib.gz' ELSE '.bz2' END AS compressed FROM documents""",
 }
 SQL["integrity_report"] = SQL["integrity_details"] + " ORDER BY index LIMIT 10"
+#: The checksum's table, by its rule from the reversed polynomial.
+CRC_TABLE = "SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n)"
+SQL["v2_record_crc"] = f"""WITH body AS ({SQL["v2_record_body"]}), crc_table AS ({CRC_TABLE}), bytes AS (
+  SELECT doc_id, t, [4294967295] || list_transform(regexp_extract_all(body, '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM body, crc_table
+)
+SELECT doc_id, xor(list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS crc, CAST(len(b) - 1 + 4 AS BIGINT) AS record_bytes FROM bytes"""

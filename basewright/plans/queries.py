@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import bases, wire
 from ..operators import convert, integrity, sizes
 from ..sources import compressed, container, edit_text, fasta
-from .scratch import scratch
+from ..sources.scratch import scratch
+from ..streaming import encode
 
 TWO, THREE, FOUR = "ACGT", "ACGTUacgtu", "ACGTURYSWKMBDHVNacgturyswkmbdhvn-"
 LEGACY = "ACGTURYSWKMBDHVNacgturyswkmbdhvn"
@@ -64,7 +65,7 @@ def packed(letters: str, pack):
 def unpack_roundtrip(spark, sf_dir):
     rows = records(spark, sf_dir).withColumn("enc", bases.encoding(seq()))
     rows = rows.select("doc_id", "enc", bases.pack(seq(), F.col("enc")).alias("payload"), bases.n_bases(seq()).alias("n_bases"), F.when(F.col("enc") == "4b", bases.case_runs(seq())).alias("runs"), bases.type_tag(seq(), F.col("nuc")).alias("tag"))
-    return container.unpacked(rows.withColumns({"file": F.lit(""), "rec_no": F.col("doc_id"), "description": F.col("enc")})).select(F.col("rec_no").alias("doc_id"), F.col("description").alias("enc"), "sequence")
+    return rows.select("doc_id", "enc", bases.unpack(F.col("payload"), F.col("n_bases"), F.col("enc"), F.col("tag"), F.col("runs")).alias("sequence"))
 
 
 def softmask_runs(spark, sf_dir):
@@ -85,7 +86,9 @@ def nuc_type(spark, sf_dir):
 
 def mixed_tu(spark, sf_dir):
     """The report of the first ten records that mix T and U, with how many there are."""
-    rows = convert.mixed_records(records(spark, sf_dir, kept(FOUR)))
+    path = scratch(spark, "mixed")
+    convert.mixed_records(records(spark, sf_dir, kept(FOUR))).write.parquet(path)  # sequences are read once
+    rows = spark.read.schema("file string, rec_no long, description string").parquet(path)
     first = rows.orderBy("rec_no").limit(10)
     return first.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n_mixed")))).select("rec_no", "description", "n_mixed")  # one row
 
@@ -99,6 +102,16 @@ def v1_decode(spark, sf_dir):
     return rows.select("doc_id", wire.legacy_decoded(wire.legacy_record(F.col("description"), seq())).alias("r")).select("doc_id", "r.*")
 
 
+def v1_decode_types(spark, sf_dir):
+    """DNA and RNA with degenerate codes; records end at any half byte."""
+    rows = records(spark, sf_dir, F.when(F.pmod("doc_id", F.lit(2)) == 0, kept("ACGTNRacgtnr")).otherwise(kept("ACGUNRacgunr")))
+    return rows.select("doc_id", wire.legacy_decoded(wire.legacy_record(F.col("description"), seq())).alias("r")).select("doc_id", "r.*")
+
+
+def shortened(spark, sf_dir):
+    return records(spark, sf_dir).select("doc_id", bases.shortened(F.repeat(F.col("description"), F.pmod("doc_id", F.lit(60)).cast("int"))).alias("description"))
+
+
 def v1_marker_guard(spark, sf_dir):
     planted = F.when(F.pmod("doc_id", F.lit(3)) == 0, "A N  N  N ").when(F.pmod("doc_id", F.lit(3)) == 1, "N NN NN N").otherwise("")
     rows = documents(spark, sf_dir).select("doc_id", F.concat(kept("ACGTN "), planted).alias("sequence"))
@@ -110,8 +123,9 @@ def v2_record_body(spark, sf_dir):
 
 
 def v2_record_crc(spark, sf_dir):
+    facts = lambda body: F.struct(F.crc32(body).alias("crc"), (F.octet_length(body) + 4).cast("long").alias("record_bytes"))
     body = wire.record_body(F.col("description"), seq(), F.col("nuc"))
-    return records(spark, sf_dir).select("doc_id", F.crc32(body).alias("crc"), F.octet_length(wire.with_checksum(body)).cast("long").alias("record_bytes"))
+    return records(spark, sf_dir).select("doc_id", bases.let(body, facts).alias("f")).select("doc_id", "f.*")
 
 
 def container_size(spark, sf_dir):
@@ -145,7 +159,7 @@ def sequence_names(spark, sf_dir):
 
 
 def last_of_each(spark, sf_dir):
-    return integrity.last_of_each(damaged(spark, sf_dir)[0]).select("description", F.col("original_sha").alias("sha"))
+    return integrity.last_of_each(integrity.facts(damaged(spark, sf_dir)[0])).select("description", F.col("original_sha").alias("sha"))
 
 
 def sha256_sequences(spark, sf_dir):
@@ -196,9 +210,51 @@ def legacy_roundtrip(spark, sf_dir):
 
 
 def convert_and_verify(spark, sf_dir):
+    """Records that mix T and U lose one of them; the report has to say so, and all records have to come back."""
     path = scratch(spark, "convert")
-    fasta.write_fasta(records(spark, sf_dir, kept("ACGTacgtNn")), f"{path}/in")
-    return convert.convert_fasta(spark, f"{path}/in", f"{path}/out").summary
+    fasta.write_fasta(records(spark, sf_dir, kept(FOUR)), f"{path}/in")
+    done = convert.convert_fasta(spark, f"{path}/in", f"{path}/out")
+    written = done.manifest.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("written"))
+    return done.summary.crossJoin(written).withColumn("mixed", F.lit(done.mixed).cast("long"))  # one row each
+
+
+def edit_text_roundtrip(spark, sf_dir):
+    path = scratch(spark, "edit-text")
+    edit_text.write_edit_text(records(spark, sf_dir), path)
+    return edit_text.read_edit_text(spark, path, mode="PERMISSIVE").select("description", "sequence", "nuc", "problem")
+
+
+def save_roundtrip(spark, sf_dir):
+    """Two saves to one folder: the second replaces the first."""
+    path, rows = scratch(spark, "save"), records(spark, sf_dir).where(seq() != "")
+    edit_text.save(rows.where("doc_id % 2 = 0"), path)
+    return edit_text.save(rows, path).select("description", "sequence", "nuc")
+
+
+def compressed_roundtrip(spark, sf_dir):
+    path = scratch(spark, "compressed")
+    fasta.write_fasta(records(spark, sf_dir), f"{path}/in")
+    for method, before, after in (("pigz", "in", "gz"), ("bz2", "gz", "bz")):
+        compressed.compress_files(spark, f"{path}/{before}", f"{path}/{after}", method, threads=2)
+    for method, before, after in (("bz2", "bz", "gz-back"), ("pigz", "gz-back", "back")):
+        compressed.compress_files(spark, f"{path}/{before}", f"{path}/{after}", method, decompress=True)
+    return fasta.read_fasta(spark, f"{path}/back").select("description", "sequence")
+
+
+def file_sizes(spark, sf_dir):
+    """Bytes of all containers that were written, as the file system and as the manifest have them."""
+    path = scratch(spark, "sizes")
+    manifest = container.write_records(records(spark, sf_dir).withColumn("file", F.lit("one")), path, files=1)
+    there = compressed.file_sizes(spark, f"{path}/*.seqs").agg(F.sum("size_bytes").alias("size_bytes"))
+    return there.crossJoin(manifest.agg(F.sum("bytes").alias("written")))  # one row each
+
+
+def encoded_stream(spark, sf_dir):
+    path = scratch(spark, "stream")
+    rows = records(spark, sf_dir).select("description", "sequence", "nuc")
+    rows.write.parquet(f"{path}/in")
+    encode.encode_stream(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("description", "enc", "bad_symbol", "n_bases", F.octet_length("record").cast("long").alias("record_bytes"))
 
 
 def variant_sizes(spark, sf_dir):
@@ -207,6 +263,11 @@ def variant_sizes(spark, sf_dir):
     return sizes.bases_per_byte(sizes.variant_sizes(rows), total)
 
 
+def plain_sizes(spark, sf_dir):
+    rows = records(spark, sf_dir)
+    return sizes.bases_per_byte(sizes.plain_sizes(rows), sizes.total_bases(rows).first()[0])
+
+
 def output_names(spark, sf_dir):
     name = F.concat(F.lit("x.fasta/doc"), "doc_id", F.lit(".fasta"))
     method = F.element_at(F.array(*map(F.lit, compressed.SUFFIXES)), F.pmod("doc_id", F.lit(3)).cast("int") + 1)
@@ -218,11 +279,13 @@ QUERIES = {
     "pack_2b": packed(TWO, bases.pack_2b), "pack_3b": packed(THREE, bases.pack_3b), "pack_4b": packed(FOUR, bases.pack_4b),
     "unpack_roundtrip": unpack_roundtrip, "softmask_runs": softmask_runs, "softmask_apply": softmask_apply,
     "nuc_type": nuc_type, "mixed_tu": mixed_tu, "v1_record_hex": v1_record_hex, "v1_decode": v1_decode,
-    "v1_marker_guard": v1_marker_guard, "v2_record_body": v2_record_body, "v2_record_crc": v2_record_crc,
+    "v1_decode_types": v1_decode_types, "shortened": shortened, "v1_marker_guard": v1_marker_guard, "v2_record_body": v2_record_body, "v2_record_crc": v2_record_crc,
     "container_size": container_size, "integrity_summary": integrity_summary, "integrity_details": integrity_details, "integrity_report": integrity_report,
     "sequence_names": sequence_names, "last_of_each": last_of_each, "sha256_sequences": sha256_sequences,
     "total_bp": total_bp, "ncf_by_lang": ncf_by_lang, "edit_text_render": edit_text_render,
     "edit_text_parse": edit_text_parse, "record_violations": record_violations, "fasta_roundtrip": fasta_roundtrip,
     "container_roundtrip": container_roundtrip, "legacy_roundtrip": legacy_roundtrip,
-    "convert_and_verify": convert_and_verify, "variant_sizes": variant_sizes, "output_names": output_names,
+    "convert_and_verify": convert_and_verify, "edit_text_roundtrip": edit_text_roundtrip, "save_roundtrip": save_roundtrip,
+    "compressed_roundtrip": compressed_roundtrip, "file_sizes": file_sizes, "encoded_stream": encoded_stream,
+    "plain_sizes": plain_sizes, "variant_sizes": variant_sizes, "output_names": output_names,
 }

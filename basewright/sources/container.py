@@ -1,8 +1,10 @@
 """The binary container of records and the legacy bit stream, as sources and sinks.
 
 A container holds records one after the other, and only a record's checksum tells where it ends, so a file is read
-in one task, from front to back, with a running checksum; files are read in parallel. The reader frames records
-and leaves payloads packed: unpacking is a projection on top, which Spark drops where sequences are not used.
+in one task, from front to back, with a running checksum; files are read in parallel. Tasks get paths and stream the
+files through the file system that pyarrow finds for them (local, hdfs, s3, gs), a block at a time, so a file may be
+of any size. The reader frames records and leaves payloads packed: unpacking is a projection on top, which Spark
+drops where sequences are not used.
 """
 
 from __future__ import annotations
@@ -12,17 +14,19 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bases, codes, wire
+from ..functions import codes, packing, wire
 
 RAW = "file string, rec_no long, description string, tag string, enc string, n_bases long, payload binary, runs array<struct<start:int,len:int>>, error string"
 NAMES = [x.split()[0] for x in RAW.split(", ")]
 PAYLOADS = {codes.BLOCK_TWO_BIT: ("2b", 2), codes.BLOCK_THREE_BIT: ("3b", 3), codes.BLOCK_FOUR_BIT: ("4b", 4)}
+VERSIONS = (1, 2)
 BATCH = 4 << 20
 
 
@@ -30,46 +34,65 @@ class Broken(ValueError):
     """A container that cannot be read on."""
 
 
-def version_of(content) -> str:
-    """F: 'v2' by magic and version, else 'v1'."""
-    return F.when(F.hex(F.substring(content, 1, 5)) == (codes.MAGIC + bytes([codes.VERSION])).hex().upper(), "v2").otherwise("v1")
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI and the path in it."""
+    return fs.FileSystem.from_uri("/" + uri[5:].lstrip("/") if uri.startswith("file:") else uri)
 
 
-def container_records(data: memoryview) -> Iterator[tuple]:
+class Bytes:
+    """A stream of bytes, of which some may be put back."""
+
+    def __init__(self, stream):
+        self.stream, self.held = stream, b""
+
+    def some(self, n: int) -> bytes:
+        """At most n bytes."""
+        out, self.held = self.held[:n], self.held[n:]
+        return out if len(out) == n else out + self.stream.read(n - len(out))
+
+    def take(self, n: int, why: str = "Unexpected end") -> bytes:
+        if len(out := self.some(n)) < n:
+            raise Broken(why)
+        return out
+
+    def back(self, data: bytes) -> None:
+        self.held = data + self.held
+
+
+def is_container(head: bytes) -> bool:
+    """By magic and version; anything else is taken for a legacy stream."""
+    return head[:5] == codes.MAGIC + bytes([codes.VERSION])
+
+
+def container_records(data: Bytes) -> Iterator[tuple]:
     """(description, tag, enc, n_bases, payload, runs) of each record. Bytes after the last record are left alone."""
-    if bytes(data[:4]) != codes.MAGIC:
+    head = data.some(12)
+    if head[:4] != codes.MAGIC:
         raise Broken("Not a container")
-    if len(data) < 12:
+    if len(head) < 12:
         raise Broken("Header is cut off")
-    if data[4] != codes.VERSION:
-        raise Broken(f"Version {data[4]} is not known")
-    count, at = struct.unpack_from("<I", data, 8)[0], 12
-    for _ in range(count):
+    if head[4] != codes.VERSION:
+        raise Broken(f"Version {head[4]} is not known")
+    for _ in range(struct.unpack_from("<I", head, 8)[0]):
         crc, description, tag, found, runs = 0, "", "", None, []
         while True:
-            if at + 5 > len(data):
-                raise Broken("Unexpected end")
-            kind, length = struct.unpack_from("<BI", data, at)
-            size = -(-length * PAYLOADS[kind][1] // 8) if kind in PAYLOADS else length
-            end = at + 5 + size
-            if end > len(data):
-                raise Broken("Unexpected end")
-            body = data[at + 5 : end]
-            crc = zlib.crc32(data[at:end], crc)
-            at = end
+            kind, length = struct.unpack("<BI", start := data.take(5))
+            body = data.take(-(-length * PAYLOADS[kind][1] // 8) if kind in PAYLOADS else length)
+            crc = zlib.crc32(body, zlib.crc32(start, crc))
             if kind == codes.BLOCK_DESCRIPTION:
                 description = str(body, "utf-8")
             elif kind == codes.BLOCK_TYPE:
                 tag = str(body, "ascii")
             elif kind in PAYLOADS:
-                found = (PAYLOADS[kind][0], length, bytes(body))
+                found = (PAYLOADS[kind][0], length, body)
             elif kind == codes.BLOCK_RUNS:
                 if length % 8:
                     raise Broken("Case runs are not whole")
                 runs = [{"start": a, "len": n} for a, n in struct.iter_unpack("<II", body)]
-            if at + 4 <= len(data) and struct.unpack_from("<I", data, at)[0] == crc:
-                at += 4
+            end = data.some(4)
+            if len(end) == 4 and struct.unpack("<I", end)[0] == crc:
                 break
+            data.back(end)
         if tag not in ("D", "R"):
             raise Broken("Record has no type")
         if found is None:
@@ -77,23 +100,36 @@ def container_records(data: memoryview) -> Iterator[tuple]:
         yield description, tag, *found, runs if found[0] == "4b" else []
 
 
-def legacy_records(data: memoryview) -> Iterator[tuple]:
+def legacy_records(data: Bytes, chunk: int = BATCH) -> Iterator[tuple]:
     """Records of a legacy stream. Descriptions are whole bytes of UTF-8 before a marker that begins on a byte of theirs."""
-    digits, at = bytes(data).hex().upper(), 0
-    last = len(digits.rstrip("0"))  # an end marker ends in F; what follows the last one fills a byte
-    while at < last:
-        mark = at
+    digits = ""
+
+    def more() -> bool:
+        nonlocal digits
+        got = data.some(chunk)
+        digits += got.hex().upper()
+        return bool(got)
+
+    while True:
+        # an end marker ends in F; zeros after the last one fill a byte
+        while not digits.strip("0"):
+            if not more():
+                return
+        mark = 0
         while digits[mark : mark + 3] not in (codes.LEGACY_DNA, codes.LEGACY_RNA):
-            mark += 2
-            if mark >= len(digits):
+            if mark + 3 > len(digits) and not more():
                 raise Broken("No type marker found")
-        end = digits.find(codes.LEGACY_END, mark + 3)
-        if end < 0:
-            raise Broken("No end marker found")
+            if digits[mark : mark + 3] not in (codes.LEGACY_DNA, codes.LEGACY_RNA) and mark + 3 <= len(digits):
+                mark += 2
+        begin = mark + 3
+        while (end := digits.find(codes.LEGACY_END, begin)) < 0:
+            begin = max(mark + 3, len(digits) - 2)
+            if not more():
+                raise Broken("No end marker found")
         code = digits[mark + 3 : end]
         payload = bytes.fromhex(code + "0" * (len(code) % 2))
-        yield str(bytes.fromhex(digits[at:mark]), "utf-8"), "R" if digits[mark : mark + 3] == codes.LEGACY_RNA else "D", "v1", len(code), payload, []
-        at = end + 3
+        yield str(bytes.fromhex(digits[:mark]), "utf-8"), "R" if digits[mark : mark + 3] == codes.LEGACY_RNA else "D", "v1", len(code), payload, []
+        digits = digits[end + 3 :]
 
 
 def read_raw(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST") -> DataFrame:
@@ -110,36 +146,50 @@ def read_raw(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST")
         kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), run, pa.string()]
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], NAMES)
 
+    def records(file: str) -> Iterator[tuple]:
+        where, name = opened(file)
+        with where.open_input_stream(name, compression=None, buffer_size=BATCH) as stream:
+            data = Bytes(stream)
+            data.back(head := data.some(5))
+            yield from container_records(data) if is_container(head) else legacy_records(data)
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for file, version, content in zip(*[batch.column(k) for k in range(3)]):
-                data, n, rows, held = memoryview(content.as_buffer()), 0, [], 0
+            for file in batch.column(0).to_pylist():
+                n, rows, held = 0, [], 0
                 try:
-                    for n, record in enumerate((container_records if version.as_py() == "v2" else legacy_records)(data), 1):
-                        rows.append((file.as_py(), n, *record, None))
+                    for n, record in enumerate(records(file), 1):
+                        rows.append((file, n, *record, None))
                         held += len(record[4])
                         if held > BATCH:
                             yield table(rows)
                             rows, held = [], 0
                 except (Broken, UnicodeDecodeError) as e:
                     if mode == "FAILFAST":
-                        raise Broken(f"{file.as_py()}, record {n + 1}: {e}") from e
+                        raise Broken(f"{file}, record {n + 1}: {e}") from e
                     if mode == "PERMISSIVE":
-                        rows.append((file.as_py(), n + 1, None, None, None, None, None, None, str(e)))
+                        rows.append((file, n + 1, None, None, None, None, None, None, str(e)))
                 if rows:
                     yield table(rows)
 
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", version_of(F.col("content")).alias("version"), "content").mapInArrow(run, RAW)
+    # contents are not read here; their sizes still tell Spark how many files a task should get
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, RAW)
 
 
 def unpacked(raw: DataFrame) -> DataFrame:
     """file, rec_no, description, sequence, nuc of framed records."""
-    p, n, tag, enc = (F.col(c) for c in ("payload", "n_bases", "tag", "enc"))
-    legacy = F.translate(F.substring(F.hex(p), F.lit(1), n.cast("int")), "0123456789ABCDEF", codes.LEGACY_INVERSE)
-    sequence = F.when(enc == "2b", bases.unpack_2b(p, n, tag)).when(enc == "3b", bases.unpack_3b(p, n, tag))
-    sequence = sequence.when(enc == "v1", bases.as_rna(legacy, tag)).otherwise(bases.with_case(bases.unpack_4b(p, n, tag), F.col("runs")))
-    return raw.select("file", "rec_no", "description", sequence.alias("sequence"), F.when(tag == "R", "RNA").when(tag == "D", "DNA").alias("nuc"), *[c for c in raw.columns if c == "error"])
+
+    @F.pandas_udf("string")
+    def sequence(payload: pd.Series, n: pd.Series, enc: pd.Series, tag: pd.Series, runs: pd.Series) -> pd.Series:
+        pairs = lambda found: [(r["start"], r["len"]) for r in found] if found is not None else []
+        rows = zip(payload, n, enc, tag, runs)
+        return pd.Series([None if p is None else packing.unpacked(p, int(k), e, t, pairs(r)) for p, k, e, t, r in rows], dtype=object)
+
+    tag = F.col("tag")
+    return raw.select(
+        "file", "rec_no", "description", sequence("payload", "n_bases", "enc", "tag", "runs").alias("sequence"),
+        F.when(tag == "R", "RNA").when(tag == "D", "DNA").alias("nuc"), *[c for c in raw.columns if c == "error"],
+    )
 
 
 def read_records(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST") -> DataFrame:
@@ -147,29 +197,44 @@ def read_records(spark: SparkSession, path: str | list[str], mode: str = "FAILFA
     return out if mode == "PERMISSIVE" else out.drop("error")
 
 
-def record_bytes(records: DataFrame, version: int = 2, legacy: bool = False) -> DataFrame:
-    """file, rec_no, bytes: hexadecimal digits for version 1, whose records need not be whole bytes."""
-    if version == 1:
-        data = F.encode(wire.legacy_record(F.col("description"), F.col("sequence")), "UTF-8")
-    else:
-        data = wire.with_checksum(wire.record_body(F.col("description"), F.col("sequence"), F.col("nuc"), legacy))
-    return records.select("file", "rec_no", data.alias("bytes"))
+def known_version(version: int) -> int:
+    if version not in VERSIONS:
+        raise ValueError(f"Version {version} is not known")
+    return version
+
+
+def record_bytes(description: Column, sequence: Column, nuc: Column, version: int = 2, legacy: bool = False) -> Column:
+    """A record as bytes, or for version 1, whose records need not be whole bytes, as hexadecimal digits."""
+    if known_version(version) == 1:
+        return F.encode(wire.legacy_record(description, sequence), "UTF-8")
+    if legacy:  # with a copy in the legacy code
+        return wire.with_checksum(wire.record_body(description, sequence, nuc, True))
+
+    @F.pandas_udf("binary")
+    def record(description: pd.Series, sequence: pd.Series, nuc: pd.Series) -> pd.Series:
+        return pd.Series([packing.record(*row) for row in zip(description, sequence, nuc)], dtype=object)
+
+    return record(description, sequence, nuc)
 
 
 def write_records(records: DataFrame, folder: str, version: int = 2, legacy: bool = False, suffix: str = ".seqs", files: int | None = None) -> DataFrame:
-    """Writes records (file, rec_no, description, sequence, nuc) in order and returns the manifest: file, records, bytes.
+    """Writes records (file, rec_no, description, sequence, nuc) in order and returns the manifest: source, file, records, bytes.
 
-    Records are range-partitioned by file and rec_no, so a file name with very many records becomes several files
-    of consecutive records, one per task. Each file is written under another name, checked by length and renamed
-    when it is whole, so that repeated tasks do no harm.
+    The folder is replaced as a whole: files are written to a new one beside it, which takes its place when all
+    are there, so nothing of an earlier or failed attempt is ever read. Records are range-partitioned by file and
+    rec_no, so a file name with very many records becomes several files of consecutive records, one per task.
+    Names hold the task and the file's place in it: sources of equal names in different folders stay apart, and a
+    task that is run again writes the same names.
     """
     spark = records.sparkSession
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder, part = folder.rstrip("/"), f"{folder.rstrip('/')}.{uuid.uuid4().hex}"
+    data = record_bytes(F.col("description"), F.col("sequence"), F.col("nuc"), known_version(version), legacy)
     # ranges first: finding them reads the rows once more, and that should not pack them
-    rows = record_bytes(records.repartitionByRange(n, "file", "rec_no").sortWithinPartitions("file", "rec_no"), version, legacy)
+    rows = records.repartitionByRange(n, "file", "rec_no").sortWithinPartitions("file", "rec_no").select("file", data.alias("bytes"))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, base = fs.FileSystem.from_uri("/" + folder[5:].lstrip("/") if folder.startswith("file:") else folder)
+        where, base = opened(part)
         where.create_dir(base, recursive=True)
         done, now, out = [], None, None
 
@@ -181,18 +246,35 @@ def write_records(records: DataFrame, folder: str, version: int = 2, legacy: boo
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if file != now or out is None:
                     close()
-                    name = f"{(file or 'records').rstrip('/').rpartition('/')[2]}-{TaskContext.get().partitionId():06d}{suffix}"
+                    name = f"{(file or 'records').rstrip('/').rpartition('/')[2]}-{TaskContext.get().partitionId():06d}-{len(done):04d}{suffix}"
                     now, out = file, RecordFile(where, base, name, version)
                 out.add(data.as_py())
         close()
         if done:
-            yield pa.record_batch([pa.array(c) for c in zip(*done)], ["source", "file", "records", "bytes"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*done), (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["source", "file", "records", "bytes"])
 
-    manifest = rows.select("file", "bytes").mapInArrow(run, "source string, file string, records long, bytes long")
-    manifest.write.mode("overwrite").parquet(f"{folder}/_manifest")
+    manifest = rows.mapInArrow(run, "source string, file string, records long, bytes long")
+    manifest.write.parquet(f"{part}/_manifest")
+    put_in_place(spark, part, folder)
     return spark.read.parquet(f"{folder}/_manifest")
 
 
+def put_in_place(spark: SparkSession, new: str, folder: str, backup: str | None = None) -> None:
+    """Renames a folder; what was there is deleted or becomes the backup."""
+    jvm = spark.sparkContext._jvm
+    new, now = jvm.org.apache.hadoop.fs.Path(new), jvm.org.apache.hadoop.fs.Path(folder)
+    where = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if where.exists(now):
+        if backup:
+            old = jvm.org.apache.hadoop.fs.Path(backup)
+            where.delete(old, True)
+            where.rename(now, old)
+        else:
+            where.delete(now, True)
+    if not where.rename(new, now):
+        raise OSError(f"{new.toString()} could not be renamed to {folder}")
+
+
 class RecordFile:
     """A file that gets its name when it is closed. The number of records in its head is known only then, so records wait in a spool."""
 
@@ -223,7 +305,7 @@ class RecordFile:
                 size += len(chunk)
         self.where.delete_file(self.part + ".body")
         path = f"{self.base}/{self.name}"
-        if self.where.get_file_info(path).type != fs.FileType.NotFound:
+        if self.where.get_file_info(path).type != fs.FileType.NotFound:  # the same file of an attempt that was lost
             self.where.delete_file(path)
         self.where.move(self.part, path)
         return self.name, self.n, size

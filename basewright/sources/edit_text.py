@@ -72,8 +72,8 @@ def parse(texts: DataFrame, carry: bool = False) -> DataFrame:
 
 
 def read_edit_text(spark: SparkSession, path: str | list[str], carry: bool = False, mode: str = "FAILFAST") -> DataFrame:
-    """Records of text files as file, rec_no, description, sequence, nuc_hint, nuc; PERMISSIVE adds their problems, FAILFAST stops at one."""
-    texts = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    """Records of text files (each small enough for a person to edit, and so one value) as file, rec_no, description, sequence, nuc_hint, nuc; PERMISSIVE adds their problems, FAILFAST stops at one."""
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     rows = parse(texts, carry).withColumn("nuc", bases.nucleotide(F.col("sequence"), F.col("nuc_hint")))
     if mode == "PERMISSIVE":
         return rows
@@ -91,15 +91,10 @@ def violations(records: DataFrame) -> DataFrame:
 def save(records: DataFrame, folder: str, version: int = 2) -> DataFrame:
     """Writes containers to a new folder, reads and checks them, and only then puts it in place; what was there becomes ``.bak``."""
     spark = records.sparkSession
+    # replaces what a failed attempt has left there
     container.write_records(records, f"{folder}.new", version)
     back = container.read_records(spark, f"{folder}.new")
     if (n := back.count()) == 0 or not violations(back).isEmpty():
         raise ValueError(f"{folder}.new holds {n} records, or some that are not valid; {folder} is as it was")
-    jvm = spark.sparkContext._jvm
-    new, now, old = (jvm.org.apache.hadoop.fs.Path(folder + x) for x in (".new", "", ".bak"))
-    where = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if where.exists(now):
-        where.delete(old, True)
-        where.rename(now, old)
-    where.rename(new, now)
+    container.put_in_place(spark, f"{folder}.new", folder, backup=f"{folder}.bak")
     return container.read_records(spark, folder)

@@ -1,3 +1,5 @@
+import gzip
+import io
 import random
 import struct
 import zlib
@@ -5,8 +7,9 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from basewright.functions import wire
-from basewright.sources import compressed, container, fasta
+from basewright.functions import bases, packing, wire
+from basewright.operators import convert
+from basewright.sources import compressed, container, edit_text, fasta
 
 GOLDEN = {
     ("r1", "TACG", "DNA"): "0102000000 7231 0201000000 44 0604000000 27 7581f2c2",
@@ -61,7 +64,8 @@ def test_round_trip_over_many_files(spark, tmp_path, legacy):
 def test_legacy_stream(spark, tmp_path):
     rows = [("x", 1, "r1", "TACG", "DNA"), ("x", 2, "r2", "UACGN", "RNA"), ("x", 3, "é 3", "NNN", "DNA"), ("x", 4, "x 4", "", "DNA"), ("x", 5, "x sinensis 0x1", "ABAU", "RNA")]
     df = spark.createDataFrame(rows, SCHEMA)
-    digits = [bytes(r.bytes).decode() for r in container.record_bytes(df, 1).orderBy("rec_no").collect()]
+    data = container.record_bytes(F.col("description"), F.col("sequence"), F.col("nuc"), 1)
+    digits = [bytes(r.bytes).decode() for r in df.select("rec_no", data.alias("bytes")).orderBy("rec_no").collect()]
     assert digits[:2] == ["72310F0482100F", "7231F0F4821F00F".replace("7231", "7232")]
     container.write_records(df, f"{tmp_path}/out", version=1, files=1)
     got = container.read_records(spark, f"{tmp_path}/out").orderBy("rec_no").collect()
@@ -130,7 +134,75 @@ def test_unknown_and_repeated_blocks(spark, tmp_path):
 def test_unused_payloads_are_not_unpacked(spark, tmp_path):
     (tmp_path / "a.seqs").write_bytes(whole(("r1", "TACG", "DNA")))
     plan = container.read_records(spark, str(tmp_path)).select("description")._jdf.queryExecution().optimizedPlan().toString()
-    assert "conv(" not in plan
+    assert "sequence(" not in plan
+
+
+def test_sources_of_one_name_stay_apart(spark, tmp_path):
+    rows = [("/a/x.fasta", 1, "a1", "ACGT", "DNA"), ("/b/x.fasta", 1, "b1", "ACG", "DNA"), ("/b/x.fasta", 2, "b2", "AC", "DNA")]
+    manifest = container.write_records(spark.createDataFrame(rows, SCHEMA), f"{tmp_path}/out", files=1).collect()
+    assert {(r.source, r.records) for r in manifest} == {("/a/x.fasta", 1), ("/b/x.fasta", 2)} and len({r.file for r in manifest}) == 2
+    assert {r.description for r in container.read_records(spark, f"{tmp_path}/out").collect()} == {"a1", "b1", "b2"}
+
+
+def test_a_second_write_replaces_the_first(spark, tmp_path):
+    rows = [("f", i, f"d{i}", "ACGT", "DNA") for i in range(40)]
+    container.write_records(spark.createDataFrame(rows, SCHEMA), f"{tmp_path}/out", files=4)
+    container.write_records(spark.createDataFrame(rows[:5], SCHEMA), f"{tmp_path}/out", files=1)
+    assert container.read_records(spark, f"{tmp_path}/out").count() == 5
+    assert {p.name for p in tmp_path.iterdir()} == {"out"}
+
+
+def test_unknown_version(spark, tmp_path):
+    df = spark.createDataFrame([("f", 1, "d", "ACGT", "DNA")], SCHEMA)
+    for version in (0, 3, "2"):
+        with pytest.raises(ValueError, match="not known"):
+            container.write_records(df, f"{tmp_path}/out", version)
+        with pytest.raises(ValueError, match="not known"):
+            edit_text.save(df, f"{tmp_path}/out", version)
+        with pytest.raises(ValueError, match="not known"):
+            convert.convert_fasta(spark, f"{tmp_path}/none", f"{tmp_path}/out", version)
+    assert not list(tmp_path.iterdir())
+
+
+def test_legacy_stream_in_small_chunks():
+    digits = "72310F0482100F" + "7232F0F4821F00F" + "610F000F" + "0"
+    data = bytes.fromhex(digits + "0" * (len(digits) % 2))
+    for chunk in (1, 2, 3, 100):
+        found = list(container.legacy_records(container.Bytes(io.BytesIO(data)), chunk))
+        assert [(r[0], r[1], r[3]) for r in found] == [("r1", "D", 4), ("r2", "R", 5), ("a", "D", 0)]
+
+
+def test_packing_equals_column_functions(spark):
+    rng = random.Random(12)
+    rows = [(f"d{i}", s, n) for i, (_, _, _, s, n) in enumerate(table(rng, 120))] + [("é", " AC\nGTn ", "DNA"), ("", "acgu", "rna"), (None, None, None), ("x", "n", "DNA")]
+    df = spark.createDataFrame(rows, "description string, sequence string, nuc string")
+    body = wire.with_checksum(wire.record_body(F.col("description"), F.col("sequence"), F.col("nuc")))
+    for r in df.select("*", body.alias("b")).collect():
+        assert packing.record(r.description, r.sequence, r.nuc) == bytes(r.b), r
+    enc = bases.encoding(F.col("sequence"))
+    parts = df.select(enc.alias("enc"), bases.pack(F.col("sequence"), enc).alias("p"), bases.n_bases(F.col("sequence")).alias("n"), bases.case_runs(F.col("sequence")).alias("runs"), bases.type_tag(F.col("sequence"), F.col("nuc")).alias("tag"))
+    for r in parts.select("*", bases.unpack(F.col("p"), F.col("n"), F.col("enc"), F.col("tag"), F.col("runs")).alias("s")).collect():
+        assert packing.unpacked(bytes(r.p), r.n, r.enc, r.tag, r.runs if r.enc == "4b" else []) == r.s, r
+    with pytest.raises(ValueError, match="acids.*: L"):
+        packing.record("a", "MKL", "DNA")
+
+
+def test_files_of_one_name_are_not_compressed_together(spark, tmp_path):
+    for folder in "ab":
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.fasta").write_text(FASTA)
+    with pytest.raises(ValueError, match="x.fasta"):
+        compressed.compress_files(spark, [f"{tmp_path}/a", f"{tmp_path}/b"], f"{tmp_path}/out", "zlib")
+
+
+def test_threads_and_inputs_that_go(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    text = "".join(f">n{i}\n{'ACGT' * 30}\n" for i in range(30_000))
+    (tmp_path / "in" / "x.fasta").write_text(text)
+    sizes = [compressed.compress_files(spark, f"{tmp_path}/in", f"{tmp_path}/out", "pigz", threads=n, keep=n < 3).first() for n in (1, 3)]
+    assert sizes[0].size_bytes == sizes[1].size_bytes and sizes[0].seconds > 0
+    assert gzip.decompress((tmp_path / "out" / "x.fasta_pigz.gz").read_bytes()).decode() == text
+    assert not (tmp_path / "in" / "x.fasta").exists()
 
 
 FASTA = ">r1 one > two\nACGT\nAC GT\n>r2\r\nACGU\r\n\n>r3 empty\n>r4\n"

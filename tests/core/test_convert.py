@@ -51,16 +51,16 @@ def test_reasons(spark):
 
 
 def test_counters_with_equal_descriptions(spark):
-    original = [(1, "a", "ACGT"), (2, "a", "TTTT"), (3, "b", "GGGG"), (4, "c", "")]
-    decoded = [(1, "a", "ACGT"), (2, "a", "TTTT"), (3, "b", "ACGT"), (4, "c", ""), (5, "z", "CC")]
+    original = [(1, "a", "ACGT"), (2, "a", "TTTT"), (3, "b", "GGGG"), (4, "lost", "")]
+    decoded = [(1, "a", "ACGT"), (2, "a", "TTTT"), (3, "b", "ACGT"), (4, "b", "GGGG"), (5, "z", "CC")]
     o, d = spark.createDataFrame(original, RECORD), spark.createDataFrame(decoded, RECORD)
     s = integrity.summary(o, d).first()
-    assert tuple(s) == (3, 1, 1, 0, 2, True)
+    assert tuple(s) == (3, 1, 1, 0, 2, 1, True, 4, 5)
     assert {(r["index"], r.reason) for r in integrity.details(o, d).collect()} == {(1, "base-content-mismatch"), (3, "base-content-mismatch"), (5, "desc-missing-in-original")}
     same = integrity.summary(o.where("rec_no > 1"), o.where("rec_no > 1")).first()
-    assert tuple(same) == (0, 0, 0, 0, 0, False)
+    assert tuple(same) == (0, 0, 0, 0, 0, 0, False, 3, 3)
     empty = spark.createDataFrame([], RECORD)
-    assert tuple(integrity.summary(empty, empty).first()) == (0, 0, 0, 0, 0, False)
+    assert tuple(integrity.summary(empty, empty).first()) == (0, 0, 0, 0, 0, 0, False, 0, 0)
 
 
 def test_sizes(spark, tmp_path):
@@ -77,6 +77,9 @@ def test_sizes(spark, tmp_path):
     histogram = {r.enc: (r.records, r.bases, r.packed_bytes) for r in sizes.encoding_histogram(df).collect()}
     assert histogram == {"2b": (2, 200, 50), "3b": (1, 36, 14), "4b": (1, 8, 4)}
     assert {r.enc: r.records for r in sizes.encoding_histogram(df.limit(0)).collect()} == {"2b": 0, "3b": 0, "4b": 0}
+    again = {r.method: r.size_bytes for r in sizes.variant_sizes(df.repartition(3)).collect()}
+    assert again == got  # rows may lie anywhere
+    assert {r.method: r.size_bytes for r in sizes.plain_sizes(df).collect()} == {m: got[m] for m in ("fasta", "container")}
     report = sizes.bases_per_byte(sizes.variant_sizes(df), 244).collect()
     assert all(r.ncf == round(244 / r.size_bytes, 2) and r.label.startswith(f"{r.size_bytes:,} B") for r in report)
 
