@@ -150,10 +150,11 @@ def mix(docs: DataFrame, weights: tuple = (1, 2, 3), most: int = MOST, seed: int
 def taken(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken. Rows with equal id and text stand for each other."""
     times = mix(docs, seed=seed).groupBy("doc_id", "lot").agg(F.sum("times").alias("times")).where(F.col("times") > 0)
-    times = times.select(F.col("doc_id").alias("id_"), F.col("lot").alias("lot_"), F.col("times").alias("times_"))
-    held = docs.join(times, docs["doc_id"].eqNullSafe(F.col("id_")) & (lots(docs, seed) == F.col("lot_")))
-    held = held.dropDuplicates(["id_", "lot_"]).withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_"))))
-    return held.select(*docs.columns)
+    names = [f"c{k}" for k in range(len(docs.columns))]  # free of clashes with the columns added
+    own = docs.withColumn("", lots(docs, seed)).toDF(*names, "own_lot")
+    held = own.join(times, F.col(names[docs.columns.index("doc_id")]).cast("long").eqNullSafe(F.col("doc_id")) & (F.col("own_lot") == F.col("lot")))
+    held = held.dropDuplicates(["doc_id", "lot"]).select(*names, F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return held.select(*names).toDF(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,10 +130,12 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def redacted(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Rows of docs, each text without the secrets that the scan of all texts has found."""
     found = scan_versions(as_versions(docs), ledger, rules).where(F.size("spans") > 0)
-    found = found.select(F.col("blob").alias("blob_"), F.col("spans").alias("spans_")).distinct()
-    held = docs.withColumn("key_", F.sha2("text", 256)).join(found, F.col("key_") == F.col("blob_"), "left")
-    text = redact(F.col("text"), F.coalesce("spans_", no_spans())).alias("text")
-    return held.select(*[text if c == "text" else docs[f"`{c}`"] for c in docs.columns])
+    found = found.select("blob", "spans").distinct()
+    names = [f"c{k}" for k in range(len(docs.columns))]  # free of clashes with the columns added
+    own = names[docs.columns.index("text")]
+    held = docs.toDF(*names).withColumn("key", F.sha2(own, 256)).join(found, F.col("key") == F.col("blob"), "left")
+    text = redact(F.col(own), F.coalesce("spans", no_spans())).alias(own)
+    return held.select(*[text if c == own else c for c in names]).toDF(*docs.columns)
 
 
 def as_versions(docs: DataFrame, path: str = "doc_id") -> DataFrame:

@@ -4,17 +4,19 @@ Fingerprints within ``RADIUS`` bits of each other are linked. Cut into ``RADIUS
 fingerprints agree in all but ``RADIUS`` bands, so each distinct fingerprint goes once to every choice of the
 other bands, and one BK-tree (children keyed by their integer Hamming distance to the parent) is built for each
 value of these bands. A search follows only edges within the radius of the query's distance to the node. A value
-shared by more than ``TREE`` fingerprints is dealt over several trees of about that size, each of which all of
-its fingerprints search. Each tree is built where its shard lies and is searched there: broadcasting the trees
-of all shards to all fingerprints would make every task hold, and every query walk, a share of the whole corpus.
+shared by more than ``TREE`` fingerprints is dealt over several trees of about that size, and its fingerprints
+over as many slices: each tree is copied to every slice that searches it, so that no task holds more than about
+``TREE`` nodes and ``TREE`` queries of a value. Each tree is built where its shard lies and is searched there:
+broadcasting the trees of all shards to all fingerprints would make every task hold, and every query walk, a share of
+the whole corpus.
 
 A tree's links are reduced to stars before they leave the task. Components over all stars come from large-star
-and small-star rounds on tables in the shared folder. Nodes are the smallest doc_id of each distinct
-fingerprint, so a component's smallest node is its id; equal fingerprints are never expanded into pairs.
+and small-star rounds on tables in the shared folder. Nodes are the distinct fingerprints, so equal ones are never
+expanded into pairs, and ids may be any numbers; a component's id is found at the end.
 
 Defined cases: null or blank texts have fingerprint zero and are linked like any other; null ids are never a
-component's id (it is null if a component has no other); repeated rows each keep a row; no rows give an empty
-result; other columns are ignored. Ids are below 2**62.
+component's id (it is null if a component has no other); repeated rows each keep a row, and rows that share an id
+belong each to the component of its text; no rows give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +37,6 @@ RADIUS, SHINGLE, SEED, TREE = 3, 3, 42, 8192
 FRONTIER = 1 << 19
 #: Near copies share this part of their distinct shingles of so many words; candidates agree in one of BANDS runs of DEPTH minima.
 JACCARD, WORDS, BANDS, DEPTH = 0.8, 5, 20, 4
-#: Ids of fingerprints that only rows without an id have start here.
-NO_ID = 1 << 62
 
 
 def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
@@ -139,12 +139,12 @@ def band_masks(classes: int, radius: int = RADIUS) -> list[int]:
     return [sum(c) for c in combinations(band, bands - radius)]
 
 
-def star_links(classes: DataFrame, work: Workspace, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
-    """classes: node, fingerprint. Pairs (a, b), a above b, that connect what lies within the radius."""
+def band_shards(classes: DataFrame, work: Workspace, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
+    """classes: fingerprint. Rows of band, key, part (a tree and a slice of queries), inside (is a node), asks (is a query), fingerprint."""
     spark = classes.sparkSession
     masks = [m - (1 << 64) if m >> 63 else m for m in band_masks(classes.count(), radius)]
     keys = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)]))
-    banded = classes.select("node", "fingerprint", keys.alias("k")).select("node", "fingerprint", "k.band", "k.key")
+    banded = classes.select("fingerprint", keys.alias("k")).select("fingerprint", "k.band", "k.key")
     many = work.save(banded.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > tree), "hot-bands")
     trees = many.select(F.col("band").alias("band_"), F.col("key").alias("key_"), F.ceil(F.col("n") / tree).alias("trees"))
     if hot := many.count():
@@ -152,24 +152,34 @@ def star_links(classes: DataFrame, work: Workspace, radius: int = RADIUS, tree:
         banded = banded.join(trees, (F.col("band") == F.col("band_")) & (F.col("key") == F.col("key_")), "left").drop("band_", "key_")
     else:
         banded = banded.withColumn("trees", F.lit(None).cast("long"))
-    own = F.pmod(F.xxhash64("fingerprint"), F.coalesce("trees", F.lit(1))).cast("long")
-    # a fingerprint is a node of its own tree and searches it and the later ones
-    shards = banded.withColumn("own", own).select("node", "fingerprint", "band", "key", F.explode(F.sequence("own", F.coalesce("trees", F.lit(1)) - 1)).alias("tree"), "own")
-    shards = shards.select("band", "key", "tree", (F.col("own") == F.col("tree")).alias("inside"), "fingerprint", "node")
-    n = partitions(spark)
-    shards = shards.repartition(n, "band", "key", "tree").sortWithinPartitions("band", "key", "tree", "fingerprint")
+    n = F.coalesce("trees", F.lit(1))
+    own = F.pmod(F.xxhash64("fingerprint"), n).cast("long")
+    slice_ = F.pmod(F.xxhash64(F.lit(SEED), "fingerprint"), n).cast("long")
+    part = lambda t, s, inside, asks: F.struct((t * F.col("n") + s).alias("part"), inside.alias("inside"), F.lit(asks).alias("asks"))
+    # a fingerprint searches its own tree and the later ones; its own tree is copied to the other slices
+    searched = F.transform(F.sequence("own", F.col("n") - 1), lambda t: part(t, F.col("slice"), t == F.col("own"), True))
+    copied = F.transform(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda s: s != F.col("slice")), lambda s: part(F.col("own"), s, F.lit(True), False))
+    shards = banded.select("fingerprint", "band", "key", n.cast("long").alias("n"), own.alias("own"), slice_.alias("slice"))
+    return shards.select("band", "key", F.explode(F.concat(searched, copied)).alias("p"), "fingerprint").select("band", "key", "p.*", "fingerprint")
+
+
+def star_links(classes: DataFrame, work: Workspace, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
+    """classes: fingerprint. Pairs (a, b) of fingerprints, a above b, that connect what lies within the radius."""
+    shards = band_shards(classes, work, radius, tree)
+    shards = shards.repartition(partitions(classes.sparkSession), "band", "key", "part").sortWithinPartitions("band", "key", "part", "fingerprint")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for band, key, tree_, inside, prints, nodes in bundles(source):
-            new = np.concatenate([[True], (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (tree_[1:] != tree_[:-1])])
+        for band, key, part, inside, asks, prints in bundles(source):
+            new = np.concatenate([[True], (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
             group = np.cumsum(new)
-            place = np.flatnonzero(inside)
-            forest = Forest(prints[place], group[place])
-            # labels are places among the distinct nodes in rising order, so the least is the smallest id
-            distinct, name = np.unique(nodes, return_inverse=True)
+            place, query = np.flatnonzero(inside), np.flatnonzero(asks)
+            values = prints.view(np.uint64)
+            forest = Forest(values[place], group[place])
+            # labels are places among the distinct fingerprints in rising order
+            distinct, name = np.unique(prints, return_inverse=True)
             labels = np.arange(len(distinct))
-            for q, x in forest.links(prints, group, radius):
-                a, b = name[q], name[place[x]]
+            for q, x in forest.links(values[query], group[query], radius):
+                a, b = name[query[q]], name[place[x]]
                 differ = a != b
                 spread(labels, a[differ], b[differ])
             moved = np.flatnonzero(labels != np.arange(len(labels)))
@@ -185,7 +195,6 @@ def bundles(source: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[
     rows = 0
     for batch in source:
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        columns[4] = columns[4].view(np.uint64)
         if not len(columns[0]):
             continue
         held.append(columns)
@@ -228,6 +237,8 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
     while seen[0]:
         edges = starred(starred(edges, f"large-{k}", True), f"small-{k}", False)
         now = state(edges)
+        for old in (f"large-{k}-least", f"large-{k}", f"small-{k}-least", f"small-{k - 1}"):
+            work.drop(old)
         if now == seen:
             break
         seen, k = now, k + 1
@@ -241,8 +252,8 @@ def shingle_set(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, seed) for r in runs), np.uint64, len(runs)))
 
 
-def copy_links(docs: DataFrame, classes: DataFrame, work: Workspace, similarity: float = JACCARD) -> DataFrame:
-    """classes: node, fingerprint. Pairs (a, b) of nodes, a above b, that hold texts of at least so similar shingle sets.
+def copy_links(docs: DataFrame, work: Workspace, similarity: float = JACCARD) -> DataFrame:
+    """Pairs (a, b) of fingerprints, a above b, that hold texts of at least so similar shingle sets.
 
     Candidates agree in a run of minima, which misses 3 in 100,000 pairs of just 0.8; each is confirmed by its sets.
     """
@@ -286,43 +297,47 @@ def copy_links(docs: DataFrame, classes: DataFrame, work: Workspace, similarity:
     second = held.select(F.col("name").alias("other"), F.col("held").alias("y"))
     near = pairs.join(first, "name").join(second, "other").select("name", "other", "x", "y").mapInArrow(confirmed, "name long, other long")
     # equal sets may have several fingerprints; the least node stands for the set
-    nodes = work.save(rows.where(F.size("bands") > 0).select("name", "fingerprint").distinct().join(classes, "fingerprint").select("name", "node"), "set-nodes")
+    nodes = work.save(rows.where(F.size("bands") > 0).select("name", F.col("fingerprint").alias("node")).distinct(), "set-nodes")
     least = work.save(nodes.groupBy("name").agg(F.min("node").alias("least")), "set-least")
     links = near.join(least, "name").join(least.select(F.col("name").alias("other"), F.col("least").alias("more")), "other").select(F.greatest("least", "more").alias("a"), F.least("least", "more").alias("b"))
     links = links.union(nodes.join(least, "name").select(F.col("node").alias("a"), F.col("least").alias("b")))
     return links.where(F.col("a") > F.col("b")).distinct()
 
 
+def linked(docs: DataFrame, rows: DataFrame, work: Workspace, radius: int, tree: int, copies: bool) -> DataFrame:
+    """rows: doc_id, fingerprint of docs. print_ (each distinct fingerprint), component (a fingerprint of it), component_id."""
+    classes = work.save(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "classes")
+    links = star_links(classes, work, radius, tree)
+    links = work.save(links.union(copy_links(docs, work)).distinct() if copies else links, "links")
+    known = components(links, work)
+    found = classes.join(known, F.col("fingerprint") == F.col("node"), "left").select(F.col("fingerprint").alias("print_"), F.coalesce("component", "fingerprint").alias("component"), "least")
+    found = work.save(found, "components")
+    ids = found.groupBy("component").agg(F.min("least").alias("component_id"))
+    return work.save(found.drop("least").join(ids, "component"), "component-ids")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, tree: int = TREE, copies: bool = False) -> DataFrame:
     """doc_id, fingerprint (number), component_id for every row. copies: links near copies by their shingle sets, too."""
     work = Workspace(docs.sparkSession, "simhash")
-    rows = work.save(fingerprints(docs, id_column, shingle=shingle).withColumnRenamed(id_column, "doc_id"), "fingerprints")
-    nobody = F.lit(NO_ID) + F.shiftrightunsigned(F.col("fingerprint"), 2)  # prints that share it are linked anyway
-    classes = rows.groupBy("fingerprint").agg(F.min("doc_id").cast("long").alias("node"))
-    classes = work.save(classes.select("fingerprint", F.coalesce("node", nobody).alias("node")), "classes")
-    links = star_links(classes, work, radius, tree)
-    links = work.save(links.union(copy_links(docs, classes, work)).distinct() if copies else links, "links")
-    known = components(links, work).withColumnRenamed("node", "node_")
-    found = classes.join(known, F.col("node") == F.col("node_"), "left").select(F.col("fingerprint").alias("print_"), F.coalesce("component", "node").alias("component"))
-    found = work.save(found, "components")
-    component = F.when(F.col("component") < NO_ID, F.col("component"))
-    return rows.join(found, F.col("fingerprint") == F.col("print_")).select("doc_id", "fingerprint", component.alias("component_id"))
+    own = docs.select(docs[id_column].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    rows = work.save(fingerprints(own, "doc_id", shingle=shingle), "fingerprints")
+    found = linked(docs, rows, work, radius, tree, copies)
+    return rows.join(found, F.col("fingerprint") == F.col("print_")).select("doc_id", "fingerprint", "component_id")
 
 
 def first_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, copies: bool = False) -> DataFrame:
-    """One row of docs for each component: one with its id. Of rows without an id, whose components have none, one for each fingerprint."""
+    """One row of docs for each component: one with its id, or one without an id where the component has none."""
     work = Workspace(docs.sparkSession, "simhash-first")
-    rows = work.save(near_duplicates(docs, radius=radius, shingle=shingle, copies=copies), "components")
-    best = rows.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("id_")).distinct()
-    kept = docs.join(best, docs["doc_id"] == F.col("id_")).dropDuplicates(["id_"]).select(*docs.columns)
-    nameless = rows.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).select(F.col("fingerprint").alias("print_")).distinct()
-    if nameless.isEmpty():
-        return kept
     names = [f"c{k}" for k in range(len(docs.columns))]  # free of clashes with the columns added
-    rest = docs.where(docs["doc_id"].isNull()).toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
-    rest = fingerprints(rest, *names, shingle=shingle).join(nameless, F.col("fingerprint") == F.col("print_"))
-    rest = rest.dropDuplicates(["print_"]).select(*names).toDF(*docs.columns)
-    return kept.union(rest)
+    held = docs.toDF(*names)
+    id_, text = (held[names[docs.columns.index(c)]] for c in ("doc_id", "text"))
+    own = held.select(id_.cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("lot"))
+    rows = work.save(fingerprints(own, "doc_id", "lot", shingle=shingle), "fingerprints")
+    found = linked(docs, rows, work, radius, TREE, copies)
+    best = rows.join(found, F.col("fingerprint") == F.col("print_")).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "lot")).alias("best"))
+    best = best.select("component", F.col("best.doc_id").alias("best_id"), F.col("best.lot").alias("best_lot"))
+    kept = held.join(best, id_.cast("long").eqNullSafe(F.col("best_id")) & (F.xxhash64(text) == F.col("best_lot")))
+    return kept.dropDuplicates(["component"]).select(*names).toDF(*docs.columns)
 
 
 def fingerprint_hex(column: Column) -> Column:

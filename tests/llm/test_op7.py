@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -93,5 +94,36 @@ def test_long_chains(spark):
     assert got == {i: 0 for i in range(1, 301)} | {1000: 999, 1001: 999}
 
 
+def test_any_ids(spark):
+    ids = [1 << 62, (1 << 63) - 1, -(1 << 63), -5, 7]
+    rows = [(i, f"text number {k % 3} of these few") for k, i in enumerate(ids)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1 << 62: -5, -5: -5, (1 << 63) - 1: 7, 7: 7, -(1 << 63): -(1 << 63)}
+
+
+def test_a_hot_band_is_dealt_over_trees_and_slices(spark):
+    rng = np.random.default_rng(4)
+    # all agree in the upper half, so two bands are hot
+    prints = np.unique(rng.integers(0, 1 << 14, 3000)) | (123 << 40)
+    frame = spark.createDataFrame([(int(p),) for p in prints], "fingerprint long")
+    shards = simhash.band_shards(frame, Workspace(spark, "hot"), tree=100).collect()
+    sizes = Counter((r.band, r.key, r.part) for r in shards)
+    assert len(prints) > 2000 and max(sizes.values()) < 400  # nodes and queries of about a tree each
+    want = slow_components([(int(p), int(p)) for p in prints])
+    work = Workspace(spark, "hot")
+    links = work.save(simhash.star_links(frame, work, tree=100), "links")
+    found = {r.node: r.component for r in simhash.components(links, work).collect()}
+    assert [found.get(int(p), int(p)) for p in prints] == want
+
+
+def test_one_row_of_each_component_stays(spark):
+    same, other = "one text that is told twice and more", "quite another text without a copy at all"
+    rows = [(3, same, "a"), (2, same, "b"), (2, other, "c"), (None, same, "d"), (None, "nobody knows where this one is from", "e")]
+    for names in (["doc_id", "text", "source"], ["doc_id", "text", "best_id"], ["doc_id", "text", "component"], ["doc_id", "text", "id_"], ["doc_id", "text", "lot"]):
+        kept = simhash.first_of_each(spark.createDataFrame(rows, names))
+        assert kept.columns == names
+        assert {tuple(r) for r in kept.collect()} == {rows[1], rows[2], rows[4]}
+
+
 def test_no_documents(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0

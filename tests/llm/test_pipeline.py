@@ -54,7 +54,7 @@ def test_each_stage_equals_brute_force(spark, tmp_path):
     component = slow_components(prints)
     groups = defaultdict(list)
     for (i, t), (_, p), c in zip(want, prints, component):
-        groups[c if c is not None else ("print", p)].append((i, t))
+        groups[c if c is not None else ("print", p)].append((i, t))  # here, texts without any id are far from each other
     kept = after["near_duplicates"]
     assert len(kept) == len(groups)
     for key, members in groups.items():
@@ -113,3 +113,14 @@ def test_near_copies_are_removed(spark):
         rows.append((2 * i + 1, " ".join(words)))
     docs = spark.createDataFrame([(i, t, "aa", "s1", 1, 0, None, 1.5) for i, t in rows], SCHEMA)
     assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()) == list(range(0, 60, 2))
+
+
+def test_extra_columns_of_clashing_names(spark):
+    names = ["id_", "key_", "blob_", "spans_", "lot_", "times_", "copy_", "key", "blob", "spans", "lot", "times", "c0", "col"]
+    extra = ", ".join(f"{n} int" for n in names)
+    rows = [(*r[:5], *range(len(names))) for r in table(7)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), docs.schema)
+        assert {tuple(r)[5:] for r in docs.collect()} == {tuple(range(len(names)))}, name
+    assert docs.count() > 50 and corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 50
