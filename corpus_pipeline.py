@@ -22,9 +22,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return simhash.first_of_each(docs, copies=True)
 
 
-def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in texts by a mark; all documents stay."""
-    return secrets.redacted(docs, Workspace(spark, "secret-ledger").path)
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """Replaces secrets in texts by a mark; all documents stay. ledger: a folder kept from run to run, so that known texts are not scanned again."""
+    return secrets.redacted(docs, ledger or Workspace(spark, "secret-ledger").path)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +48,9 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     work = Workspace(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        docs = work.save(stage(spark, docs, sf_dir), name)
+        docs = work.save(stage(spark, docs, sf_dir, **({"ledger": ledger} if stage is without_secrets else {})), name)
     return STAGES[-1][1](spark, docs, sf_dir)
