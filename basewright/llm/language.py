@@ -142,8 +142,9 @@ def sample(rows: DataFrame, most: int, seed: int = 11) -> DataFrame:
         return rows.limit(0)
     each = max(1, most // len(sizes))
     limits = [(lang, each, min(1 << 30, int((each + 4 * each**0.5 + 10) / n * (1 << 30)) + 1)) for lang, n in sizes]
+    few = len(limits) <= 10_000
     limits = rows.sparkSession.createDataFrame(limits, "lang string, each long, below long")
-    some = rows.withColumn("lot", lot).join(F.broadcast(limits), "lang").where(F.col("lot") < F.col("below"))
+    some = rows.withColumn("lot", lot).join(F.broadcast(limits) if few else limits, "lang").where(F.col("lot") < F.col("below"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("lot", "doc_id", "text"))
     return some.withColumn("place", place).where(F.col("place") <= F.col("each")).drop("lot", "below", "each")
 

@@ -120,7 +120,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     base = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     files = manifest.select("file", F.coalesce(base, F.lit(0)).alias("base"))  # one row per file
     rows = manifest.select("file").repartition(partitions(spark), "file").mapInArrow(run, RESULT)
-    return rows.join(F.broadcast(files), "file").select(
+    return rows.join(F.broadcast(files) if files.count() <= 100_000 else files, "file").select(
         "doc_id", (F.col("base") + F.col("position")).alias("start"), "n_tokens", "ids_crc32", "file", "position"
     )
 

@@ -18,7 +18,7 @@ def brute(rows, queries, k):
     return sorted(out)
 
 
-def test_equals_brute_force(spark):
+def test_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     centres = rng.normal(0, 0.3, (9, 12))
     f32 = lambda a: [float(x) for x in np.asarray(a, np.float32)]
@@ -27,8 +27,10 @@ def test_equals_brute_force(spark):
     rows += [(2000, None, ""), (2010, [0.5, None], ""), (2020, [float("nan")] * 12, ""), (2030, [float("inf")], ""), (2040, [], ""), (2050, [0.25], ""), (None, [1.0], ""), (20, rows[20][1], "")]
     docs = spark.createDataFrame(rows, SCHEMA)
     asked = lambda i: i % 10 == 0
-    for shard, group in ((8192, 4096), (100, 30)):
-        got = topk.top_k(docs, F.col("vec_id") % 10 == 0, shard=shard, group=group).collect()
+    for shard, group, part in ((8192, 4096, 2048), (100, 30, 3)):
+        monkeypatch.setattr(topk, "GROUP", group)
+        monkeypatch.setattr(topk, "SLICE", part)
+        got = topk.top_k(docs, F.col("vec_id") % 10 == 0, shard=shard).collect()
         assert sorted(tuple(r) for r in got) == brute(rows, asked, 5)
 
 
@@ -53,3 +55,21 @@ def test_large_components_and_nothing(spark):
     wrap = lambda x: (x + 2**63) % 2**64 - 2**63
     assert {(r.vec_id, r.score) for r in got} == {(i, wrap(dot(exact[0], exact[i]))) for i in range(1, 6)}
     assert topk.top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") == 0).count() == 0
+
+
+def test_only_due_shards_are_sent(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 1, (20, 16))
+    rows = [(i, [float(x) for x in centres[i % 20] + rng.normal(0, 0.02, 16)], "") for i in range(2000)]
+    docs, sent = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"), []
+    due = topk.due_pairs
+
+    def counted(queries, shards, *sizes):
+        pairs = due(queries, shards, *sizes)
+        sent.extend([pairs.count(), queries.count() * shards.count()])
+        return pairs
+
+    monkeypatch.setattr(topk, "due_pairs", counted)
+    got = topk.top_k(docs, F.col("vec_id") % 50 == 0, shard=100).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, lambda i: i % 50 == 0, 5)
+    assert sent[0] < 0.3 * sent[1]
