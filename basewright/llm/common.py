@@ -33,10 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def lean_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of fewer rows, as rows hold whole texts; a session's own setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
+    """Arrow batches of fewer rows and bytes, as rows hold whole texts; a session's own settings stay."""
+    for name, usual, value in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", "8388608b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
 
 
 class Workspace:

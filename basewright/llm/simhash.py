@@ -256,6 +256,8 @@ def copy_links(docs: DataFrame, work: Workspace, similarity: float = JACCARD) ->
     """Pairs (a, b) of fingerprints, a above b, that hold texts of at least so similar shingle sets.
 
     Candidates agree in a run of minima, which misses 3 in 100,000 pairs of just 0.8; each is confirmed by its sets.
+    Only links that join something new are sought: a bucket's sets are compared with two of it, and after that only
+    sets that are not yet in the bucket's largest component with those that are in others.
     """
     rng = np.random.default_rng(SEED)
     times, plus = (rng.integers(0, 1 << 63, BANDS * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
@@ -286,20 +288,39 @@ def copy_links(docs: DataFrame, work: Workspace, similarity: float = JACCARD) ->
 
     texts = fingerprints(docs.select(docs["text"].alias("text"), document_text(docs).alias("whole")), "whole")
     rows = work.save(texts.mapInArrow(run, "fingerprint long, name long, held binary, bands array<long>"), "sets")
-    names = rows.where(F.size("bands") > 0).select("name", "bands").distinct()
-    banded = work.save(names.select("name", F.posexplode("bands").alias("band", "key")), "minima")
-    other = banded.withColumnRenamed("name", "other")
-    pairs = banded.join(other, ["band", "key"]).where(F.col("name") > F.col("other")).select("name", "other").distinct()
-    pairs = work.save(pairs, "candidates")
-    wanted = pairs.select("name").union(pairs.select("other")).distinct()
-    held = work.save(rows.select("name", "held").join(wanted, "name", "left_semi").dropDuplicates(["name"]), "candidate-sets")
-    first = held.select("name", F.col("held").alias("x"))
-    second = held.select(F.col("name").alias("other"), F.col("held").alias("y"))
-    near = pairs.join(first, "name").join(second, "other").select("name", "other", "x", "y").mapInArrow(confirmed, "name long, other long")
-    # equal sets may have several fingerprints; the least node stands for the set
-    nodes = work.save(rows.where(F.size("bands") > 0).select("name", F.col("fingerprint").alias("node")).distinct(), "set-nodes")
+    sets = rows.where(F.size("bands") > 0)
+    banded = work.save(sets.select("name", "bands").distinct().select("name", F.posexplode("bands").alias("band", "key")), "minima")
+
+    def links_of(pairs: DataFrame, step: str) -> DataFrame:
+        """The pairs (a, b) of names whose sets are similar."""
+        pairs = work.save(pairs.select(F.greatest("name", "other").alias("a"), F.least("name", "other").alias("b")).distinct(), f"pairs-{step}")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+        held = work.save(sets.select("name", "held").join(wanted, "name", "left_semi").dropDuplicates(["name"]), f"sets-{step}")
+        both = pairs.join(held.withColumnsRenamed({"name": "a", "held": "x"}), "a").join(held.withColumnsRenamed({"name": "b", "held": "y"}), "b")
+        return work.save(both.select("a", "b", "x", "y").mapInArrow(confirmed, "a long, b long"), f"near-{step}")
+
+    # 1. every set against the first and the last of each of its buckets
+    many = banded.groupBy("band", "key").agg(F.min("name").alias("first"), F.max("name").alias("last")).where(F.col("first") < F.col("last"))
+    many = work.save(many, "buckets")
+    led = banded.join(many, ["band", "key"]).select("name", F.explode(F.array("first", "last")).alias("other")).where(F.col("name") != F.col("other"))
+    near = links_of(led, "led")
+    # 2. what these have not joined: sets outside of a bucket's largest component against the others' in the bucket
+    known = components(near, Workspace(docs.sparkSession, "copies")).withColumnRenamed("node", "name")
+    members = banded.join(many.select("band", "key"), ["band", "key"]).join(known, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    members = work.save(members, "members")
+    sizes = members.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("band", "key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    split = work.save(members.join(main, ["band", "key"]), "split")
+    outside = split.where(F.col("component") != F.col("main")).select("band", "key", F.col("name").alias("other"), F.col("component").alias("apart"))
+    outside = work.save(outside, "outside")
+    once = (F.col("component") == F.col("main")) | (F.col("name") < F.col("other"))
+    rest = outside.join(split, ["band", "key"]).where((F.col("component") != F.col("apart")) & once).select("name", "other")
+    near = near.union(links_of(rest, "rest"))
+    # equal sets may have several fingerprints; the least stands for the set
+    nodes = work.save(sets.select("name", F.col("fingerprint").alias("node")).distinct(), "set-nodes")
     least = work.save(nodes.groupBy("name").agg(F.min("node").alias("least")), "set-least")
-    links = near.join(least, "name").join(least.select(F.col("name").alias("other"), F.col("least").alias("more")), "other").select(F.greatest("least", "more").alias("a"), F.least("least", "more").alias("b"))
+    ends = [least.select(F.col("name").alias(c), F.col("least").alias(f"node_{c}")) for c in "ab"]
+    links = near.join(ends[0], "a").join(ends[1], "b").select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
     links = links.union(nodes.join(least, "name").select(F.col("node").alias("a"), F.col("least").alias("b")))
     return links.where(F.col("a") > F.col("b")).distinct()
 
