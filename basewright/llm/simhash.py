@@ -264,9 +264,11 @@ def copy_links(docs: DataFrame, work: Workspace, similarity: float = JACCARD) ->
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            names, sets, bands = [], [], []
+            prints, names, sets, bands = [], [], [], []
             for text in batch.column(0).cast(pa.binary()):
-                own = shingle_set(text.as_py())
+                text = text.as_py()
+                prints.append(simhash(text))
+                own = shingle_set(text)
                 least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, np.uint64)
                 for k in range(0, len(own), 1024):
                     np.minimum(least, (own[k : k + 1024, None] * times + plus).min(0), out=least)
@@ -275,7 +277,8 @@ def copy_links(docs: DataFrame, work: Workspace, similarity: float = JACCARD) ->
                 names.append(xxhash.xxh64_intdigest(sets[-1]))
                 bands.append([xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(runs)] if len(own) else [])
             names = pa.array(np.array(names, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(1), names, pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["fingerprint", "name", "held", "bands"])
+            prints = pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64))
+            yield pa.RecordBatch.from_arrays([prints, names, pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["fingerprint", "name", "held", "bands"])
 
     def confirmed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -286,8 +289,8 @@ def copy_links(docs: DataFrame, work: Workspace, similarity: float = JACCARD) ->
                 near.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
-    texts = fingerprints(docs.select(docs["text"].alias("text"), document_text(docs).alias("whole")), "whole")
-    rows = work.save(texts.mapInArrow(run, "fingerprint long, name long, held binary, bands array<long>"), "sets")
+    # one function for both, as a second one in a task is a second Python process
+    rows = work.save(docs.select(document_text(docs).alias("text")).mapInArrow(run, "fingerprint long, name long, held binary, bands array<long>"), "sets")
     sets = rows.where(F.size("bands") > 0)
     banded = work.save(sets.select("name", "bands").distinct().select("name", F.posexplode("bands").alias("band", "key")), "minima")
 

@@ -125,5 +125,40 @@ def test_one_row_of_each_component_stays(spark):
         assert {tuple(r) for r in kept.collect()} == {rows[1], rows[2], rows[4]}
 
 
+def test_near_copies_equal_brute_force(spark):
+    rng, texts = random.Random(9), []
+    for size in (40, 120, 300):
+        base = [f"w{rng.randrange(4000)}" for _ in range(size)]
+        for _ in range(40):  # edits of one text: many pairs are below the threshold and joined by others only
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, size // 60))):
+                words[rng.randrange(size)] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    texts += [" ".join(f"x{rng.randrange(10**6)}" for _ in range(50)) for _ in range(20)] + ["short", "short text", "Short Text"]
+    sets = [set(zip(*[t.lower().split()[k:] for k in range(5)])) or {tuple(t.lower().split())} for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    work = Workspace(spark, "copies-test")
+    prints = dict(simhash.fingerprints(docs, "doc_id").collect())
+    links = work.save(simhash.copy_links(docs, work), "links")
+    found = {r.node: r.component for r in simhash.components(links, work).collect()}
+    groups, want = {}, {}
+    for i in range(len(texts)):
+        groups.setdefault(found.get(prints[i], prints[i]), set()).add(i)
+        want.setdefault(root(i), set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
 def test_no_documents(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
