@@ -136,8 +136,11 @@ def sentence_stops(words) -> np.ndarray:
 NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True, files: int | None = None) -> DataFrame:
-    """One row per piece of a document: its place in the document and in its sequence, and its token ids if asked for."""
+def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True, files: int | None = None, keep: int = 300_000) -> DataFrame:
+    """One row per piece of a document: its place in the document and in its sequence, and its token ids if asked for.
+
+    keep: words whose ids a Python process remembers; fewer cost time, more cost memory.
+    """
     lean_batches(docs.sparkSession)
     path = tokenizer or tokenizer_path()
     names = NAMES if with_ids else NAMES[:-1]
@@ -151,7 +154,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True, f
         return pa.record_batch(arrays, list(names))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = coder(path)
+        words = coder(path, keep)
         packer = Packer(sentence_stops(words), TaskContext.get().partitionId() << 40)
         for batch in source:
             rows: list[tuple] = []

@@ -95,12 +95,12 @@ class WordCoder:
         return np.frombuffer(b"".join(known), self.dtype)
 
 
-_coders: dict[str, WordCoder] = {}
+_coders: dict[tuple, WordCoder] = {}
 
 
-def coder(path: str) -> WordCoder:
+def coder(path: str, keep: int = 300_000) -> WordCoder:
     """The coder of this process: workers keep it from task to task."""
-    if path not in _coders:
+    if (path, keep) not in _coders:
         _coders.clear()
-        _coders[path] = WordCoder(path)
-    return _coders[path]
+        _coders[path, keep] = WordCoder(path, keep)
+    return _coders[path, keep]
