@@ -165,11 +165,11 @@ def due_pairs(queries: DataFrame, shards: DataFrame, n_queries: int, n_shards: i
 
 
 def searched(held: DataFrame, queries: DataFrame, k: int, work: Workspace, name: str) -> DataFrame:
-    """held: id, v, shard. queries: id, v, least, shard; both written already. query_id, vec_id, score of each query's k best in its shard."""
+    """held: id, v, key, shard. queries: id, v, least, shard; both written already. query_id, vec_id, score of each query's k best in its shard."""
     many = work.save(queries.groupBy("shard").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")), name)
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
     queries = queries.join(many, "shard").select("id", "v", "least", "shard", part)
-    held = held.join(many, "shard").select("id", "v", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    held = held.join(many, "shard").select("id", "v", "key", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def search(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if docs.empty or asked.empty:
@@ -179,7 +179,6 @@ def searched(held: DataFrame, queries: DataFrame, k: int, work: Workspace, name:
         where, found, score, _ = Shard(docs["id"].to_numpy(), matrix(docs["v"], width)).search(ids, matrix(asked["v"], width), k, asked["least"].to_numpy())
         return pd.DataFrame({"query_id": ids[where], "vec_id": found, "score": score})
 
-    held = held.withColumn("key", nearness(F.col("v")))
     return held.groupBy("shard", "part").cogroup(queries.groupBy("shard", "part")).applyInPandas(search, RESULT)
 
 
@@ -192,7 +191,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
     rows = work.save(rows.withColumn("key", nearness(F.col("v"))).dropDuplicates(["id", "v"]), "rows")
     size, asked = rows.agg(F.count("*"), F.count_if("q")).first()
     ranged = rows.repartitionByRange(-(-size // shard) or 1, "key", "id")
-    held = work.save(ranged.select("id", "v", "q", F.spark_partition_id().alias("shard")), "shards")
+    held = work.save(ranged.select("id", "v", "q", "key", F.spark_partition_id().alias("shard")), "shards")
     nothing = F.lit(np.iinfo(np.int64).min)
     queries = work.save(held.where("q").select("id", "v", nothing.alias("least"), "shard"), "queries")
     near = work.save(searched(held, queries, k, work, "parts-of-homes"), "near")
