@@ -5,6 +5,9 @@
     python -m basewright show folder
     python -m basewright encode text folder [--version 1]
     python -m basewright check folder
+    python -m basewright compress path folder [--method pigz] [--threads 4] [--decompress] [--replace]
+
+--log-level, before the command, sets how much Spark logs.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import convert, integrity, sizes
-from .sources import container, edit_text, fasta
+from .sources import compressed, container, edit_text, fasta
 
 SHOWN = 10
 
@@ -63,20 +66,35 @@ def run_check(spark: SparkSession, args: argparse.Namespace) -> int:
     return int(n > 0)
 
 
-COMMANDS = {"convert": (run_convert, True), "compare": (run_compare, False), "show": (run_show, False), "encode": (run_encode, True), "check": (run_check, False)}
+def run_compress(spark: SparkSession, args: argparse.Namespace) -> int:
+    compressed.compress_files(spark, args.input, args.output, args.method, args.decompress, args.threads, keep=not args.replace).show(truncate=False)
+    return 0
+
+
+COMMANDS = {"convert": (run_convert, True), "compare": (run_compare, False), "show": (run_show, False), "encode": (run_encode, True), "check": (run_check, False), "compress": (run_compress, True)}
 
 
 def main(argv: list[str], spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="basewright", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    parser.add_argument("--log-level", choices=("ALL", "TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL", "OFF"))
     commands = parser.add_subparsers(dest="command", required=True)
     for name, (_, writes) in COMMANDS.items():
         sub = commands.add_parser(name)
         sub.add_argument("input")
         if writes:
             sub.add_argument("output")
+        if name == "compress":
+            sub.add_argument("--method", choices=tuple(compressed.SUFFIXES), default="pigz")
+            sub.add_argument("--threads", type=int, default=1)
+            sub.add_argument("--decompress", action="store_true")
+            sub.add_argument("--replace", action="store_true")
+        elif writes:
             sub.add_argument("--version", type=int, choices=(1, 2), default=2)
     args = parser.parse_args(argv)
-    return COMMANDS[args.command][0](spark or SparkSession.builder.appName("basewright").getOrCreate(), args)
+    spark = spark or SparkSession.builder.appName("basewright").getOrCreate()
+    if args.log_level:
+        spark.sparkContext.setLogLevel(args.log_level)
+    return COMMANDS[args.command][0](spark, args)
 
 
 if __name__ == "__main__":

@@ -31,3 +31,12 @@ def test_problems_are_told(spark, tmp_path, capsys):
     assert command.main(["check", f"{tmp_path}/out"], spark) == 1
     with pytest.raises(SystemExit):
         command.main(["mend", "x"], spark)
+
+
+def test_compress(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.fasta").write_text(">a\nACGT\n")
+    assert command.main(["--log-level", "ERROR", "compress", f"{tmp_path}/in", f"{tmp_path}/out", "--threads", "2", "--replace"], spark) == 0
+    assert not (tmp_path / "in" / "x.fasta").exists()
+    assert command.main(["compress", f"{tmp_path}/out", f"{tmp_path}/back", "--decompress"], spark) == 0
+    assert (tmp_path / "back" / "x.fasta").read_text() == ">a\nACGT\n"
