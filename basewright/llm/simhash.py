@@ -37,6 +37,8 @@ RADIUS, SHINGLE, SEED, TREE = 3, 3, 42, 8192
 FRONTIER = 1 << 19
 #: Near copies share this part of their distinct shingles of so many words; candidates agree in one of BANDS runs of DEPTH minima.
 JACCARD, WORDS, BANDS, DEPTH = 0.8, 5, 20, 4
+#: Hashes of texts that are sent to every task; if there are more, they are joined.
+SENT = 1_000_000
 
 
 def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
@@ -58,18 +60,55 @@ def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
     return np.packbits(2 * ones > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, *keep: str, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """Adds the fingerprint of whole texts as a signed number. keep: columns to carry."""
+def shingle_set(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Hashes of the distinct runs of so many words, in order; a shorter text is one run."""
+    found = text.lower().split()
+    runs = {b" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1))} if found else ()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, seed) for r in runs), np.uint64, len(runs)))
+
+
+def set_name(hashes: np.ndarray) -> int:
+    """One signed number for a set of shingles."""
+    return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
+def minima(hashes: np.ndarray, times: np.ndarray, plus: np.ndarray) -> list[int]:
+    """A signed number for each run of ``DEPTH`` minima of a set; none for an empty one."""
+    least = np.full(len(times), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[k : k + 1024, None] * times + plus).min(0), out=least)
+    runs = least.reshape(-1, DEPTH)
+    return [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(runs)] if len(hashes) else []
+
+
+def fingerprints(docs: DataFrame, *keep: str, shingle: int = SHINGLE, seed: int = SEED, copies: bool = False) -> DataFrame:
+    """Adds the fingerprint of whole texts as a signed number. keep: columns to carry.
+
+    copies: adds the name of the text's shingle set and the set's runs of minima, too, from the same Python function,
+    as a second one in a task would be a second process.
+    """
+    rng = np.random.default_rng(SEED)
+    times, plus = (rng.integers(0, 1 << 63, BANDS * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    names = [*keep, "fingerprint", *["name", "bands"] * copies]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            prints = b"".join(simhash(t.as_py(), shingle, seed) for t in batch.column(batch.num_columns - 1).cast(pa.binary()))
-            found = pa.array(np.frombuffer(prints, ">i8").astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*keep, "fingerprint"])
+            prints, sets, bands = [], [], []
+            for text in batch.column(batch.num_columns - 1).cast(pa.binary()):
+                text = text.as_py()
+                prints.append(simhash(text, shingle, seed))
+                if copies:
+                    own = shingle_set(text)
+                    sets.append(set_name(own))
+                    bands.append(minima(own, times, plus))
+            columns = [*batch.columns[:-1], pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64))]
+            if copies:
+                columns += [pa.array(sets, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(*keep, document_text(docs).alias("_".join(["text", *keep])))  # no column to keep has this name
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "fingerprint long"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema + ", name long, bands array<long>" * copies)
 
 
 class Forest:
@@ -245,40 +284,21 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def shingle_set(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
-    """Hashes of the distinct runs of so many words, in order; a shorter text is one run."""
-    found = text.lower().split()
-    runs = {b" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1))} if found else ()
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, seed) for r in runs), np.uint64, len(runs)))
-
-
-def copy_links(docs: DataFrame, work: Workspace, similarity: float = JACCARD) -> DataFrame:
+def copy_links(docs: DataFrame, rows: DataFrame, work: Workspace, similarity: float = JACCARD) -> DataFrame:
     """Pairs (a, b) of fingerprints, a above b, that hold texts of at least so similar shingle sets.
 
-    Candidates agree in a run of minima, which misses 3 in 100,000 pairs of just 0.8; each is confirmed by its sets.
-    Only links that join something new are sought: a bucket's sets are compared with two of it, and after that only
-    sets that are not yet in the bucket's largest component with those that are in others.
+    docs: lot (a hash of the text), text. rows: lot, fingerprint, name, bands of each document.
+    Candidates agree in a run of minima, which misses 3 in 100,000 pairs of just 0.8; each is confirmed by its sets,
+    made again from one text of each set that a candidate needs, so that the corpus's sets are never kept on disk.
+    Only links that join something new are sought: each set is compared with the first or last of its buckets that
+    shares most of them, then with the others of these that are still apart, and after that only sets that are not
+    yet in the bucket's largest component with those that are in others.
     """
-    rng = np.random.default_rng(SEED)
-    times, plus = (rng.integers(0, 1 << 63, BANDS * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            prints, names, sets, bands = [], [], [], []
-            for text in batch.column(0).cast(pa.binary()):
-                text = text.as_py()
-                prints.append(simhash(text))
-                own = shingle_set(text)
-                least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, np.uint64)
-                for k in range(0, len(own), 1024):
-                    np.minimum(least, (own[k : k + 1024, None] * times + plus).min(0), out=least)
-                runs = least.reshape(BANDS, DEPTH)
-                sets.append(own.tobytes())
-                names.append(xxhash.xxh64_intdigest(sets[-1]))
-                bands.append([xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(runs)] if len(own) else [])
-            names = pa.array(np.array(names, np.uint64).view(np.int64))
-            prints = pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64))
-            yield pa.RecordBatch.from_arrays([prints, names, pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["fingerprint", "name", "held", "bands"])
+            sets = [shingle_set(text.as_py()) for text in batch.column(0).cast(pa.binary())]
+            yield pa.record_batch([pa.array([set_name(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["name", "held"])
 
     def confirmed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -289,26 +309,40 @@ def copy_links(docs: DataFrame, work: Workspace, similarity: float = JACCARD) ->
                 near.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
-    # one function for both, as a second one in a task is a second Python process
-    rows = work.save(docs.select(document_text(docs).alias("text")).mapInArrow(run, "fingerprint long, name long, held binary, bands array<long>"), "sets")
     sets = rows.where(F.size("bands") > 0)
     banded = work.save(sets.select("name", "bands").distinct().select("name", F.posexplode("bands").alias("band", "key")), "minima")
+    texts = work.save(sets.groupBy("name").agg(F.min("lot").alias("lot")), "set-texts")
 
     def links_of(pairs: DataFrame, step: str) -> DataFrame:
         """The pairs (a, b) of names whose sets are similar."""
         pairs = work.save(pairs.select(F.greatest("name", "other").alias("a"), F.least("name", "other").alias("b")).distinct(), f"pairs-{step}")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-        held = work.save(sets.select("name", "held").join(wanted, "name", "left_semi").dropDuplicates(["name"]), f"sets-{step}")
+        wanted = work.save(texts.join(wanted, "name", "left_semi").select("lot"), f"wanted-{step}")
+        few = wanted.count() <= SENT
+        held = docs.select("lot", document_text(docs).alias("text")).join(F.broadcast(wanted) if few else wanted, "lot", "left_semi").dropDuplicates(["lot"])
+        held = work.save(held.select("text").mapInArrow(hashed, "name long, held binary"), f"sets-{step}")
         both = pairs.join(held.withColumnsRenamed({"name": "a", "held": "x"}), "a").join(held.withColumnsRenamed({"name": "b", "held": "y"}), "b")
-        return work.save(both.select("a", "b", "x", "y").mapInArrow(confirmed, "a long, b long"), f"near-{step}")
+        near = work.save(both.select("a", "b", "x", "y").mapInArrow(confirmed, "a long, b long"), f"near-{step}")
+        work.drop(f"sets-{step}")
+        return near
+
+    def joined(near: DataFrame, step: str) -> DataFrame:
+        """Every linked name with its component so far."""
+        return components(near, Workspace(docs.sparkSession, f"copies-{step}")).withColumnRenamed("node", "name")
 
-    # 1. every set against the first and the last of each of its buckets
+    # 1. every set against the one of the first and the last of its buckets that it shares most buckets with
     many = banded.groupBy("band", "key").agg(F.min("name").alias("first"), F.max("name").alias("last")).where(F.col("first") < F.col("last"))
     many = work.save(many, "buckets")
     led = banded.join(many, ["band", "key"]).select("name", F.explode(F.array("first", "last")).alias("other")).where(F.col("name") != F.col("other"))
-    near = links_of(led, "led")
-    # 2. what these have not joined: sets outside of a bucket's largest component against the others' in the bucket
-    known = components(near, Workspace(docs.sparkSession, "copies")).withColumnRenamed("node", "name")
+    led = work.save(led.groupBy("name", "other").agg(F.count("*").alias("shared")), "led")
+    near = links_of(led.groupBy("name").agg(F.max_by("other", F.struct("shared", "other")).alias("other")), "best")
+    # 2. against the others of these, where that may join something
+    known = joined(near, "best")
+    apart = led.join(known, "name", "left").withColumnRenamed("component", "own")
+    apart = apart.join(known.withColumnsRenamed({"name": "other", "component": "theirs"}), "other", "left")
+    near = near.union(links_of(apart.where(F.coalesce("own", "name") != F.coalesce("theirs", "other")), "led"))
+    # 3. what these have not joined: sets outside of a bucket's largest component against the others' in the bucket
+    known = joined(near, "led")
     members = banded.join(many.select("band", "key"), ["band", "key"]).join(known, "name", "left").withColumn("component", F.coalesce("component", "name"))
     members = work.save(members, "members")
     sizes = members.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
@@ -329,10 +363,10 @@ def copy_links(docs: DataFrame, work: Workspace, similarity: float = JACCARD) ->
 
 
 def linked(docs: DataFrame, rows: DataFrame, work: Workspace, radius: int, tree: int, copies: bool) -> DataFrame:
-    """rows: doc_id, fingerprint of docs. print_ (each distinct fingerprint), component (a fingerprint of it), component_id."""
+    """rows: doc_id, fingerprint of docs; for copies lot, name and bands, too. print_ (each distinct fingerprint), component (a fingerprint of it), component_id."""
     classes = work.save(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "classes")
     links = star_links(classes, work, radius, tree)
-    links = work.save(links.union(copy_links(docs, work)).distinct() if copies else links, "links")
+    links = work.save(links.union(copy_links(docs, rows, work)).distinct() if copies else links, "links")
     known = components(links, work)
     found = classes.join(known, F.col("fingerprint") == F.col("node"), "left").select(F.col("fingerprint").alias("print_"), F.coalesce("component", "fingerprint").alias("component"), "least")
     found = work.save(found, "components")
@@ -343,9 +377,9 @@ def linked(docs: DataFrame, rows: DataFrame, work: Workspace, radius: int, tree:
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, tree: int = TREE, copies: bool = False) -> DataFrame:
     """doc_id, fingerprint (number), component_id for every row. copies: links near copies by their shingle sets, too."""
     work = Workspace(docs.sparkSession, "simhash")
-    own = docs.select(docs[id_column].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    rows = work.save(fingerprints(own, "doc_id", shingle=shingle), "fingerprints")
-    found = linked(docs, rows, work, radius, tree, copies)
+    own = docs.select(docs[id_column].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("lot"))
+    rows = work.save(fingerprints(own, "doc_id", *["lot"] * copies, shingle=shingle, copies=copies), "fingerprints")
+    found = linked(own, rows, work, radius, tree, copies)
     return rows.join(found, F.col("fingerprint") == F.col("print_")).select("doc_id", "fingerprint", "component_id")
 
 
@@ -356,8 +390,8 @@ def first_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE,
     held = docs.toDF(*names)
     id_, text = (held[names[docs.columns.index(c)]] for c in ("doc_id", "text"))
     own = held.select(id_.cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("lot"))
-    rows = work.save(fingerprints(own, "doc_id", "lot", shingle=shingle), "fingerprints")
-    found = linked(docs, rows, work, radius, TREE, copies)
+    rows = work.save(fingerprints(own, "doc_id", "lot", shingle=shingle, copies=copies), "fingerprints")
+    found = linked(own, rows, work, radius, TREE, copies)
     best = rows.join(found, F.col("fingerprint") == F.col("print_")).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "lot")).alias("best"))
     best = best.select("component", F.col("best.doc_id").alias("best_id"), F.col("best.lot").alias("best_lot"))
     kept = held.join(best, id_.cast("long").eqNullSafe(F.col("best_id")) & (F.xxhash64(text) == F.col("best_lot")))

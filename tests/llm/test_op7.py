@@ -2,7 +2,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from basewright.llm import simhash
 from basewright.llm.common import Workspace
@@ -125,7 +127,9 @@ def test_one_row_of_each_component_stays(spark):
         assert {tuple(r) for r in kept.collect()} == {rows[1], rows[2], rows[4]}
 
 
-def test_near_copies_equal_brute_force(spark):
+@pytest.mark.parametrize("sent", [simhash.SENT, 0])
+def test_near_copies_equal_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(simhash, "SENT", sent)  # hashes of wanted texts are sent to tasks, or joined
     rng, texts = random.Random(9), []
     for size in (40, 120, 300):
         base = [f"w{rng.randrange(4000)}" for _ in range(size)]
@@ -150,8 +154,10 @@ def test_near_copies_equal_brute_force(spark):
                 parent[max(root(i), root(j))] = min(root(i), root(j))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     work = Workspace(spark, "copies-test")
-    prints = dict(simhash.fingerprints(docs, "doc_id").collect())
-    links = work.save(simhash.copy_links(docs, work), "links")
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("lot"))
+    rows = work.save(simhash.fingerprints(own, "doc_id", "lot", copies=True), "fingerprints")
+    prints = {r.doc_id: r.fingerprint for r in rows.collect()}
+    links = work.save(simhash.copy_links(own, rows, work), "links")
     found = {r.node: r.component for r in simhash.components(links, work).collect()}
     groups, want = {}, {}
     for i in range(len(texts)):
