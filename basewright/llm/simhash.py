@@ -37,8 +37,8 @@ RADIUS, SHINGLE, SEED, TREE = 3, 3, 42, 8192
 FRONTIER = 1 << 19
 #: Near copies share this part of their distinct shingles of so many words; candidates agree in one of BANDS runs of DEPTH minima.
 JACCARD, WORDS, BANDS, DEPTH = 0.8, 5, 20, 4
-#: Hashes of texts that are sent to every task; if there are more, they are joined.
-SENT = 1_000_000
+#: Hashes of texts, and bytes of shingle sets, that are sent to every task; if there are more, they are joined.
+SENT, SENT_BYTES = 1_000_000, 16 << 20
 
 
 def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
@@ -321,7 +321,9 @@ def copy_links(docs: DataFrame, rows: DataFrame, work: Workspace, similarity: fl
         few = wanted.count() <= SENT
         held = docs.select("lot", document_text(docs).alias("text")).join(F.broadcast(wanted) if few else wanted, "lot", "left_semi").dropDuplicates(["lot"])
         held = work.save(held.select("text").mapInArrow(hashed, "name long, held binary"), f"sets-{step}")
-        both = pairs.join(held.withColumnsRenamed({"name": "a", "held": "x"}), "a").join(held.withColumnsRenamed({"name": "b", "held": "y"}), "b")
+        small = (held.agg(F.sum(F.length("held") + 32)).first()[0] or 0) <= SENT_BYTES
+        x, y = (held.withColumnsRenamed({"name": n, "held": h}) for n, h in ("ax", "by"))
+        both = pairs.join(F.broadcast(x) if small else x, "a").join(F.broadcast(y) if small else y, "b")
         near = work.save(both.select("a", "b", "x", "y").mapInArrow(confirmed, "a long, b long"), f"near-{step}")
         work.drop(f"sets-{step}")
         return near

@@ -127,9 +127,11 @@ def test_one_row_of_each_component_stays(spark):
         assert {tuple(r) for r in kept.collect()} == {rows[1], rows[2], rows[4]}
 
 
-@pytest.mark.parametrize("sent", [simhash.SENT, 0])
+@pytest.mark.parametrize("sent", [(simhash.SENT, simhash.SENT_BYTES), (0, 0)])
 def test_near_copies_equal_brute_force(spark, monkeypatch, sent):
-    monkeypatch.setattr(simhash, "SENT", sent)  # hashes of wanted texts are sent to tasks, or joined
+    # hashes of wanted texts and their sets are sent to tasks, or joined
+    monkeypatch.setattr(simhash, "SENT", sent[0])
+    monkeypatch.setattr(simhash, "SENT_BYTES", sent[1])
     rng, texts = random.Random(9), []
     for size in (40, 120, 300):
         base = [f"w{rng.randrange(4000)}" for _ in range(size)]
