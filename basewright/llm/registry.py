@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("token_files", "warc", "language", "topk", "secrets", "mixing", "simhash", "quality", "lm_scoring", "packing")
+MODULES = ("token_files", "warc", "language", "topk", "secrets", "mixing", "simhash", "quality", "lm_scoring", "packing", "runs", "itq", "divergence")
 
 
 def queries() -> dict:

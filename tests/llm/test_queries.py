@@ -1,4 +1,4 @@
-"""The ten registered queries on a folder of tables: contract columns and types, row counts, and their SQL where there is some."""
+"""The registered queries on a folder of tables: contract columns and types, row counts, and their SQL where there is some."""
 
 import os
 
@@ -21,6 +21,9 @@ COLUMNS = {
     "op8_quality": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op9_lm_scoring": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     "op10_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op11_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op12_near_vectors": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+    "op13_divergence": "lang string, source string, part string, item string, value bigint, rank int",
 }
 
 
@@ -30,7 +33,7 @@ def rows_of(table):
 
 def test_all_are_registered():
     assert set(registry.queries()) == set(COLUMNS)
-    assert set(registry.oracle_sql()) == {"op2_warc", "op4_top_k", "op5_secrets"}
+    assert set(registry.oracle_sql()) == {"op2_warc", "op4_top_k", "op5_secrets", "op12_near_vectors", "op13_divergence"}
 
 
 @pytest.mark.parametrize("name", COLUMNS)
@@ -45,8 +48,8 @@ def test_query(spark, name):
         assert len({r.doc_id for r in rows}) == rows_of("documents")
         for r in rows:
             assert 0 <= r.offset and r.offset + r.length <= 4096
-    elif name != "op4_top_k":
-        assert len(rows) == rows_of("documents")
+    elif name not in ("op4_top_k", "op13_divergence"):
+        assert len(rows) == rows_of("embeddings" if name == "op12_near_vectors" else "documents")
     if name in registry.oracle_sql():
         con = duckdb.connect()
         for table in ("documents", "pages", "embeddings"):
