@@ -1,13 +1,13 @@
 """Command line: convert FASTA files, compare storage variants, show and encode edit text, check containers.
 
-    python -m basewright convert x.fasta out [--version 1]
+    python -m basewright convert x.fasta [out] [--version 1]
     python -m basewright compare x.fasta
     python -m basewright show folder
     python -m basewright encode text folder [--version 1]
     python -m basewright check folder
     python -m basewright compress path folder [--method pigz] [--threads 4] [--decompress] [--replace]
 
---log-level, before the command, sets how much Spark logs.
+convert writes to a folder beside the input, x.seqs, if none is named. --log-level, before the command, sets how much Spark logs.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ SHOWN = 10
 
 
 def run_convert(spark: SparkSession, args: argparse.Namespace) -> int:
-    done = convert.convert_fasta(spark, args.input, args.output, args.version)
+    output = args.output or spark.range(1).select(compressed.output_name(F.lit(args.input))).first()[0]
+    done = convert.convert_fasta(spark, args.input, output, args.version)
     if done.mixed:
         print(f"{done.mixed} records hold both T and U, of which one letter is kept; the first are:")
         convert.mixed_records(fasta.read_fasta(spark, args.input)).orderBy("file", "rec_no").limit(SHOWN).show(truncate=False)
@@ -82,7 +83,7 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         sub = commands.add_parser(name)
         sub.add_argument("input")
         if writes:
-            sub.add_argument("output")
+            sub.add_argument("output", nargs="?" if name == "convert" else None)
         if name == "compress":
             sub.add_argument("--method", choices=tuple(compressed.SUFFIXES), default="pigz")
             sub.add_argument("--threads", type=int, default=1)

@@ -8,18 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases
-from ..sources import container, fasta
+from ..sources import commits, container, fasta
 from . import integrity
 
 
 @dataclass
 class Conversion:
-    """manifest of the files; one row of counters; the records that differ; how many records mix T and U."""
+    """manifest of the files; how many records mix T and U; the report of what came back."""
 
     manifest: DataFrame
-    summary: DataFrame
-    details: DataFrame
     mixed: int
+    report: integrity.Report
+
+    @property
+    def summary(self) -> DataFrame:
+        """One row of counters."""
+        return self.report.summary()
+
+    @property
+    def details(self) -> DataFrame:
+        """The records that differ; found only when asked for."""
+        return self.report.details()
 
 
 def with_types(records: DataFrame) -> DataFrame:
@@ -34,8 +43,9 @@ def mixed_records(records: DataFrame) -> DataFrame:
 
 
 def convert_fasta(spark: SparkSession, path: str | list[str], folder: str, version: int = 2) -> Conversion:
+    """FASTA files to containers in a folder, which must not be or hold an input. Paths may be relative."""
     container.known_version(version)
-    records = fasta.read_fasta(spark, path)
-    manifest = container.write_records(with_types(records).drop("id"), folder, version)
-    decoded = container.read_records(spark, folder)
-    return Conversion(manifest, integrity.summary(records, decoded), integrity.details(records, decoded), mixed_records(records).count())
+    paths = [commits.qualified(spark, p) for p in ([path] if isinstance(path, str) else path)]
+    records = fasta.read_fasta(spark, paths)
+    manifest = container.write_records(with_types(records).drop("id"), folder, version, inputs=paths)
+    return Conversion(manifest, mixed_records(records).count(), integrity.Report(records, container.read_records(spark, folder)))

@@ -84,38 +84,52 @@ def compared(original: DataFrame, decoded: DataFrame) -> DataFrame:
     return rows.withColumns({"known": F.coalesce("known", F.lit(False)), "paired": F.coalesce("paired", F.lit(False)), "equal": F.col("sha").eqNullSafe(F.col("original_sha"))})
 
 
+class Report:
+    """What came back of original records. Both frames are read and hashed once, when the report is made; summary and details read only the facts."""
+
+    def __init__(self, original: DataFrame, decoded: DataFrame):
+        self.records = original, decoded
+        self.original, self.decoded = saved(original, "original-facts"), saved(decoded, "decoded-facts")
+
+    def summary(self) -> DataFrame:
+        """One row: five counters of decoded records, originals of whose description none came back, whether any is above zero, and how many records there are."""
+        rows, there = compared(self.original, self.decoded), F.col("original_sha").isNotNull()
+        out = rows.agg(
+            F.count_if(~F.col("equal")).alias("mismatches"),
+            F.count_if(~F.col("known")).alias("not_found"),
+            F.count_if(F.col("known") & ~F.col("paired")).alias("pair_mismatches"),
+            F.count_if(there & (F.col("original_size") != F.col("size"))).alias("length_mismatches"),
+            F.count_if(there & (F.col("original_sha") != F.col("sha"))).alias("hash_mismatches"),
+            F.count("*").alias("decoded"),
+        )
+        back = self.decoded.groupBy("description").agg(F.lit(True).alias("back"))
+        lost = self.original.join(back, "description", "left").agg(F.count_if(F.col("back").isNull()).alias("missing"), F.count("*").alias("originals"))
+        counters = ("mismatches", "not_found", "pair_mismatches", "length_mismatches", "hash_mismatches", "missing")
+        out = out.crossJoin(lost)  # one row each
+        return out.select(*counters, (F.greatest(*counters) > 0).alias("any_issue"), "originals", "decoded")
+
+    def details(self) -> DataFrame:
+        """One row per decoded record that differs from the original of its description. Only sequences of these are fetched."""
+        rows = compared(self.original, self.decoded).where(~F.col("equal")).select("description", "place", "original_place")
+        original, decoded = self.records
+        sequence = lambda records: records.select(F.struct(*[c for c in ("file", "rec_no") if c in records.columns]).alias("at"), "sequence")
+        rows = rows.join(sequence(decoded).withColumnsRenamed({"at": "place", "sequence": "decoded"}), "place")
+        rows = rows.join(sequence(original).withColumnsRenamed({"at": "original_place", "sequence": "original"}), "original_place", "left")
+        a, b = text(F.col("original")), F.col("decoded")
+        rows = rows.withColumn("at", first_difference(a, b))
+        return rows.select(
+            F.col("place.rec_no").cast("long").alias("index"), "description", mismatch_reason(F.col("original"), b).alias("reason"), F.col("at").alias("first_diff_at"),
+            *[count_symbol(s, x).alias(f"{name}_{x}") for name, s in (("orig", a), ("dec", b)) for x in "TU"],
+            context(a, b, F.col("at")).alias("ctx_orig"), context(b, b, F.col("at")).alias("ctx_dec"),
+        )
+
+
 def summary(original: DataFrame, decoded: DataFrame) -> DataFrame:
-    """One row: five counters of decoded records, originals of whose description none came back, whether any is above zero, and how many records there are."""
-    original, decoded = saved(original, "original-facts"), saved(decoded, "decoded-facts")
-    rows, there = compared(original, decoded), F.col("original_sha").isNotNull()
-    out = rows.agg(
-        F.count_if(~F.col("equal")).alias("mismatches"),
-        F.count_if(~F.col("known")).alias("not_found"),
-        F.count_if(F.col("known") & ~F.col("paired")).alias("pair_mismatches"),
-        F.count_if(there & (F.col("original_size") != F.col("size"))).alias("length_mismatches"),
-        F.count_if(there & (F.col("original_sha") != F.col("sha"))).alias("hash_mismatches"),
-        F.count("*").alias("decoded"),
-    )
-    back = decoded.groupBy("description").agg(F.lit(True).alias("back"))
-    lost = original.join(back, "description", "left").agg(F.count_if(F.col("back").isNull()).alias("missing"), F.count("*").alias("originals"))
-    counters = ("mismatches", "not_found", "pair_mismatches", "length_mismatches", "hash_mismatches", "missing")
-    out = out.crossJoin(lost)  # one row each
-    return out.select(*counters, (F.greatest(*counters) > 0).alias("any_issue"), "originals", "decoded")
+    return Report(original, decoded).summary()
 
 
 def details(original: DataFrame, decoded: DataFrame) -> DataFrame:
-    """One row per decoded record that differs from the original of its description. Only sequences of these are fetched."""
-    rows = compared(saved(original, "original-facts"), saved(decoded, "decoded-facts")).where(~F.col("equal")).select("description", "place", "original_place")
-    sequence = lambda records: records.select(F.struct(*[c for c in ("file", "rec_no") if c in records.columns]).alias("at"), "sequence")
-    rows = rows.join(sequence(decoded).withColumnsRenamed({"at": "place", "sequence": "decoded"}), "place")
-    rows = rows.join(sequence(original).withColumnsRenamed({"at": "original_place", "sequence": "original"}), "original_place", "left")
-    a, b = text(F.col("original")), F.col("decoded")
-    rows = rows.withColumn("at", first_difference(a, b))
-    return rows.select(
-        F.col("place.rec_no").cast("long").alias("index"), "description", mismatch_reason(F.col("original"), b).alias("reason"), F.col("at").alias("first_diff_at"),
-        *[count_symbol(s, x).alias(f"{name}_{x}") for name, s in (("orig", a), ("dec", b)) for x in "TU"],
-        context(a, b, F.col("at")).alias("ctx_orig"), context(b, b, F.col("at")).alias("ctx_dec"),
-    )
+    return Report(original, decoded).details()
 
 
 def first_details(rows: DataFrame, n: int = 10) -> DataFrame:

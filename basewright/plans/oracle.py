@@ -148,7 +148,7 @@ SELECT CAST(rec_no AS BIGINT) AS index, description,
     "save_roundtrip": f"WITH {derived()} SELECT description, {BACK} AS sequence, nuc FROM e WHERE s <> ''",
     "compressed_roundtrip": f"WITH {derived()} SELECT description, s AS sequence FROM d",
     "encoded_stream": f"""WITH {derived()} SELECT description, enc, CAST(NULL AS VARCHAR) AS bad_symbol, CAST(length(s) AS BIGINT) AS n_bases, CAST({RECORD_BYTES} AS BIGINT) AS record_bytes FROM e""",
-    "file_sizes": f"""WITH {derived()}, n AS (SELECT CAST(12 + sum({RECORD_BYTES}) AS BIGINT) AS n FROM e) SELECT n AS size_bytes, n AS written FROM n""",
+    "file_sizes": f"""WITH {derived()}, n AS (SELECT CAST(coalesce(sum({RECORD_BYTES}), 0) AS BIGINT) AS n FROM e) SELECT n AS size_bytes, n AS written FROM n""",
     "plain_sizes": f"""WITH {derived()}, n AS (
   SELECT CAST(coalesce(sum(octet_length(encode(description)) + 2 + length(s) + greatest(ceil(length(s) / 80.0), 1)), 0) AS BIGINT) AS fasta, CAST(12 + coalesce(sum({RECORD_BYTES}), 0) AS BIGINT) AS container, sum(length(s)) AS total FROM e
 ), m AS (SELECT 'fasta' AS method, fasta AS size_bytes, total FROM n UNION ALL SELECT 'container', container, total FROM n), r AS (SELECT method, size_bytes, round_even(total / size_bytes, 2) AS ncf FROM m)
@@ -160,6 +160,7 @@ SELECT doc_id, CASE WHEN length(s) > 200 THEN left(s, 200) || '…' ELSE s END A
     "output_names": """SELECT doc_id, 'x.seqs/doc' || doc_id || '.seqs' AS container,
   'x.fasta/doc' || doc_id || '.fasta' || CASE doc_id % 3 WHEN 0 THEN '_pigz.gz' WHEN 1 THEN '_zlib.gz' ELSE '.bz2' END AS compressed FROM documents""",
 }
+SQL["container_by_blocks"] = SQL["container_by_search"] = SQL["container_roundtrip"]
 SQL["integrity_report"] = SQL["integrity_details"] + " ORDER BY index LIMIT 10"
 #: The checksum's table, by its rule from the reversed polynomial.
 CRC_TABLE = "SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n)"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bases, wire
 from ..operators import convert, integrity, sizes
-from ..sources import compressed, container, edit_text, fasta
+from ..sources import commits, compressed, container, edit_text, fasta
 from ..sources.scratch import scratch
 from ..streaming import encode
 
@@ -181,7 +181,9 @@ def edit_text_render(spark, sf_dir):
 
 
 def edit_text_parse(spark, sf_dir):
-    text = F.concat(F.lit(edit_text.HEAD), edit_text.rendered(F.col("description"), seq(), F.col("nuc")), F.lit("\n\n"))
+    hint = F.element_at(F.array(F.lit(" | NUC="), F.lit(" | nuc="), F.lit(" |  Nuc= ")), F.pmod("doc_id", F.lit(3)).cast("int") + 1)
+    record = F.replace(edit_text.rendered(F.col("description"), seq(), F.col("nuc")), F.lit(" | NUC="), hint)
+    text = F.concat(F.lit(edit_text.HEAD), record, F.lit("\n\n"))
     rows = edit_text.parse(records(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file"), text.alias("text")))
     return rows.select(F.col("file").cast("long").alias("doc_id"), "rec_no", "description", "sequence", "nuc_hint", "problem")
 
@@ -203,6 +205,20 @@ def container_roundtrip(spark, sf_dir):
     return container.read_records(spark, path).select("description", "sequence", "nuc")
 
 
+def container_by_blocks(spark, sf_dir):
+    """Files read by the block index that the sink left, in pieces of some kB."""
+    path = scratch(spark, "blocks")
+    container.write_records(records(spark, sf_dir), path, block=1 << 14)
+    return container.read_records(spark, path, span=1 << 15).select("description", "sequence", "nuc")
+
+
+def container_by_search(spark, sf_dir):
+    """The same files without their index, as those of others: ranges find their records by checksums."""
+    path = scratch(spark, "search")
+    container.write_records(records(spark, sf_dir), path)
+    return container.read_records(spark, f"{commits.current(spark, path)}/*.seqs", span=1 << 15).select("description", "sequence", "nuc")
+
+
 def legacy_roundtrip(spark, sf_dir):
     path = scratch(spark, "legacy")
     container.write_records(records(spark, sf_dir, kept(LEGACY)), path, version=1)
@@ -242,11 +258,12 @@ def compressed_roundtrip(spark, sf_dir):
 
 
 def file_sizes(spark, sf_dir):
-    """Bytes of all containers that were written, as the file system and as the manifest have them."""
+    """Bytes of all containers that were written, without their heads of 12 bytes, as the file system and as the manifest have them."""
     path = scratch(spark, "sizes")
-    manifest = container.write_records(records(spark, sf_dir).withColumn("file", F.lit("one")), path, files=1)
-    there = compressed.file_sizes(spark, f"{path}/*.seqs").agg(F.sum("size_bytes").alias("size_bytes"))
-    return there.crossJoin(manifest.agg(F.sum("bytes").alias("written")))  # one row each
+    manifest = container.write_records(records(spark, sf_dir), path)
+    size = lambda n: (F.coalesce(F.sum(n), F.lit(0)) - 12 * F.count("*"))
+    there = compressed.file_sizes(spark, f"{commits.current(spark, path)}/*.seqs").agg(size("size_bytes").alias("size_bytes"))
+    return there.crossJoin(manifest.agg(size("bytes").alias("written")))  # one row each
 
 
 def encoded_stream(spark, sf_dir):
@@ -284,7 +301,7 @@ QUERIES = {
     "sequence_names": sequence_names, "last_of_each": last_of_each, "sha256_sequences": sha256_sequences,
     "total_bp": total_bp, "ncf_by_lang": ncf_by_lang, "edit_text_render": edit_text_render,
     "edit_text_parse": edit_text_parse, "record_violations": record_violations, "fasta_roundtrip": fasta_roundtrip,
-    "container_roundtrip": container_roundtrip, "legacy_roundtrip": legacy_roundtrip,
+    "container_roundtrip": container_roundtrip, "container_by_blocks": container_by_blocks, "container_by_search": container_by_search, "legacy_roundtrip": legacy_roundtrip,
     "convert_and_verify": convert_and_verify, "edit_text_roundtrip": edit_text_roundtrip, "save_roundtrip": save_roundtrip,
     "compressed_roundtrip": compressed_roundtrip, "file_sizes": file_sizes, "encoded_stream": encoded_stream,
     "plain_sizes": plain_sizes, "variant_sizes": variant_sizes, "output_names": output_names,

@@ -45,6 +45,10 @@ def file_sizes(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def gzip_blocks(source: BinaryIO, level: int, threads: int) -> Iterator[bytes]:
     """Blocks of a file as members of one gzip file, so many at a time as there are threads."""
     squeeze = lambda b: zlib.compress(b, level, 31)
+    if not (first := source.read(BLOCK)):
+        yield squeeze(b"")  # an empty member: nothing at all is no gzip file
+        return
+    yield squeeze(first)
     with ThreadPoolExecutor(threads) as pool:
         while blocks := [b for b in (source.read(BLOCK) for _ in range(threads)) if b]:
             yield from pool.map(squeeze, blocks)

@@ -1,18 +1,18 @@
 """The binary container of records and the legacy bit stream, as sources and sinks.
 
-A container holds records one after the other, and only a record's checksum tells where it ends, so a file is read
-in one task, from front to back, with a running checksum; files are read in parallel. Tasks get paths and stream the
-files through the file system that pyarrow finds for them (local, hdfs, s3, gs), a block at a time, so a file may be
-of any size. The reader frames records and leaves payloads packed: unpacking is a projection on top, which Spark
-drops where sequences are not used.
+Files are read in byte ranges of whole records, many at a time. The sink writes a block index beside its files: every few MB
+the number and the place of a record. Containers of others have no index; if they are larger than a range, their
+records are found and checked first (``ranges``), which reads them twice. Legacy files of others are read from front to back.
+Tasks get paths and stream bytes through the file system that pyarrow finds for them (local, hdfs, s3, gs). The reader
+frames records and leaves payloads packed: unpacking is a projection on top, which Spark drops where sequences are not used.
 """
 
 from __future__ import annotations
 
 import struct
 import uuid
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -22,145 +22,88 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, packing, wire
+from . import commits, ranges
+from .framing import BATCH, Broken, Bytes, container_record, container_records, is_container, legacy_records, opened
 
 RAW = "file string, rec_no long, description string, tag string, enc string, n_bases long, payload binary, runs array<struct<start:int,len:int>>, error string"
 NAMES = [x.split()[0] for x in RAW.split(", ")]
-PAYLOADS = {codes.BLOCK_TWO_BIT: ("2b", 2), codes.BLOCK_THREE_BIT: ("3b", 3), codes.BLOCK_FOUR_BIT: ("4b", 4)}
 VERSIONS = (1, 2)
-BATCH = 4 << 20
-
-
-class Broken(ValueError):
-    """A container that cannot be read on."""
-
-
-def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a URI and the path in it."""
-    return fs.FileSystem.from_uri("/" + uri[5:].lstrip("/") if uri.startswith("file:") else uri)
-
-
-class Bytes:
-    """A stream of bytes, of which some may be put back."""
-
-    def __init__(self, stream):
-        self.stream, self.held = stream, b""
-
-    def some(self, n: int) -> bytes:
-        """At most n bytes."""
-        out, self.held = self.held[:n], self.held[n:]
-        return out if len(out) == n else out + self.stream.read(n - len(out))
-
-    def take(self, n: int, why: str = "Unexpected end") -> bytes:
-        if len(out := self.some(n)) < n:
-            raise Broken(why)
-        return out
-
-    def back(self, data: bytes) -> None:
-        self.held = data + self.held
-
-
-def is_container(head: bytes) -> bool:
-    """By magic and version; anything else is taken for a legacy stream."""
-    return head[:5] == codes.MAGIC + bytes([codes.VERSION])
-
-
-def container_records(data: Bytes) -> Iterator[tuple]:
-    """(description, tag, enc, n_bases, payload, runs) of each record. Bytes after the last record are left alone."""
-    head = data.some(12)
-    if head[:4] != codes.MAGIC:
-        raise Broken("Not a container")
-    if len(head) < 12:
-        raise Broken("Header is cut off")
-    if head[4] != codes.VERSION:
-        raise Broken(f"Version {head[4]} is not known")
-    for _ in range(struct.unpack_from("<I", head, 8)[0]):
-        crc, description, tag, found, runs = 0, "", "", None, []
-        while True:
-            kind, length = struct.unpack("<BI", start := data.take(5))
-            body = data.take(-(-length * PAYLOADS[kind][1] // 8) if kind in PAYLOADS else length)
-            crc = zlib.crc32(body, zlib.crc32(start, crc))
-            if kind == codes.BLOCK_DESCRIPTION:
-                description = str(body, "utf-8")
-            elif kind == codes.BLOCK_TYPE:
-                tag = str(body, "ascii")
-            elif kind in PAYLOADS:
-                found = (PAYLOADS[kind][0], length, body)
-            elif kind == codes.BLOCK_RUNS:
-                if length % 8:
-                    raise Broken("Case runs are not whole")
-                runs = [{"start": a, "len": n} for a, n in struct.iter_unpack("<II", body)]
-            end = data.some(4)
-            if len(end) == 4 and struct.unpack("<I", end)[0] == crc:
-                break
-            data.back(end)
-        if tag not in ("D", "R"):
-            raise Broken("Record has no type")
-        if found is None:
-            raise Broken("Record has no sequence")
-        yield description, tag, *found, runs if found[0] == "4b" else []
-
-
-def legacy_records(data: Bytes, chunk: int = BATCH) -> Iterator[tuple]:
-    """Records of a legacy stream. Descriptions are whole bytes of UTF-8 before a marker that begins on a byte of theirs."""
-    digits = ""
-
-    def more() -> bool:
-        nonlocal digits
-        got = data.some(chunk)
-        digits += got.hex().upper()
-        return bool(got)
-
-    while True:
-        # an end marker ends in F; zeros after the last one fill a byte
-        while not digits.strip("0"):
-            if not more():
-                return
-        mark = 0
-        while digits[mark : mark + 3] not in (codes.LEGACY_DNA, codes.LEGACY_RNA):
-            if mark + 3 > len(digits) and not more():
-                raise Broken("No type marker found")
-            if digits[mark : mark + 3] not in (codes.LEGACY_DNA, codes.LEGACY_RNA) and mark + 3 <= len(digits):
-                mark += 2
-        begin = mark + 3
-        while (end := digits.find(codes.LEGACY_END, begin)) < 0:
-            begin = max(mark + 3, len(digits) - 2)
-            if not more():
-                raise Broken("No end marker found")
-        code = digits[mark + 3 : end]
-        payload = bytes.fromhex(code + "0" * (len(code) % 2))
-        yield str(bytes.fromhex(digits[:mark]), "utf-8"), "R" if digits[mark : mark + 3] == codes.LEGACY_RNA else "D", "v1", len(code), payload, []
-        digits = digits[end + 3 :]
-
-
-def read_raw(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST") -> DataFrame:
+#: The index: of each block of a file, its first record's number and place, and the file's format version and size.
+INDEX = "source string, file string, version int, first long, offset long, records long, bytes long, size long"
+#: Bytes of a block.
+BLOCK = 4 << 20
+
+
+def pieces(spark: SparkSession, path: str | list[str], span: int, back: int = 0) -> DataFrame:
+    """file, version, first, offset, bytes, records: parts of files of about span bytes at most. version and records are null for files to be read from front to back.
+
+    A file whose size is not that of its index is read like one that has none.
+    """
+    paths, indexed = [], None
+    for p in [path] if isinstance(path, str) else path:
+        p = commits.qualified(spark, p)
+        now = commits.current(spark, p, back)
+        paths.append(now or p)
+        if now:
+            own = spark.read.parquet(f"{now}/_index").withColumn("file", F.concat(F.lit(f"{now}/"), "file"))
+            indexed = own if indexed is None else indexed.union(own)
+    # contents are not read here
+    files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), F.col("length").alias("size"))
+    columns = ("file", "version", "first", "offset", "bytes", "records")
+    known = None
+    if indexed is not None:
+        known = files.join(indexed, ["file", "size"]).select(*columns)
+        files = files.join(indexed.select("file", "size").distinct(), ["file", "size"], "left_anti")
+    none = F.lit(None).cast("long")
+    small = files.where(F.col("size") <= span).select("file", F.lit(None).cast("int").alias("version"), F.lit(1).cast("long").alias("first"), F.lit(0).cast("long").alias("offset"), F.col("size").alias("bytes"), none.alias("records"))
+    large = files.where(F.col("size") > span)
+    out = small if known is None else known.union(small)
+    if not large.isEmpty():
+        out = out.union(ranges.index_of(large, span).withColumn("bytes", none).select(*columns))
+    return out
+
+
+def read_raw(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", span: int | None = None, back: int = 0) -> DataFrame:
     """Framed records of container and legacy files, told apart by their first bytes.
 
-    mode: FAILFAST stops at the first broken file; PERMISSIVE keeps its records so far and adds a row with the
-    error; DROPMALFORMED only keeps the records.
+    path: folders of the sink, of which the last commit is read, or the one so many before it; or files, folders and
+    patterns of others. mode: FAILFAST stops at the first broken file; PERMISSIVE keeps the records of a piece so far and
+    adds a row with the error; DROPMALFORMED only keeps the records. span: bytes of a task and of a piece of a file
+    without an index, by default spark.sql.files.maxPartitionBytes.
     """
     if mode not in ("FAILFAST", "PERMISSIVE", "DROPMALFORMED"):
         raise ValueError(f"Unknown mode {mode}")
+    span = span or spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         run = pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32())]))
         kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), run, pa.string()]
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], NAMES)
 
-    def records(file: str) -> Iterator[tuple]:
+    def records(file: str, version: int | None, offset: int, size: int | None, n: int | None) -> Iterator[tuple]:
         where, name = opened(file)
-        with where.open_input_stream(name, compression=None, buffer_size=BATCH) as stream:
-            data = Bytes(stream)
-            data.back(head := data.some(5))
-            yield from container_records(data) if is_container(head) else legacy_records(data)
+        with where.open_input_file(name) as stream:
+            if version is None:
+                data = Bytes(stream)
+                data.back(len(head := data.some(5)))
+                yield from container_records(data) if is_container(head) else legacy_records(data)
+                return
+            stream.seek(offset)
+            data = Bytes(stream, offset, size)
+            if version == 1:
+                yield from islice(legacy_records(data), n)
+            else:
+                for _ in range(n):
+                    yield container_record(data)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for file in batch.column(0).to_pylist():
-                n, rows, held = 0, [], 0
+            for file, version, first, offset, size, many in zip(*(c.to_pylist() for c in batch.columns)):
+                n, rows, held = first - 1, [], 0
                 try:
-                    for n, record in enumerate(records(file), 1):
+                    for n, record in enumerate(records(file, version, offset, size, many), first):
                         rows.append((file, n, *record, None))
-                        held += len(record[4])
+                        held += len(record[0]) + len(record[4]) + 64 * len(record[5]) + 256
                         if held > BATCH:
                             yield table(rows)
                             rows, held = [], 0
@@ -172,8 +115,10 @@ def read_raw(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST")
                 if rows:
                     yield table(rows)
 
-    # contents are not read here; their sizes still tell Spark how many files a task should get
-    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, RAW)
+    parts = pieces(spark, path, span, back)
+    total = parts.agg(F.sum(F.coalesce("bytes", F.lit(span)))).first()[0] or 0
+    # neighbours in a file go to one task, which reads it from front to back
+    return parts.repartitionByRange(max(1, -(-total // span)), "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, RAW)
 
 
 def unpacked(raw: DataFrame) -> DataFrame:
@@ -192,8 +137,8 @@ def unpacked(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_records(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST") -> DataFrame:
-    out = unpacked(read_raw(spark, path, mode))
+def read_records(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", span: int | None = None, back: int = 0) -> DataFrame:
+    out = unpacked(read_raw(spark, path, mode, span, back))
     return out if mode == "PERMISSIVE" else out.drop("error")
 
 
@@ -217,72 +162,69 @@ def record_bytes(description: Column, sequence: Column, nuc: Column, version: in
     return record(description, sequence, nuc)
 
 
-def write_records(records: DataFrame, folder: str, version: int = 2, legacy: bool = False, suffix: str = ".seqs", files: int | None = None) -> DataFrame:
-    """Writes records (file, rec_no, description, sequence, nuc) in order and returns the manifest: source, file, records, bytes.
+def write_records(records: DataFrame, folder: str, version: int = 2, legacy: bool = False, suffix: str = ".seqs", files: int | None = None, inputs: list[str] = (), check: Callable[[str], None] | None = None, block: int = BLOCK) -> DataFrame:
+    """Writes records (file, rec_no, description, sequence, nuc) in order, commits them, and returns the manifest: source, file, records, bytes.
+
+    The folder's contents change as a whole, and what was there stays until ``commits.vacuum`` (see ``commits``); so the
+    records may come from the folder itself. Records are range-partitioned by file and rec_no, so a file name with
+    very many records becomes several files of consecutive records, one per task. Names hold the task and the file's
+    place in it: sources of equal names in different folders stay apart, and a task that is run again writes the same names.
 
-    The folder is replaced as a whole: files are written to a new one beside it, which takes its place when all
-    are there, so nothing of an earlier or failed attempt is ever read. Records are range-partitioned by file and
-    rec_no, so a file name with very many records becomes several files of consecutive records, one per task.
-    Names hold the task and the file's place in it: sources of equal names in different folders stay apart, and a
-    task that is run again writes the same names.
+    inputs: paths that the folder must not be or hold. check: is called with the path of the new files before they count.
     """
     spark = records.sparkSession
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folder, part = folder.rstrip("/"), f"{folder.rstrip('/')}.{uuid.uuid4().hex}"
     data = record_bytes(F.col("description"), F.col("sequence"), F.col("nuc"), known_version(version), legacy)
+    part = commits.attempt(spark, folder, inputs)
     # ranges first: finding them reads the rows once more, and that should not pack them
     rows = records.repartitionByRange(n, "file", "rec_no").sortWithinPartitions("file", "rec_no").select("file", data.alias("bytes"))
+    kinds = [pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 5]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = opened(part)
         where.create_dir(base, recursive=True)
-        done, now, out = [], None, None
+        done, now, out, place = [], None, None, 0
 
         def close() -> None:
             if out is not None:
-                done.append((now, *out.close()))
+                done.extend((now, out.name, version, *row, size) for size, blocks in [out.close()] for row in blocks)
 
         for batch in source:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if file != now or out is None:
                     close()
-                    name = f"{(file or 'records').rstrip('/').rpartition('/')[2]}-{TaskContext.get().partitionId():06d}-{len(done):04d}{suffix}"
-                    now, out = file, RecordFile(where, base, name, version)
+                    name = f"{(file or 'records').rstrip('/').rpartition('/')[2]}-{TaskContext.get().partitionId():06d}-{place:04d}{suffix}"
+                    now, out, place = file, RecordFile(where, base, name, version, block), place + 1
                 out.add(data.as_py())
         close()
         if done:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*done), (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["source", "file", "records", "bytes"])
-
-    manifest = rows.mapInArrow(run, "source string, file string, records long, bytes long")
-    manifest.write.parquet(f"{part}/_manifest")
-    put_in_place(spark, part, folder)
-    return spark.read.parquet(f"{folder}/_manifest")
-
-
-def put_in_place(spark: SparkSession, new: str, folder: str, backup: str | None = None) -> None:
-    """Renames a folder; what was there is deleted or becomes the backup."""
-    jvm = spark.sparkContext._jvm
-    new, now = jvm.org.apache.hadoop.fs.Path(new), jvm.org.apache.hadoop.fs.Path(folder)
-    where = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if where.exists(now):
-        if backup:
-            old = jvm.org.apache.hadoop.fs.Path(backup)
-            where.delete(old, True)
-            where.rename(now, old)
-        else:
-            where.delete(now, True)
-    if not where.rename(new, now):
-        raise OSError(f"{new.toString()} could not be renamed to {folder}")
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*done), kinds)], [x.split()[0] for x in INDEX.split(", ")])
+
+    rows.mapInArrow(run, INDEX).write.parquet(f"{part}/_index")
+    if check:
+        check(part)
+    commits.commit(spark, part)
+    return manifest(spark, part)
+
+
+def manifest(spark: SparkSession, part: str) -> DataFrame:
+    """source, file (its path in the folder), records, bytes of an attempt's files."""
+    rows = spark.read.parquet(f"{part}/_index").groupBy("source", "file").agg(F.sum("records").alias("records"), F.first("size").alias("bytes"))
+    return rows.withColumn("file", F.concat(F.lit(part.rpartition("/")[2] + "/"), "file"))
 
 
 class RecordFile:
-    """A file that gets its name when it is closed. The number of records in its head is known only then, so records wait in a spool."""
+    """A file that gets its name when it is closed. The number of records in its head is known only then, so records wait in a spool.
 
-    def __init__(self, where: fs.FileSystem, base: str, name: str, version: int):
-        self.where, self.base, self.name, self.version = where, base, name, version
+    Blocks (number of the first record, offset, records, bytes) end with a record at a whole byte.
+    """
+
+    def __init__(self, where: fs.FileSystem, base: str, name: str, version: int, block: int = BLOCK):
+        self.where, self.base, self.name, self.version, self.block = where, base, name, version, block
         self.part = f"{base}/.{name}.{uuid.uuid4().hex}"
         self.spool = where.open_output_stream(self.part + ".body", compression=None)
-        self.n, self.digit = 0, b""
+        self.head = 12 if version != 1 else 0
+        self.n, self.digit, self.size, self.blocks, self.begun = 0, b"", self.head, [], (0, self.head)
 
     def add(self, data: bytes) -> None:
         self.n += 1
@@ -291,21 +233,30 @@ class RecordFile:
             whole = len(data) // 2 * 2
             data, self.digit = bytes.fromhex(str(data[:whole], "ascii")), data[whole:]
         self.spool.write(data)
-
-    def close(self) -> tuple[str, int, int]:
+        self.size += len(data)
+        if not self.digit and self.size - self.begun[1] >= self.block:
+            self.end_block()
+
+    def end_block(self) -> None:
+        before, offset = self.begun
+        if self.n > before:
+            self.blocks.append((before + 1, offset, self.n - before, self.size - offset))
+        self.begun = (self.n, self.size)
+
+    def close(self) -> tuple[int, list[tuple]]:
+        """Bytes of the file, and its blocks."""
         if self.digit:
             self.spool.write(bytes.fromhex(str(self.digit, "ascii") + "0"))
+            self.size += 1
+        self.end_block()
         self.spool.close()
-        head = codes.MAGIC + bytes([codes.VERSION, 0, 0, 0]) + struct.pack("<I", self.n) if self.version != 1 else b""
         with self.where.open_input_stream(self.part + ".body", compression=None) as body, self.where.open_output_stream(self.part, compression=None) as out:
-            out.write(head)
-            size = len(head)
+            out.write(codes.MAGIC + bytes([codes.VERSION, 0, 0, 0]) + struct.pack("<I", self.n) if self.head else b"")
             while chunk := body.read(BATCH):
                 out.write(chunk)
-                size += len(chunk)
         self.where.delete_file(self.part + ".body")
         path = f"{self.base}/{self.name}"
         if self.where.get_file_info(path).type != fs.FileType.NotFound:  # the same file of an attempt that was lost
             self.where.delete_file(path)
         self.where.move(self.part, path)
-        return self.name, self.n, size
+        return self.size, self.blocks

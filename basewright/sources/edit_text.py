@@ -55,7 +55,9 @@ def parse(texts: DataFrame, carry: bool = False) -> DataFrame:
     header = stripped(F.substring("line", 2, 1 << 30))
     parts = F.split(header, r" \| ", -1)
     named = F.contains(header, F.lit(" | "))
-    hints = F.filter(F.transform(F.filter(parts, lambda p, i: (i > 0) & p.startswith("NUC=")), lambda p: F.upper(stripped(F.substring(p, 5, 1 << 30)))), lambda h: h.isin("DNA", "RNA"))
+    hints = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.upper(stripped(p)))
+    hints = F.transform(F.filter(hints, lambda p: p.startswith("NUC=")), lambda p: stripped(F.substring(p, 5, 1 << 30)))
+    hints = F.filter(hints, lambda h: h.isin("DNA", "RNA"))
     sequence = F.translate(F.array_join(F.transform("pieces", lambda p: p["s"]), ""), " \t", "")
     out = records.select(
         "file", F.col("rec_no").cast("long").alias("rec_no"), F.when(named, stripped(F.get(parts, F.lit(0)))).otherwise(header).alias("description"),
@@ -81,20 +83,25 @@ def read_edit_text(spark: SparkSession, path: str | list[str], carry: bool = Fal
     return rows.withColumn("sequence", F.when(F.col("problem").isNull(), F.col("sequence")).otherwise(error)).drop("problem")
 
 
-def violations(records: DataFrame) -> DataFrame:
-    """Records that are not fit to be saved: an empty description or sequence, or an unknown type."""
+def unfit() -> Column:
+    """Why a record is not fit to be saved: an empty description or sequence, or an unknown type; null if it is."""
     reason = F.when(F.coalesce("description", F.lit("")) == "", "empty description").when(F.coalesce("sequence", F.lit("")) == "", "empty sequence")
-    reason = reason.when(~F.coalesce(F.col("nuc").isin("DNA", "RNA"), F.lit(False)), "unknown type")
-    return records.select("file", "rec_no", reason.alias("reason")).where(F.col("reason").isNotNull())
+    return reason.when(~F.coalesce(F.col("nuc").isin("DNA", "RNA"), F.lit(False)), "unknown type")
+
+
+def violations(records: DataFrame) -> DataFrame:
+    """Records that are not fit to be saved, with the reason."""
+    return records.select("file", "rec_no", unfit().alias("reason")).where(F.col("reason").isNotNull())
 
 
 def save(records: DataFrame, folder: str, version: int = 2) -> DataFrame:
-    """Writes containers to a new folder, reads and checks them, and only then puts it in place; what was there becomes ``.bak``."""
+    """Writes containers, reads and checks them, and only then commits them; ``commits.restore`` brings back what was there before."""
     spark = records.sparkSession
-    # replaces what a failed attempt has left there
-    container.write_records(records, f"{folder}.new", version)
-    back = container.read_records(spark, f"{folder}.new")
-    if (n := back.count()) == 0 or not violations(back).isEmpty():
-        raise ValueError(f"{folder}.new holds {n} records, or some that are not valid; {folder} is as it was")
-    container.put_in_place(spark, f"{folder}.new", folder, backup=f"{folder}.bak")
+
+    def check(path: str) -> None:
+        n, bad = container.read_records(spark, path).agg(F.count("*"), F.count_if(unfit().isNotNull())).first()
+        if not n or bad:
+            raise ValueError(f"{n} records were written, of which {bad} are not valid; {folder} is as it was")
+
+    container.write_records(records, folder, version, check=check)
     return container.read_records(spark, folder)

@@ -56,7 +56,7 @@ def test_round_trip_over_many_files(spark, tmp_path, legacy):
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
     manifest = container.write_records(df, f"{tmp_path}/out", legacy=legacy, files=5)
     assert manifest.agg(F.sum("records")).first()[0] == len(rows)
-    assert {p.name for p in (tmp_path / "out").iterdir()} == {"_manifest", *(r.file for r in manifest.collect())}
+    assert {str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.seqs")} == {r.file for r in manifest.collect()}
     got = container.read_records(spark, f"{tmp_path}/out").collect()
     assert sorted(tuple(r)[2:] for r in got) == sorted(r[2:] for r in rows)
 

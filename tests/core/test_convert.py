@@ -67,7 +67,7 @@ def test_sizes(spark, tmp_path):
     rows = [("f", i, f"d{i}", s, "DNA") for i, s in enumerate(["ACGT" * 50, "acgt" * 9, "ACGNacgt", ""])]
     df = spark.createDataFrame(rows, "file string, rec_no long, description string, sequence string, nuc string")
     container.write_records(df, f"{tmp_path}/out", files=1)
-    written = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.seqs"))
+    written = sum(p.stat().st_size for p in (tmp_path / "out").rglob("*.seqs"))
     assert sizes.container_size(df).first().container_bytes == written
     fasta.write_fasta(df.coalesce(1), f"{tmp_path}/fa")
     got = {r.method: r.size_bytes for r in sizes.variant_sizes(df).collect()}
