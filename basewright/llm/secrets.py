@@ -17,7 +17,9 @@ give an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,11 @@ class Rule:
     least: int
     version: str = "1"
 
+    @property
+    def key(self) -> str:
+        """What the ledger knows the rule by: another pattern, group or length is another rule."""
+        return f"{self.kind}@{self.version}:{sha256(repr((self.pattern, self.group, self.least)).encode()).hexdigest()[:16]}"
+
 
 #: In the order in which kinds are listed at equal starts.
 RULES = (
@@ -42,6 +49,8 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),  # runs of hex digits are maximal, so shorter ones can be left out at once
 )
+#: Matches or spans of a text that are worked off together.
+STEP = 256
 SPAN = "struct<start:int,order:int,kind:string,stop:int>"
 
 
@@ -52,26 +61,54 @@ def no_spans() -> Column:
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     """Spans of one rule: [start, stop) in code points, leftmost matches first."""
     pattern = F.lit(rule.pattern)
-    gaps = F.transform(F.split(text, rule.pattern, -1), F.char_length)
-    whole = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.char_length)
-    part = whole if rule.group == 0 else F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.char_length)
-    zero = F.struct(F.lit(0).alias("at"), no_spans().alias("found"))
+    sizes = lambda parts: F.transform(parts, F.char_length)
+    whole = sizes(F.regexp_extract_all(text, pattern, F.lit(0)))
+    part = whole if rule.group == 0 else sizes(F.regexp_extract_all(text, pattern, F.lit(rule.group)))
+    lengths = F.struct(sizes(F.split(text, rule.pattern, -1)).alias("gaps"), whole.alias("whole"), part.alias("part"))
+    return F.when(text.rlike(rule.pattern), let(lengths, lambda v: added_up(v, rule, order))).otherwise(no_spans())
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where lambdas refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def slices(n: Column) -> Column:
+    """First places of slices of ``STEP``; none of nothing."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(STEP))).otherwise(F.array().cast("array<int>"))
+
+
+def added_up(lengths: Column, rule: Rule, order: int) -> Column:
+    """Spans from the lengths of the gaps before matches, of the matches, and of the part of each that must be long enough.
+
+    An array grows by being copied, so places are added up within slices first, and the slices are joined once.
+    """
 
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.get(gaps, i)
-        stop = start + F.get(whole, i)
-        span = F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), stop.alias("stop"))
-        found = F.when(F.get(part, i) >= rule.least, F.concat(state["found"], F.array(span))).otherwise(state["found"])
-        return F.struct(stop.alias("at"), found.alias("found"))
+    def of_slice(begin: Column) -> Column:
+        own = [F.slice(lengths[c], begin + 1, F.lit(STEP)) for c in ("gaps", "whole", "part")]
+        matches = F.zip_with(F.zip_with(own[0], own[1], lambda g, w: F.struct(g.alias("gap"), w.alias("size"))), own[2], lambda x, p: F.struct(x["gap"], x["size"], p.alias("part")))
+        matches = F.filter(matches, lambda m: m["size"].isNotNull())  # there is a gap after the last match
 
-    places = F.when(F.size(whole) > 0, F.sequence(F.lit(0), F.size(whole) - 1)).otherwise(F.array().cast("array<int>"))
-    spans = F.aggregate(places, zero, step, lambda s: s["found"])
-    return F.when(text.rlike(rule.pattern), spans).otherwise(no_spans())
+        def step(state: Column, m: Column) -> Column:
+            start = state["at"] + m["gap"]
+            span = F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), (start + m["size"]).alias("stop"))
+            found = F.when(m["part"] >= rule.least, F.concat(state["found"], F.array(span))).otherwise(state["found"])
+            return F.struct((start + m["size"]).alias("at"), found.alias("found"))
+
+        return F.aggregate(matches, F.struct(F.lit(0).alias("at"), no_spans().alias("found")), step)
+
+    def join(state: Column, s: Column) -> Column:
+        moved = F.transform(s["found"], lambda x: F.struct((x["start"] + state["at"]).alias("start"), x["order"], x["kind"], (x["stop"] + state["at"]).alias("stop")))
+        return F.struct((state["at"] + s["at"]).alias("at"), F.concat(state["found"], F.array(moved)).alias("found"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("found"))
+    parts = F.transform(slices(F.size(lengths["whole"])), of_slice)
+    return F.aggregate(parts, zero, join, lambda s: F.flatten(s["found"]))
 
 
 def pairs(rules: tuple[Rule, ...], blobs: DataFrame) -> DataFrame:
     """One row per blob and rule version."""
-    return blobs.select("blob", F.explode(F.array(*[F.lit(f"{r.kind}@{r.version}") for r in rules])).alias("rule"))
+    return blobs.select("blob", F.explode(F.array(*[F.lit(r.key) for r in rules])).alias("rule"))
 
 
 def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -88,14 +125,14 @@ def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
     texts = texts.join(due.hint("shuffle_hash"), same).select("blob", "text", "due")
     each = [
         F.struct(
-            F.lit(f"{r.kind}@{r.version}").alias("rule"),
-            F.when(F.array_contains("due", f"{r.kind}@{r.version}"), rule_spans(F.col("text"), r, k)).alias("spans"),
+            F.lit(r.key).alias("rule"),
+            F.when(F.array_contains("due", r.key), rule_spans(F.col("text"), r, k)).alias("spans"),
         )
         for k, r in enumerate(rules)
     ]
     new = texts.select("blob", F.explode(F.array(*each)).alias("e")).select("blob", "e.rule", "e.spans").where(F.col("spans").isNotNull())
     new.write.mode("append").option("compression", "zstd").parquet(ledger)
-    wanted = [f"{r.kind}@{r.version}" for r in rules]
+    wanted = [r.key for r in rules]
     found = ledger_table(spark, ledger).where(F.col("rule").isin(wanted) & (F.size("spans") > 0))
     found = work.save(found.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans")), "found")
     # copies of one blob may be very many: both sides are plain shuffles, so that large partitions can be split
@@ -115,16 +152,29 @@ def joined(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each run of overlapping spans replaced by a mark."""
+    """The text with each run of overlapping spans (by start) replaced by a mark.
+
+    Spans are taken by slices, each from the part of the text that it lies in, as a place in a text is found from its front.
+    """
+
+    def of_slice(state: Column, begin: Column) -> Column:
+        own, base = F.slice(spans, begin + 1, F.lit(STEP)), state["at"]
+        part = F.substring(text, base + 1, F.greatest(F.array_max(F.transform(own, lambda s: s["stop"])) - base, F.lit(0)))
+
+        def in_part(part: Column) -> Column:
+            def step(now: Column, s: Column) -> Column:
+                more = F.concat(F.substring(part, now["at"] - base + 1, s["start"] - now["at"]), F.lit(mark))
+                out = F.when(s["start"] < now["at"], now["out"]).otherwise(F.concat(now["out"], F.array(more)))
+                return F.struct(F.greatest(now["at"], s["stop"]).alias("at"), out.alias("out"))
+
+            zero = F.struct(base.alias("at"), F.array().cast("array<string>").alias("out"))
+            return F.aggregate(own, zero, step, lambda now: F.struct(now["at"], F.concat(state["out"], F.array(F.array_join(now["out"], ""))).alias("out")))
 
-    def step(state: Column, s: Column) -> Column:
-        inside = s["start"] < state["at"]
-        more = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
-        return F.struct(F.when(inside, state["out"]).otherwise(more).alias("out"), F.greatest(state["at"], s["stop"]).alias("at"))
+        return let(part, in_part)
 
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    done = F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.char_length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(slices(F.size(spans)), zero, of_slice, rest)).otherwise(text)
 
 
 def redacted(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -37,6 +37,8 @@ RADIUS, SHINGLE, SEED, TREE = 3, 3, 42, 8192
 FRONTIER = 1 << 19
 #: Near copies share this part of their distinct shingles of so many words; candidates agree in one of BANDS runs of DEPTH minima.
 JACCARD, WORDS, BANDS, DEPTH = 0.8, 5, 20, 4
+#: Bits of a set's sketch, and sets of a bucket that are compared in one go.
+SKETCH, SLICE = 1024, 4096
 #: Hashes of texts, and bytes of shingle sets, that are sent to every task; if there are more, they are joined.
 SENT, SENT_BYTES = 1_000_000, 16 << 20
 
@@ -67,6 +69,11 @@ def shingle_set(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, seed) for r in runs), np.uint64, len(runs)))
 
 
+def sketch(hashes: np.ndarray, bits: int = SKETCH) -> bytes:
+    """Parities of how many hashes fall on each bit. Two sets differ in at least as many members as their sketches in bits."""
+    return np.packbits(np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
 def set_name(hashes: np.ndarray) -> int:
     """One signed number for a set of shingles."""
     return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
@@ -84,31 +91,33 @@ def minima(hashes: np.ndarray, times: np.ndarray, plus: np.ndarray) -> list[int]
 def fingerprints(docs: DataFrame, *keep: str, shingle: int = SHINGLE, seed: int = SEED, copies: bool = False) -> DataFrame:
     """Adds the fingerprint of whole texts as a signed number. keep: columns to carry.
 
-    copies: adds the name of the text's shingle set and the set's runs of minima, too, from the same Python function,
+    copies: adds the name of the text's shingle set, the set's size, sketch and runs of minima, too, from the same Python function,
     as a second one in a task would be a second process.
     """
     rng = np.random.default_rng(SEED)
     times, plus = (rng.integers(0, 1 << 63, BANDS * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
-    names = [*keep, "fingerprint", *["name", "bands"] * copies]
+    names = [*keep, "fingerprint", *["name", "size", "sketch", "bands"] * copies]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            prints, sets, bands = [], [], []
+            prints, sets, sizes, sketches, bands = [], [], [], [], []
             for text in batch.column(batch.num_columns - 1).cast(pa.binary()):
                 text = text.as_py()
                 prints.append(simhash(text, shingle, seed))
                 if copies:
                     own = shingle_set(text)
                     sets.append(set_name(own))
+                    sizes.append(len(own))
+                    sketches.append(sketch(own))
                     bands.append(minima(own, times, plus))
             columns = [*batch.columns[:-1], pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64))]
             if copies:
-                columns += [pa.array(sets, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+                columns += [pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(*keep, document_text(docs).alias("_".join(["text", *keep])))  # no column to keep has this name
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "fingerprint long"])
-    return rows.mapInArrow(run, schema + ", name long, bands array<long>" * copies)
+    return rows.mapInArrow(run, schema + ", name long, size long, sketch binary, bands array<long>" * copies)
 
 
 class Forest:
@@ -284,6 +293,48 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def look_alikes(split: DataFrame, work: Workspace, step: str, similarity: float, best: bool, size: int = SLICE) -> DataFrame:
+    """split: band, key, name, component, size, sketch of sets. Pairs (name, other) of a bucket and of different components whose sizes and sketches do not rule out the similarity.
+
+    best: of a set's pairs with one component, only that of the most similar sketches. Sets of a bucket are compared in
+    slices, a pair of slices a group; what sketches rule out never leaves a task.
+    """
+    many = work.save(split.groupBy("band", "key").agg(F.ceil(F.count("*") / size).cast("long").alias("slices")), f"slices-{step}")
+    own = F.pmod(F.xxhash64("name"), F.col("slices"))
+    part = lambda x: F.struct((F.least("own", x) * F.col("slices") + F.greatest("own", x)).alias("part"), (F.col("own") <= x).alias("mine"), (F.col("own") >= x).alias("theirs"))
+    rows = split.join(many, ["band", "key"]).withColumn("own", own)
+    rows = rows.select("band", "key", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), part)).alias("p"), "name", "component", "size", "sketch")
+    rows = rows.select("band", "key", "p.*", "name", "component", "size", "sketch")
+    rows = rows.repartition(partitions(split.sparkSession), "band", "key", "part").sortWithinPartitions("band", "key", "part", "name")
+    apart = (1 - similarity) / (1 + similarity)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for band, key, part, mine, theirs, name, component, size, bits in bundles(source, 1 << 14):
+            words = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
+            new = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+            for begin, end in zip(new.tolist(), [*new[1:].tolist(), len(band)]):
+                first, second = begin + np.flatnonzero(mine[begin:end]), begin + np.flatnonzero(theirs[begin:end])
+                for k in range(0, len(first), 256):
+                    rows = first[k : k + 256]
+                    x, y = size[rows][:, None], size[second][None, :]
+                    due = (component[rows][:, None] != component[second][None, :]) & (np.minimum(x, y) >= similarity * np.maximum(x, y))
+                    a, b = np.nonzero(due)
+                    far = np.zeros(len(a), np.int64)
+                    for w in range(words.shape[1]):
+                        far += np.bitwise_count(words[rows[a], w] ^ words[second[b], w])
+                    near = far <= apart * (size[rows[a]] + size[second[b]]) + 1e-6
+                    a, b, far = rows[a[near]], second[b[near]], far[near]
+                    if best and len(a):
+                        order = np.lexsort((name[b], far, component[b], a))
+                        a, b = a[order], b[order]
+                        once = np.concatenate([[True], (a[1:] != a[:-1]) | (component[b][1:] != component[b][:-1])])
+                        a, b = a[once], b[once]
+                    if len(a):
+                        yield pa.record_batch([pa.array(name[a]), pa.array(name[b])], ["name", "other"])
+
+    return rows.mapInArrow(run, "name long, other long")
+
+
 def copy_links(docs: DataFrame, rows: DataFrame, work: Workspace, similarity: float = JACCARD) -> DataFrame:
     """Pairs (a, b) of fingerprints, a above b, that hold texts of at least so similar shingle sets.
 
@@ -291,8 +342,8 @@ def copy_links(docs: DataFrame, rows: DataFrame, work: Workspace, similarity: fl
     Candidates agree in a run of minima, which misses 3 in 100,000 pairs of just 0.8; each is confirmed by its sets,
     made again from one text of each set that a candidate needs, so that the corpus's sets are never kept on disk.
     Only links that join something new are sought: each set is compared with the first or last of its buckets that
-    shares most of them, then with the others of these that are still apart, and after that only sets that are not
-    yet in the bucket's largest component with those that are in others.
+    shares most of them, then with the others of these that are still apart, and after that sets of different components
+    in a bucket, as far as their sizes and sketches allow the similarity.
     """
 
     def hashed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,18 +394,16 @@ def copy_links(docs: DataFrame, rows: DataFrame, work: Workspace, similarity: fl
     apart = led.join(known, "name", "left").withColumnRenamed("component", "own")
     apart = apart.join(known.withColumnsRenamed({"name": "other", "component": "theirs"}), "other", "left")
     near = near.union(links_of(apart.where(F.coalesce("own", "name") != F.coalesce("theirs", "other")), "led"))
-    # 3. what these have not joined: sets outside of a bucket's largest component against the others' in the bucket
-    known = joined(near, "led")
-    members = banded.join(many.select("band", "key"), ["band", "key"]).join(known, "name", "left").withColumn("component", F.coalesce("component", "name"))
-    members = work.save(members, "members")
-    sizes = members.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band", "key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    split = work.save(members.join(main, ["band", "key"]), "split")
-    outside = split.where(F.col("component") != F.col("main")).select("band", "key", F.col("name").alias("other"), F.col("component").alias("apart"))
-    outside = work.save(outside, "outside")
-    once = (F.col("component") == F.col("main")) | (F.col("name") < F.col("other"))
-    rest = outside.join(split, ["band", "key"]).where((F.col("component") != F.col("apart")) & once).select("name", "other")
-    near = near.union(links_of(rest, "rest"))
+    # 3. what these have not joined, in buckets of several components, as far as sketches allow: first the best of a set and a component, then all
+    sketches = work.save(sets.groupBy("name").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "sketches")
+    for step, best in (("rest", True), ("last", False)):
+        known = joined(near, f"before-{step}")
+        members = banded.join(many.select("band", "key"), ["band", "key"]).join(known, "name", "left").withColumn("component", F.coalesce("component", "name"))
+        members = work.save(members, f"members-{step}")
+        parts = members.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") < F.col("most"))
+        split = members.join(parts.select("band", "key"), ["band", "key"]).join(sketches, "name")
+        near = near.union(links_of(look_alikes(split, work, step, similarity, best), step))
+        work.drop(f"members-{step}")
     # equal sets may have several fingerprints; the least stands for the set
     nodes = work.save(sets.select("name", F.col("fingerprint").alias("node")).distinct(), "set-nodes")
     least = work.save(nodes.groupBy("name").agg(F.min("node").alias("least")), "set-least")

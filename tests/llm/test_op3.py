@@ -95,3 +95,20 @@ def test_one_language(spark):
     docs = spark.createDataFrame([r for r in table(random.Random(7), 60) if r[2] == "aa"], SCHEMA)
     model = language.fit(docs, language.learned_from(docs["doc_id"]))
     assert {r.lang_pred for r in language.predict(docs, model, "doc_id").collect()} == {"aa"}
+
+
+def test_a_stage_keeps_texts_where_nothing_was_learned(spark):
+    schema = "doc_id long, text string, lang string, lang_pred string"
+    rows = [(k, "some words of a language", None, "x") for k in range(20)] + [(20, "12 ?", None, "x"), (21, None, None, "x"), (22, "", None, "x")]
+    docs = spark.createDataFrame(rows, schema)
+    kept = language.accepted(docs, language.fit(docs, language.learned_from(docs["doc_id"])))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(20)) and kept.columns == docs.columns
+
+
+def test_a_stage_rejects_scores_near_chance(spark):
+    rows = [(k, "the words of one language" if k % 2 else "die Wörter der anderen Sprache", "en" if k % 2 else "de") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, language.learned_from(docs["doc_id"]))
+    more = spark.createDataFrame([(100, "the words", None), (101, "die Wörter", None)], docs.schema)
+    assert {r.doc_id: r.lang for r in language.accepted(more, model).collect()} == {100: "en", 101: "de"}
+    assert language.accepted(more, model, over=4.1).count() == 0
