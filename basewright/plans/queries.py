@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases, wire
-from ..operators import convert, integrity, sizes
+from ..operators import chunks, convert, integrity, sizes
 from ..sources import commits, compressed, container, edit_text, fasta
 from ..sources.scratch import scratch
 from ..streaming import encode
@@ -128,6 +128,22 @@ def v2_record_crc(spark, sf_dir):
     return records(spark, sf_dir).select("doc_id", bases.let(body, facts).alias("f")).select("doc_id", "f.*")
 
 
+def chunked_records(spark, sf_dir):
+    """Records by chunks of FASTA lines: their checksums are put together from those of parts."""
+    path = scratch(spark, "chunked")
+    fasta.write_fasta(records(spark, sf_dir), path)
+    rows = chunks.read_fasta_chunks(spark, path, size=300)
+    named = rows.groupBy("file", "rec_no").agg(F.max("description").alias("description"))
+    doc_id = F.regexp_extract("description", "^doc([0-9]+)", 1).cast("long")
+    return chunks.checksums(chunks.parts(rows)).join(named, ["file", "rec_no"]).select(doc_id.alias("doc_id"), "crc", "record_bytes")
+
+
+def chunked_runs(spark, sf_dir):
+    """Runs of lower case over chunks of sizes that differ by document."""
+    rows = chunks.cut(records(spark, sf_dir, kept(FOUR)), (F.lit(50) + F.pmod("doc_id", F.lit(300))).cast("int"))
+    return chunks.case_runs(rows).select(F.col("rec_no").alias("doc_id"), "run_no", "start", "len")
+
+
 def container_size(spark, sf_dir):
     return sizes.container_size(records(spark, sf_dir))
 
@@ -297,7 +313,7 @@ QUERIES = {
     "unpack_roundtrip": unpack_roundtrip, "softmask_runs": softmask_runs, "softmask_apply": softmask_apply,
     "nuc_type": nuc_type, "mixed_tu": mixed_tu, "v1_record_hex": v1_record_hex, "v1_decode": v1_decode,
     "v1_decode_types": v1_decode_types, "shortened": shortened, "v1_marker_guard": v1_marker_guard, "v2_record_body": v2_record_body, "v2_record_crc": v2_record_crc,
-    "container_size": container_size, "integrity_summary": integrity_summary, "integrity_details": integrity_details, "integrity_report": integrity_report,
+    "chunked_records": chunked_records, "chunked_runs": chunked_runs, "container_size": container_size, "integrity_summary": integrity_summary, "integrity_details": integrity_details, "integrity_report": integrity_report,
     "sequence_names": sequence_names, "last_of_each": last_of_each, "sha256_sequences": sha256_sequences,
     "total_bp": total_bp, "ncf_by_lang": ncf_by_lang, "edit_text_render": edit_text_render,
     "edit_text_parse": edit_text_parse, "record_violations": record_violations, "fasta_roundtrip": fasta_roundtrip,

@@ -172,12 +172,24 @@ def write_records(records: DataFrame, folder: str, version: int = 2, legacy: boo
 
     inputs: paths that the folder must not be or hold. check: is called with the path of the new files before they count.
     """
-    spark = records.sparkSession
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = files or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     data = record_bytes(F.col("description"), F.col("sequence"), F.col("nuc"), known_version(version), legacy)
-    part = commits.attempt(spark, folder, inputs)
     # ranges first: finding them reads the rows once more, and that should not pack them
-    rows = records.repartitionByRange(n, "file", "rec_no").sortWithinPartitions("file", "rec_no").select("file", data.alias("bytes"))
+    rows = records.repartitionByRange(n, "file", "rec_no").sortWithinPartitions("file", "rec_no").select("file", data.alias("bytes"), F.lit(True).alias("last"))
+    return write_bytes(rows, folder, version, suffix, inputs, check, block)
+
+
+def write_parts(parts: DataFrame, folder: str, suffix: str = ".seqs", files: int | None = None, inputs: list[str] = (), block: int = BLOCK) -> DataFrame:
+    """The same for records in parts (file, rec_no, place, bytes, last): a record's parts are written one after the other, so that none is ever whole in memory."""
+    n = files or int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = parts.repartitionByRange(n, "file", "rec_no").sortWithinPartitions("file", "rec_no", "place").select("file", "bytes", "last")
+    return write_bytes(rows, folder, codes.VERSION, suffix, inputs, None, block)
+
+
+def write_bytes(rows: DataFrame, folder: str, version: int, suffix: str, inputs: list[str], check: Callable[[str], None] | None, block: int) -> DataFrame:
+    """rows: file, bytes, last (ends a record), in the order of their files."""
+    spark = rows.sparkSession
+    part = commits.attempt(spark, folder, inputs)
     kinds = [pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 5]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,12 +202,12 @@ def write_records(records: DataFrame, folder: str, version: int = 2, legacy: boo
                 done.extend((now, out.name, version, *row, size) for size, blocks in [out.close()] for row in blocks)
 
         for batch in source:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for file, data, last in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 if file != now or out is None:
                     close()
                     name = f"{(file or 'records').rstrip('/').rpartition('/')[2]}-{TaskContext.get().partitionId():06d}-{place:04d}{suffix}"
                     now, out, place = file, RecordFile(where, base, name, version, block), place + 1
-                out.add(data.as_py())
+                out.add(data.as_py(), last)
         close()
         if done:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*done), kinds)], [x.split()[0] for x in INDEX.split(", ")])
@@ -226,15 +238,16 @@ class RecordFile:
         self.head = 12 if version != 1 else 0
         self.n, self.digit, self.size, self.blocks, self.begun = 0, b"", self.head, [], (0, self.head)
 
-    def add(self, data: bytes) -> None:
-        self.n += 1
+    def add(self, data: bytes, last: bool = True) -> None:
+        """A record, or a part of one that more follow."""
+        self.n += last
         if self.version == 1:  # hexadecimal digits; an odd one waits for the next record
             data = self.digit + data
             whole = len(data) // 2 * 2
             data, self.digit = bytes.fromhex(str(data[:whole], "ascii")), data[whole:]
         self.spool.write(data)
         self.size += len(data)
-        if not self.digit and self.size - self.begun[1] >= self.block:
+        if last and not self.digit and self.size - self.begun[1] >= self.block:
             self.end_block()
 
     def end_block(self) -> None:
