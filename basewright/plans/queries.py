@@ -132,7 +132,7 @@ def chunked_records(spark, sf_dir):
     """Records by chunks of FASTA lines: their checksums are put together from those of parts."""
     path = scratch(spark, "chunked")
     fasta.write_fasta(records(spark, sf_dir), path)
-    rows = chunks.read_fasta_chunks(spark, path, size=300)
+    rows = chunks.read_fasta_chunks(spark, path, size=1000)
     named = rows.groupBy("file", "rec_no").agg(F.max("description").alias("description"))
     doc_id = F.regexp_extract("description", "^doc([0-9]+)", 1).cast("long")
     return chunks.checksums(chunks.parts(rows)).join(named, ["file", "rec_no"]).select(doc_id.alias("doc_id"), "crc", "record_bytes")
