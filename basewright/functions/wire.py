@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from . import bases, codes
 
 
+MARKERS = (("DNA", codes.LEGACY_DNA), ("RNA", codes.LEGACY_RNA), ("NEXT", codes.LEGACY_END))
+
+
 def le32_hex(n: Column) -> Column:
     h = F.lpad(F.hex(n.cast("long")), 8, "0")
     return F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)])
@@ -70,9 +73,43 @@ def padded(digits: Column) -> Column:
     return F.concat(digits, F.when(F.length(digits) % 2 == 1, "0").otherwise(""))
 
 
-def hex_to_bits(digits: Column) -> Column:
-    parts = F.regexp_extract_all(digits, F.lit("(.)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), "")
+def digit_pattern(bits: str, shift: int) -> str:
+    """A pattern of hexadecimal digits that hold these bits from the given bit of the first digit on."""
+    framed = "." * shift + bits + "." * (-(shift + len(bits)) % 4)
+
+    def one(want: str) -> str:
+        fits = [f"{d:X}" for d in range(16) if all(w in (".", b) for w, b in zip(want, f"{d:04b}"))]
+        return fits[0] if len(fits) == 1 else f"[{''.join(fits)}]"
+
+    return "".join(one(framed[k : k + 4]) for k in range(0, len(framed), 4))
+
+
+def first_bit(digits: Column, bits: str) -> Column:
+    """The first bit from which digits hold the given bits, at any of the four alignments; -1 if there is none.
+
+    One pattern takes all alignments, the smaller first, so the leftmost digit where it fits is the first place; no bits are spelled out.
+    """
+    forms = [digit_pattern(bits, s) for s in range(4)]
+
+    def placed(x: Column) -> Column:
+        there = F.substring(x["digits"], x["at"], F.lit(len(bits) // 4 + 1))
+        shift = reduce(lambda rest, s: F.when(there.rlike(f"^{forms[s]}"), s).otherwise(rest), (2, 1, 0), F.lit(3))
+        return F.when(x["at"] == 0, -1).otherwise(4 * (x["at"] - 1) + shift)
+
+    return bases.let(F.struct(digits.alias("digits"), F.regexp_instr(digits, F.lit("|".join(forms))).alias("at")), placed)
+
+
+def digits_from(digits: Column, bit: Column) -> Column:
+    """Whole digits of what begins at a bit."""
+
+    def moved(d: Column, shift: int) -> Column:
+        of = "".join(f"{v >> (4 - shift) & 15:X}" for v in range(256))  # the digit in each two that follow each other
+        twos = F.regexp_extract_all(d, F.lit("(?=(..))"), F.lit(1))
+        return F.array_join(F.transform(twos, lambda t: F.substring(F.lit(of), F.conv(t, 16, 10).cast("int") + 1, F.lit(1))), "")
+
+    shift = F.pmod(bit, F.lit(4))
+    rest = F.substring(digits, F.floor(bit / 4).cast("int") + 1, F.length(digits))
+    return bases.let(F.struct(rest.alias("d"), shift.alias("shift")), lambda x: F.when(x["shift"] == 0, x["d"]).when(x["shift"] == 1, moved(x["d"], 1)).when(x["shift"] == 2, moved(x["d"], 2)).otherwise(moved(x["d"], 3)))
 
 
 def legacy_digits(sequence: Column) -> Column:
@@ -92,18 +129,16 @@ def marker_cores() -> list[str]:
 
 
 def marker_hits(digits: Column) -> Column:
-    """For code digits that hold a marker three times in a row: its name and bit offset, else null."""
+    """For code digits that hold a marker three times in a row: its name and bit offset, DNA before RNA before NEXT, else null."""
     suspect = reduce(or_, [F.contains(digits, F.lit(core)) for core in marker_cores()])
-    return bases.let(F.when(suspect, hex_to_bits(digits)), first_marker)
+    none = F.lit(None).cast("struct<marker:string,bit:int>")
 
+    def search(d: Column) -> Column:
+        places = F.struct(*[first_bit(d, f"{int(marker, 16):012b}" * 3).alias(name) for name, marker in MARKERS])
+        found = lambda x: reduce(lambda rest, name: F.when(x[name] >= 0, F.struct(F.lit(name).alias("marker"), x[name].alias("bit"))).otherwise(rest), [n for n, _ in reversed(MARKERS)], none)
+        return bases.let(places, found)
 
-def first_marker(bits: Column) -> Column:
-    """The marker of a bit string, DNA before RNA before NEXT; null bits hold none."""
-    found = F.lit(None).cast("struct<marker:string,bit:int>")
-    for name, marker in (("NEXT", codes.LEGACY_END), ("RNA", codes.LEGACY_RNA), ("DNA", codes.LEGACY_DNA)):
-        at = F.instr(bits, f"{int(marker, 16):012b}" * 3)
-        found = F.when(at > 0, F.struct(F.lit(name).alias("marker"), (at - 1).alias("bit"))).otherwise(found)
-    return found
+    return F.when(suspect, bases.let(digits, search))
 
 
 def legacy_record(description: Column, sequence: Column) -> Column:
@@ -123,21 +158,32 @@ def legacy_decoded(digits: Column) -> Column:
 
     Descriptions are read one letter per byte. The first DNA marker anywhere goes before any RNA marker.
     """
-    dna, rna, end = (f"{int(m, 16):012b}" for m in (codes.LEGACY_DNA, codes.LEGACY_RNA, codes.LEGACY_END))
-    of = lambda b, n, width: F.array_join(F.transform(F.regexp_extract_all(b, F.lit(f"(.{{1,{n}}})"), F.lit(1)), lambda c: F.lpad(F.conv(c, 2, 16), width, "0")), "")
+    dna, rna, end = (f"{int(m, 16):012b}" for _, m in MARKERS)
     fail = lambda why: F.raise_error(F.lit(why)).cast("struct<description:string,sequence:string,nuc:string>")
-
-    def split(bits: Column) -> Column:
-        is_dna = F.instr(bits, dna) > 0
-        at = F.when(is_dna, F.instr(bits, dna)).otherwise(F.instr(bits, rna))
-        rest = F.substring(bits, at + 12, F.length(bits))
-        return F.struct(is_dna.alias("is_dna"), at.alias("at"), F.substring(bits, F.lit(1), at - 1).alias("before"), rest.alias("rest"), F.instr(rest, end).alias("stop"))
-
-    def read(x: Column) -> Column:
-        code = F.substring(x["rest"], F.lit(1), x["stop"] - 1)
-        sequence = F.translate(of(code, 4, 1), "0123456789ABCDEF", codes.LEGACY_INVERSE)
+    half = lambda n: F.floor(n / 4).cast("int")
+
+    def described(d: Column, at: Column) -> Column:
+        """Whole bytes before the marker, then the number in the bits that are left."""
+        whole = 2 * F.floor(at / 8).cast("int")
+        left = F.pmod(at, F.lit(8))
+        last = F.conv(F.substring(d, whole + 1, F.lit(2)), 16, 10).cast("int")
+        last = F.floor(last / F.pow(F.lit(2), 8 - left)).cast("int")
+        return F.decode(F.unhex(F.concat(F.substring(d, F.lit(1), whole), F.when(left == 0, "").otherwise(F.lpad(F.hex(last), 2, "0")))), "ISO-8859-1")
+
+    def split(x: Column) -> Column:
+        is_dna = x["dna"] >= 0
+        at = F.when(is_dna, x["dna"]).otherwise(first_bit(x["digits"], rna))
+        return bases.let(F.struct(x["digits"].alias("digits"), is_dna.alias("is_dna"), at.alias("at")), rest)
+
+    def rest(x: Column) -> Column:
+        after = F.when(x["at"] >= 0, digits_from(x["digits"], x["at"] + 12))
+        return bases.let(F.struct(x.alias("x"), after.alias("rest")), lambda y: bases.let(F.struct(y["x"].alias("x"), y["rest"].alias("rest"), first_bit(y["rest"], end).alias("stop")), read))
+
+    def read(y: Column) -> Column:
+        x, stop = y["x"], y["stop"]
+        sequence = F.translate(F.substring(y["rest"], F.lit(1), half(stop)), "0123456789ABCDEF", codes.LEGACY_INVERSE)
         sequence = F.when(x["is_dna"], sequence).otherwise(F.translate(sequence, "T", "U"))
-        found = F.struct(F.decode(F.unhex(of(x["before"], 8, 2)), "ISO-8859-1").alias("description"), sequence.alias("sequence"), F.when(x["is_dna"], "DNA").otherwise("RNA").alias("nuc"))
-        return F.when(x["at"] == 0, fail("No type marker found")).when(x["stop"] == 0, fail("No end marker found")).when(F.length(code) % 4 != 0, fail("Code is not whole")).otherwise(found)
+        found = F.struct(described(x["digits"], x["at"]).alias("description"), sequence.alias("sequence"), F.when(x["is_dna"], "DNA").otherwise("RNA").alias("nuc"))
+        return F.when(x["at"] < 0, fail("No type marker found")).when(stop < 0, fail("No end marker found")).when(F.pmod(stop, F.lit(4)) != 0, fail("Code is not whole")).otherwise(found)
 
-    return bases.let(hex_to_bits(digits), lambda bits: bases.let(split(bits), read))
+    return bases.let(digits, lambda d: bases.let(F.struct(d.alias("digits"), first_bit(d, dna).alias("dna")), split))

@@ -133,6 +133,10 @@ SELECT CAST(rec_no AS BIGINT) AS index, description,
   CAST(sum(length(s)) AS DOUBLE) / nullif(CAST(sum({BYTES}) AS DOUBLE), 0) AS bases_per_byte FROM e GROUP BY coalesce(lang, 'none')""",
     "edit_text_render": f"""WITH {derived()} SELECT doc_id, '>' || description || ' | NUC=' || nuc || ' | ENC=' || enc || CASE WHEN s = '' THEN '' ELSE chr(10) || array_to_string(regexp_extract_all(s, '.{{1,80}}'), chr(10)) END AS rendered FROM e""",
     "edit_text_parse": f"WITH {derived()} SELECT doc_id, CAST(1 AS BIGINT) AS rec_no, description, s AS sequence, nuc AS nuc_hint, CASE WHEN s = '' THEN 'Record has no sequence' END AS problem FROM e",
+    "edit_text_blocks": f"""WITH {derived()}, r AS (
+  SELECT doc_id, CAST(1 AS BIGINT) AS rec_no, description, s AS sequence, nuc AS nuc_hint, false AS stray FROM e
+  UNION ALL SELECT doc_id, 2, description || ' again', CASE WHEN doc_id % 7 = 0 THEN 'ACGT' ELSE '' END || s, 'RNA', doc_id % 7 = 0 FROM e
+) SELECT doc_id, rec_no, description, sequence, nuc_hint, CASE WHEN stray THEN 'Sequence outside of a record' WHEN sequence = '' THEN 'Record has no sequence' END AS problem FROM r""",
     "record_violations": f"""WITH {derived(kept('QZ-'))} SELECT doc_id AS rec_no, CASE WHEN s = '' THEN 'empty sequence' ELSE 'unknown type' END AS reason FROM d WHERE s = '' OR doc_id % 13 = 0""",
     "fasta_roundtrip": f"WITH {derived()} SELECT string_split(description, ' ')[1] AS id, description, s AS sequence FROM d",
     "container_roundtrip": f"WITH {derived()} SELECT description, {BACK} AS sequence, nuc FROM e",

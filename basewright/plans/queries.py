@@ -204,6 +204,18 @@ def edit_text_parse(spark, sf_dir):
     return rows.select(F.col("file").cast("long").alias("doc_id"), "rec_no", "description", "sequence", "nuc_hint", "problem")
 
 
+def edit_text_blocks(spark, sf_dir):
+    """Two records a text, every seventh with a stray line between them, read in blocks of one to five lines."""
+    again = F.concat(F.lit(">"), F.col("description"), F.lit(" again | nuc=rna\n"), seq(), F.lit("\n"))
+    stray = F.when(F.pmod("doc_id", F.lit(7)) == 0, "ACGT\n# between\n").otherwise("")
+    text = F.concat(F.lit(edit_text.HEAD), edit_text.rendered(F.col("description"), seq(), F.col("nuc")), F.lit("\n\n"), stray, again)
+    rows = records(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("file"), text.alias("text"))
+    lines = rows.select("doc_id", "file", F.posexplode(F.split("text", "\n", -1)).alias("at", "value"))
+    block = F.floor(F.col("at") / (1 + F.pmod("doc_id", F.lit(5))))
+    rows = edit_text.parse_blocks(lines.select("file", block.alias("block"), F.encode("value", "UTF-8").alias("value")), rows.select("file"))
+    return rows.select(F.col("file").cast("long").alias("doc_id"), "rec_no", "description", "sequence", "nuc_hint", "problem")
+
+
 def record_violations(spark, sf_dir):
     rows = records(spark, sf_dir, kept("QZ-")).withColumn("nuc", F.when(F.pmod("doc_id", F.lit(13)) == 0, "protein").otherwise("DNA"))
     return edit_text.violations(rows).select("rec_no", "reason")
@@ -316,7 +328,7 @@ QUERIES = {
     "chunked_records": chunked_records, "chunked_runs": chunked_runs, "container_size": container_size, "integrity_summary": integrity_summary, "integrity_details": integrity_details, "integrity_report": integrity_report,
     "sequence_names": sequence_names, "last_of_each": last_of_each, "sha256_sequences": sha256_sequences,
     "total_bp": total_bp, "ncf_by_lang": ncf_by_lang, "edit_text_render": edit_text_render,
-    "edit_text_parse": edit_text_parse, "record_violations": record_violations, "fasta_roundtrip": fasta_roundtrip,
+    "edit_text_parse": edit_text_parse, "edit_text_blocks": edit_text_blocks, "record_violations": record_violations, "fasta_roundtrip": fasta_roundtrip,
     "container_roundtrip": container_roundtrip, "container_by_blocks": container_by_blocks, "container_by_search": container_by_search, "legacy_roundtrip": legacy_roundtrip,
     "convert_and_verify": convert_and_verify, "edit_text_roundtrip": edit_text_roundtrip, "save_roundtrip": save_roundtrip,
     "compressed_roundtrip": compressed_roundtrip, "file_sizes": file_sizes, "encoded_stream": encoded_stream,

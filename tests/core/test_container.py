@@ -81,6 +81,38 @@ def test_legacy_search_at_any_bit(spark):
             one(bad)
 
 
+def searched(bits):
+    """A record as the search over its bits finds it."""
+    for nuc, marker in (("DNA", "000011110000"), ("RNA", "111100001111")):
+        if marker in bits:
+            before, rest = bits.split(marker, 1)
+            break
+    else:
+        return "No type marker"
+    if (stop := rest.find("000000001111")) < 0:
+        return "No end marker"
+    if stop % 4:
+        return "not whole"
+    sequence = "".join(" GCSTKYBARMVWDHN"[int(rest[k : k + 4], 2)] for k in range(0, stop, 4))
+    return "".join(chr(int(before[k : k + 8], 2)) for k in range(0, len(before), 8)), sequence.replace("T", "U") if nuc == "RNA" else sequence, nuc
+
+
+def test_legacy_search_equals_that_over_bits(spark):
+    """Markers at all alignments, descriptions of any number of bits, codes that are cut or not whole."""
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("01") for _ in range(n))
+    bits = [some(k) + rng.choice(["000011110000", "111100001111"]) + some(4 * rng.randint(0, 6) + rng.choice([0, 0, 0, 1])) + "000000001111" for k in range(40) for _ in range(6)]
+    bits = [b + "0" * (-len(b) % 4) for b in bits] + ["0000", "0000111100000000", "10101010"]
+    want = {f"{int(b, 2):0{len(b) // 4}X}": searched(b) for b in bits}
+    good = [(d,) for d, w in want.items() if isinstance(w, tuple)]
+    got = {r.d: tuple(r.r) for r in spark.createDataFrame(good, "d string").select("d", wire.legacy_decoded(F.col("d")).alias("r")).collect()}
+    assert len(got) > 150 and got == {d: want[d] for (d,) in good}
+    for why in ("No type marker", "No end marker", "not whole"):
+        bad = next(d for d, w in want.items() if w == why)
+        with pytest.raises(Exception, match=why):
+            spark.createDataFrame([(bad,)], "d string").select(wire.legacy_decoded(F.col("d"))).collect()
+
+
 def test_marker_guard(spark):
     rng = random.Random(4)
     marks = {"DNA": "000011110000" * 3, "RNA": "111100001111" * 3, "NEXT": "000000001111" * 3}

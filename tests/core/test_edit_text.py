@@ -75,6 +75,42 @@ def test_carrying_equals_a_line_by_line_parser(spark):
         assert got.get(f"f{i}", []) == slow(t), repr(t)
 
 
+@pytest.mark.parametrize("carry", [False, True])
+def test_any_cut_into_blocks_gives_the_same(spark, carry):
+    """Texts are cut between lines anywhere, stray lines and empty ones over the cuts, and blocks come in any order."""
+    rng = random.Random(11)
+    texts = ["\n".join(rng.choice(["", "", ">h", ">k | NUC=DNA", "AC", " G T", "#c", "G\x0cT", "A\r", "\x0b"]) for _ in range(rng.randint(0, 14))) for _ in range(150)]
+    blocks = []
+    for i, t in enumerate(texts):
+        block = 0
+        for k, line in enumerate(t.split("\n")):
+            block += k > 0 and rng.random() < 0.4
+            blocks.append((f"f{i}", block, k, line.encode()))
+    rows = spark.createDataFrame(blocks, "file string, block long, k long, value binary").repartition(7, "file", "block").sortWithinPartitions("file", "block", "k").drop("k")
+    files = spark.createDataFrame([(f"f{i}",) for i in range(len(texts))], "file string")
+    found = edit_text.parse_blocks(rows, files, carry).collect()
+    key = lambda r: tuple(x or "" for x in (r[0], str(r[1]), *r[2:]))
+    got = sorted(((r.file, r.rec_no, r.description, r.sequence, r.nuc_hint, r.problem) for r in found), key=key)
+    want = sorted(parsed(spark, *texts, carry=carry), key=key)
+    assert got == want
+
+
+def test_a_file_in_many_tasks(spark, tmp_path):
+    text = "".join(f">r{i} | NUC=RNA\n" + "ACGTN acgtn\r\n" * (i % 90) + ("\nAC\n" if i % 11 == 0 else "\n") for i in range(400))
+    (tmp_path / "big.txt").write_text(text, newline="")
+    (tmp_path / "empty.txt").write_text("# nothing\n\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        assert spark.read.text(f"{tmp_path}/big.txt").rdd.getNumPartitions() > 8
+        got = edit_text.read_edit_text(spark, f"{tmp_path}/*.txt", mode="PERMISSIVE").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.problem for r in got if r.file.endswith("empty.txt")] == ["No records"]
+    got = sorted((r.rec_no, r.description, r.sequence, r.nuc_hint, r.problem) for r in got if r.file.endswith("big.txt"))
+    assert got == [r[1:] for r in parsed(spark, text)]
+
+
 def test_files(spark, tmp_path):
     rows = [("f", i, f"d{i}", "ACGTNnacgt" * (1 + i * 20), "DNA") for i in range(1, 30)]
     df = spark.createDataFrame(rows, "file string, rec_no long, description string, sequence string, nuc string")
