@@ -40,10 +40,15 @@ def mismatch_reason(original: Column, decoded: Column) -> Column:
     same = F.translate(original, "U", "T") == F.translate(decoded, "U", "T")
     has = lambda s, x: F.contains(s, F.lit(x))
     differs = (has(original, "U") != has(decoded, "U")) | (has(original, "T") != has(decoded, "T"))
+    return reason(original.isNull(), F.length(original) != F.length(decoded), same, has(original, "U") & has(original, "T"), differs)
+
+
+def reason(missing: Column, sized: Column, same: Column, mixed: Column, differs: Column) -> Column:
+    """sized: of unequal lengths; same: equal with T for U; mixed: the original has both; differs: one has letters T or U that the other has not."""
     return (
-        F.when(original.isNull(), "desc-missing-in-original")
-        .when(F.length(original) != F.length(decoded), "length-mismatch")
-        .when(same & has(original, "U") & has(original, "T"), "mixed-T/U-in-original (lossy 0x4 nibble)")
+        F.when(missing, "desc-missing-in-original")
+        .when(sized, "length-mismatch")
+        .when(same & mixed, "mixed-T/U-in-original (lossy 0x4 nibble)")
         .when(same & differs, "global-T↔U-normalization")
         .when(same, "T/U-only-difference")
         .otherwise("base-content-mismatch")

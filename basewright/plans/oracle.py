@@ -165,6 +165,7 @@ SELECT doc_id, CASE WHEN length(s) > 200 THEN left(s, 200) || '…' ELSE s END A
   'x.fasta/doc' || doc_id || '.fasta' || CASE doc_id % 3 WHEN 0 THEN '_pigz.gz' WHEN 1 THEN '_zlib.gz' ELSE '.bz2' END AS compressed FROM documents""",
 }
 SQL["container_by_blocks"] = SQL["container_by_search"] = SQL["container_roundtrip"]
+SQL["integrity_chunks"], SQL["integrity_chunks_summary"] = SQL["integrity_details"], SQL["integrity_summary"]
 SQL["integrity_report"] = SQL["integrity_details"] + " ORDER BY index LIMIT 10"
 #: The checksum's table, by its rule from the reversed polynomial.
 CRC_TABLE = "SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n)"

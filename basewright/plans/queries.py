@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases, wire
-from ..operators import chunks, convert, integrity, sizes
+from ..operators import chunks, convert, digests, integrity, sizes
 from ..sources import commits, compressed, container, edit_text, fasta
 from ..sources.scratch import scratch
 from ..streaming import encode
@@ -170,6 +170,22 @@ def integrity_report(spark, sf_dir):
     return integrity.first_details(integrity_details(spark, sf_dir))
 
 
+def in_chunks(spark, sf_dir) -> digests.ChunkReport:
+    """The same damaged records in chunks, which are cut differently on the two sides."""
+    rows = [r.withColumn("file", F.lit("docs")) for r in damaged(spark, sf_dir)]
+    size = lambda k: (F.lit(100) + F.pmod("rec_no", F.lit(k))).cast("int")
+    return digests.ChunkReport(chunks.cut(rows[0], size(90)), chunks.cut(rows[1], size(250)), size=64, fan=4)
+
+
+def integrity_chunks(spark, sf_dir):
+    rows = in_chunks(spark, sf_dir).details()
+    return rows.select(*[F.col(c).cast("int").alias(c) if c in ("first_diff_at", "orig_T", "orig_U", "dec_T", "dec_U") else c for c in rows.columns])
+
+
+def integrity_chunks_summary(spark, sf_dir):
+    return in_chunks(spark, sf_dir).summary()
+
+
 def sequence_names(spark, sf_dir):
     return integrity.sequence_names(damaged(spark, sf_dir)[0])
 
@@ -325,7 +341,7 @@ QUERIES = {
     "unpack_roundtrip": unpack_roundtrip, "softmask_runs": softmask_runs, "softmask_apply": softmask_apply,
     "nuc_type": nuc_type, "mixed_tu": mixed_tu, "v1_record_hex": v1_record_hex, "v1_decode": v1_decode,
     "v1_decode_types": v1_decode_types, "shortened": shortened, "v1_marker_guard": v1_marker_guard, "v2_record_body": v2_record_body, "v2_record_crc": v2_record_crc,
-    "chunked_records": chunked_records, "chunked_runs": chunked_runs, "container_size": container_size, "integrity_summary": integrity_summary, "integrity_details": integrity_details, "integrity_report": integrity_report,
+    "chunked_records": chunked_records, "chunked_runs": chunked_runs, "container_size": container_size, "integrity_summary": integrity_summary, "integrity_details": integrity_details, "integrity_report": integrity_report, "integrity_chunks": integrity_chunks, "integrity_chunks_summary": integrity_chunks_summary,
     "sequence_names": sequence_names, "last_of_each": last_of_each, "sha256_sequences": sha256_sequences,
     "total_bp": total_bp, "ncf_by_lang": ncf_by_lang, "edit_text_render": edit_text_render,
     "edit_text_parse": edit_text_parse, "edit_text_blocks": edit_text_blocks, "record_violations": record_violations, "fasta_roundtrip": fasta_roundtrip,
