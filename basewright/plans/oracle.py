@@ -140,6 +140,8 @@ SELECT CAST(rec_no AS BIGINT) AS index, description,
     "record_violations": f"""WITH {derived(kept('QZ-'))} SELECT doc_id AS rec_no, CASE WHEN s = '' THEN 'empty sequence' ELSE 'unknown type' END AS reason FROM d WHERE s = '' OR doc_id % 13 = 0""",
     "fasta_roundtrip": f"WITH {derived()} SELECT string_split(description, ' ')[1] AS id, description, s AS sequence FROM d",
     "container_roundtrip": f"WITH {derived()} SELECT description, {BACK} AS sequence, nuc FROM e",
+    "container_sql": f"""WITH {derived()}, b AS (SELECT description, {BACK} AS s, enc, nuc, {RECORD_BYTES} AS record_bytes FROM e)
+SELECT description, s AS sequence, nuc, enc, CAST(record_bytes AS INTEGER) AS record_bytes FROM b""",
     "legacy_roundtrip": f"""WITH {derived(kept(LEGACY))} SELECT description, CASE WHEN contains(upper(s), 'U') THEN replace(upper(s), 'T', 'U') ELSE upper(s) END AS sequence,
   CASE WHEN contains(upper(s), 'U') THEN 'RNA' ELSE 'DNA' END AS nuc FROM d""",
     "convert_and_verify": f"""WITH {derived(kept(FOUR))}, b AS (SELECT description, s, {BACK} AS t FROM e), n AS (
@@ -164,7 +166,7 @@ SELECT doc_id, CASE WHEN length(s) > 200 THEN left(s, 200) || '…' ELSE s END A
     "output_names": """SELECT doc_id, 'x.seqs/doc' || doc_id || '.seqs' AS container,
   'x.fasta/doc' || doc_id || '.fasta' || CASE doc_id % 3 WHEN 0 THEN '_pigz.gz' WHEN 1 THEN '_zlib.gz' ELSE '.bz2' END AS compressed FROM documents""",
 }
-SQL["container_by_blocks"] = SQL["container_by_search"] = SQL["container_roundtrip"]
+SQL["container_by_blocks"] = SQL["container_by_search"] = SQL["container_table_function"] = SQL["container_roundtrip"]
 SQL["integrity_chunks"], SQL["integrity_chunks_summary"] = SQL["integrity_details"], SQL["integrity_summary"]
 SQL["integrity_report"] = SQL["integrity_details"] + " ORDER BY index LIMIT 10"
 #: The checksum's table, by its rule from the reversed polynomial.

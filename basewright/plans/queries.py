@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bases, wire
 from ..operators import chunks, convert, digests, integrity, sizes
-from ..sources import commits, compressed, container, edit_text, fasta
+from ..sources import commits, compressed, container, edit_text, fasta, surface
 from ..sources.scratch import scratch
 from ..streaming import encode
 
@@ -263,6 +263,27 @@ def container_by_search(spark, sf_dir):
     return container.read_records(spark, f"{commits.current(spark, path)}/*.seqs", span=1 << 15).select("description", "sequence", "nuc")
 
 
+def container_sql(spark, sf_dir):
+    """Written and read as a data source, in SQL, with the codec's functions."""
+    path = scratch(spark, "source")
+    surface.register(spark)
+    records(spark, sf_dir).select("file", "description", "sequence", "nuc").write.format("basewright").mode("overwrite").save(path)
+    view = f"records_{path.rpartition('/')[2]}".replace("-", "_")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {view} USING basewright OPTIONS (path '{path}')")
+    return spark.sql(f"SELECT description, sequence, nuc, record_encoding(sequence) AS enc, octet_length(record_bytes(description, sequence, nuc)) AS record_bytes FROM {view}")
+
+
+def container_table_function(spark, sf_dir):
+    """Files of a table, each read by a table function."""
+    path = scratch(spark, "lateral")
+    surface.register(spark)
+    container.write_records(records(spark, sf_dir), path)
+    files = spark.read.format("binaryFile").load(f"{commits.current(spark, path)}/*.seqs").select("path")
+    view = f"files_{path.rpartition('/')[2]}".replace("-", "_")
+    files.createOrReplaceTempView(view)
+    return spark.sql(f"SELECT r.description, r.sequence, r.nuc FROM {view} f, LATERAL container_records(f.path) r")
+
+
 def legacy_roundtrip(spark, sf_dir):
     path = scratch(spark, "legacy")
     container.write_records(records(spark, sf_dir, kept(LEGACY)), path, version=1)
@@ -345,7 +366,7 @@ QUERIES = {
     "sequence_names": sequence_names, "last_of_each": last_of_each, "sha256_sequences": sha256_sequences,
     "total_bp": total_bp, "ncf_by_lang": ncf_by_lang, "edit_text_render": edit_text_render,
     "edit_text_parse": edit_text_parse, "edit_text_blocks": edit_text_blocks, "record_violations": record_violations, "fasta_roundtrip": fasta_roundtrip,
-    "container_roundtrip": container_roundtrip, "container_by_blocks": container_by_blocks, "container_by_search": container_by_search, "legacy_roundtrip": legacy_roundtrip,
+    "container_roundtrip": container_roundtrip, "container_by_blocks": container_by_blocks, "container_by_search": container_by_search, "container_sql": container_sql, "container_table_function": container_table_function, "legacy_roundtrip": legacy_roundtrip,
     "convert_and_verify": convert_and_verify, "edit_text_roundtrip": edit_text_roundtrip, "save_roundtrip": save_roundtrip,
     "compressed_roundtrip": compressed_roundtrip, "file_sizes": file_sizes, "encoded_stream": encoded_stream,
     "plain_sizes": plain_sizes, "variant_sizes": variant_sizes, "output_names": output_names,

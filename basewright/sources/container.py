@@ -63,6 +63,30 @@ def pieces(spark: SparkSession, path: str | list[str], span: int, back: int = 0)
     return out
 
 
+def table(rows: list[tuple]) -> pa.RecordBatch:
+    run = pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32())]))
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), run, pa.string()]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], NAMES)
+
+
+def piece_records(file: str, version: int | None, offset: int, size: int | None, n: int | None) -> Iterator[tuple]:
+    """Records of a piece of a file, as of ``pieces``."""
+    where, name = opened(file)
+    with where.open_input_file(name) as stream:
+        if version is None:
+            data = Bytes(stream)
+            data.back(len(head := data.some(5)))
+            yield from container_records(data) if is_container(head) else legacy_records(data)
+            return
+        stream.seek(offset)
+        data = Bytes(stream, offset, size)
+        if version == 1:
+            yield from islice(legacy_records(data), n)
+        else:
+            for _ in range(n):
+                yield container_record(data)
+
+
 def read_raw(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", span: int | None = None, back: int = 0) -> DataFrame:
     """Framed records of container and legacy files, told apart by their first bytes.
 
@@ -75,33 +99,12 @@ def read_raw(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST",
         raise ValueError(f"Unknown mode {mode}")
     span = span or spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
 
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        run = pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32())]))
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), run, pa.string()]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], NAMES)
-
-    def records(file: str, version: int | None, offset: int, size: int | None, n: int | None) -> Iterator[tuple]:
-        where, name = opened(file)
-        with where.open_input_file(name) as stream:
-            if version is None:
-                data = Bytes(stream)
-                data.back(len(head := data.some(5)))
-                yield from container_records(data) if is_container(head) else legacy_records(data)
-                return
-            stream.seek(offset)
-            data = Bytes(stream, offset, size)
-            if version == 1:
-                yield from islice(legacy_records(data), n)
-            else:
-                for _ in range(n):
-                    yield container_record(data)
-
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for file, version, first, offset, size, many in zip(*(c.to_pylist() for c in batch.columns)):
                 n, rows, held = first - 1, [], 0
                 try:
-                    for n, record in enumerate(records(file, version, offset, size, many), first):
+                    for n, record in enumerate(piece_records(file, version, offset, size, many), first):
                         rows.append((file, n, *record, None))
                         held += len(record[0]) + len(record[4]) + 64 * len(record[5]) + 256
                         if held > BATCH:
