@@ -176,3 +176,4 @@ SQL["v2_record_crc"] = f"""WITH body AS ({SQL["v2_record_body"]}), crc_table AS
 )
 SELECT doc_id, xor(list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS crc, CAST(len(b) - 1 + 4 AS BIGINT) AS record_bytes FROM bytes"""
 SQL["chunked_records"], SQL["chunked_runs"] = SQL["v2_record_crc"], SQL["softmask_runs"]
+SQL["edit_text_encode"] = SQL["v2_record_crc"]

@@ -174,7 +174,8 @@ def in_chunks(spark, sf_dir) -> digests.ChunkReport:
     """The same damaged records in chunks, which are cut differently on the two sides."""
     rows = [r.withColumn("file", F.lit("docs")) for r in damaged(spark, sf_dir)]
     size = lambda k: (F.lit(100) + F.pmod("rec_no", F.lit(k))).cast("int")
-    return digests.ChunkReport(chunks.cut(rows[0], size(90)), chunks.cut(rows[1], size(250)), size=64, fan=4)
+    rows = [chunks.saved(chunks.cut(r, size(k)), "damaged") for r, k in zip(rows, (90, 250))]
+    return digests.ChunkReport(*rows, size=256, fan=16)
 
 
 def integrity_chunks(spark, sf_dir):
@@ -232,6 +233,15 @@ def edit_text_blocks(spark, sf_dir):
     return rows.select(F.col("file").cast("long").alias("doc_id"), "rec_no", "description", "sequence", "nuc_hint", "problem")
 
 
+def edit_text_encode(spark, sf_dir):
+    """Texts parsed and turned into records of bytes: the checksum and size of each."""
+    text = F.concat(F.lit(edit_text.HEAD), edit_text.rendered(F.col("description"), seq(), F.col("nuc")), F.lit("\n\n"))
+    rows = edit_text.parse(records(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file"), text.alias("text")))
+    record = container.record_bytes(F.col("description"), seq(), bases.nucleotide(seq(), F.col("nuc_hint")))
+    size = F.octet_length("record")
+    return rows.select(F.col("file").cast("long").alias("doc_id"), record.alias("record")).select("doc_id", F.crc32(F.substring("record", F.lit(1), size - 4)).alias("crc"), size.cast("long").alias("record_bytes"))
+
+
 def record_violations(spark, sf_dir):
     rows = records(spark, sf_dir, kept("QZ-")).withColumn("nuc", F.when(F.pmod("doc_id", F.lit(13)) == 0, "protein").otherwise("DNA"))
     return edit_text.violations(rows).select("rec_no", "reason")
@@ -365,7 +375,7 @@ QUERIES = {
     "chunked_records": chunked_records, "chunked_runs": chunked_runs, "container_size": container_size, "integrity_summary": integrity_summary, "integrity_details": integrity_details, "integrity_report": integrity_report, "integrity_chunks": integrity_chunks, "integrity_chunks_summary": integrity_chunks_summary,
     "sequence_names": sequence_names, "last_of_each": last_of_each, "sha256_sequences": sha256_sequences,
     "total_bp": total_bp, "ncf_by_lang": ncf_by_lang, "edit_text_render": edit_text_render,
-    "edit_text_parse": edit_text_parse, "edit_text_blocks": edit_text_blocks, "record_violations": record_violations, "fasta_roundtrip": fasta_roundtrip,
+    "edit_text_parse": edit_text_parse, "edit_text_blocks": edit_text_blocks, "edit_text_encode": edit_text_encode, "record_violations": record_violations, "fasta_roundtrip": fasta_roundtrip,
     "container_roundtrip": container_roundtrip, "container_by_blocks": container_by_blocks, "container_by_search": container_by_search, "container_sql": container_sql, "container_table_function": container_table_function, "legacy_roundtrip": legacy_roundtrip,
     "convert_and_verify": convert_and_verify, "edit_text_roundtrip": edit_text_roundtrip, "save_roundtrip": save_roundtrip,
     "compressed_roundtrip": compressed_roundtrip, "file_sizes": file_sizes, "encoded_stream": encoded_stream,

@@ -16,6 +16,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import commits
 from .container import opened
 
 #: Bytes of a file that are compressed at a time.
@@ -82,7 +83,7 @@ def compress_files(spark: SparkSession, path: str | list[str], folder: str, meth
     """
     if method not in SUFFIXES:
         raise ValueError(f"Unsupported method: {method}")
-    suffix = SUFFIXES[method]
+    suffix, folder = SUFFIXES[method], commits.qualified(spark, folder)
     files = spark.read.format("binaryFile").load(path).select("path")
     name = F.substring_index("path", "/", -1)
     if twice := files.groupBy(name.alias("name")).count().where("count > 1").first():

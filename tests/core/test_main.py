@@ -40,3 +40,12 @@ def test_compress(spark, tmp_path):
     assert not (tmp_path / "in" / "x.fasta").exists()
     assert command.main(["compress", f"{tmp_path}/out", f"{tmp_path}/back", "--decompress"], spark) == 0
     assert (tmp_path / "back" / "x.fasta").read_text() == ">a\nACGT\n"
+
+
+def test_compress_to_a_relative_folder(spark, tmp_path, monkeypatch):
+    """Tasks get the folder that the driver means."""
+    (tmp_path / "x.fasta").write_text(">a\nACGT\n")
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr(command.compressed.commits, "qualified", lambda spark, path: f"file:{tmp_path}/{path}")
+    assert command.main(["compress", f"{tmp_path}/x.fasta", "out"], spark) == 0
+    assert [f.name for f in (tmp_path / "out").iterdir() if f.name.startswith("x.fasta")]
