@@ -1,13 +1,13 @@
 """Command line: convert FASTA files, compare storage variants, show and encode edit text, check containers.
 
-    python -m basewright convert x.fasta [out] [--version 1]
+    python -m basewright convert x.fasta [out] [--version 1 | --long]
     python -m basewright compare x.fasta
     python -m basewright show folder
     python -m basewright encode text folder [--version 1]
     python -m basewright check folder
     python -m basewright compress path folder [--method pigz] [--threads 4] [--decompress] [--replace]
 
-convert writes to a folder beside the input, x.seqs, if none is named. --log-level, before the command, sets how much Spark logs.
+convert writes to a folder beside the input, x.seqs, if none is named; --long does so by chunks, for records of any length. --log-level, before the command, sets how much Spark logs.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ SHOWN = 10
 
 def run_convert(spark: SparkSession, args: argparse.Namespace) -> int:
     output = args.output or spark.range(1).select(compressed.output_name(F.lit(args.input))).first()[0]
-    done = convert.convert_fasta(spark, args.input, output, args.version)
+    done = convert.convert_long(spark, args.input, output) if args.long else convert.convert_fasta(spark, args.input, output, args.version)
     if done.mixed:
         print(f"{done.mixed} records hold both T and U, of which one letter is kept; the first are:")
-        convert.mixed_records(fasta.read_fasta(spark, args.input)).orderBy("file", "rec_no").limit(SHOWN).show(truncate=False)
+        done.mixed_rows.orderBy("file", "rec_no").limit(SHOWN).show(truncate=False)
     summary = done.summary.first()
     print("\n".join(f"{name}: {summary[name]}" for name in done.summary.columns))
     if summary["any_issue"]:
@@ -90,7 +90,10 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
             sub.add_argument("--decompress", action="store_true")
             sub.add_argument("--replace", action="store_true")
         elif writes:
-            sub.add_argument("--version", type=int, choices=(1, 2), default=2)
+            form = sub.add_mutually_exclusive_group()
+            form.add_argument("--version", type=int, choices=(1, 2), default=2)
+            if name == "convert":
+                form.add_argument("--long", action="store_true")
     args = parser.parse_args(argv)
     spark = spark or SparkSession.builder.appName("basewright").getOrCreate()
     if args.log_level:

@@ -193,11 +193,12 @@ def little_endian(kind: pd.Series, value: pd.Series) -> pd.Series:
 
 
 def facts(chunks: DataFrame) -> DataFrame:
-    """file, rec_no, description, n, enc, rna of each record: letters u make it RNA."""
-    rows = chunks.withColumn("traits", traits("data")).groupBy("file", "rec_no").agg(F.max("description").alias("description"), F.sum("n").alias("n"), F.bit_or("traits").alias("traits"))
+    """file, rec_no, description, n, enc, rna of each record: letters u make it RNA, and so does a column nuc of that name in any of its chunks."""
+    hint = F.coalesce(F.bool_or(F.upper("nuc").startswith("R")), F.lit(False)) if "nuc" in chunks.columns else F.lit(False)
+    rows = chunks.withColumn("traits", traits("data")).groupBy("file", "rec_no").agg(F.max("description").alias("description"), F.sum("n").alias("n"), F.bit_or("traits").alias("traits"), hint.alias("hint"))
     has = lambda bit: F.col("traits").bitwiseAND(F.lit(bit)) > 0
     enc = F.when(has(DEGENERATE), "4b").when(has(LOWER), "3b").otherwise("2b")
-    return rows.select("file", "rec_no", "description", "n", enc.alias("enc"), (has(UPPER_U) | has(LOWER_U)).alias("rna"))
+    return rows.select("file", "rec_no", "description", "n", enc.alias("enc"), (has(UPPER_U) | has(LOWER_U) | F.col("hint")).alias("rna"))
 
 
 def stitched(rows: DataFrame) -> DataFrame:
@@ -260,6 +261,6 @@ def checksums(rows: DataFrame) -> DataFrame:
     return rows.where("last").select("file", "rec_no", crc.alias("crc"), (F.col("place") + 4).alias("record_bytes"))
 
 
-def write_chunks(chunks: DataFrame, folder: str, files: int | None = None) -> DataFrame:
+def write_chunks(chunks: DataFrame, folder: str, files: int | None = None, inputs: list[str] = ()) -> DataFrame:
     """Writes the records of chunks to a container folder, part by part, and returns the manifest. A record is in one file."""
-    return container.write_parts(saved(parts(chunks), "parts"), folder, files=files)
+    return container.write_parts(saved(parts(chunks), "parts"), folder, files=files, inputs=inputs)

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import bases
 from ..sources import commits, container, fasta
-from . import integrity
+from . import chunk_scan, chunks, digests, integrity
 
 
 @dataclass
 class Conversion:
-    """manifest of the files; how many records mix T and U; the report of what came back."""
+    """manifest of the files; the records that mix T and U, and how many; the report of what came back."""
 
     manifest: DataFrame
+    mixed_rows: DataFrame
     mixed: int
     report: integrity.Report
 
@@ -48,4 +49,24 @@ def convert_fasta(spark: SparkSession, path: str | list[str], folder: str, versi
     paths = [commits.qualified(spark, p) for p in ([path] if isinstance(path, str) else path)]
     records = fasta.read_fasta(spark, paths)
     manifest = container.write_records(with_types(records).drop("id"), folder, version, inputs=paths)
-    return Conversion(manifest, mixed_records(records).count(), integrity.Report(records, container.read_records(spark, folder)))
+    mixed = mixed_records(records)
+    return Conversion(manifest, mixed, mixed.count(), integrity.Report(records, container.read_records(spark, folder)))
+
+
+def convert_long(spark: SparkSession, path: str | list[str], folder: str, size: int = chunks.SIZE) -> Conversion:
+    """The same for records of any length: they are read, written, read back and compared by chunks of about `size` symbols."""
+    paths = [commits.qualified(spark, p) for p in ([path] if isinstance(path, str) else path)]
+    commits.attempt(spark, folder, paths)  # refuses folders before any work is done
+    rows = chunks.saved(chunks.read_fasta_chunks(spark, paths, size), "fasta-rows")
+    manifest = chunks.write_chunks(rows, folder, inputs=paths)
+    decoded = chunks.saved(chunk_scan.read_chunks(spark, folder, size), "decoded-chunks")
+    report = digests.ChunkReport(rows, decoded, min(size, digests.SIZE))
+    mixed = chunks.saved(mixed_chunks(rows), "mixed")
+    return Conversion(manifest, mixed, mixed.count(), report)
+
+
+def mixed_chunks(rows: DataFrame) -> DataFrame:
+    """As ``mixed_records``, of chunks: a record's letters may lie in different ones."""
+    has = [F.bool_or(F.contains(F.upper(digests.letters(F.col("data"))), F.lit(x))).alias(x) for x in "TU"]
+    found = rows.groupBy("file", "rec_no").agg(F.max("description").alias("description"), *has).where("T and U")
+    return found.select("file", "rec_no", bases.shortened(F.col("description")).alias("description"))

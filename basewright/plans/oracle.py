@@ -140,6 +140,8 @@ SELECT CAST(rec_no AS BIGINT) AS index, description,
     "record_violations": f"""WITH {derived(kept('QZ-'))} SELECT doc_id AS rec_no, CASE WHEN s = '' THEN 'empty sequence' ELSE 'unknown type' END AS reason FROM d WHERE s = '' OR doc_id % 13 = 0""",
     "fasta_roundtrip": f"WITH {derived()} SELECT string_split(description, ' ')[1] AS id, description, s AS sequence FROM d",
     "container_roundtrip": f"WITH {derived()} SELECT description, {BACK} AS sequence, nuc FROM e",
+    "container_chunks": f"""WITH {derived()}, b AS (SELECT doc_id, {BACK} AS t, nuc, unnest(range(0, greatest(length(s), 1), 1000)) AS start FROM e)
+SELECT doc_id, start // 1000 AS chunk_no, start, CAST(length(substr(t, start + 1, 1000)) AS BIGINT) AS n, nuc, substr(t, start + 1, 1000) AS symbols FROM b""",
     "container_sql": f"""WITH {derived()}, b AS (SELECT description, {BACK} AS s, enc, nuc, {RECORD_BYTES} AS record_bytes FROM e)
 SELECT description, s AS sequence, nuc, enc, CAST(record_bytes AS INTEGER) AS record_bytes FROM b""",
     "legacy_roundtrip": f"""WITH {derived(kept(LEGACY))} SELECT description, CASE WHEN contains(upper(s), 'U') THEN replace(upper(s), 'T', 'U') ELSE upper(s) END AS sequence,
@@ -177,3 +179,4 @@ SQL["v2_record_crc"] = f"""WITH body AS ({SQL["v2_record_body"]}), crc_table AS
 SELECT doc_id, xor(list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS crc, CAST(len(b) - 1 + 4 AS BIGINT) AS record_bytes FROM bytes"""
 SQL["chunked_records"], SQL["chunked_runs"] = SQL["v2_record_crc"], SQL["softmask_runs"]
 SQL["edit_text_encode"] = SQL["v2_record_crc"]
+SQL["convert_long_and_verify"] = SQL["convert_and_verify"]

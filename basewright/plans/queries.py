@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases, wire
-from ..operators import chunks, convert, digests, integrity, sizes
+from ..operators import chunk_scan, chunks, convert, digests, integrity, sizes
 from ..sources import commits, compressed, container, edit_text, fasta, surface
 from ..sources.scratch import scratch
 from ..streaming import encode
@@ -144,6 +144,15 @@ def chunked_runs(spark, sf_dir):
     return chunks.case_runs(rows).select(F.col("rec_no").alias("doc_id"), "run_no", "start", "len")
 
 
+def container_chunks(spark, sf_dir):
+    """Containers read by chunks of 1,000 symbols; most records span several, which are unpacked by tasks of their own."""
+    path = scratch(spark, "by-chunks")
+    container.write_records(records(spark, sf_dir), path)
+    rows = chunks.saved(chunk_scan.read_chunks(spark, path, size=1000), "read-chunks")
+    named = rows.where("chunk_no = 0").select("file", "rec_no", F.regexp_extract("description", "^doc([0-9]+)", 1).cast("long").alias("doc_id"))
+    return rows.drop("description").join(named, ["file", "rec_no"]).select("doc_id", "chunk_no", "start", "n", "nuc", F.decode("data", "US-ASCII").alias("symbols"))
+
+
 def container_size(spark, sf_dir):
     return sizes.container_size(records(spark, sf_dir))
 
@@ -300,15 +309,24 @@ def legacy_roundtrip(spark, sf_dir):
     return container.read_records(spark, path).select("description", "sequence", "nuc")
 
 
-def convert_and_verify(spark, sf_dir):
-    """Records that mix T and U lose one of them; the report has to say so, and all records have to come back."""
+def converted(spark, sf_dir, convert_files, **options):
     path = scratch(spark, "convert")
     fasta.write_fasta(records(spark, sf_dir, kept(FOUR)), f"{path}/in")
-    done = convert.convert_fasta(spark, f"{path}/in", f"{path}/out")
+    done = convert_files(spark, f"{path}/in", f"{path}/out", **options)
     written = done.manifest.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("written"))
     return done.summary.crossJoin(written).withColumn("mixed", F.lit(done.mixed).cast("long"))  # one row each
 
 
+def convert_and_verify(spark, sf_dir):
+    """Records that mix T and U lose one of them; the report has to say so, and all records have to come back."""
+    return converted(spark, sf_dir, convert.convert_fasta)
+
+
+def convert_long_and_verify(spark, sf_dir):
+    """The same by chunks from end to end: no sequence is ever one value."""
+    return converted(spark, sf_dir, convert.convert_long, size=4096)
+
+
 def edit_text_roundtrip(spark, sf_dir):
     path = scratch(spark, "edit-text")
     edit_text.write_edit_text(records(spark, sf_dir), path)
@@ -372,12 +390,12 @@ QUERIES = {
     "unpack_roundtrip": unpack_roundtrip, "softmask_runs": softmask_runs, "softmask_apply": softmask_apply,
     "nuc_type": nuc_type, "mixed_tu": mixed_tu, "v1_record_hex": v1_record_hex, "v1_decode": v1_decode,
     "v1_decode_types": v1_decode_types, "shortened": shortened, "v1_marker_guard": v1_marker_guard, "v2_record_body": v2_record_body, "v2_record_crc": v2_record_crc,
-    "chunked_records": chunked_records, "chunked_runs": chunked_runs, "container_size": container_size, "integrity_summary": integrity_summary, "integrity_details": integrity_details, "integrity_report": integrity_report, "integrity_chunks": integrity_chunks, "integrity_chunks_summary": integrity_chunks_summary,
+    "chunked_records": chunked_records, "chunked_runs": chunked_runs, "container_chunks": container_chunks, "container_size": container_size, "integrity_summary": integrity_summary, "integrity_details": integrity_details, "integrity_report": integrity_report, "integrity_chunks": integrity_chunks, "integrity_chunks_summary": integrity_chunks_summary,
     "sequence_names": sequence_names, "last_of_each": last_of_each, "sha256_sequences": sha256_sequences,
     "total_bp": total_bp, "ncf_by_lang": ncf_by_lang, "edit_text_render": edit_text_render,
     "edit_text_parse": edit_text_parse, "edit_text_blocks": edit_text_blocks, "edit_text_encode": edit_text_encode, "record_violations": record_violations, "fasta_roundtrip": fasta_roundtrip,
     "container_roundtrip": container_roundtrip, "container_by_blocks": container_by_blocks, "container_by_search": container_by_search, "container_sql": container_sql, "container_table_function": container_table_function, "legacy_roundtrip": legacy_roundtrip,
-    "convert_and_verify": convert_and_verify, "edit_text_roundtrip": edit_text_roundtrip, "save_roundtrip": save_roundtrip,
+    "convert_and_verify": convert_and_verify, "convert_long_and_verify": convert_long_and_verify, "edit_text_roundtrip": edit_text_roundtrip, "save_roundtrip": save_roundtrip,
     "compressed_roundtrip": compressed_roundtrip, "file_sizes": file_sizes, "encoded_stream": encoded_stream,
     "plain_sizes": plain_sizes, "variant_sizes": variant_sizes, "output_names": output_names,
 }

@@ -87,6 +87,12 @@ def piece_records(file: str, version: int | None, offset: int, size: int | None,
                 yield container_record(data)
 
 
+def in_tasks(parts: DataFrame, span: int) -> DataFrame:
+    """Pieces dealt to tasks of about span bytes; neighbours in a file go to one task, which reads it from front to back."""
+    total = parts.agg(F.sum(F.coalesce("bytes", F.lit(span)))).first()[0] or 0
+    return parts.repartitionByRange(max(1, -(-total // span)), "file", "offset").sortWithinPartitions("file", "offset")
+
+
 def read_raw(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", span: int | None = None, back: int = 0) -> DataFrame:
     """Framed records of container and legacy files, told apart by their first bytes.
 
@@ -118,10 +124,7 @@ def read_raw(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST",
                 if rows:
                     yield table(rows)
 
-    parts = pieces(spark, path, span, back)
-    total = parts.agg(F.sum(F.coalesce("bytes", F.lit(span)))).first()[0] or 0
-    # neighbours in a file go to one task, which reads it from front to back
-    return parts.repartitionByRange(max(1, -(-total // span)), "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, RAW)
+    return in_tasks(pieces(spark, path, span, back), span).mapInArrow(run, RAW)
 
 
 def unpacked(raw: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyarrow import fs
 
 from ..functions import codes
@@ -64,6 +65,13 @@ class Bytes:
     def back(self, n: int) -> None:
         self.at -= n
 
+    def passed(self, n: int, crc: int) -> int:
+        """Goes n bytes on without keeping them, and their checksum after that of what came before."""
+        while n:
+            part = self.take(min(n, BATCH))
+            n, crc = n - len(part), zlib.crc32(part, crc)
+        return crc
+
 
 def is_container(head: bytes) -> bool:
     """By magic and version; anything else is taken for a legacy stream."""
@@ -82,23 +90,31 @@ def listed_records(data: Bytes) -> int:
     return struct.unpack_from("<I", head, 8)[0]
 
 
-def container_record(data: Bytes) -> tuple:
-    """(description, tag, enc, n_bases, payload, runs) of the next record."""
-    crc, description, tag, found, runs = 0, "", "", None, []
+def placed_record(data: Bytes, most: int | None = None) -> tuple:
+    """(description, tag, enc, n_bases, payload, its place, runs as bytes, their place, their size) of the next record, whose checksum is verified.
+
+    most: payloads and runs of more bytes are not kept (None).
+    """
+    crc, description, tag, found, runs = 0, "", "", None, (b"", 0, 0)
     while True:
         kind, length = struct.unpack("<BI", start := data.take(5))
-        body = data.take(-(-length * PAYLOADS[kind][1] // 8) if kind in PAYLOADS else length)
-        crc = zlib.crc32(body, zlib.crc32(start, crc))
+        size = -(-length * PAYLOADS[kind][1] // 8) if kind in PAYLOADS else length
+        crc, place, body = zlib.crc32(start, crc), data.place, None
+        if most is not None and size > most and kind not in (codes.BLOCK_DESCRIPTION, codes.BLOCK_TYPE):
+            crc = data.passed(size, crc)
+        else:
+            body = data.take(size)
+            crc = zlib.crc32(body, crc)
         if kind == codes.BLOCK_DESCRIPTION:
             description = str(body, "utf-8")
         elif kind == codes.BLOCK_TYPE:
             tag = str(body, "ascii")
         elif kind in PAYLOADS:
-            found = (PAYLOADS[kind][0], length, body)
+            found = (PAYLOADS[kind][0], length, body, place)
         elif kind == codes.BLOCK_RUNS:
             if length % 8:
                 raise Broken("Case runs are not whole")
-            runs = [{"start": a, "len": n} for a, n in struct.iter_unpack("<II", body)]
+            runs = (body, place, size)
         end = data.some(4)
         if len(end) == 4 and struct.unpack("<I", end)[0] == crc:
             break
@@ -107,7 +123,14 @@ def container_record(data: Bytes) -> tuple:
         raise Broken("Record has no type")
     if found is None:
         raise Broken("Record has no sequence")
-    return description, tag, *found, runs if found[0] == "4b" else []
+    return description, tag, *found, *(runs if found[0] == "4b" else (b"", 0, 0))
+
+
+def container_record(data: Bytes) -> tuple:
+    """(description, tag, enc, n_bases, payload, runs) of the next record; numbers of runs are cut at the record's length."""
+    *record, _, runs, _, _ = placed_record(data)
+    pairs = np.minimum(np.frombuffer(runs, "<u4"), record[3]).reshape(-1, 2).tolist()
+    return *record, [{"start": a, "len": n} for a, n in pairs]
 
 
 def container_records(data: Bytes) -> Iterator[tuple]:

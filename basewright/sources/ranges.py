@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from .framing import Broken, Bytes, container_record, is_container, opened
+from .framing import BATCH, Broken, Bytes, is_container, opened, placed_record
 from .scratch import scratch
 
 #: After so many rounds the rest of a file is one range. Bytes searched at once, and how many of them two searches share.
@@ -57,7 +57,7 @@ def first_record(stream, begin: int, end: int) -> int | None:
             if k < WINDOW and at + k < end:
                 stream.seek(at + k)
                 try:
-                    container_record(Bytes(stream, at + k))
+                    placed_record(Bytes(stream, at + k), BATCH)
                 except (Broken, UnicodeDecodeError):
                     continue
                 return at + k
@@ -75,7 +75,7 @@ def followed(stream, start: int | None, end: int) -> tuple[int, int | None, bool
     stop = start
     while stop < end:
         try:
-            container_record(data)
+            placed_record(data, BATCH)
         except (Broken, UnicodeDecodeError):
             return n, stop, True
         n, stop = n + 1, data.place

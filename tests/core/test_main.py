@@ -26,6 +26,8 @@ def test_problems_are_told(spark, tmp_path, capsys):
     assert command.main(["convert", f"{tmp_path}/a.fasta", f"{tmp_path}/out"], spark) == 1
     out = capsys.readouterr().out
     assert "1 records hold both T and U" in out and "mixed-T/U-in-original" in out
+    assert command.main(["convert", f"{tmp_path}/a.fasta", f"{tmp_path}/long", "--long"], spark) == 1
+    assert capsys.readouterr().out == out
     for file in (tmp_path / "out").rglob("*.seqs"):
         file.write_bytes(file.read_bytes()[:-3])
     assert command.main(["check", f"{tmp_path}/out"], spark) == 1
