@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import codes, packing
-from ..sources import container
+from ..sources import commits, container
 from ..sources.scratch import scratch
 
 #: Symbols of a chunk, as a rule.
@@ -38,8 +38,9 @@ RUN = T.StructType().add("start", T.LongType()).add("len", T.LongType())
 PACKED = T.StructType().add("whole_at", T.LongType()).add("whole", T.BinaryType()).add("edges", T.ArrayType(EDGE)).add("runs", T.ArrayType(RUN))
 
 
-def saved(rows: DataFrame, name: str) -> DataFrame:
-    path = scratch(rows.sparkSession, name)
+def saved(rows: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Writes a table to a folder, by default one of its own, and reads it back."""
+    path = f"{folder}/{name}" if folder else scratch(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
@@ -227,19 +228,32 @@ def case_runs(chunks: DataFrame) -> DataFrame:
     return rows.select("file", "rec_no", (F.col("before") + F.col("k")).alias("run_no"), "r.start", "r.len")
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a table of ours that nothing reads any more."""
+    where, found = commits.located(spark, path)
+    where.delete(found, True)
+
+
 def parts(chunks: DataFrame) -> DataFrame:
     """file, rec_no, place, bytes, last: the records of chunks as a container holds them, in parts. A record's last part is its checksum."""
-    key = ["file", "rec_no"]
-    chunks = saved(chunks, "chunks")
-    known = saved(facts(chunks), "chunk-facts").withColumn("head", head("description", "rna", "enc", "n"))
+    folder = scratch(chunks.sparkSession, "record-parts")
+    out = parts_of(saved(chunks, "chunks", folder), folder)
+    dropped(chunks.sparkSession, f"{folder}/chunks")
+    return out
+
+
+def parts_of(chunks: DataFrame, folder: str) -> DataFrame:
+    """The same for chunks that are a written table. The parts are tables in the folder."""
+    key, spark = ["file", "rec_no"], chunks.sparkSession
+    known = saved(facts(chunks), "facts", folder).withColumn("head", head("description", "rna", "enc", "n"))
     code = chunks.join(known.select(*key, "enc"), key).select(*key, "chunk_no", "start", "n", packed("data", "start", "enc").alias("p")).select(*key, "chunk_no", "start", "n", "p.*")
-    code = saved(code, "chunk-code")
+    code = saved(code, "code", folder)
     runs = stitched(code.where(F.size("runs") > 0).select(*key, "chunk_no", "start", "n", "runs"))
     many = runs.groupBy(*key).agg(F.sum(F.size("runs")).alias("many"))
     bits = F.when(F.col("enc") == "2b", 2).when(F.col("enc") == "3b", 3).otherwise(4)
     size = F.ceil(F.col("n") * bits / 8).cast("long")
     known = known.join(many, key, "left").withColumn("many", F.coalesce("many", F.lit(0)))
-    known = saved(known.select(*key, "head", "many", F.octet_length("head").cast("long").alias("code_at"), (F.octet_length("head") + size).alias("runs_at")), "record-facts")
+    known = saved(known.select(*key, "head", "many", F.octet_length("head").cast("long").alias("code_at"), (F.octet_length("head") + size).alias("runs_at")), "places", folder)
     known = known.withColumn("end", F.col("runs_at") + F.when(F.col("many") > 0, 5 + 8 * F.col("many")).otherwise(0))
     edges = code.select(*key, F.explode("edges").alias("e")).groupBy(*key, F.col("e.at").alias("at")).agg(F.bit_or("e.value").alias("value"))
     wholes = code.where(F.octet_length("whole") > 0).select(*key, F.col("whole_at").alias("at"), F.col("whole").alias("bytes"))
@@ -248,10 +262,12 @@ def parts(chunks: DataFrame) -> DataFrame:
     own = own.union(known.where("many > 0").select(*key, "runs_at", little_endian(F.lit(codes.BLOCK_RUNS), 8 * F.col("many"))))
     own = own.union(wholes.join(known.select(*key, "code_at"), key).select(*key, F.col("code_at") + F.col("at"), "bytes"))
     own = own.union(runs.join(known.select(*key, "runs_at"), key).select(*key, F.col("runs_at") + 5 + 8 * F.col("before"), run_bytes("runs")))
-    own = saved(own, "record-parts")
+    own = saved(own, "parts", folder)
+    dropped(spark, f"{folder}/code")
     sums = own.select(*key, "place", F.crc32("bytes").alias("crc"), F.octet_length("bytes").alias("k")).join(known.select(*key, "end"), key)
     sums = sums.select(*key, "end", checksum_share("crc", F.col("end") - F.col("place") - F.col("k")).alias("share")).groupBy(*key, "end").agg(F.bit_xor("share").alias("crc"))
-    return own.withColumn("last", F.lit(False)).union(sums.select(*key, "end", little_endian(F.lit(-1), "crc"), F.lit(True)))
+    sums = saved(sums.select(*key, F.col("end").alias("place"), little_endian(F.lit(-1), "crc").alias("bytes")), "checksums", folder)
+    return own.withColumn("last", F.lit(False)).union(sums.withColumn("last", F.lit(True)))
 
 
 def checksums(rows: DataFrame) -> DataFrame:
@@ -261,6 +277,13 @@ def checksums(rows: DataFrame) -> DataFrame:
     return rows.where("last").select("file", "rec_no", crc.alias("crc"), (F.col("place") + 4).alias("record_bytes"))
 
 
-def write_chunks(chunks: DataFrame, folder: str, files: int | None = None, inputs: list[str] = ()) -> DataFrame:
-    """Writes the records of chunks to a container folder, part by part, and returns the manifest. A record is in one file."""
-    return container.write_parts(saved(parts(chunks), "parts"), folder, files=files, inputs=inputs)
+def write_chunks(chunks: DataFrame, folder: str, files: int | None = None, inputs: list[str] = (), stored: bool = False) -> DataFrame:
+    """Writes the records of chunks to a container folder, part by part, and returns the manifest. A record is in one file.
+
+    stored: the chunks are a written table, of which no copy is made. Tables of parts are deleted when the files are committed.
+    """
+    spark = chunks.sparkSession
+    work = scratch(spark, "record-parts")
+    done = container.write_parts(parts_of(chunks if stored else saved(chunks, "chunks", work), work), folder, files=files, inputs=inputs)
+    dropped(spark, work)
+    return done

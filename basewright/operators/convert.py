@@ -58,7 +58,7 @@ def convert_long(spark: SparkSession, path: str | list[str], folder: str, size:
     paths = [commits.qualified(spark, p) for p in ([path] if isinstance(path, str) else path)]
     commits.attempt(spark, folder, paths)  # refuses folders before any work is done
     rows = chunks.saved(chunks.read_fasta_chunks(spark, paths, size), "fasta-rows")
-    manifest = chunks.write_chunks(rows, folder, inputs=paths)
+    manifest = chunks.write_chunks(rows, folder, inputs=paths, stored=True)
     decoded = chunks.saved(chunk_scan.read_chunks(spark, folder, size), "decoded-chunks")
     report = digests.ChunkReport(rows, decoded, min(size, digests.SIZE))
     mixed = chunks.saved(mixed_chunks(rows), "mixed")
