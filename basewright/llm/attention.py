@@ -121,56 +121,69 @@ class Model:
         new.U[-1], new.V[:, -1] = vocabulary.class_log, vocabulary.member_log
         return new
 
+    def projection(self) -> np.ndarray:
+        """Weights of query, key and value. Queries are scaled, so that their products with the keys need no pass of their own."""
+        weights = self.A.copy()
+        weights[:, : self.shape.width] *= self.shape.width**-0.5
+        return weights
+
     def hidden(self, x: np.ndarray) -> tuple:
-        """x: rows by window of embedding rows. All that the outputs and the gradients need; the last part has a column of ones."""
+        """x: rows by window of embedding rows. All that the outputs and the gradients need; the last part has a column of ones.
+
+        Products go window by window, as the library is fastest on small matrices. Attention is not divided by its sums:
+        a column of ones beside the values gives them, and the mixed values, half as many numbers, are divided.
+        """
         d, t = self.shape.width, x.shape[1]
         e = self.E[x]
         e += self.P[:t]
-        flat = e.reshape(-1, d)
-        # queries are scaled, so that their products with the keys need no pass of their own
-        q, k, v = ((flat @ (self.A[:, i * d : (i + 1) * d] * scale)).reshape(e.shape) for i, scale in enumerate((np.float32(d**-0.5), np.float32(1), np.float32(1))))
-        a = np.matmul(q, k.transpose(0, 2, 1))
+        qkv = np.ones((*x.shape, 3 * d + 1), e.dtype)
+        np.matmul(e, self.projection(), out=qkv[..., : 3 * d])
+        a = np.matmul(qkv[..., :d], turned(qkv[..., d : 2 * d]))
         large = extreme(a)
         a += self.shade[:t, :t]
         if large:
             a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
-        a /= (a @ np.ones(t, a.dtype))[..., None]
-        mix = np.matmul(a, v)
-        h = mix.reshape(-1, d) @ self.O
-        h += flat
-        g = h @ self.H
-        g += self.c
+        mix = np.matmul(a, qkv[..., 2 * d :])
+        mix[..., :d] /= mix[..., d:]
+        h = np.matmul(mix[..., :d], self.O)
+        h += e
+        g = np.matmul(h, self.H)
+        g += np.tile(self.c, (t, 1))
         np.maximum(g, 0, out=g)
-        top = np.ones((len(h), d + 1), h.dtype)
-        np.add(h, g @ self.G, out=top[:, :d])
-        return e, q, k, v, a, mix, h, g, top
+        top = np.ones((*x.shape, d + 1), h.dtype)
+        np.add(h, np.matmul(g, self.G), out=top[..., :d])
+        return e, qkv, a, mix, h, g, top.reshape(-1, d + 1)
 
-    def members(self, cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(class, places where it stands) for each class with members."""
+    def logs(self, top: np.ndarray, cls: np.ndarray, place: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """Natural log of the probability of each class and, where it has members, member. rows: those of top that are meant, else all."""
+        # in the order of classes each class's inputs are one slice, and all are gathered once
         order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.shape.groups + 1))
-        for k in range(self.shape.groups):
-            if edges[k] < edges[k + 1]:
-                yield k, order[edges[k] : edges[k + 1]]
-
-    def logs(self, top: np.ndarray, cls: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each class and, where it has members, member."""
-        out = chosen(lambda: top @ self.U, cls)
-        for k, at in self.members(cls):
-            out[at] += chosen(lambda: top[at] @ self.V[k], place[at])  # noqa: B023
+        edges = np.searchsorted(cls[order], np.arange(self.shape.groups + 1)).tolist()
+        inputs, cls, place = top[order if rows is None else rows[order]], cls[order], place[order]
+        found = np.empty(len(order), top.dtype)
+        for k in range(0, len(order), 768):  # small products are the fastest
+            part = slice(k, k + 768)
+            found[part] = chosen(lambda: inputs[part] @ self.U, cls[part])  # noqa: B023
+        for k, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
+            if i < j:
+                found[i:j] += chosen(lambda: inputs[i:j] @ self.V[k], place[i:j])  # noqa: B023
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def gradients(self, x: np.ndarray, cls: np.ndarray, place: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of the mean loss; that of E only for the rows returned."""
         d = self.shape.width
-        e, q, k, v, a, mix, h, g, top = self.hidden(x)
-        flat, mixed, n = e.reshape(-1, d), mix.reshape(-1, d), len(top)
-        out = shares(top @ self.U)
-        out[np.arange(n), cls] -= 1
-        out *= np.float32(1 / n)
-        grad = {"U": top.T @ out, "V": np.zeros_like(self.V)}
-        d_top = out @ self.U[:-1].T
+        e, qkv, a, mix, h, g, top = self.hidden(x)
+        n, tall = len(top), top.reshape(*x.shape, d + 1)
+        # exponentials stay undivided here as well: their sums go into the narrow side of each product
+        out, total = powers(np.matmul(tall, self.U))
+        out.reshape(n, -1)[np.arange(n), cls] -= total.ravel()
+        weight = np.float32(1 / n) / total[..., None]
+        grad = {"U": product(tall * weight, out), "V": np.zeros_like(self.V)}
+        d_out = np.matmul(out, turned(self.U[:-1]))
+        d_out *= weight
         # places in the order of their classes, so that each class's are one slice
         order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.shape.groups + 1)).tolist()
@@ -179,52 +192,70 @@ class Model:
         parts = [(c, slice(i, j)) for c, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if i < j]
         for c, at in parts:
             np.matmul(inputs[at], self.V[c], out=found[at])
-        shares(found)
-        found[np.arange(len(order)), place[order]] -= 1
-        found *= np.float32(1 / n)
+        found, total = powers(found)
+        found[np.arange(len(order)), place[order]] -= total
+        weight = (np.float32(1 / n) / total)[:, None]
+        inputs *= weight
+        across = turned(self.V[:, :-1])
         for c, at in parts:
             np.matmul(inputs[at].T, found[at], out=grad["V"][c])
-            np.matmul(found[at], self.V[c, :-1].T, out=back[at])
-        d_top[order] += back
-        grad["G"] = g.T @ d_top
-        d_g = d_top @ self.G.T
+            np.matmul(found[at], across[c], out=back[at])
+        back *= weight
+        more = np.zeros((n, d), back.dtype)
+        more[order] = back
+        d_out += more.reshape(d_out.shape)
+        grad["G"] = product(g, d_out)
+        d_g = np.matmul(d_out, turned(self.G))
         d_g *= g > 0
-        grad["H"], grad["c"] = h.T @ d_g, d_g.sum(0)
-        d_e = d_g @ self.H.T
-        d_e += d_top
-        grad["O"] = mixed.T @ d_e
-        d_mix = (d_e @ self.O.T).reshape(mix.shape)
-        d_a, d_v = np.matmul(d_mix, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), d_mix)
-        d_a -= (d_mix * mix).sum(-1, keepdims=True)
+        grad["H"], grad["c"] = product(h, d_g), np.ones(n, d_g.dtype) @ d_g.reshape(n, -1)
+        d_e = np.matmul(d_g, turned(self.H))
+        d_e += d_out
+        grad["O"] = product(mix[..., :d], d_e)
+        # the last column takes the softmax's own part off, by the ones beside the values
+        d_mix = np.empty_like(mix)
+        np.matmul(d_e, turned(self.O), out=d_mix[..., :d])
+        d_mix[..., d] = -np.einsum("bti,bti->bt", d_mix[..., :d], mix[..., :d])
+        d_mix /= mix[..., d:]
+        d_a = np.matmul(d_mix, turned(qkv[..., 2 * d :]))
         d_a *= a
-        d_q, d_k = np.matmul(d_a, k), np.matmul(d_a.transpose(0, 2, 1), q)
-        d_q *= np.float32(d**-0.5)
-        changes = [y.reshape(-1, d) for y in (d_q, d_k, d_v)]
-        grad["A"] = np.concatenate([flat.T @ y for y in changes], 1)
-        for i, y in enumerate(changes):
-            d_e += y @ self.A[:, i * d : (i + 1) * d].T
+        changes = np.empty((*x.shape, 3 * d), e.dtype)
+        np.matmul(d_a, qkv[..., d : 2 * d], out=changes[..., :d])
+        np.matmul(d_a.transpose(0, 2, 1), qkv[..., :d], out=changes[..., d : 2 * d])
+        np.matmul(a.transpose(0, 2, 1), d_mix[..., :d], out=changes[..., 2 * d :])
+        grad["A"] = product(e, changes)
+        grad["A"][:, :d] *= d**-0.5
+        d_e += np.matmul(changes, turned(self.projection()))
         grad["P"] = np.zeros_like(self.P)
-        grad["P"][: x.shape[1]] = d_e.reshape(e.shape).sum(0)
+        grad["P"][: x.shape[1]] = d_e.sum(0)
         rows = x.ravel()
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16) if self.rows <= 1 << 16 else rows, kind="stable")
         rows = rows[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        grad["E"] = np.add.reduceat(d_e[order], first, axis=0)
+        grad["E"] = np.add.reduceat(d_e.reshape(n, d)[order], first, axis=0)
         return grad, rows[first]
 
 
+def turned(x: np.ndarray) -> np.ndarray:
+    """The last two axes changed over, as a copy: products with one are faster than with a view."""
+    return np.ascontiguousarray(np.swapaxes(x, -1, -2))
+
+
+def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sum over windows and places of the outer products of x and y."""
+    return np.matmul(x.transpose(0, 2, 1), y).sum(0)
+
+
 def extreme(x: np.ndarray, most: float = 60) -> bool:
     """Whether exponentials of the values, or their sums, are out of what float32 holds well."""
     return bool(len(x)) and not (x.max() < most and x.min() > -most)
 
 
-def shares(out: np.ndarray) -> np.ndarray:
-    """Softmax of each row, in place. Rows are shifted only where that is needed."""
+def powers(out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of each row, in place, and their sums: the softmax is their quotient. Rows are shifted only where that is needed."""
     if extreme(out):
-        out -= out.max(1, keepdims=True)
+        out -= out.max(-1, keepdims=True)
     np.exp(out, out=out)
-    out /= (out @ np.ones(out.shape[1], out.dtype))[:, None]
-    return out
+    return out, out @ np.ones(out.shape[-1], out.dtype)
 
 
 def chosen(make: Callable[[], np.ndarray], place: np.ndarray) -> np.ndarray:
@@ -286,21 +317,20 @@ class Scorer:
         d, t, m = self.shape.width, x.shape[1], self.model
         e = self.table[x]
         e += self.places[:t]
-        keys = e[:, :, 2 * d : 3 * d].transpose(0, 2, 1)
-        a = np.matmul(e[:, skip:, d : 2 * d], keys)
+        a = np.matmul(e[:, skip:, d : 2 * d], turned(e[:, :, 2 * d : 3 * d]))
         if self.bound > 60 and max(a.max(), -a.min()) > 60:  # the shift changes no share, only what float32 holds
             a -= a.max(-1, where=m.mask[skip:t, :t] > 0, initial=-1e4, keepdims=True)
             np.minimum(a, 0, out=a)
         np.exp(a, out=a)
         a *= m.mask[skip:t, :t]
-        mix = np.matmul(a, e[:, :, 3 * d :]).reshape(-1, d + 1)
-        mix[:, :d] /= mix[:, d:]
-        h = mix[:, :d] @ m.O
-        h += e[:, skip:, :d].reshape(-1, d)
-        g = h @ m.H
-        g += m.c
+        mix = np.matmul(a, e[:, :, 3 * d :])
+        mix[..., :d] /= mix[..., d:]
+        h = np.matmul(mix[..., :d], m.O)
+        h += e[:, skip:, :d]
+        g = np.matmul(h, m.H)
+        g += np.tile(m.c, (t - skip, 1))
         np.maximum(g, 0, out=g)
-        np.add(h, g @ m.G, out=out[:, :d])
+        np.add(h, np.matmul(g, m.G), out=out[..., :d])
 
     def __call__(self, texts: list[np.ndarray]) -> np.ndarray:
         """One log10 probability per text."""
@@ -322,21 +352,13 @@ class Scorer:
                 continue
             left = begins[text] + sizes[text] - start  # places of the text from the window's begin on
             n = t - skip
-            top = np.ones((len(text) * n, d + 1), np.float32)
+            top = np.ones((len(text), n, d + 1), np.float32)
             for k in range(0, len(text), self.at_once):
                 at = start[k : k + self.at_once, None] + np.arange(t)
-                self.top(rows[at], skip, top[k * n : (k + self.at_once) * n])
-            inside = (np.arange(skip, t) < left[:, None]).ravel()
+                self.top(rows[at], skip, top[k : k + self.at_once])
+            inside = np.flatnonzero((np.arange(skip, t) < left[:, None]).ravel())
             ids = flat[(start[:, None] + np.arange(skip + 1, t + 1)).ravel()[inside]]
-            top = top[inside]
-            logs = words.share[ids]
-            cls, place = words.cls[ids], words.place[ids]
-            for k in range(0, len(top), 4096):
-                part = slice(k, k + 4096)
-                logs[part] += chosen(lambda: top[part] @ self.model.U, cls[part])  # noqa: B023
-            for k, at in self.model.members(cls):
-                inputs = top[at]
-                logs[at] += chosen(lambda: inputs @ self.model.V[k], place[at])  # noqa: B023
+            logs = words.share[ids] + self.model.logs(top.reshape(-1, d + 1), words.cls[ids], words.place[ids], inside)
             total += np.bincount(np.repeat(text, np.minimum(n, np.maximum(0, left - skip))), logs, len(texts))
         return total / np.log(10)
 

@@ -21,10 +21,10 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .common import Workspace, document_text, partitions, remainder
-from .subwords import END_ID, WordCoder, coder, tokenizer_path
+from .subwords import END_ID, MANY, as_coded, coder, split, tokenizer_path
 
 SHARE, LONGEST_COMMON = 1_000_000, 64
 #: Different words that a counting task holds before it hands them on.
@@ -44,7 +44,7 @@ PASSES = 3
 #: Windows in a row of the training table at most, so that a long text is dealt over tasks like many short ones.
 ROW = 256
 #: Tokens and rows of a scoring batch.
-RUN = 1 << 16
+RUN = 1 << 17
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -60,11 +60,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
             held.clear()
 
         for batch in source:
-            for text in batch.column(0).cast(pa.binary()):
-                held.update(text.as_py().lower().split())
-                held[b""] += 1
-                if len(held) >= HELD:
-                    yield from table()
+            words, places, _ = split(pc.ascii_lower(batch.column(0)))
+            held.update(dict(zip(words, np.bincount(places, minlength=len(words)).tolist())))
+            if len(held) >= HELD:
+                yield from table()
         yield from table()
 
     return docs.select(document_text(docs).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -74,7 +73,7 @@ def subword_counts(words: DataFrame, path: str) -> np.ndarray:
     """How often each id occurs in the texts that were counted; one number per id."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = coder(path)
+        found = coder(path, MANY)
         total = np.zeros(found.size, np.int64)
         for batch in source:
             ids = [found.word(w) if w else found.end for w in batch.column(0).to_pylist()]
@@ -85,7 +84,7 @@ def subword_counts(words: DataFrame, path: str) -> np.ndarray:
         yield pa.record_batch([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
     rows = words.select("word", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(coder(path).size, np.int64)
+    out = np.zeros(coder(path, MANY).size, np.int64)
     out[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
 
@@ -94,12 +93,13 @@ def training_windows(docs: DataFrame, path: str, shape: attention.Shape, rounds:
     """round, lot, n, windows (ids as the coder holds them) of all texts."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = coder(path)
+        found = coder(path, MANY)
         for batch in source:
+            keys, texts = batch.column(0).to_pylist(), found.encode_all(batch.column(1))
             for k in range(0, batch.num_rows, 64):
                 lots, parts = [], []
-                for key, text in zip(batch.column(0)[k : k + 64].to_pylist(), batch.column(1)[k : k + 64].cast(pa.binary())):
-                    rows = attention.cut(found.encode(text.as_py()), END_ID, shape.window).astype(found.dtype)
+                for key, ids in zip(keys[k : k + 64], texts[k : k + 64]):
+                    rows = attention.cut(ids, END_ID, shape.window).astype(found.dtype)
                     for j in range(0, len(rows), ROW):
                         # the parts of a long text have rounds and lots of their own
                         lots.append(key if j == 0 else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), j) - (1 << 63))
@@ -116,13 +116,13 @@ def training_windows(docs: DataFrame, path: str, shape: attention.Shape, rounds:
 
 
 def read_windows(held: Iterable, path: str, shape: attention.Shape) -> list[np.ndarray]:
-    return [np.frombuffer(w.as_py(), coder(path).dtype).reshape(-1, shape.window + 1) for w in held]
+    return [np.frombuffer(w.as_py(), coder(path, MANY).dtype).reshape(-1, shape.window + 1) for w in held]
 
 
 def followers(windows: DataFrame, counts: np.ndarray, path: str, shape: attention.Shape) -> np.ndarray:
     """How often each of the most frequent ids follows each of the ``contexts`` most frequent, in all training windows."""
     order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(counts), np.int64)
+    rank = np.empty(len(counts), np.int32)
     rank[order] = np.arange(len(counts))
     shared = windows.sparkSession.sparkContext.broadcast(rank)
 
@@ -207,21 +207,6 @@ def train(windows: DataFrame, vocabulary: attention.Vocabulary, path: str, shape
     return model
 
 
-class Lookup(dict):
-    """Common words' subword ids and log10 shares. Any other word gives its ids and no share, and is noted in ``rare``."""
-
-    def __init__(self, common: Iterable[tuple[bytes, float]], coder: WordCoder):
-        self.coder, self.rare = coder, []
-        super().__init__({w: (self.ids(w), x) for w, x in common})
-
-    def ids(self, word: bytes) -> bytes:
-        return self.coder.word(word) if word else self.coder.end  # the empty word stands for the end
-
-    def __missing__(self, word: bytes) -> tuple[bytes, float]:
-        self.rare.append(word)
-        return self.ids(word), 0.0
-
-
 class Common:
     """Common words with their log10 shares; the lookup is built once per process."""
 
@@ -234,10 +219,10 @@ class Common:
     def __setstate__(self, state: tuple) -> None:
         (self.joined, self.logs), self.found = state, None
 
-    def lookup(self, coder: WordCoder) -> Lookup:
+    def lookup(self) -> dict[bytes, float]:
         if self.found is None:  # words hold no line feed
             named = self.joined.split(b"\n") if len(self.logs) else []
-            self.found = Lookup(zip(named, self.logs.tolist()), coder)
+            self.found = dict(zip(named, self.logs.tolist()))
         return self.found
 
 
@@ -250,33 +235,27 @@ def score_texts(docs: DataFrame, model: attention.Model, vocabulary: attention.V
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape, flat, words, known = shared.value
-        scorer, found = attention.Scorer(attention.Model(shape, words.rows, flat), words, END_ID), coder(path)
-        lookup, ids_of, log_of = known.lookup(found), itemgetter(0), itemgetter(1)
-        row = TaskContext.get().partitionId() << 36
-
-        def texts() -> Iterator[tuple]:
-            for batch in source:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                    text = text.as_py()
-                    tokens = text.lower().split()
-                    tokens.append(b"")
-                    lookup.rare = []
-                    seen = list(map(lookup.__getitem__, tokens))
-                    facts = doc, len(tokens), len(tokens) - len(lookup.rare), sum(map(log_of, seen)), lookup.rare
-                    if b"<|" in text:  # a special token's mark, which the coder takes as it is written
-                        yield facts, found.encode(text)
-                    else:
-                        yield facts, np.frombuffer(b"".join(map(ids_of, seen)), found.dtype)
-
-        for part in attention.batches_of(texts(), RUN):
-            scores = scorer([ids for _, ids in part])
-            docs_, n, common_n, base, rare = zip(*[facts for facts, _ in part])
+        scorer, found = attention.Scorer(attention.Model(shape, words.rows, flat), words, END_ID), coder(path, MANY)
+        share_of, row = known.lookup().get, TaskContext.get().partitionId() << 36
+        for batch in source:
+            if not batch.num_rows:
+                continue
+            tokens, places, sizes = split(as_coded(batch.column(1)))
+            texts = found.encode_words(tokens, places, sizes)
+            scores = [scorer([ids for _, ids in part]) for part in attention.batches_of(enumerate(texts), RUN)]
+            tokens = [w.lower() for w in tokens]
+            logs = np.array([share_of(w, np.nan) for w in tokens])
+            rare, firsts = np.isnan(logs), np.cumsum(sizes) - sizes
+            rare_at = rare[places]
+            base = np.add.reduceat(np.where(rare, 0, logs)[places], firsts)  # every text has an end
+            met = np.add.reduceat(rare_at, firsts, dtype=np.int64)
+            others = pa.array(tokens, pa.binary()).take(pa.array(places[rare_at]))
             yield pa.record_batch(
-                [pa.array(range(row, row + len(part)), pa.int64()), pa.array(docs_, pa.int64()), pa.array(n, pa.int64()), pa.array(common_n, pa.int64()),
-                 pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.binary()))],
+                [pa.array(range(row, row + batch.num_rows), pa.int64()), batch.column(0), pa.array(sizes), pa.array(sizes - met), pa.array(base), pa.array(np.concatenate(scores)),
+                 pa.ListArray.from_arrays(pa.array(np.cumsum([0, *met]), pa.int32()), others)],
                 [x.split()[0] for x in SCORED.split(", ")],
             )
-            row += len(part)
+            row += batch.num_rows
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), document_text(docs).alias("text")).mapInArrow(run, SCORED)
 

@@ -1,7 +1,8 @@
 """Subword ids of whole texts by a public tokenizer file, word by word.
 
 The tokenizer drops white space and never merges across it, so the ids of a text are the ids of its words in
-order. Words repeat, so a task keeps the ids of the words it met. A new word made of plain letters, digits and
+order. Words repeat, so a batch of texts is split into its different words by Arrow, each is coded once, and a task
+keeps the ids of the words it met. A new word made of plain letters, digits and
 signs is cut into its pre-tokens here and only the merges are left to the library's model; every other word
 goes through the library's whole chain (normaliser, splitter, merges).
 """
@@ -13,6 +14,8 @@ from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 DEFAULT_FILE = "word_bpe_49k.json"
@@ -35,6 +38,34 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def as_coded(texts: pa.Array) -> pa.Array:
+    """Texts with A-Z in lower case, but as they are written where they hold a special token's mark."""
+    lower = pc.ascii_lower(texts)
+    marked = pc.match_substring(texts, "<|")
+    return pc.if_else(marked, texts, lower) if pc.any(marked).as_py() else lower
+
+
+def split(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of some texts, the number of the word at each place, and each text's number of places.
+
+    The last word is empty and stands for the end of a text, its last place.
+    """
+    parts = pc.ascii_split_whitespace(texts)
+    found = parts.flatten().dictionary_encode()
+    words, index = found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+    sizes = np.diff(parts.offsets.to_numpy()).astype(np.int64)
+    if b"" in words:  # beside white space at the edges of a text
+        real = index != words.index(b"")
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
+        index = index[real]
+    sizes += 1
+    places = np.full(int(sizes.sum()), len(words), np.int32)
+    inner = np.ones(len(places), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    places[inner] = index
+    return [*words, b""], places, sizes
+
+
 class WordCoder:
     """Ids of a text as an unsigned 16 or 32 bit array. At most ``2 * keep`` words are remembered."""
 
@@ -94,10 +125,36 @@ class WordCoder:
             known.append(self.end)
         return np.frombuffer(b"".join(known), self.dtype)
 
+    def encode_words(self, words: list[bytes], places: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text, with the end id, from what ``split`` gives."""
+        known = list(map(self.young.get, words[:-1]))
+        ids = [self.word(w) if found is None else found for w, found in zip(words, known)]
+        ids.append(self.end)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        starts, known = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(ids), self.dtype)
+        texts, edges = [], [0, *np.cumsum(sizes).tolist()]
+        for k in range(0, len(sizes), 64):  # few texts at a time, so that what is held for their ids stays small
+            part = edges[k : k + 65]
+            some = places[part[0] : part[-1]]
+            n = lengths[some]
+            ends = np.cumsum(n)
+            at = np.repeat(starts[some] - ends + n, n)
+            at += np.arange(len(at))
+            texts += np.split(known[at], ends[np.array(part[1:]) - part[0] - 1][:-1])
+        return texts
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """As ``encode``, for texts without nulls."""
+        return self.encode_words(*split(as_coded(texts))) if len(texts) else []
+
 
 _coders: dict[tuple, WordCoder] = {}
 
 
+#: Words that the passes over whole corpora remember (twice as many at most): new words are what costs most.
+MANY = 400_000
+
+
 def coder(path: str, keep: int = 300_000) -> WordCoder:
     """The coder of this process: workers keep it from task to task."""
     if (path, keep) not in _coders:

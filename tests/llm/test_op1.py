@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -67,3 +68,12 @@ def test_no_documents(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
     write_token_files(spark.createDataFrame([], "doc_id long, text string"), folder)
     assert read_token_files(spark, folder).count() == 0
+
+
+def test_batches_equal_single_texts():
+    words, whole = WordCoder(tokenizer_path(), keep=50), Tokenizer.from_file(tokenizer_path())
+    texts = [*ODD, "", " ", "\x1f a\x0b", "<|ENDOFTEXT|> Foo <|endoftext|>Bar", "Foo bar, foo BAR\x85", "x\x00y \x00"]
+    for batch in (texts, texts[::-1], ["\t"], [""]):
+        want = [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in batch]
+        assert [ids.tolist() for ids in words.encode_all(pa.array(batch))] == want
+    assert words.encode_all(pa.array([], pa.string())) == []

@@ -5,10 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from basewright.llm import attention, lm_scoring
-from basewright.llm.subwords import END_ID, coder, tokenizer_path
+from basewright.llm.subwords import END_ID, WordCoder, as_coded, coder, split, tokenizer_path
 
 SHAPE = attention.Shape(width=6, hidden=5, window=8, overlap=3, rows=20, groups=4, members=3, tails=2, contexts=5)
 SCHEMA = "doc_id long, text string, lang string, n long, word int, base string, row int"
@@ -231,3 +232,15 @@ def test_default_model_sees_eight_ids_before():
         one = [score(x[: at + 1]) - score(x[:at]) for x in (ids, changed)]
         assert abs(one[0] - one[1]) > 1e-9, at
     assert (shape.width, shape.hidden, shape.window) >= (16, 32, 32) and shape.own >= 1024
+
+
+def test_each_word_of_a_batch_is_coded_once(monkeypatch):
+    words, asked = WordCoder(tokenizer_path()), Counter()
+    slow = WordCoder.word
+    monkeypatch.setattr(WordCoder, "word", lambda self, w: (asked.update([w]), slow(self, w))[1])
+    texts = pa.array(["the cat, The cat ", "\na CAT the", "", " the"] * 50)
+    found, places, sizes = split(as_coded(texts))
+    ids = words.encode_words(found, places, sizes)
+    assert max(asked.values()) == 1 and set(asked) - {b""} == {b"the", b"cat,", b"cat", b"a"}
+    assert sizes.tolist() == [5, 4, 1, 2] * 50 and len(ids) == 200
+    assert found[-1] == b"" and [found[p] for p in places[:9]] == [b"the", b"cat,", b"the", b"cat", b"", b"a", b"cat", b"the", b""]
