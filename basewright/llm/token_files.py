@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import huffman, storage
 from .common import Workspace, document_text, partitions
-from .subwords import coder, tokenizer_path
+from .subwords import MANY, coder, tokenizer_path
 
 #: Texts in one Arrow batch of ids are flushed at this many bytes.
 BATCH_BYTES = 4 << 20
@@ -40,11 +40,10 @@ def tokenise(texts: DataFrame, path: str) -> DataFrame:
     """Adds the ids of each text, with the end id, as compressed little-endian numbers."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pack = coder(path), zstandard.ZstdCompressor(level=1)
+        words, pack = coder(path, MANY), zstandard.ZstdCompressor(level=1)
         for batch in source:
             docs, ids, counts, held = [], [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                found = words.encode(text.as_py())
+            for doc, found in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1))):
                 docs.append(doc)
                 counts.append(len(found))
                 ids.append(pack.compress(found.tobytes()))
@@ -77,7 +76,7 @@ def id_counts(encoded: DataFrame, size: int, dtype: str) -> np.ndarray:
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, limit: int = 16, files: int | None = None) -> DataFrame:
     """Writes the files and returns the manifest: part, file, documents, tokens, bytes."""
     path = tokenizer or tokenizer_path()
-    words = coder(path)
+    words = coder(path, MANY)
     size, dtype = words.size, words.dtype.str
     encoded = tokenise(in_order(docs, files), path).persist(StorageLevel.DISK_ONLY)
     lengths = huffman.code_lengths(id_counts(encoded, size, dtype), limit)
