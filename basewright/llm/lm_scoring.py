@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .common import Workspace, document_text, partitions, remainder
-from .subwords import END_ID, MANY, as_coded, coder, split, tokenizer_path
+from .subwords import END_ID, as_coded, coder, split, tokenizer_path
 
 SHARE, LONGEST_COMMON = 1_000_000, 64
 #: Different words that a counting task holds before it hands them on.
@@ -44,7 +44,7 @@ PASSES = 3
 #: Windows in a row of the training table at most, so that a long text is dealt over tasks like many short ones.
 ROW = 256
 #: Tokens and rows of a scoring batch.
-RUN = 1 << 17
+RUN = 1 << 16
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def subword_counts(words: DataFrame, path: str) -> np.ndarray:
     """How often each id occurs in the texts that were counted; one number per id."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = coder(path, MANY)
+        found = coder(path)
         total = np.zeros(found.size, np.int64)
         for batch in source:
             ids = [found.word(w) if w else found.end for w in batch.column(0).to_pylist()]
@@ -84,7 +84,7 @@ def subword_counts(words: DataFrame, path: str) -> np.ndarray:
         yield pa.record_batch([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
     rows = words.select("word", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(coder(path, MANY).size, np.int64)
+    out = np.zeros(coder(path).size, np.int64)
     out[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
 
@@ -93,7 +93,7 @@ def training_windows(docs: DataFrame, path: str, shape: attention.Shape, rounds:
     """round, lot, n, windows (ids as the coder holds them) of all texts."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = coder(path, MANY)
+        found = coder(path)
         for batch in source:
             keys, texts = batch.column(0).to_pylist(), found.encode_all(batch.column(1))
             for k in range(0, batch.num_rows, 64):
@@ -116,7 +116,7 @@ def training_windows(docs: DataFrame, path: str, shape: attention.Shape, rounds:
 
 
 def read_windows(held: Iterable, path: str, shape: attention.Shape) -> list[np.ndarray]:
-    return [np.frombuffer(w.as_py(), coder(path, MANY).dtype).reshape(-1, shape.window + 1) for w in held]
+    return [np.frombuffer(w.as_py(), coder(path).dtype).reshape(-1, shape.window + 1) for w in held]
 
 
 def followers(windows: DataFrame, counts: np.ndarray, path: str, shape: attention.Shape) -> np.ndarray:
@@ -235,7 +235,7 @@ def score_texts(docs: DataFrame, model: attention.Model, vocabulary: attention.V
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape, flat, words, known = shared.value
-        scorer, found = attention.Scorer(attention.Model(shape, words.rows, flat), words, END_ID), coder(path, MANY)
+        scorer, found = attention.Scorer(attention.Model(shape, words.rows, flat), words, END_ID), coder(path)
         share_of, row = known.lookup().get, TaskContext.get().partitionId() << 36
         for batch in source:
             if not batch.num_rows:

@@ -151,7 +151,7 @@ class WordCoder:
 _coders: dict[tuple, WordCoder] = {}
 
 
-#: Words that the passes over whole corpora remember (twice as many at most): new words are what costs most.
+#: Words that token files remember (twice as many at most): new words are what costs most. Queries that hold more besides take fewer.
 MANY = 400_000
 
 
