@@ -130,15 +130,15 @@ class Model:
     def hidden(self, x: np.ndarray) -> tuple:
         """x: rows by window of embedding rows. All that the outputs and the gradients need; the last part has a column of ones.
 
-        Products go window by window, as the library is fastest on small matrices. Attention is not divided by its sums:
+        Only attention goes window by window; all other products are one over all places. Attention is not divided by its sums:
         a column of ones beside the values gives them, and the mixed values, half as many numbers, are divided.
         """
         d, t = self.shape.width, x.shape[1]
-        e = self.E[x]
+        e = self.E.take(x, 0)  # whole rows: several times as fast as by an index
         e += self.P[:t]
         qkv = np.ones((*x.shape, 3 * d + 1), e.dtype)
-        np.matmul(e, self.projection(), out=qkv[..., : 3 * d])
-        a = np.matmul(qkv[..., :d], turned(qkv[..., d : 2 * d]))
+        np.matmul(places(e), self.projection(), out=places(qkv)[:, : 3 * d])
+        a = np.matmul(qkv[..., :d], qkv[..., d : 2 * d].transpose(0, 2, 1))
         large = extreme(a)
         a += self.shade[:t, :t]
         if large:
@@ -146,21 +146,21 @@ class Model:
         np.exp(a, out=a)
         mix = np.matmul(a, qkv[..., 2 * d :])
         mix[..., :d] /= mix[..., d:]
-        h = np.matmul(mix[..., :d], self.O)
-        h += e
+        h = np.matmul(places(mix)[:, :d], self.O)
+        h += places(e)
         g = np.matmul(h, self.H)
-        g += np.tile(self.c, (t, 1))
+        g.reshape(len(x), -1)[:] += np.tile(self.c, t)
         np.maximum(g, 0, out=g)
-        top = np.ones((*x.shape, d + 1), h.dtype)
-        np.add(h, np.matmul(g, self.G), out=top[..., :d])
-        return e, qkv, a, mix, h, g, top.reshape(-1, d + 1)
+        top = np.ones((len(h), d + 1), h.dtype)
+        np.add(h, np.matmul(g, self.G), out=top[:, :d])
+        return e, qkv, a, mix, h, g, top
 
     def logs(self, top: np.ndarray, cls: np.ndarray, place: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
         """Natural log of the probability of each class and, where it has members, member. rows: those of top that are meant, else all."""
         # in the order of classes each class's inputs are one slice, and all are gathered once
         order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.shape.groups + 1)).tolist()
-        inputs, cls, place = top[order if rows is None else rows[order]], cls[order], place[order]
+        inputs, cls, place = top.take(order if rows is None else rows[order], 0), cls[order], place[order]
         found = np.empty(len(order), top.dtype)
         for k in range(0, len(order), 768):  # small products are the fastest
             part = slice(k, k + 768)
@@ -176,19 +176,19 @@ class Model:
         """Gradients of the mean loss; that of E only for the rows returned."""
         d = self.shape.width
         e, qkv, a, mix, h, g, top = self.hidden(x)
-        n, tall = len(top), top.reshape(*x.shape, d + 1)
+        n = len(top)
         # exponentials stay undivided here as well: their sums go into the narrow side of each product
-        out, total = powers(np.matmul(tall, self.U))
-        out.reshape(n, -1)[np.arange(n), cls] -= total.ravel()
-        weight = np.float32(1 / n) / total[..., None]
-        grad = {"U": product(tall * weight, out), "V": np.zeros_like(self.V)}
-        d_out = np.matmul(out, turned(self.U[:-1]))
+        out, total = powers(np.matmul(top, self.U))
+        out[np.arange(n), cls] -= total
+        weight = np.float32(1 / n) / total[:, None]
+        grad = {"U": (top * weight).T @ out, "V": np.zeros_like(self.V)}
+        d_out = np.matmul(out, self.U[:-1].T)
         d_out *= weight
         # places in the order of their classes, so that each class's are one slice
         order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.shape.groups + 1)).tolist()
         order = order[: edges[-1]]
-        inputs, found, back = top[order], np.empty((len(order), self.shape.members), top.dtype), np.empty((len(order), d), top.dtype)
+        inputs, found, back = top.take(order, 0), np.empty((len(order), self.shape.members), top.dtype), np.empty((len(order), d), top.dtype)
         parts = [(c, slice(i, j)) for c, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if i < j]
         for c, at in parts:
             np.matmul(inputs[at], self.V[c], out=found[at])
@@ -203,35 +203,35 @@ class Model:
         back *= weight
         more = np.zeros((n, d), back.dtype)
         more[order] = back
-        d_out += more.reshape(d_out.shape)
-        grad["G"] = product(g, d_out)
-        d_g = np.matmul(d_out, turned(self.G))
+        d_out += more
+        grad["G"] = g.T @ d_out
+        d_g = np.matmul(d_out, self.G.T)
         d_g *= g > 0
-        grad["H"], grad["c"] = product(h, d_g), np.ones(n, d_g.dtype) @ d_g.reshape(n, -1)
-        d_e = np.matmul(d_g, turned(self.H))
+        grad["H"], grad["c"] = h.T @ d_g, np.ones(n, d_g.dtype) @ d_g
+        d_e = np.matmul(d_g, self.H.T)
         d_e += d_out
-        grad["O"] = product(mix[..., :d], d_e)
+        grad["O"] = places(mix)[:, :d].T @ d_e
         # the last column takes the softmax's own part off, by the ones beside the values
         d_mix = np.empty_like(mix)
-        np.matmul(d_e, turned(self.O), out=d_mix[..., :d])
+        np.matmul(d_e, self.O.T, out=places(d_mix)[:, :d])
         d_mix[..., d] = -np.einsum("bti,bti->bt", d_mix[..., :d], mix[..., :d])
         d_mix /= mix[..., d:]
-        d_a = np.matmul(d_mix, turned(qkv[..., 2 * d :]))
+        d_a = np.matmul(d_mix, qkv[..., 2 * d :].transpose(0, 2, 1))
         d_a *= a
         changes = np.empty((*x.shape, 3 * d), e.dtype)
         np.matmul(d_a, qkv[..., d : 2 * d], out=changes[..., :d])
         np.matmul(d_a.transpose(0, 2, 1), qkv[..., :d], out=changes[..., d : 2 * d])
         np.matmul(a.transpose(0, 2, 1), d_mix[..., :d], out=changes[..., 2 * d :])
-        grad["A"] = product(e, changes)
+        grad["A"] = places(e).T @ places(changes)
         grad["A"][:, :d] *= d**-0.5
-        d_e += np.matmul(changes, turned(self.projection()))
+        d_e += np.matmul(places(changes), self.projection().T)
         grad["P"] = np.zeros_like(self.P)
-        grad["P"][: x.shape[1]] = d_e.sum(0)
+        grad["P"][: x.shape[1]] = d_e.reshape(e.shape).sum(0)
         rows = x.ravel()
         order = np.argsort(rows.astype(np.uint16) if self.rows <= 1 << 16 else rows, kind="stable")
         rows = rows[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        grad["E"] = np.add.reduceat(d_e.reshape(n, d)[order], first, axis=0)
+        grad["E"] = np.add.reduceat(d_e.take(order, 0), first, axis=0)
         return grad, rows[first]
 
 
@@ -240,9 +240,9 @@ def turned(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.swapaxes(x, -1, -2))
 
 
-def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Sum over windows and places of the outer products of x and y."""
-    return np.matmul(x.transpose(0, 2, 1), y).sum(0)
+def places(x: np.ndarray) -> np.ndarray:
+    """A view of windows by places as rows."""
+    return x.reshape(-1, x.shape[-1])
 
 
 def extreme(x: np.ndarray, most: float = 60) -> bool:
@@ -261,7 +261,7 @@ def powers(out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def chosen(make: Callable[[], np.ndarray], place: np.ndarray) -> np.ndarray:
     """Log of the softmax at one place of each row of outputs. The rows are shifted only where float32 does not hold their sums."""
     out = make()
-    wanted = out[np.arange(len(out)), place]
+    wanted = out.ravel().take(np.arange(0, out.size, out.shape[1]) + place)
     with np.errstate(over="ignore"):
         np.exp(out, out=out)
     total = out @ np.ones(out.shape[1], out.dtype)
@@ -290,9 +290,12 @@ def train(model: Model, windows: np.ndarray, vocabulary: Vocabulary, steps: int,
         met += np.bincount(x.ravel(), minlength=model.rows)
         speed = (rate[0] + (rate[1] - rate[0]) * step / steps) * min(1.0, (step + 1) / 20)
         for name, g in grad.items():
+            old = first[name], second[name]
+            if name == "E":
+                old = old[0].take(rows, 0), old[1].take(rows, 0)
+            m, v = 0.9 * old[0] + 0.1 * g, 0.99 * old[1] + 0.01 * g * g
             where = rows if name == "E" else slice(None)
-            m = first[name][where] = 0.9 * first[name][where] + 0.1 * g
-            v = second[name][where] = 0.99 * second[name][where] + 0.01 * g * g
+            first[name][where], second[name][where] = m, v
             getattr(model, name)[where] -= speed * m / (np.sqrt(v) + 1e-8)
     return met
 
@@ -315,9 +318,9 @@ class Scorer:
     def top(self, x: np.ndarray, skip: int, out: np.ndarray) -> None:
         """Fills the inputs of the output layer of windows of embedding rows, from place skip on."""
         d, t, m = self.shape.width, x.shape[1], self.model
-        e = self.table[x]
+        e = self.table.take(x, 0)
         e += self.places[:t]
-        a = np.matmul(e[:, skip:, d : 2 * d], turned(e[:, :, 2 * d : 3 * d]))
+        a = np.matmul(e[:, skip:, d : 2 * d], e[:, :, 2 * d : 3 * d].transpose(0, 2, 1))
         if self.bound > 60 and max(a.max(), -a.min()) > 60:  # the shift changes no share, only what float32 holds
             a -= a.max(-1, where=m.mask[skip:t, :t] > 0, initial=-1e4, keepdims=True)
             np.minimum(a, 0, out=a)
@@ -325,12 +328,12 @@ class Scorer:
         a *= m.mask[skip:t, :t]
         mix = np.matmul(a, e[:, :, 3 * d :])
         mix[..., :d] /= mix[..., d:]
-        h = np.matmul(mix[..., :d], m.O)
-        h += e[:, skip:, :d]
+        h = np.matmul(places(mix)[:, :d], m.O)
+        h.reshape(len(x), -1, d)[:] += e[:, skip:, :d]
         g = np.matmul(h, m.H)
-        g += np.tile(m.c, (t - skip, 1))
+        g.reshape(len(x), -1)[:] += np.tile(m.c, t - skip)
         np.maximum(g, 0, out=g)
-        np.add(h, np.matmul(g, m.G), out=out[..., :d])
+        np.add(h, np.matmul(g, m.G), out=places(out)[:, :d])
 
     def __call__(self, texts: list[np.ndarray]) -> np.ndarray:
         """One log10 probability per text."""

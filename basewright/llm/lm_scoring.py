@@ -1,16 +1,17 @@
 """Scores of whole texts by a causal self-attention model trained on the corpus itself.
 
-1. Words of all training texts are counted in the tasks, then summed by word. Words with at least one in
-   ``SHARE`` of all tokens are at most ``SHARE`` many, so only these travel to every task.
-2. Subword counts follow from the word counts: each different word is cut into subwords once. Which ids share an
-   output class follows from the training windows' counts of neighbours.
+1. Words of all training texts are counted in the tasks, then summed by word. The most frequent, at most
+   ``SHARE`` many, travel to every task.
+2. One pass cuts all texts into subwords, once, and writes their windows: a learned text's row lies in the folder of its round,
+   all others in one that no round reads. It also takes the common words' counts; only the other words are
+   joined with their counts. Subword counts are those of the training windows, and which ids share an output class
+   follows from their counts of neighbours.
 3. The model trains in rounds on all training texts, whatever the size of the corpus. A hash of id and text
    gives a text's round and its lot, which deals the round's windows over tasks of about ``STEPS`` batches. Each
    task trains from the shared weights, and the weights' changes are averaged, by levels of ``FAN`` tasks.
    Lots are sorted within a task and sums have a fixed order, so how rows lie in partitions, or a task that is
    run again, changes nothing.
-4. One pass scores all texts by the model and takes the common words' counts; only the other words, each rare by
-   the bound, are joined with their counts.
+4. The model scores all texts from the windows that were written; no text is read or cut again.
 
 Defined cases: a null text is empty, and an empty text is its end alone; words and end are tokens; null ids
 count as the empty id in the choice of training rows; repeated rows count, train together in one task, and each keep a row; without training
@@ -34,7 +35,7 @@ from . import attention
 from .common import Workspace, document_text, partitions, remainder
 from .subwords import END_ID, as_coded, coder, split, tokenizer_path
 
-SHARE, LONGEST_COMMON = 1_000_000, 64
+SHARE, LONGEST_COMMON = 250_000, 64
 #: Different words that a counting task holds before it hands them on.
 HELD = 400_000
 ROUNDS, STEPS, BATCH, FAN, SEED = 8, 120, 192, 32, 5
@@ -69,56 +70,130 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(document_text(docs).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def subword_counts(words: DataFrame, path: str) -> np.ndarray:
-    """How often each id occurs in the texts that were counted; one number per id."""
+def subword_counts(windows: DataFrame, path: str, shape: attention.Shape) -> np.ndarray:
+    """windows: with ids, the number of a row's ids without what fills its last window. How often each id occurs; one number per id."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = coder(path)
-        total = np.zeros(found.size, np.int64)
+        total = np.zeros(coder(path).size, np.int64)
         for batch in source:
-            ids = [found.word(w) if w else found.end for w in batch.column(0).to_pylist()]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // found.dtype.itemsize
-            times = np.repeat(batch.column(1).to_numpy(), sizes)
-            total += np.bincount(np.frombuffer(b"".join(ids), found.dtype), times, found.size).astype(np.int64)
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                total += np.bincount(np.concatenate(read_ids(part.column(0), part.column(1), path, shape)), minlength=len(total))
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    rows = words.select("word", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = windows.select("windows", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(coder(path).size, np.int64)
     out[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
 
 
-def training_windows(docs: DataFrame, path: str, shape: attention.Shape, rounds: int = ROUNDS) -> DataFrame:
-    """round, lot, n, windows (ids as the coder holds them) of all texts."""
+def least_common(counts: DataFrame, n: int) -> int:
+    """The least number that at most ``SHARE`` words have or pass. n: the sum of all."""
+    top = n // SHARE + 1  # that many times, or more, occur fewer than SHARE words
+    tiers = counts.groupBy(F.least("n", F.lit(top)).alias("n")).count().collect()  # at most one row for each number up to it
+    left, least = SHARE, top
+    for r in sorted(tiers, reverse=True):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["n"]
+    return least
+
+
+class Common:
+    """Common words with their log10 shares; the lookup is built once per process."""
+
+    def __init__(self, words: list[bytes], logs: np.ndarray):
+        self.joined, self.logs, self.found = b"\n".join(words), logs, None
+
+    def __getstate__(self) -> tuple:
+        return self.joined, self.logs
+
+    def __setstate__(self, state: tuple) -> None:
+        (self.joined, self.logs), self.found = state, None
+
+    def lookup(self) -> dict[bytes, float]:
+        if self.found is None:  # words hold no line feed
+            named = self.joined.split(b"\n") if len(self.logs) else []
+            self.found = dict(zip(named, self.logs.tolist()))
+        return self.found
+
+
+WINDOWS = "round int, lot long, n long, windows binary, ids long"
+TEXT = "row long, doc_id long, n_tokens long, known long, base double, rare array<binary>"
+SCORED = TEXT.replace("rare", "score double, rare")
+
+
+def names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def coded_texts(docs: DataFrame, learn: Column, common: Common, path: str, shape: attention.Shape, rounds: int = ROUNDS) -> DataFrame:
+    """Windows of all texts (ids as the coder holds them) with their round and lot, and what the base score needs.
+
+    A text has one row with a row number of its own: tokens, those among the common words, their base score, and the other
+    words. Rows of texts that train in no round have round ``rounds``. That of a longer learned text is one, too; its
+    parts train, in rows without a row number.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = coder(path)
+        found, share_of, row = coder(path), shared.value.lookup().get, TaskContext.get().partitionId() << 36
         for batch in source:
-            keys, texts = batch.column(0).to_pylist(), found.encode_all(batch.column(1))
+            if not batch.num_rows:
+                continue
+            words, places, sizes = split(as_coded(batch.column(1)))
+            texts = found.encode_words(words, places, sizes)
+            words = [w.lower() for w in words]
+            logs = np.array([share_of(w, np.nan) for w in words])
+            rare, firsts = np.isnan(logs), np.cumsum(sizes) - sizes
+            rare_at = rare[places]
+            base = np.add.reduceat(np.where(rare, 0, logs)[places], firsts)  # every text has an end
+            met = np.add.reduceat(rare_at, firsts, dtype=np.int64)
+            others = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *met]), pa.int32()), pa.array(words, pa.binary()).take(pa.array(places[rare_at])))
+            number = np.arange(row, row + batch.num_rows)
+            row += batch.num_rows
+            text = pa.record_batch([pa.array(number), batch.column(0), pa.array(sizes), pa.array(sizes - met), pa.array(base), others], names(TEXT))
+            keys, learned = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for k in range(0, batch.num_rows, 64):
-                lots, parts = [], []
-                for key, ids in zip(keys[k : k + 64], texts[k : k + 64]):
-                    rows = attention.cut(ids, END_ID, shape.window).astype(found.dtype)
-                    for j in range(0, len(rows), ROW):
+                at, lots, parts, n = [], [], [], []
+                for j in range(k, min(k + 64, batch.num_rows)):
+                    rows, key = attention.cut(texts[j], END_ID, shape.window).astype(found.dtype), keys[j]
+                    if not learned[j] or len(rows) > ROW:
+                        at, lots, parts, n = [*at, j], [*lots, None], [*parts, rows], [*n, len(texts[j])]
+                    for i in range(0, len(rows) if learned[j] else 0, ROW):
                         # the parts of a long text have rounds and lots of their own
-                        lots.append(key if j == 0 else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), j) - (1 << 63))
-                        parts.append(rows[j : j + ROW])
+                        lots.append(key if i == 0 else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), i) - (1 << 63))
+                        parts.append(rows[i : i + ROW])
+                        n.append(min(len(texts[j]) - i * shape.window, ROW * shape.window))
+                        at.append(j if len(rows) <= ROW else None)
                 yield pa.record_batch(
-                    [pa.array([x % rounds for x in lots], pa.int32()), pa.array([x // rounds for x in lots], pa.int64()),
-                     pa.array(list(map(len, parts)), pa.int64()), pa.array([w.tobytes() for w in parts], pa.binary())],
-                    ["round", "lot", "n", "windows"],
+                    [pa.array([rounds if x is None else x % rounds for x in lots], pa.int32()), pa.array([0 if x is None else x // rounds for x in lots], pa.int64()),
+                     pa.array(list(map(len, parts)), pa.int64()), pa.array([w.tobytes() for w in parts], pa.binary()), pa.array(n, pa.int64()), *text.take(pa.array(at, pa.int64())).columns],
+                    names(f"{WINDOWS}, {TEXT}"),
                 )
 
     text = document_text(docs)
-    rows = docs.select(F.xxhash64(docs["doc_id"].cast("string"), text).alias("key"), text.alias("text"))
-    return rows.mapInArrow(run, "round int, lot long, n long, windows binary")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(docs["doc_id"].cast("string"), text).alias("key"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    return rows.mapInArrow(run, f"{WINDOWS}, {TEXT}")
+
+
+def training_windows(docs: DataFrame, path: str, shape: attention.Shape, rounds: int = ROUNDS) -> DataFrame:
+    """round, lot, n, windows (ids as the coder holds them) of all texts."""
+    rows = coded_texts(docs, F.lit(True), Common([], np.zeros(0)), path, shape, rounds)
+    return rows.where(F.col("round") < rounds).select("round", "lot", "n", "windows")
 
 
 def read_windows(held: Iterable, path: str, shape: attention.Shape) -> list[np.ndarray]:
     return [np.frombuffer(w.as_py(), coder(path).dtype).reshape(-1, shape.window + 1) for w in held]
 
 
+def read_ids(held: Iterable, sizes: Iterable, path: str, shape: attention.Shape) -> list[np.ndarray]:
+    """The ids that windows were cut from."""
+    return [w[:, 1:].ravel()[: n.as_py()] for w, n in zip(read_windows(held, path, shape), sizes)]
+
+
 def followers(windows: DataFrame, counts: np.ndarray, path: str, shape: attention.Shape) -> np.ndarray:
     """How often each of the most frequent ids follows each of the ``contexts`` most frequent, in all training windows."""
     order = np.argsort(-counts, kind="stable")
@@ -127,13 +202,14 @@ def followers(windows: DataFrame, counts: np.ndarray, path: str, shape: attentio
     shared = windows.sparkSession.sparkContext.broadcast(rank)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape.own * shape.contexts)
+        total, context = np.zeros(shape.own * shape.contexts), shared.value < shape.contexts
         for batch in source:
             for k in range(0, batch.num_rows, 1024):
-                found = shared.value[np.concatenate(read_windows(batch.column(0)[k : k + 1024], path, shape))]
-                first, then = found[:, :-1].ravel(), found[:, 1:].ravel()
-                both = (first < shape.contexts) & (then < shape.own)
-                total += np.bincount(then[both] * shape.contexts + first[both], minlength=len(total))
+                found = np.concatenate(read_windows(batch.column(0)[k : k + 1024], path, shape))
+                near = np.flatnonzero(context.take(found[:, :-1]))  # the others need no further look
+                first, then = shared.value.take(found[:, :-1].ravel().take(near)), shared.value.take(found[:, 1:].ravel().take(near))
+                own = then < shape.own
+                total += np.bincount(then[own] * shape.contexts + first[own], minlength=len(total))
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen), pa.array(total[seen].astype(np.int64))], ["pair", "n"])
 
@@ -207,57 +283,22 @@ def train(windows: DataFrame, vocabulary: attention.Vocabulary, path: str, shape
     return model
 
 
-class Common:
-    """Common words with their log10 shares; the lookup is built once per process."""
-
-    def __init__(self, words: list[bytes], logs: np.ndarray):
-        self.joined, self.logs, self.found = b"\n".join(words), logs, None
-
-    def __getstate__(self) -> tuple:
-        return self.joined, self.logs
-
-    def __setstate__(self, state: tuple) -> None:
-        (self.joined, self.logs), self.found = state, None
-
-    def lookup(self) -> dict[bytes, float]:
-        if self.found is None:  # words hold no line feed
-            named = self.joined.split(b"\n") if len(self.logs) else []
-            self.found = dict(zip(named, self.logs.tolist()))
-        return self.found
-
-
-SCORED = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<binary>"
-
-
-def score_texts(docs: DataFrame, model: attention.Model, vocabulary: attention.Vocabulary, common: Common, path: str) -> DataFrame:
-    """Per row: a number of its own, tokens, those among the common words, their base score, the model's score, and the other words."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.shape, model.flat, vocabulary, common))
+def score_texts(coded: DataFrame, model: attention.Model, vocabulary: attention.Vocabulary, path: str) -> DataFrame:
+    """coded: rows of coded_texts. Per text what is known of it and the model's score."""
+    shared = coded.sparkSession.sparkContext.broadcast((model.shape, model.flat, vocabulary))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape, flat, words, known = shared.value
-        scorer, found = attention.Scorer(attention.Model(shape, words.rows, flat), words, END_ID), coder(path)
-        share_of, row = known.lookup().get, TaskContext.get().partitionId() << 36
+        shape, flat, words = shared.value
+        scorer = attention.Scorer(attention.Model(shape, words.rows, flat), words, END_ID)
         for batch in source:
             if not batch.num_rows:
                 continue
-            tokens, places, sizes = split(as_coded(batch.column(1)))
-            texts = found.encode_words(tokens, places, sizes)
+            texts = read_ids(batch.column(0), batch.column(1), path, shape)
             scores = [scorer([ids for _, ids in part]) for part in attention.batches_of(enumerate(texts), RUN)]
-            tokens = [w.lower() for w in tokens]
-            logs = np.array([share_of(w, np.nan) for w in tokens])
-            rare, firsts = np.isnan(logs), np.cumsum(sizes) - sizes
-            rare_at = rare[places]
-            base = np.add.reduceat(np.where(rare, 0, logs)[places], firsts)  # every text has an end
-            met = np.add.reduceat(rare_at, firsts, dtype=np.int64)
-            others = pa.array(tokens, pa.binary()).take(pa.array(places[rare_at]))
-            yield pa.record_batch(
-                [pa.array(range(row, row + batch.num_rows), pa.int64()), batch.column(0), pa.array(sizes), pa.array(sizes - met), pa.array(base), pa.array(np.concatenate(scores)),
-                 pa.ListArray.from_arrays(pa.array(np.cumsum([0, *met]), pa.int32()), others)],
-                [x.split()[0] for x in SCORED.split(", ")],
-            )
-            row += batch.num_rows
+            told = batch.columns[2:]
+            yield pa.record_batch([*told[:-1], pa.array(np.concatenate(scores)), told[-1]], names(SCORED))
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), document_text(docs).alias("text")).mapInArrow(run, SCORED)
+    return coded.where(F.col("row").isNotNull()).select("windows", "ids", *names(TEXT)).mapInArrow(run, SCORED)
 
 
 def score(docs: DataFrame, learn: Column, tokenizer: str | None = None, shape: attention.Shape | None = None) -> DataFrame:
@@ -265,20 +306,21 @@ def score(docs: DataFrame, learn: Column, tokenizer: str | None = None, shape: a
     path, shape = tokenizer or tokenizer_path(), shape or attention.Shape()
     spark = docs.sparkSession
     work = Workspace(spark, "lm")
-    taught = docs.where(learn)
-    counts = work.save(word_counts(taught), "words")
+    counts = work.save(word_counts(docs.where(learn)), "words")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = (F.col("n") * SHARE >= n) & (F.octet_length("word") <= LONGEST_COMMON)
+    least = least_common(counts, n)
+    often = (F.col("n") >= least) & (F.octet_length("word") <= LONGEST_COMMON)
     per = n + 0.5 * (v + 1)
     # at most SHARE rows
     frame = counts.where(often).toPandas()
     common = Common([bytes(w) for w in frame["word"]], np.log10((frame["n"].to_numpy(np.float64) + 0.5) / per))
-    windows = work.save(training_windows(taught, path, shape), "windows", by="round")
-    ids = subword_counts(counts, path)
+    coded = work.save(coded_texts(docs, learn, common, path, shape), "windows", by="round")
+    windows = coded.where(F.col("round") < ROUNDS).select("round", "lot", "n", "windows", "ids")
+    ids = subword_counts(windows, path, shape)
     vocabulary = attention.Vocabulary(ids, shape, followers(windows, ids, path, shape))
     model = train(windows, vocabulary, path, shape)
+    scored = work.save(score_texts(coded, model, vocabulary, path), "scored")
     work.drop("windows")
-    scored = work.save(score_texts(docs, model, vocabulary, common, path), "scored")
     rare = scored.select("row", F.explode("rare").alias("word"))
     rare = rare.join(counts.where(~often), "word", "left")
     logs = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(per)))

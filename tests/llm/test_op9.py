@@ -244,3 +244,36 @@ def test_each_word_of_a_batch_is_coded_once(monkeypatch):
     assert max(asked.values()) == 1 and set(asked) - {b""} == {b"the", b"cat,", b"cat", b"a"}
     assert sizes.tolist() == [5, 4, 1, 2] * 50 and len(ids) == 200
     assert found[-1] == b"" and [found[p] for p in places[:9]] == [b"the", b"cat,", b"the", b"cat", b"", b"a", b"cat", b"the", b""]
+
+
+def test_texts_are_cut_once_for_training_and_scores(spark):
+    rows, path, shape = table(), tokenizer_path(), attention.Shape()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    none = lm_scoring.Common([], np.zeros(0))
+    coded = lm_scoring.coded_texts(docs, lm_scoring.learned_from(docs["doc_id"]), none, path, shape).cache()
+    found = coded.collect()
+    ids = lm_scoring.read_ids(pa.array([r.windows for r in found], pa.binary()), pa.array([r.ids for r in found]), path, shape)
+    words = coder(path)
+    want = Counter((i, words.encode((t or "").encode()).tobytes()) for i, t, *_ in rows)
+    # what is scored: each text whole, with a number of its own
+    assert Counter((r.doc_id, x.tobytes()) for r, x in zip(found, ids) if r.row is not None) == want
+    assert len({r.row for r in found} - {None}) == len(rows)
+    # what trains: the ids of the learned texts, those of long ones in parts
+    train = [x for r, x in zip(found, ids) if r.round < lm_scoring.ROUNDS]
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 5 == 1
+    total = lambda parts: np.bincount(np.concatenate(parts), minlength=words.size)
+    assert (total(train) == total([np.frombuffer(x, words.dtype) for (i, x), n in want.items() for _ in range(n) if not held(i)])).all()
+    assert (lm_scoring.subword_counts(coded.where(F.col("round") < lm_scoring.ROUNDS), path, shape) == total(train)).all()
+    assert any(r.row is None for r in found) and max(r.n for r in found if r.round < lm_scoring.ROUNDS) <= lm_scoring.ROW
+    vocabulary = attention.Vocabulary(total(train), shape)
+    model = attention.Model.first(shape, vocabulary, 1)
+    got = {r.row: r.score for r in lm_scoring.score_texts(coded, model, vocabulary, path).collect()}
+    scores = attention.Scorer(model, vocabulary, END_ID)([x for r, x in zip(found, ids) if r.row is not None])
+    assert np.allclose([got[r.row] for r in found if r.row is not None], scores, rtol=1e-5)
+
+
+def test_most_frequent_words_travel(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARE", 5)
+    for n, least in (([9, 7, 7, 3, 3, 3, 1], 7), ([5, 4, 3, 2, 1], 1), ([2] * 6, 3), ([1] * 5, 1), ([], 1)):
+        counts = spark.createDataFrame([(x,) for x in n], "n long")
+        assert lm_scoring.least_common(counts, sum(n)) == least
