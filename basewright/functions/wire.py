@@ -141,10 +141,15 @@ def marker_hits(digits: Column) -> Column:
     return F.when(suspect, bases.let(digits, search))
 
 
-def legacy_record(description: Column, sequence: Column) -> Column:
-    """A legacy record as hexadecimal digits; an error if the code holds a marker three times in a row."""
+def legacy_record(description: Column, sequence: Column, any_bit: bool = True) -> Column:
+    """A legacy record as hexadecimal digits.
+
+    any_bit: for readers that may search markers at any bit; an error if the code holds one three times in a row. Else for
+    readers that go by digits from the type marker to the next end marker, as ours do; an error if the code holds an end marker.
+    """
     kind = F.when(bases.upper(bases.text(sequence)).contains("U"), codes.LEGACY_RNA).otherwise(codes.LEGACY_DNA)
-    code = bases.let(legacy_digits(sequence), lambda digits: bases.let(marker_hits(digits), lambda hit: _guarded(digits, hit)))
+    guard = (lambda digits: bases.let(marker_hits(digits), lambda hit: _guarded(digits, hit))) if any_bit else _readable
+    code = bases.let(legacy_digits(sequence), guard)
     return F.concat(F.hex(F.encode(F.coalesce(description, F.lit("")), "UTF-8")), kind, code, F.lit(codes.LEGACY_END))
 
 
@@ -153,6 +158,12 @@ def _guarded(digits: Column, hit: Column) -> Column:
     return F.when(hit.isNotNull(), F.raise_error(message).cast("string")).otherwise(digits)
 
 
+def _readable(digits: Column) -> Column:
+    """The code, or an error if a reader that goes by digits would end it early."""
+    at = F.instr(digits, codes.LEGACY_END)
+    return F.when(at > 0, F.raise_error(F.format_string("Code holds an end marker at base %d", at - 1)).cast("string")).otherwise(digits)
+
+
 def legacy_decoded(digits: Column) -> Column:
     """One legacy record by a search at any bit offset, as struct(description, sequence, nuc); an error without markers.
 

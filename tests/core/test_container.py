@@ -132,6 +132,27 @@ def test_marker_guard(spark):
             spark.createDataFrame([(bad,)], "s string").select(wire.legacy_record(F.lit("d"), F.col("s"))).collect()
 
 
+def test_codes_with_markers_off_digit_borders(spark, tmp_path):
+    """Letters that hold a marker three times off the borders of digits are written for readers that go by digits, and come back."""
+    parts = ["NABNABNABN", "nabnabnabA", "SWSNWSNWSNW", "VWSNWSNWSNN", "GHGNHGNHGNH", "NHGNHGNHGH", "N NN NN N"]
+    rows = [("x", i, f"r{i} é", before + part + after, "DNA") for i, (part, before, after) in enumerate((p, b, a) for p in parts for b in ("", "G", "ACGTN") for a in ("", "C", "NAB"))]
+    rows += [(f, i + 1000, d, s.replace("T", "U") + "U", "RNA") for f, i, d, s, _ in rows]
+    df = spark.createDataFrame(rows, SCHEMA)
+    hits = df.select("rec_no", wire.marker_hits(wire.legacy_digits(F.col("sequence"))).alias("h")).where("h IS NOT NULL")
+    assert hits.count() == len(rows) and {r[0] for r in hits.select(F.expr("h.bit % 4")).distinct().collect()} == {0, 1, 2, 3}
+    container.write_records(df, f"{tmp_path}/out", version=1, files=2, any_bit=False)
+    got = container.read_records(spark, f"{tmp_path}/out").orderBy("file", "rec_no").collect()
+    assert [tuple(r)[2:] for r in got] == [(d, s.upper(), nuc) for _, _, d, s, nuc in rows]
+    with pytest.raises(Exception, match="holds marker RNA three times"):
+        container.write_records(df, f"{tmp_path}/guarded", version=1)
+    for bad in ("A  N", "A  NC", "  N  N  N", " N  N  N ", "A-C"):  # codes that readers would end early
+        with pytest.raises(Exception, match="end marker|symbol"):
+            spark.createDataFrame([(bad,)], "s string").select(wire.legacy_record(F.lit("d"), F.col("s"), any_bit=False)).collect()
+    good = [(f"b{k}", n, "d", text, "DNA") for k, blanks in enumerate(("A ", "A  ", "  A  ", " N ", "   ")) for n, text in enumerate((blanks, "AC"))]
+    container.write_records(spark.createDataFrame(good, SCHEMA), f"{tmp_path}/blanks", version=1, files=1, any_bit=False)
+    assert [r.sequence for r in container.read_records(spark, f"{tmp_path}/blanks").orderBy("file", "rec_no").collect()] == [r[3] for r in good]
+
+
 BROKEN = {
     "magic": b"FASX" + whole()[4:], "version": whole()[:4] + b"\3" + whole()[5:], "short": b"FAST\2",
     "flipped": whole(("r1", "TACG", "DNA")).replace(b"r1", b"s1"), "count": whole()[:8] + struct.pack("<I", 2) + whole(("r1", "TACG", "DNA"))[12:],
