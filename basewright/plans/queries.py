@@ -94,7 +94,7 @@ def mixed_tu(spark, sf_dir):
 
 
 def v1_record_hex(spark, sf_dir):
-    return records(spark, sf_dir, kept(LEGACY)).select("doc_id", wire.legacy_record(F.col("description"), seq()).alias("record"))
+    return records(spark, sf_dir, kept(LEGACY)).select("doc_id", wire.legacy_record(F.col("description"), seq(), any_bit=False).alias("record"))
 
 
 def v1_decode(spark, sf_dir):

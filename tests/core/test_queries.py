@@ -33,7 +33,7 @@ def test_query_equals_sql(spark, duck, name):
     assert got[1]
 
 
-@pytest.mark.parametrize("name", ["legacy_roundtrip"])
+@pytest.mark.parametrize("name", ["legacy_roundtrip", "v1_record_hex"])
 def test_texts_whose_code_holds_markers(spark, tmp_path, name):
     """Letters of texts may hold a marker three times off the borders of digits, as one in 51,282 does in 0.5 GB."""
     texts = ["Nab, nab; nab: n...", "sws nws nws nw", "ghg nhg nhg nh", "u nab nab nab n", "xx NHGNHGNHGH", "plain", "", None]
